@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from tessella.llm.bpe import op1_bpe
 from tessella.llm.quality import OP8_SQL, op8_quality
+from tessella.llm.secrets import op7_secrets
 
-QUERIES = {"op8_quality": op8_quality}
+QUERIES = {"op1_bpe": op1_bpe, "op7_secrets": op7_secrets, "op8_quality": op8_quality}
 ORACLE_SQL = {"op8_quality": OP8_SQL}
