@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Entries in the dictionary of encoded words, and characters of text at a time.
-MAX_WORDS = 400_000
-SLICE_CHARS = 4_000_000
+MAX_WORDS = 300_000
+SLICE_CHARS = 1_500_000
+
+
+_BYTE = [bytes([b]) for b in range(256)]
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -89,20 +93,31 @@ class TrieEncoder:
         self.v = vocabulary
         self.follows: dict[tuple[int, int], bool] = {}
         self.whole: dict[int, bool] = {}
+        # The tokens that end a string, longest first, hang on the longest suffix of it that starts a token.
+        self.starts = {t[:k]: None for t in vocabulary.ids for k in range(1, len(t) + 1)}
+        self.states: dict[bytes, tuple[bytes, tuple[tuple[int, int], ...]]] = {}
 
-    def _may_follow(self, a: int, b: int) -> bool:
-        got = self.follows.get((a, b))
+    def _enter(self, suffix: bytes) -> tuple[bytes, tuple[tuple[int, int], ...]]:
+        """The longest suffix that starts a token, and the (token, length) that end there, longest first."""
+        got = self.states.get(suffix)
         if got is None:
-            if len(self.follows) > 2_000_000:
-                self.follows.clear()
-            got = self.follows[a, b] = self.v.merged(self.v.bytewise(self.v.tokens[a] + self.v.tokens[b])) == [a, b]
+            if len(self.states) > 300_000:
+                self.states.clear()
+            s = suffix
+            while s not in self.starts:
+                s = s[1:]
+                if not s:
+                    raise ValueError("the vocabulary lacks a byte")
+            ids = self.v.ids
+            got = self.states[suffix] = (s, tuple((ids[s[k:]], len(s) - k) for k in range(len(s)) if s[k:] in ids))
         return got
 
-    def _stands(self, a: int) -> bool:
-        """Whether a token's own bytes merge into it."""
-        got = self.whole.get(a)
-        if got is None:
-            got = self.whole[a] = self.v.merged(self.v.bytewise(self.v.tokens[a])) == [a]
+    def _may_follow(self, a: int, b: int) -> bool:
+        """Whether the merges turn the joined bytes of two tokens back into them; the first may be none (-1)."""
+        if len(self.follows) > 600_000:
+            self.follows.clear()
+        head = self.v.tokens[a] if a >= 0 else b""
+        got = self.follows[a, b] = self.v.merged(self.v.bytewise(head + self.v.tokens[b])) == ([a, b] if a >= 0 else [b])
         return got
 
     def encode(self, words: set[bytes]) -> dict[bytes, tuple[int, ...]]:
@@ -114,29 +129,30 @@ class TrieEncoder:
                 node = node.setdefault(b, {})
             node[-1] = w
         out: dict[bytes, tuple[int, ...]] = {}
-        ids, tokens, longest = self.v.ids, self.v.tokens, self.v.longest
-        path, last = bytearray(), [-1]  # last[k]: the last token of the first k bytes of the path
-        stack: list[tuple[dict, int, int]] = [(root, -1, 0)]
+        tokens, follows, states = self.v.tokens, self.follows, self.states
+        last = [-1]  # last[k]: the last token of the first k bytes of the path
+        stack: list[tuple[dict, bytes, int]] = [(root, b"", 0)]  # a node, its parent's suffix and its own byte, its depth
         while stack:
-            node, byte, depth = stack.pop()
-            if byte >= 0:
-                del path[depth - 1 :]
+            node, suffix, depth = stack.pop()
+            if depth:
                 del last[depth:]
-                path.append(byte)
-                for size in range(min(depth, longest), 0, -1):
-                    t = ids.get(bytes(path[depth - size :]))
-                    if t is not None and (self._stands(t) if size == depth else self._may_follow(last[depth - size], t)):
+                got = states.get(suffix)
+                suffix, ends = got if got is not None else self._enter(suffix)
+                for t, size in ends:
+                    before = last[depth - size]
+                    ok = follows.get((before, t))
+                    if ok or ok is None and self._may_follow(before, t):
                         last.append(t)
                         break
+            for b, child in node.items():
+                if b >= 0:
+                    stack.append((child, suffix + _BYTE[b], depth + 1))
                 else:
-                    raise ValueError("the vocabulary lacks a byte")
-            if (w := node.get(-1)) is not None:
-                got, k = [], depth
-                while k:
-                    got.append(last[k])
-                    k -= len(tokens[last[k]])
-                out[w] = tuple(reversed(got))
-            stack += [(child, b, depth + 1) for b, child in node.items() if b >= 0]
+                    ids, k = [], depth
+                    while k:
+                        ids.append(last[k])
+                        k -= len(tokens[last[k]])
+                    out[child] = tuple(reversed(ids))
         return out
 
 
@@ -165,8 +181,7 @@ class Encoder:
                 if isinstance(p, str):
                     ids.append(v.special[p])
                 else:
-                    for got in map(self.known.__getitem__, p):
-                        ids += got
+                    ids += chain.from_iterable(map(self.known.__getitem__, p))
             out.append(np.array(ids, np.int32))
         return out
 
