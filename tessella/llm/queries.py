@@ -3,8 +3,16 @@
 from __future__ import annotations
 
 from tessella.llm.bpe import op1_bpe
+from tessella.llm.mixing import op10_mixing
+from tessella.llm.pii import op2_pii
 from tessella.llm.quality import OP8_SQL, op8_quality
 from tessella.llm.secrets import op7_secrets
 
-QUERIES = {"op1_bpe": op1_bpe, "op7_secrets": op7_secrets, "op8_quality": op8_quality}
+QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op2_pii": op2_pii,
+    "op7_secrets": op7_secrets,
+    "op8_quality": op8_quality,
+    "op10_mixing": op10_mixing,
+}
 ORACLE_SQL = {"op8_quality": OP8_SQL}
