@@ -163,7 +163,9 @@ def cascade(df: DataFrame, ordered: list[Rule], measured: bool = False) -> DataF
 def quality_filter(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
     """The documents that pass every rule, with their own columns."""
     df = cascade(_prepared(docs, text_col), order_rules(docs, rules, text_col))
-    return _tidy(df.filter(F.col(P + "failed").isNull()), docs.columns)
+    # A row number holds the filter above the measures: pushed down, it would repeat them all in its own condition.
+    df = df.withColumn(P + "row", F.monotonically_increasing_id())
+    return _tidy(df.filter(F.col(P + "failed").isNull() & (F.col(P + "row") >= 0)), docs.columns)
 
 
 def quality_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
