@@ -5,6 +5,7 @@ from __future__ import annotations
 from tessella.llm.bpe import op1_bpe
 from tessella.llm.bwt import OP6_SQL, op6_suffix_array
 from tessella.llm.embeddings import OP3_SQL, op3_embeddings
+from tessella.llm.lm import op5_lm
 from tessella.llm.minhash import OP4_SQL, op4_minhash
 from tessella.llm.mixing import op10_mixing
 from tessella.llm.pii import op2_pii
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_pii": op2_pii,
     "op3_embeddings": op3_embeddings,
     "op4_minhash": op4_minhash,
+    "op5_lm": op5_lm,
     "op6_suffix_array": op6_suffix_array,
     "op7_secrets": op7_secrets,
     "op8_quality": op8_quality,
@@ -26,6 +28,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op3_embeddings": OP3_SQL,
     "op4_minhash": OP4_SQL,
+    "op5_lm": op5_lm,
     "op6_suffix_array": OP6_SQL,
     "op8_quality": OP8_SQL,
     "op9_substring": OP9_SQL,
