@@ -16,22 +16,24 @@ slices of bounded size, and nothing is shuffled.
 from __future__ import annotations
 
 import json
+import math
+import re
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Entries in the dictionary of encoded words, and characters of text at a time.
-MAX_WORDS = 300_000
-SLICE_CHARS = 1_500_000
-
-
-_BYTE = [bytes([b]) for b in range(256)]
+#: Entries in the dictionary of encoded words, and bytes of text at a time.
+MAX_WORDS = 250_000
+SLICE_BYTES = 1_500_000
+#: Verdicts on pairs of tokens that a worker keeps.
+MAX_VERDICTS = 500_000
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -54,13 +56,16 @@ class Vocabulary:
         self.ids = {as_bytes(s): i for s, i in spec["model"]["vocab"].items() if s not in self.special}
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
         self.ranks = {(self.ids[as_bytes(a)], self.ids[as_bytes(b)]): (r, self.ids[as_bytes(a + b)]) for r, (a, b) in enumerate(pairs)}
+        self.made = {t: (r, pair) for pair, (r, t) in self.ranks.items()}
         size = 1 + max([*self.ids.values(), *self.special.values()])
         self.tokens: list[bytes] = [b""] * size
         for t, i in [*self.ids.items(), *((s.encode(), i) for s, i in self.special.items())]:
             self.tokens[i] = t
-        self.longest = max(map(len, self.ids))
         # Fixed value: the public splitting pattern of this kind of vocabulary.
         self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+        # The same pattern for the faster built-in engine: alike where all characters are among these.
+        self.plain_pieces = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+        self.not_plain = re.compile(r"[^\t-\r -~\u00c0-\u024f\u0400-\u0481]")
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def merged(self, ids: list[int]) -> list[int]:
@@ -86,73 +91,107 @@ class Vocabulary:
         return [self.ids[bytes([b])] for b in word]
 
 
+class State:
+    """What matters of a path's end: its longest suffix that starts a token."""
+
+    __slots__ = ("ends", "next", "suffix")
+
+    def __init__(self, suffix: bytes, ends: list[tuple[int, int, dict[int, bool]]]):
+        self.suffix, self.ends = suffix, ends  # ends: tokens that end here, longest first, with length and verdicts
+        self.next: dict[int, State] = {}
+
+
 class TrieEncoder:
-    """Encodes sets of words; what words share as a prefix is worked out once."""
+    """Encodes sets of words; what words share as a prefix is worked out once.
+
+    Words enter the trie in sorted order, so each branches off the path of the one before
+    and the walk over the trie is depth first; only the current path is held.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.follows: dict[tuple[int, int], bool] = {}
-        self.whole: dict[int, bool] = {}
-        # The tokens that end a string, longest first, hang on the longest suffix of it that starts a token.
-        self.starts = {t[:k]: None for t in vocabulary.ids for k in range(1, len(t) + 1)}
-        self.states: dict[bytes, tuple[bytes, tuple[tuple[int, int], ...]]] = {}
-
-    def _enter(self, suffix: bytes) -> tuple[bytes, tuple[tuple[int, int], ...]]:
-        """The longest suffix that starts a token, and the (token, length) that end there, longest first."""
-        got = self.states.get(suffix)
+        self.edges: tuple[dict, dict] = ({}, {})
+        self.starts = {t[:k] for t in vocabulary.ids for k in range(1, len(t) + 1)}
+        self._reset()
+
+    def _reset(self) -> None:
+        self.states: dict[bytes, State] = {}
+        self.verdicts: dict[int, dict[int, bool]] = {}
+        self.n_verdicts = 0
+        self.root = State(b"", [])
+
+    def _enter(self, state: State, byte: int) -> State:
+        s = state.suffix + bytes([byte])
+        while s not in self.starts:
+            s = s[1:]
+            if not s:
+                raise ValueError("the vocabulary lacks a byte")
+        got = self.states.get(s)
         if got is None:
-            if len(self.states) > 300_000:
-                self.states.clear()
-            s = suffix
-            while s not in self.starts:
-                s = s[1:]
-                if not s:
-                    raise ValueError("the vocabulary lacks a byte")
             ids = self.v.ids
-            got = self.states[suffix] = (s, tuple((ids[s[k:]], len(s) - k) for k in range(len(s)) if s[k:] in ids))
+            ends = [(t, len(s) - k, self.verdicts.setdefault(t, {})) for k in range(len(s)) if (t := ids.get(s[k:])) is not None]
+            got = self.states[s] = State(s, ends)
+        state.next[byte] = got
         return got
 
-    def _may_follow(self, a: int, b: int) -> bool:
-        """Whether the merges turn the joined bytes of two tokens back into them; the first may be none (-1)."""
-        if len(self.follows) > 600_000:
-            self.follows.clear()
-        head = self.v.tokens[a] if a >= 0 else b""
-        got = self.follows[a, b] = self.v.merged(self.v.bytewise(head + self.v.tokens[b])) == ([a, b] if a >= 0 else [b])
+    def _edge(self, token: int, side: int) -> list[tuple[int, float]]:
+        """The parts of a token at its left (0) or right (1) edge, from the whole down to a byte, each with the rank at which it is merged away."""
+        got = self.edges[side].get(token)
+        if got is None:
+            rank, parts = self.v.made.get(token, (0, None))
+            got = [(token, math.inf)]
+            if parts:
+                got += [(t, min(r, rank)) for t, r in self._edge(parts[side], side)]
+            self.edges[side][token] = got
         return got
 
+    def may_follow(self, a: int, b: int) -> bool:
+        """Whether the merges turn the joined bytes of two tokens back into them; the first may be none (-1).
+
+        They do unless some merge across the border comes first: of a part at the right
+        edge of the one with a part at the left edge of the other, before either part is
+        merged into its own token.  Of equal merges that overlap, the left one comes first.
+        """
+        if a < 0:
+            return self.v.merged(self.v.bytewise(self.v.tokens[b])) == [b]
+        ranks, right = self.v.ranks, self._edge(b, 0)
+        return not any((m := ranks.get((x, y))) is not None and m[0] < gone_x and m[0] <= gone_y for x, gone_x in self._edge(a, 1) for y, gone_y in right)
+
     def encode(self, words: set[bytes]) -> dict[bytes, tuple[int, ...]]:
         """The ids of each word."""
-        root: dict = {}
-        for w in words:
-            node = root
-            for b in w:
-                node = node.setdefault(b, {})
-            node[-1] = w
+        if self.n_verdicts > MAX_VERDICTS:
+            self._reset()
         out: dict[bytes, tuple[int, ...]] = {}
-        tokens, follows, states = self.v.tokens, self.follows, self.states
-        last = [-1]  # last[k]: the last token of the first k bytes of the path
-        stack: list[tuple[dict, bytes, int]] = [(root, b"", 0)]  # a node, its parent's suffix and its own byte, its depth
-        while stack:
-            node, suffix, depth = stack.pop()
-            if depth:
-                del last[depth:]
-                got = states.get(suffix)
-                suffix, ends = got if got is not None else self._enter(suffix)
-                for t, size in ends:
-                    before = last[depth - size]
-                    ok = follows.get((before, t))
-                    if ok or ok is None and self._may_follow(before, t):
+        last, states, at = [-1], [self.root], [0]  # of the first k bytes of the path: last token, state, where that token begins
+        before = b""
+        for w in sorted(words):
+            depth, most = 0, min(len(w), len(before))
+            while depth < most and w[depth] == before[depth]:
+                depth += 1
+            del last[depth + 1 :], states[depth + 1 :], at[depth + 1 :]
+            state, before = states[depth], w
+            for byte in w[depth:]:
+                state = state.next.get(byte) or self._enter(state, byte)
+                states.append(state)
+                depth += 1
+                for t, size, verdicts in state.ends:
+                    k = depth - size
+                    ok = verdicts.get(a := last[k])
+                    if ok is None:
+                        ok = verdicts[a] = self.may_follow(a, t)
+                        self.n_verdicts += 1
+                    if ok:
                         last.append(t)
+                        at.append(k)
                         break
-            for b, child in node.items():
-                if b >= 0:
-                    stack.append((child, suffix + _BYTE[b], depth + 1))
                 else:
-                    ids, k = [], depth
-                    while k:
-                        ids.append(last[k])
-                        k -= len(tokens[last[k]])
-                    out[child] = tuple(reversed(ids))
+                    raise ValueError("no token can end here")
+            ids, k = [], depth
+            while k:
+                ids.append(last[k])
+                k = at[k]
+            ids.reverse()
+            out[w] = tuple(ids)
         return out
 
 
@@ -167,7 +206,8 @@ class Encoder:
         v, split = self.v, []
         for t in texts:
             parts = v.cut.split(t) if v.cut and any(s in t for s in v.special) else [t]
-            split.append([p if p in v.special else v.pieces.findall(p) for p in parts])
+            find = (v.pieces if v.not_plain.search(t) else v.plain_pieces).findall
+            split.append([p if p in v.special else find(p) for p in parts])
         fresh = {w for doc in split for p in doc if not isinstance(p, str) for w in p}
         if len(self.known) + len(fresh) > MAX_WORDS:
             self.known = {}
@@ -186,27 +226,27 @@ class Encoder:
         return out
 
 
-_loaded: dict[int, Encoder] = {}
+_loaded: dict = {}
 
 
-def _encoder(spec) -> Encoder:
-    key = hash(spec.value)
+def _once(spec, make):
+    """What a Python worker makes of the vocabulary file, made once."""
+    key = (hash(spec.value), make)
     if key not in _loaded:
         _loaded.clear()
-        _loaded[key] = Encoder(Vocabulary(spec.value))
+        _loaded[key] = make(Vocabulary(spec.value))
     return _loaded[key]
 
 
-def _slices(texts: list[str | None]) -> Iterator[list[str]]:
-    part, size = [], 0
-    for t in texts:
-        part.append(t or "")
-        size += len(part[-1])
-        if size > SLICE_CHARS:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
+def _slices(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with a bounded number of bytes in column ``at``, one row at least."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        done = size[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(size, done + SLICE_BYTES, side="right")))
+        yield batch.slice(start, end - start)
+        start = end
 
 
 def _spec(df: DataFrame, path: str):
@@ -223,9 +263,9 @@ def bpe_encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str =
     keep = [k for k, c in enumerate(df.columns) if c != ids_col]
 
     def run(batches):
-        enc = _encoder(spec)
-        for b in batches:
-            ids = [x for part in _slices(b.column(text_at).to_pylist()) for x in enc.encode(part)]
+        enc = _once(spec, Encoder)
+        for b in (part for batch in batches for part in _slices(batch, text_at)):
+            ids = enc.encode([t or "" for t in b.column(text_at).to_pylist()])
             offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             flat = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
             yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keep], flat], names=schema.names)
@@ -233,6 +273,10 @@ def bpe_encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str =
     return df.mapInArrow(run, schema)
 
 
+def _tokens(v: Vocabulary) -> list[bytes]:
+    return v.tokens
+
+
 def bpe_decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """Adds ``text_col``: the text of the ids; bytes that are no UTF-8 become U+FFFD."""
     spec = _spec(df, path)
@@ -241,7 +285,7 @@ def bpe_decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "
     keep = [k for k, c in enumerate(df.columns) if c != text_col]
 
     def run(batches):
-        tokens = _encoder(spec).v.tokens
+        tokens = _once(spec, _tokens)
         table = pa.array([*tokens, b""], pa.large_binary())
         for b in batches:
             texts = []

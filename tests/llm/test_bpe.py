@@ -1,6 +1,7 @@
 """BPE against the tokenizers library, and round trips."""
 
 import hashlib
+import random
 
 import public_tokenizers
 import pytest
@@ -27,6 +28,28 @@ def test_same_ids_any_text(text):
     assert ENC.encode([text])[0].tolist() == LIB.encode(text, add_special_tokens=False).ids
 
 
+def test_plain_pattern_is_alike():
+    chars = [chr(c) for c in range(0x500) if not ENC.v.not_plain.search(chr(c))]
+    assert len(chars) > 500
+    rng = random.Random(4)
+    for _ in range(3000):
+        t = "".join(rng.choices(chars, k=12)) + "".join(rng.choices("a1_ '-\n\x0b×÷", k=4))
+        assert ENC.v.plain_pieces.findall(t) == ENC.v.pieces.findall(t)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="aehinotrs' 0=-*\n", max_size=80))
+def test_same_ids_dense_text(text):
+    assert ENC.encode([text])[0].tolist() == LIB.encode(text, add_special_tokens=False).ids
+
+
+def test_following_tokens_by_definition():
+    rng = random.Random(2)
+    v, size = ENC.v, 50256
+    for a, b in [(rng.randrange(size), rng.randrange(size)) for _ in range(3000)] + [(t, t) for t in range(0, 3000, 7)]:
+        assert ENC.trie.may_follow(a, b) == (v.merged(v.bytewise(v.tokens[a] + v.tokens[b])) == [a, b])
+
+
 def test_operator_keeps_rows_and_columns(spark):
     rows = [(k, t, "x") for k, t in enumerate([*ODD, None, ODD[3]])]
     df = spark.createDataFrame(rows, "doc_id long, text string, decoded string")
