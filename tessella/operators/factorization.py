@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions.losses import logistic_nll
 from tessella.operators.linalg import spmv, spmv_t
 
 
@@ -44,8 +45,6 @@ def normalised(g_v: DataFrame, least: float = 1e-10) -> DataFrame:
 
 def objective(scored: DataFrame, model: DataFrame, l2: float, l2_v: float) -> DataFrame:
     """One row: weighted loss plus ridge terms of w and V (not of the bias)."""
-    from tessella.functions.losses import logistic_nll
-
     loss = scored.agg(F.sum(F.col("weight") * logistic_nll((F.col("label") > 0).cast("double"), F.col("margin"))).alias("loss"))
     sq = F.aggregate(F.coalesce("v", F.array().cast("array<double>")), F.lit(0.0), lambda s, x: s + x * x)
     ridge = model.agg((0.5 * l2 * F.sum(F.col("w") * F.col("w")) + 0.5 * l2_v * F.sum(sq)).alias("ridge"))
@@ -54,6 +53,6 @@ def objective(scored: DataFrame, model: DataFrame, l2: float, l2_v: float) -> Da
 
 def dump(model: DataFrame, bias: float) -> DataFrame:
     """Text rows of a model: index, w and V by tabs, the bias last."""
-    line = F.concat_ws("\t", F.col("index").cast("string"), F.col("w").cast("string"), F.coalesce(F.concat_ws("\t", F.col("v").cast("array<string>")), F.lit("")))
+    line = F.concat_ws("\t", F.col("index").cast("string"), F.col("w").cast("string"), F.col("v").cast("array<string>"))
     last = model.sparkSession.createDataFrame([(f"bias\t{bias}",)], "value string")
-    return model.orderBy("index").select(F.rtrim(line).alias("value")).union(last)
+    return model.orderBy("index").select(line.alias("value")).union(last)
