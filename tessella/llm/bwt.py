@@ -3,11 +3,11 @@
 The segments of a bucket (see ``passages``) are dealt to shards.  A shard's transform
 comes from its sorted suffixes.  Two transforms are merged without sorting suffixes again:
 an interleave says which shard each suffix of the merged order comes from; a stable pass
-over the transform's bytes in the present order refines it by one more byte; after k
-passes suffixes stand in order of their first k bytes, and places where neighbours first
-differ in pass k have a common prefix of k - 1.  As windows have a fixed length, that many
-passes do.  Neighbours with a common prefix of a whole window make an interval, and the
-least document of an interval tells which of its windows occur in an earlier document.
+over the transform in the present order, two bytes at a time, refines it by these; after k
+passes suffixes stand in order of their first 2k bytes, and neighbours not told apart so
+far have a common prefix of that length.  As windows have a fixed even length, half as
+many passes do.  Neighbours with a common prefix of a whole window make an interval, and
+the least document of an interval tells which of its windows occur in an earlier document.
 
 Before the merge, segments none of whose windows has a hash that another segment has are
 left out; the intervals decide about the rest.
@@ -26,72 +26,70 @@ from pyspark.sql import functions as F
 from tessella.llm.passages import _BYTES, Units, cut_repeats, grams
 
 WINDOW_BYTES, GRAM_BYTES = 50, 24
-SHARDS = 4
-_END = 0  # stands before and after each segment; bytes are shifted up by one
+SHARDS = 2
+_END = 0  # stands before and after each segment; bytes are shifted up by one, and UTF-8 has none above 0xF4
 
 
 class Shard:
-    """Symbols of some segments, the order of their suffixes, and the transform in that order."""
+    """Symbols of some segments, the order of their suffixes, and the transform in that order.
+
+    The transform has the two symbols before each suffix as one code; what stands after an
+    end symbol does not count.
+    """
 
     def __init__(self, text: np.ndarray, order: np.ndarray):
         self.text, self.order = text, order
-        self.bwt = text[order - 1]
+        pairs = np.roll(text, 2).astype(np.uint16) << np.uint16(8) | np.roll(text, 1)
+        pairs[pairs < 256] = 0
+        self.bwt = pairs[order]
 
 
 def build(pieces: list[bytes], depth: int) -> Shard:
-    """Sorts one shard's suffixes by their first ``depth`` symbols."""
-    parts = [np.zeros(1, np.uint16)]
-    for p in pieces:
-        parts += [np.frombuffer(p, np.uint8).astype(np.uint16) + 1, np.zeros(1, np.uint16)]
-    text = np.concatenate(parts)
-    # By doubling: ranks of 1, 2, 4, ... symbols; a suffix ends at its segment's end, which is the least symbol.
-    rank, size = text.astype(np.int64), 1
-    stop = np.flatnonzero(text == _END)
-    until = stop[np.searchsorted(stop, np.arange(len(text)))] - np.arange(len(text))
-    while True:
-        order = np.argsort(rank, kind="stable")
-        if size >= depth:
-            return Shard(text, order)
-        later = np.zeros(len(text), np.int64)
-        reach = until >= size
-        at = np.flatnonzero(reach)
+    """Sorts one shard's suffixes by their first ``depth`` symbols, by doubling from eight."""
+    text = np.frombuffer(b"\xff" + b"\xff".join(pieces) + b"\xff", np.uint8) + np.uint8(1)  # 0xFF becomes the end symbol
+    n, stop = len(text), np.flatnonzero(text == _END)
+    until = stop[np.searchsorted(stop, np.arange(n))] - np.arange(n)
+    code = np.zeros(n, np.uint64)
+    for k in range(8):
+        code <<= np.uint64(8)
+        reach = np.flatnonzero(until > k)
+        code[reach] |= text[reach + k].astype(np.uint64)
+    _, rank = np.unique(code, return_inverse=True)
+    size = 8
+    while size < depth:
+        later = np.zeros(n, np.int64)
+        at = np.flatnonzero(until >= size)
         later[at] = rank[at + size] + 1
-        _, rank = np.unique(rank * (len(text) + 300) + later, return_inverse=True)
+        _, rank = np.unique(rank * (n + 1) + later, return_inverse=True)
         size *= 2
+    return Shard(text, np.argsort(rank, kind="stable"))
 
 
 def merge(a: Shard, b: Shard, depth: int) -> tuple[Shard, np.ndarray]:
-    """The merged shard and the common prefix, up to ``depth``, of each suffix with the one before it."""
+    """The merged shard, and for each suffix whether it shares ``depth`` (an even number of) symbols with the one before it."""
     n = len(a.order) + len(b.order)
-    source = np.zeros(n, np.int8)
-    source[len(a.order) :] = 1
-    lcp = np.full(n, -1, np.int64)
-    lcp[0] = 0
-    group = np.zeros(n, np.int64)  # where a suffix's present class begins
-    bwt = (a.bwt, b.bwt)
-    for k in range(1, depth + 2):
-        merged = np.empty(n, np.uint16)
-        for s in (0, 1):
-            merged[source == s] = bwt[s]
-        # The suffix one symbol longer than the one at place i is sorted by its first symbol, then by i.
+    second = np.zeros(n, bool)
+    second[len(a.order) :] = True
+    group = np.zeros(n, np.int32)  # the class of suffixes not told apart so far
+    merged = np.empty(n, np.uint16)
+    for _ in range(depth // 2):
+        merged[~second] = a.bwt
+        merged[second] = b.bwt
+        # The suffix two symbols longer than the one at place i is sorted by these two, then by i.
         to = np.argsort(merged, kind="stable")
         first, inner = merged[to], group[to]
-        edge = np.ones(n, bool)
-        # The end symbol closes a segment: whatever stands after it is not compared.
-        edge[1:] = (first[1:] != first[:-1]) | ((inner[1:] != inner[:-1]) & (first[1:] != _END))
-        new = edge & (lcp < 0)
-        lcp[new] = k - 1
-        refined = source[to]
-        group = np.maximum.accumulate(np.where(edge, np.arange(n), 0))
-        source = refined
-    lcp[lcp < 0] = depth
+        edge = np.empty(n, bool)
+        edge[0] = True
+        edge[1:] = (first[1:] != first[:-1]) | ((inner[1:] != inner[:-1]) & (first[1:] & np.uint16(255) != _END))
+        group = np.cumsum(edge, dtype=np.int32)
+        second = second[to]
     order = np.empty(n, np.int64)
-    order[source == 0] = a.order
-    order[source == 1] = b.order + len(a.text)
+    order[~second] = a.order
+    order[second] = b.order + len(a.text)
     out = Shard.__new__(Shard)
-    out.text, out.order = np.concatenate([a.text, b.text]), order
-    out.bwt = out.text[order - 1]
-    return out, lcp
+    out.text, out.order, out.bwt = np.concatenate([a.text, b.text]), order, np.empty(n, np.uint16)
+    out.bwt[~second], out.bwt[second] = a.bwt, b.bwt
+    return out, ~edge
 
 
 def earlier_windows(pieces: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
@@ -107,13 +105,9 @@ def earlier_windows(pieces: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
     if len(shared) < 2:
         return out
     ends = np.array_split(shared, min(SHARDS, len(shared)))
-    shards = [build([pieces[k] for k in part], size) for part in ends]
-    # The pieces' order in the merged text is that of the shards.
-    while len(shards) > 1:
-        merged = [merge(x, y, size) for x, y in zip(shards[::2], shards[1::2], strict=False)]
-        shards = [m for m, _ in merged] + ([shards[-1]] if len(shards) % 2 else [])
-        lcp = merged[-1][1] if merged else None
-    whole = shards[0]
+    whole = build([pieces[k] for k in ends[0]], size)
+    for part in ends[1:]:
+        whole, same = merge(whole, build([pieces[k] for k in part], size), size)
     # Each suffix's segment and place in it.
     begin = np.flatnonzero(whole.text == _END)
     row = np.searchsorted(begin, whole.order, side="right") - 1
@@ -121,7 +115,7 @@ def earlier_windows(pieces: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
     # A shard of m segments has m + 1 end symbols, so the first of each shard opens no segment.
     opens = np.concatenate([np.append(part, -1) for part in ends]).astype(np.int64)
     segment = opens[row]
-    interval = np.cumsum(lcp < size)
+    interval = np.cumsum(~same)
     inside = (segment >= 0) & (place >= 0)
     ok = inside.copy()
     ok[inside] = place[inside] + size <= lens[segment[inside]]

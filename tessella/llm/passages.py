@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 from tessella.llm.common import cut, drop_cut
 from tessella.llm.minhash import WordHashes, mixed
 
-CHUNK_BYTES = 4_000_000
+#: Bytes of text in a chunk: of words, and of bytes, whose arrays are several times longer.
+CHUNK_BYTES = {True: 4_000_000, False: 1_000_000}
 #: Anchors per shard, segments per bucket, and occurrences from which on an anchor's windows are dealt singly.
 SHARD_KEYS, BUCKET_SEGMENTS, HOT = 1_500_000, 6_000, 2_000
 _POS = np.uint64(28)  # bits of a position within a chunk
@@ -62,7 +63,7 @@ class Units:
         return 4 if self.words else 1
 
 
-def pack(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def pack(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int) -> DataFrame:
     """Chunks of documents: ids, sizes in bytes, digests, and the texts one after another, compressed."""
 
     def run(batches):
@@ -80,7 +81,7 @@ def pack(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 ids.append(d)
                 texts.append((t or "").encode("utf-8", "surrogatepass"))
                 size += len(texts[-1])
-                if size >= CHUNK_BYTES:
+                if size >= chunk_bytes:
                     rows.append(row(ids, texts))
                     ids, texts, size = [], [], 0
             if rows:
@@ -116,21 +117,21 @@ def symbols(units: Units, sizes: np.ndarray, data: bytes, hashes: WordHashes) ->
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all runs of ``k`` symbols, by doubling."""
-    size, power, out, have = 1, h, None, 0
+    """Hashes of all runs of ``k`` symbols: polynomials of their hashes, by doubling, mixed at the end."""
+    size, power, factor, out, have = 1, h, int(_ODD), None, 0
     while True:
         if k & size:
             n = len(h) - have - size + 1
             if n <= 0:
                 return np.zeros(0, np.uint64)
-            out = power[have : have + n] if out is None else mixed(out[:n] * _ODD + power[have : have + n])
+            out = power[have : have + n] if out is None else out[:n] * np.uint64(factor) + power[have : have + n]
             have += size
         if have == k:
-            return out[: len(h) - k + 1]
+            return mixed(out)
         if len(power) <= size:
             return np.zeros(0, np.uint64)
-        power = mixed(power[:-size] * _ODD + power[size:])
-        size *= 2
+        power = power[:-size] * np.uint64(factor) + power[size:]
+        size, factor = 2 * size, factor * factor % 2**64
 
 
 def least(x: np.ndarray, width: int) -> np.ndarray:
@@ -151,13 +152,14 @@ def anchored(units: Units, h: np.ndarray, counts: np.ndarray, skip: np.ndarray)
     if len(h) < units.length:
         return none, none, none, np.zeros(0, np.uint64)
     g = grams(h, units.gram)
-    place = np.arange(len(g), dtype=np.uint64)
-    best = least((g >> _POS << _POS) | place, units.length - units.gram + 1)
-    doc = np.repeat(np.arange(len(counts)), counts)
-    start = np.arange(len(best))
-    ok = (doc[start] == doc[start + units.length - 1]) & ~skip[doc[start]]
-    start = start[ok]
-    return start, (best[start] & ((np.uint64(1) << _POS) - np.uint64(1))).astype(np.int64), doc[start], g
+    best = least((g >> _POS << _POS) | np.arange(len(g), dtype=np.uint64), units.length - units.gram + 1)
+    # Windows begin where a document that counts still has a whole one.
+    ends = np.cumsum(counts)
+    some = np.flatnonzero((counts >= units.length) & ~skip)
+    n = counts[some] - units.length + 1
+    doc = np.repeat(some, n)
+    start = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - (ends[some] - counts[some]), n)
+    return start, (best[start] & ((np.uint64(1) << _POS) - np.uint64(1))).astype(np.int64), doc, g
 
 
 def _skipped(batch: pa.RecordBatch, k: int, ids: list) -> np.ndarray:
@@ -191,7 +193,7 @@ def _repeated(units: Units, packed: DataFrame, shards: int) -> DataFrame:
             for k, (chunk, ids, sizes, data) in enumerate(chunks(b)):
                 _, h, counts = symbols(units, sizes, data, hashes)
                 _, at, _, g = anchored(units, h, counts, _skipped(b, k, ids))
-                keys, n = np.unique(_keys(g[np.unique(at)]), return_counts=True)
+                keys, n = np.unique(_keys(g[at[np.diff(at, prepend=-1) != 0]]), return_counts=True)
                 shard = (mixed(keys) % np.uint64(shards)).astype(np.int64)
                 order = np.argsort(shard, kind="stable")
                 keys, n, shard = keys[order], n[order], shard[order]
@@ -340,7 +342,7 @@ def _marks(units: Units, segments: DataFrame) -> DataFrame:
 
 def cut_repeats(docs: DataFrame, units: Units, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_units, n_removed, n_spans, kept): per row what is left without the repeats; kept is binary, UTF-8."""
-    packed = pack(docs, id_col, text_col)
+    packed = pack(docs, id_col, text_col, CHUNK_BYTES[units.words])
     copies = _copies(packed)
     known = packed.join(copies, "chunk", "left")
     total = packed.agg(F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))).first()[0]
