@@ -141,6 +141,14 @@ def test_logistic_like_spark_ml(spark):
     assert np.allclose([ours[k] for k in range(6)], theirs.coefficients.toArray(), atol=2e-3) and abs(ours[-1] - theirs.intercept) < 2e-3
 
 
+def test_local_training_is_the_same_rule(spark):
+    rows = rows_of(spark, 50).coalesce(1).orderBy("row_id").coalesce(1)
+    conf = LearnConfig(minibatch=20, max_data_pass=1, lambda_l1=0.1)
+    local = {r["index"]: r["w"] for r in trainers.train_linear_local(rows, conf).state.collect()}
+    whole = {r["index"]: r["w"] for r in trainers.train_linear(rows, conf)[0].state.collect()}
+    assert local.keys() == whole.keys() and all(abs(local[k] - whole[k]) < 1e-9 for k in whole)
+
+
 def test_models_are_saved_and_warm_started(spark, tmp_path):
     rows = rows_of(spark, 60)
     conf = LearnConfig(minibatch=30, max_data_pass=1, lambda_l1=0.1)
