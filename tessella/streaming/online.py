@@ -16,32 +16,43 @@ from tessella.operators.updaters import FTRL, Rule, push
 from tessella.sources.files import scratch
 
 
-def learn_stream(stream: DataFrame, rule: Rule | None = None, loss: Loss | None = None, checkpoint: str | None = None) -> DataFrame:
+def _versions(spark: SparkSession, home: str) -> list[int]:
+    """Numbers of the micro-batches whose state is complete."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{home}/states")
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        return []
+    done = [s.getPath() for s in fs.listStatus(where) if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    return sorted(int(p.getName()) for p in done)
+
+
+def learn_stream(stream: DataFrame, rule: Rule | None = None, loss: Loss | None = None, home: str | None = None) -> DataFrame:
     """The state after all micro-batches of a stream of canonical rows.
 
     Each micro-batch pulls weights, sums gradients and pushes them.  The state of batch k
-    is a table of its own in the shared folder, so a batch that runs again after a failure
-    starts from the same state and gives the same result.
+    is a table of its own under ``home``, so a batch that runs again after a failure starts
+    from the same state and gives the same result, and a later call with the same ``home``
+    goes on where this one ended.
     """
     rule, loss = rule or FTRL(), loss or Loss()
-    spark, home = stream.sparkSession, scratch(stream.sparkSession, "online")
-    versions: dict[int, str] = {-1: f"{home}/state=-1"}
+    spark, home = stream.sparkSession, home or scratch(stream.sparkSession, "online")
     schema = ", ".join(["index long", *[f"{c} double" for c in rule.state]])
-    spark.createDataFrame([], schema).write.parquet(versions[-1])
+
+    def before(number: int) -> DataFrame:
+        older = [k for k in _versions(spark, home) if k < number]
+        return spark.read.schema(schema).parquet(f"{home}/states/{older[-1]}") if older else spark.createDataFrame([], schema)
 
     def step(batch: DataFrame, number: int) -> None:
-        state = spark.read.schema(schema).parquet(versions[max(k for k in versions if k < number)])
+        state = before(number)
         batch = batch.persist()
         margins = batch.join(spmv(triplets(batch), state.select("index", "w"), batch, "margin"), "row_id")
         dual = margins.select("row_id", loss.dual(F.col("label"), F.col("margin")).alias("d"))
-        path = f"{home}/state={number}"
-        push(state, spmv_t(triplets(batch), dual), rule, number + 1).write.mode("overwrite").parquet(path)
-        versions[number] = path
+        push(state, spmv_t(triplets(batch), dual), rule, number + 1).write.mode("overwrite").parquet(f"{home}/states/{number}")
         batch.unpersist()
 
-    query = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint or f"{home}/offsets").trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{home}/offsets").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(schema).parquet(versions[max(versions)])
+    return before(1 << 62)
 
 
 def keyed_ftrl(grads: DataFrame, rule: FTRL | None = None) -> DataFrame:
