@@ -3,7 +3,7 @@
 Alternating large-star and small-star steps: every node's least neighbour comes from an
 aggregate with map-side combining, and links are turned towards it by a join.  Both sides
 of that join are written tables, so that adaptive execution can split the rows of a hub.
-Nothing is gathered on the driver but two numbers a step.
+Steps go on until every component is a star; nothing is gathered on the driver.
 """
 
 from __future__ import annotations
@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from tessella.llm.common import cut, drop_cut
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first())
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether every node is either the far end of one link or the near end of some, never both."""
+    ends = edges.select(F.col("a").alias("n"), F.lit(1).alias("far"), F.lit(0).alias("near")).unionByName(edges.select(F.col("b").alias("n"), F.lit(0).alias("far"), F.lit(1).alias("near")))
+    return not ends.groupBy("n").agg(F.sum("far").alias("far"), F.max("near").alias("near")).filter("far > 1 OR (far = 1 AND near = 1)").take(1)
 
 
 def _turned(edges: DataFrame, least: DataFrame) -> DataFrame:
@@ -31,9 +33,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     x, y = F.col(a).cast("long"), F.col(b).cast("long")
     edges = cut(links.select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).filter(x.isNotNull() & y.isNotNull() & (x != y)).distinct(), "links")
-    nodes_from, before, old = edges, None, []
-    while (now := _state(edges)) != before:
-        before = now
+    while not _is_stars(edges):
         # Large star: neighbours above a node are linked to the least of all its neighbours.
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
@@ -43,11 +43,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least2 = cut(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = _turned(large, least2).filter("a != b").unionByName(least2.withColumnRenamed("m", "b"))
         after = cut(small.distinct(), "links")
-        old += [least, large, least2] + ([edges] if edges is not nodes_from else [])
-        edges = after
-        for t in old:
+        for t in (edges, least, large, least2):
             drop_cut(t)
-        old = []
+        edges = after
     # Now every link leads from a node to its component's least node.
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return cut(edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots), "components")

@@ -7,9 +7,10 @@ difference and drops pairs that are far from the threshold; what is left is conf
 the full sets of shingles.
 
 No bucket is expanded into all its pairs.  Copies (equal word sequences) are one node.
-In a first round each member of a bucket meets the bucket's least document, in a second
-those that are still apart meet its greatest; then only pairs of documents whose
-components differ remain, and the join that forms them keeps those that pass the sketch.
+In a first round each member of a bucket meets the bucket's least and greatest documents;
+then only pairs of documents whose components differ remain: in small buckets the join
+that forms them keeps those that pass the sketch; large buckets are cut into tiles, whose
+tasks compare all their pairs and return no more links than they have members.
 Components are as of all pairs, since a pair within one component adds nothing.
 
 Null or empty text has an empty set, links with nothing and is kept; a null id links with
@@ -21,8 +22,10 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +44,8 @@ _MUL = _rng.integers(1, 2**63, SAMPLES, dtype=np.uint64) | np.uint64(1)
 _ADD = _rng.integers(0, 2**63, SAMPLES, dtype=np.uint64)
 _PLACE = _rng.integers(1, 2**63, 16, dtype=np.uint64) | np.uint64(1)
 MAX_WORDS = 400_000
+#: Members up to which a bucket's pairs are formed singly; rows and shingles of a tile's side; columns of its matrices at a time.
+SMALL, TILE_ROWS, TILE_SHINGLES, TILE_COLUMNS = 16, 1024, 500_000, 4096
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -143,32 +148,109 @@ def _apart(left: str, right: str) -> Column:
     return reduce(lambda x, y: x + y, lanes)
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose full sets of shingles reach the threshold."""
+def _shingles(packed: bytes, width: int) -> set[tuple[bytes, ...]]:
+    w = words_of(zstandard.ZstdDecompressor().decompress(packed).decode("utf-8", "surrogatepass"))
+    return set(zip(*[w[k:] for k in range(width)], strict=False)) if len(w) >= width else {tuple(w)} - {()}
+
+
+def _packed_texts(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, packed): the compressed texts of the given documents."""
 
     def run(batches):
-        kept: tuple[str, set] = ("", set())
+        press = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            packed = [press.compress((t or "").encode("utf-8", "surrogatepass")) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], names=["doc_id", "packed"])
 
-        def shingles(t):
-            w = words_of(t)
-            return set(zip(*[w[k:] for k in range(width)], strict=False)) if len(w) >= width else {tuple(w)} - {()}
+    # Texts are always met by a sort-merge join, so that the plan is one at every size.
+    return cut(texts.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(run, "doc_id long, packed binary"), "texts")
+
+
+def _confirm(pairs: DataFrame, packed: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose full sets of shingles reach the threshold."""
 
+    def run(batches):
+        kept: tuple[bytes, set] = (b"", set())
         for b in batches:
             out = []
             for t, u in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 if t != kept[0]:
-                    kept = (t, shingles(t))
-                x, y = kept[1], shingles(u)
+                    kept = (t, _shingles(t, width))
+                x, y = kept[1], _shingles(u, width)
                 both = len(x & y)
                 out.append(bool(both) and den * both >= num * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(out, pa.bool_()))
 
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.join(ids, "doc_id", "left_semi")
-    t, u = texts.toDF("a", "t"), texts.toDF("b", "u")
+    t, u = packed.toDF("a", "t").hint("merge"), packed.toDF("b", "u").hint("merge")
     return cut(pairs.join(t, "a").join(u, "b").select("a", "b", "t", "u").mapInArrow(run, "a long, b long").distinct(), "confirmed")
 
 
+def linked_in_tile(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which pairs of a set of ``left`` and one of ``right`` (places in ``sets``) reach the threshold.
+
+    Sizes of intersections are a product of 0/1 matrices, whose columns are the shingles
+    that more than one set has.
+    """
+    size = np.array([len(x) for x in sets], np.int64)
+    _, column, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row, kept = np.repeat(np.arange(len(sets)), size), n[column] > 1
+    number = np.cumsum(n > 1) - 1
+    row, column = row[kept], number[column[kept]]
+    both = np.zeros((len(left), len(right)))
+    for start in range(0, int((n > 1).sum()), TILE_COLUMNS):
+        here = (column >= start) & (column < start + TILE_COLUMNS)
+        m = np.zeros((len(sets), TILE_COLUMNS), np.float32)
+        m[row[here], column[here] - start] = 1
+        both += m[left] @ m[right].T  # counts below 2**24: exact
+    return (both > 0) & (den * both >= num * (size[left][:, None] + size[right] - both))
+
+
+def _tile_links(full: DataFrame, packed: DataFrame, width: int, num: int, den: int, limit: int) -> DataFrame:
+    """(a, b): links between components within large buckets.
+
+    A bucket's members are dealt to blocks of bounded rows and shingles, and a tile is a
+    pair of blocks of one bucket; it returns at most one link per member, enough to connect
+    what is linked.
+    """
+    need = F.greatest(F.count("*") / TILE_ROWS, F.sum("size") / TILE_SHINGLES)
+    blocks = cut(full.groupBy("band").agg(F.ceil(need).cast("int").alias("blocks")), "blocks")
+    dealt = full.join(blocks, "band").withColumn("block", F.pmod(F.xxhash64("doc_id", "band"), F.col("blocks")).cast("int"))
+    dealt = dealt.join(packed.hint("merge"), "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    lanes = [f"s{k}" for k in range(LANES)]
+
+    def solve(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = (np.flatnonzero(pdf["block"].to_numpy() == k) for k in key[1:])
+        sketch, comp, ids = pdf[lanes].to_numpy(np.int64).view(np.uint64), pdf["comp"].to_numpy(), pdf["doc_id"].to_numpy()
+        apart = comp[left][:, None] != comp[right]
+        if apart.any():
+            apart &= sum(np.bitwise_count(sketch[left][:, k, None] ^ sketch[right][:, k]).astype(np.int64) for k in range(LANES)) <= limit
+        left, right, apart = left[apart.any(1)], right[apart.any(0)], apart[np.ix_(apart.any(1), apart.any(0))]
+        if not len(left):
+            return pd.DataFrame({"a": [], "b": []})
+        used, press, hashes = np.union1d(left, right), zstandard.ZstdDecompressor(), WordHashes()
+        sets = [shingle_hashes(press.decompress(t).lower().split(), hashes, width) for t in pdf["packed"].to_numpy()[used]]
+        i, j = np.nonzero(apart & linked_in_tile(sets, np.searchsorted(used, left), np.searchsorted(used, right), num, den))
+        top: dict[int, int] = {}
+
+        def root(d):
+            while top.setdefault(d, d) != d:
+                top[d] = top[top[d]]
+                d = top[d]
+            return d
+
+        # Members of one component are connected already.
+        forest = []
+        for c, d in zip(left[i].tolist(), right[j].tolist(), strict=True):
+            c0, d0 = root(int(comp[c])), root(int(comp[d]))
+            if c0 != d0:
+                top[c0] = d0
+                forest.append((ids[c], ids[d]))
+        return pd.DataFrame(forest, columns=["a", "b"])
+
+    return tiles.groupBy("band", "i", "j").applyInPandas(solve, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row; links where den * intersection >= num * union."""
     signed = cut(signatures(docs, width, id_col, text_col), "signatures")
@@ -176,46 +258,35 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     # Copies are one node: the least id with the same words.
     firsts = cut(nodes.groupBy("same").agg(F.min("doc_id").alias("rep")), "firsts")
-    reps = cut(nodes.join(firsts.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").drop("same", "n"), "reps")
+    reps = cut(nodes.join(firsts.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").drop("same").withColumnRenamed("n", "size"), "reps")
     sketch = reps.drop("bands")
-    members = reps.select(F.explode("bands").alias("band"), "doc_id")
     limit = sketch_limit(num, den)
 
     def sketched(pairs: DataFrame) -> DataFrame:
         x, y = sketch.withColumnRenamed("doc_id", "a").alias("x"), sketch.withColumnRenamed("doc_id", "b").alias("y")
         return cut(pairs.join(x, "a").join(y, "b").filter(_apart("x", "y") <= limit).select("a", "b").distinct(), "candidates")
 
-    # Round 1: every member of a bucket with the bucket's least document.
-    buckets = cut(members.groupBy("band").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("last")).filter("a < last").select("band", "a"), "buckets")
-    met = cut(members.join(buckets, "band").select("a", F.col("doc_id").alias("b")).filter("a != b").distinct(), "met")
-    links = _confirm(sketched(met), texts, width, num, den)
+    # Round 1: every member of a bucket with the bucket's least and greatest documents.
+    members = reps.select(F.explode("bands").alias("band"), "doc_id")
+    buckets = members.groupBy("band").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).filter("first < last")
+    inside = cut(members.join(cut(buckets, "buckets").hint("merge"), "band"), "inside")
+    packed = _packed_texts(texts, inside.select("doc_id").distinct())
+    ends = inside.select("doc_id", F.explode(F.array("first", "last")).alias("end")).filter("doc_id != end")
+    met = cut(ends.select(F.least("doc_id", "end").alias("a"), F.greatest("doc_id", "end").alias("b")).distinct(), "met")
+    links = _confirm(sketched(met), packed, width, num, den)
     comp = components(links)
-
-    def parted() -> DataFrame | None:
-        """Members of buckets that hold several components; None if there are none."""
-        own = members.join(buckets.select("band"), "band", "left_semi").join(comp, F.col("doc_id") == F.col("node"), "left")
-        own = cut(own.select("band", "doc_id", F.coalesce("component", "doc_id").alias("comp")).distinct(), "members")
-        apart = own.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max_by("comp", "doc_id").alias("last_comp"), F.max("doc_id").alias("last")).filter("lo < hi")
-        apart = cut(apart, "parted")
-        return (own, apart) if apart.take(1) else None
-
-    # Round 2: those still apart with the bucket's greatest document.
-    if rest := parted():
-        own, apart = rest
-        pairs = own.join(apart, "band").filter("comp != last_comp").select(F.least("doc_id", "last").alias("a"), F.greatest("doc_id", "last").alias("b")).distinct()
-        met2 = cut(pairs.join(met, ["a", "b"], "left_anti"), "met")
-        links = cut(links.union(_confirm(sketched(met2), texts, width, num, den)), "confirmed")
+    # Round 2: pairs of different components that are left, singly in small buckets, by tiles in large ones.
+    own = cut(inside.join(comp, F.col("doc_id") == F.col("node"), "left").select("band", "doc_id", "n", F.coalesce("component", "doc_id").alias("comp")), "members")
+    apart = own.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("band")
+    full = cut(own.join(cut(apart, "parted"), "band", "left_semi").join(sketch, "doc_id"), "apart")
+    x, y = full.filter(F.col("n") <= SMALL).alias("x"), full.filter(F.col("n") <= SMALL).alias("y")
+    joined = (F.col("x.band") == F.col("y.band")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.comp") != F.col("y.comp")) & (_apart("x", "y") <= limit)
+    pairs = x.join(y, joined).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+    left = cut(pairs.join(met, ["a", "b"], "left_anti"), "candidates")
+    more = cut(_confirm(left, packed, width, num, den).union(_tile_links(full.filter(F.col("n") > SMALL), packed, width, num, den, limit)), "confirmed")
+    if more.take(1):
+        links = links.union(more)
         comp = components(links)
-        # Round 3: what is left, pair by pair of different components; the sketch is part of the join.
-        if rest := parted():
-            own, apart = rest
-            full = cut(own.join(apart.select("band"), "band", "left_semi").join(sketch, "doc_id"), "apart")
-            x, y = full.alias("x"), full.alias("y")
-            joined = (F.col("x.band") == F.col("y.band")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.comp") != F.col("y.comp")) & (_apart("x", "y") <= limit)
-            pairs = x.join(y, joined).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-            left = cut(pairs.join(met.union(met2), ["a", "b"], "left_anti"), "candidates")
-            links = cut(links.union(_confirm(left, texts, width, num, den)), "confirmed")
-            comp = components(links)
     of = nodes.select("same", F.col("doc_id")).distinct().join(firsts, "same").select("doc_id", "rep")
     # An id whose rows have different words joins their groups.
     if of.groupBy("doc_id").count().filter("count > 1").take(1):
@@ -223,8 +294,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
         of = nodes.select("doc_id", F.col("doc_id").alias("rep")).distinct()
     found = cut(of.join(comp, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("component", "rep").alias("component_id")), "found")
     out = signed.select("doc_id", F.col("n").alias("n_shingles")).join(found, "doc_id", "left")
-    own = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+    own_id = F.coalesce("component_id", "doc_id")
+    return out.select("doc_id", "n_shingles", own_id.alias("component_id"), F.coalesce(F.col("doc_id") == own_id, F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
