@@ -61,13 +61,13 @@ class LinearModel:
         return self.margins(rows).withColumn("prediction", self.loss.predict(F.col("margin"), prob))
 
     def save(self, path: str, iteration: int = -1, weights_only: bool = False) -> None:
-        """Writes ``path`` or ``path/iter=k``; weights that are 0 are left out of a weights-only model."""
+        """Writes ``path/last`` or ``path/iter=k``; weights that are 0 are left out of a weights-only model."""
         df = self.state.select("index", "w").filter("w != 0") if weights_only else self.state
-        df.write.mode("overwrite").parquet(path if iteration < 0 else f"{path}/iter={iteration}")
+        df.write.mode("overwrite").parquet(f"{path}/last" if iteration < 0 else f"{path}/iter={iteration}")
 
     @staticmethod
     def load(spark: SparkSession, path: str, iteration: int = -1, loss: Loss | None = None) -> LinearModel:
-        return LinearModel(spark.read.parquet(path if iteration < 0 else f"{path}/iter={iteration}"), loss or Loss())
+        return LinearModel(spark.read.parquet(f"{path}/last" if iteration < 0 else f"{path}/iter={iteration}"), loss or Loss())
 
 
 def train_linear(rows: DataFrame, conf: LearnConfig, validation: DataFrame | None = None, warm: LinearModel | None = None, every: int = 4, stop=None) -> tuple[LinearModel, list[dict]]:

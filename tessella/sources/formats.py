@@ -31,6 +31,11 @@ def read_format(spark: SparkSession, path: str | list[str], name: str) -> DataFr
     return _READERS[name](spark, path)
 
 
+def read_lines(spark: SparkSession, lines, parse) -> DataFrame:
+    """Rows of text lines at hand, such as standard input; ``parse`` is one of the parsers below."""
+    return parse(spark.createDataFrame([(x.rstrip("\n"),) for x in lines], "value string"))
+
+
 def unsigned_long(x: Column) -> Column:
     """A decimal string's 64 bits as a signed long."""
     return F.conv(x, 10, -10).cast("long")
