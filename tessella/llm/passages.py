@@ -36,8 +36,10 @@ from tessella.llm.minhash import WordHashes, mixed
 
 #: Bytes of text in a chunk: of words, and of bytes, whose arrays are several times longer.
 CHUNK_BYTES = {True: 4_000_000, False: 1_000_000}
-#: Anchors per shard, segments per bucket, and occurrences from which on an anchor's windows are dealt singly.
-SHARD_KEYS, BUCKET_SEGMENTS, HOT = 1_500_000, 6_000, 2_000
+#: Anchors per shard, and occurrences from which on an anchor's windows are dealt singly.
+SHARD_KEYS, HOT = 1_500_000, 2_000
+#: Segments per bucket, for words and for bytes; fewer and larger ones mean fewer pairs of chunk and bucket.
+BUCKET_SEGMENTS = {True: 6_000, False: 20_000}
 _POS = np.uint64(28)  # bits of a position within a chunk
 _ODD = np.uint64(0x9E3779B97F4A7C15)  # odd multiplier: 2**64 over the golden ratio
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * _ODD)
@@ -349,10 +351,10 @@ def cut_repeats(docs: DataFrame, units: Units, id_col: str = "doc_id", text_col:
     per = total / (6 if units.words else 1) * 2 / (units.length - units.gram + 2)
     repeated = _repeated(units, known, max(1, int(per / SHARD_KEYS) + 1))
     n = repeated.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    segments = _segments(units, known, repeated, max(1, n // BUCKET_SEGMENTS + 1))
+    words, length = units.words, units.length
+    segments = _segments(units, known, repeated, max(1, n // BUCKET_SEGMENTS[words] + 1))
     marks = cut(_marks(units, segments), "marks")
     drop_cut(repeated)
-    length, words = units.length, units.words
 
     def finish(batches):
         for b in batches:
