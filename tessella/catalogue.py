@@ -526,13 +526,13 @@ def fm_activation(spark, sf_dir):
 
 
 @query(f"{EVENTS_SQL}, {_ZERO_GRAD} SELECT index, {rs(_prox('-g', '((abs(g) + 1) / 0.01E0)'))} AS w, {rs('-g')} AS z, {rs('abs(g)')} AS n FROM g0")
-def difacto_w_step(spark, sf_dir):
+def fm_online_w_step(spark, sf_dir):
     return _first_push(spark, sf_dir, U.FMLinear(alpha=0.01))
 
 
 @query(f"""{_FM}, gv AS (SELECT index, k, sum(d * value * (xv - value * v)) + 0.1E0 * any_value(v) AS g, any_value(v) AS v FROM tr JOIN mv USING (index) JOIN du USING (row_id) JOIN pr USING (row_id, k) GROUP BY index, k)
 SELECT index, k::INT AS k, {rs('v - 0.05E0 / (abs(g) + 1) * g')} AS v, {rs('abs(g)')} AS n FROM gv""")
-def difacto_v_step(spark, sf_dir):
+def fm_online_v_step(spark, sf_dir):
     rows, tri, model, proj, scored = _fm(spark, sf_dir)
     dual = scored.select("row_id", L.Loss().dual(F.col("label"), F.col("margin")).alias("d"))
     g = factorization.gradient(tri, model, dual, proj)[1].groupBy("index").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "gv"))), lambda x: x["gv"]).alias("g"))
@@ -543,7 +543,7 @@ def difacto_v_step(spark, sf_dir):
 
 
 @query()
-def difacto_fit(spark, sf_dir):
+def fm_online_fit(spark, sf_dir):
     rows = T.events_rows(spark, sf_dir)
     conf = LearnConfig(minibatch=rows.count() // 2 + 1, max_data_pass=1, lambda_l1=0.1, lr_eta=0.1, embedding=Embedding(dim=2, threshold=10))
     model, history = trainers.train_factorization(rows, conf)

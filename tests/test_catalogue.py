@@ -32,7 +32,7 @@ def test_fits_lower_the_loss(spark):
     assert trace[-1] < trace[0]
     rows = catalogue.ftrl_fit_predict(spark, SF).collect()
     assert len(rows) == 1000 and all(0 < r["prediction"] < 1 for r in rows)
-    assert catalogue.difacto_fit(spark, SF).first()["nnz_v"] > 0
+    assert catalogue.fm_online_fit(spark, SF).first()["nnz_v"] > 0
     assert abs(catalogue.kmeans_fit(spark, SF).agg({"square": "avg"}).first()[0] - 1) < 1e-9
 
 
