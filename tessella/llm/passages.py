@@ -62,7 +62,7 @@ class Units:
     @property
     def width(self) -> int:
         """Bytes of a symbol."""
-        return 4 if self.words else 1
+        return 8 if self.words else 1
 
 
 def pack(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int) -> DataFrame:
@@ -107,7 +107,7 @@ def chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, list, np.ndarray, bytes
 
 
 def symbols(units: Units, sizes: np.ndarray, data: bytes, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols, their 64-bit hashes, and how many each document has."""
+    """Symbols (words as their 64-bit hashes), their 64-bit hashes, and how many each document has."""
     if not units.words:
         s = np.frombuffer(data, np.uint8)
         return s, _BYTES[s], sizes
@@ -115,7 +115,7 @@ def symbols(units: Units, sizes: np.ndarray, data: bytes, hashes: WordHashes) ->
     docs = [data[e - n : e].split() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
     counts = np.array([len(d) for d in docs], np.int64)
     h = np.fromiter((x for d in docs for x in map(hashes.__getitem__, d)), np.uint64, int(counts.sum()))
-    return (h >> np.uint64(32)).astype(np.uint32), h, counts
+    return h, h, counts
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:

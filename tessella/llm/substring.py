@@ -91,7 +91,7 @@ def earlier_windows(pieces: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
     """For each segment which of its windows some segment before it has."""
     shard, out = SuffixAutomaton(), []
     for piece in pieces:
-        s = np.frombuffer(piece, np.uint32).tolist()
+        s = np.frombuffer(piece, np.uint64).tolist()
         out.append(np.array(shard.matches(s)[WINDOW_WORDS - 1 :]) >= WINDOW_WORDS)
         shard.add(s)
     return out

@@ -177,3 +177,18 @@ def test_substrings_against_plain_versions(spark, monkeypatch, hot):
     assert got == plain_bytes(rows)
     assert remove_words(df.limit(0)).count() == 0 and remove_bytes(df.limit(0)).count() == 0
     assert hashlib.sha256(b"").hexdigest() == remove_bytes(df.filter("doc_id = 51")).selectExpr("sha2(kept, 256) AS h").first()["h"]
+
+
+def test_words_alike_in_half_a_hash_are_told_apart(spark):
+    hashes, seen, alike = minhash.WordHashes(), {}, None
+    for k in range(10**6):
+        word = f"n{k}"
+        top = int(hashes[word.encode()]) >> 32
+        if top in seen:
+            alike = seen[top], word
+            break
+        seen[top] = word
+    # The word that differs stands at each place of a window, so some anchors lie beside it.
+    rows = [(2 * at + which, " ".join(word if k == at else f"t{at}w{k}" for k in range(20))) for at in range(20) for which, word in enumerate(alike)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in remove_words(df).collect()) == [(d, 20, 0, t) for d, t in rows]
