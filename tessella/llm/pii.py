@@ -1,15 +1,16 @@
 """Personal data: fixed patterns, and terms that disclose them by corpus co-occurrence.
 
 Patterns find e-mail addresses, IPv4 addresses, card numbers and phone numbers.  The
-information-theoretic part looks at terms (runs of letters) within a few words of such an
-entity.  Over the whole corpus it estimates the pointwise mutual information of entity c
-and term t and compares it with the entity's information content:
+information-theoretic part looks at all terms (runs of letters) of the documents that hold
+such an entity.  Over the whole corpus it estimates the pointwise mutual information of
+entity c and term t and compares it with the entity's information content:
 
     PMI(c; t) = log2(n(c,t) N / (n(c) n(t))),  IC(c) = log2(N / n(c))
 
-n(c,t) and n(c) count distinct contexts, so that copies count once; n(t) counts
-documents.  A term whose PMI reaches ``generalise`` x IC is generalised to a label, one
-that reaches ``remove`` x IC is removed; at least ``min_contexts`` contexts are asked for.
+All four count distinct texts, so that copies count once.  A term whose PMI reaches
+``generalise`` x IC is generalised to a label, one that reaches ``remove`` x IC is removed,
+wherever it stands in a document with that entity; at least ``min_contexts`` distinct texts
+with both are asked for.
 
 DataFrame functions only.  Every pattern is written so that it never backtracks over long
 runs: possessive repeats, and look-behinds that start at the head of a run.
@@ -39,7 +40,8 @@ PATTERNS = {
 #: What a text must have at least.
 HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-WINDOW_CHARS, MIN_CONTEXTS = 60, 3
+MIN_CONTEXTS = 3
+_TERM = r"(?<![\p{L}\p{N}@._%+-])\p{L}{3,}+(?![\p{N}@_%+])"
 _SPAN = "struct<kind:string,start:int,end:int>"
 
 
@@ -102,57 +104,42 @@ def with_base_spans(df: DataFrame, text_col: str) -> DataFrame:
 
 
 def found_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, row, found), written once: every row's pattern matches with the text around them.
-
-    One pass over the texts serves both the spans and the contexts, and what follows
-    reads short strings only.
-    """
-    w = WINDOW_CHARS
+    """(doc_id, row, digest, found), written once: every row's pattern matches; equal texts share a digest."""
     df = with_base_spans(docs.select(id_col, text_col), text_col)
-    t = F.col(P + "text")
-    around = F.transform(
-        P + "found",
-        lambda e: F.struct(
-            e["start"].alias("start"), e["rank"].alias("rank"), e["kind"].alias("kind"), e["end"].alias("end"), e["value"].alias("value"),
-            F.substring(t, F.greatest(F.lit(0), e["start"] - w) + 1, F.least(e["start"], F.lit(w))).alias("before"),
-            F.substring(t, e["end"] + 1, F.lit(w)).alias("after"),
-        ),
-    )
-    return cut(df.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), around.alias("found")), "personal")
-
-
-def disclosing_terms(docs: DataFrame, table: DataFrame, text_col: str, generalise: float, remove: float, min_contexts: int) -> DataFrame:
-    """(row, added): spans of terms near entities that they disclose, per row key."""
-    df = table.select("row", F.explode("found").alias("e")).select("row", "e.*").distinct()
-    # A window's outer word may be cut off by its edge, so it goes.
-    cut_off = F.when(F.col("start") > WINDOW_CHARS, F.length(F.regexp_extract("before", r"^\S*", 0))).otherwise(F.lit(0))
-    df = df.withColumn("lead", cut_off).withColumn("before", F.expr("substring(before, lead + 1)"))
-    df = df.withColumn("after", F.when(F.length("after") == WINDOW_CHARS, F.regexp_replace("after", r"\S+$", "")).otherwise(F.col("after")))
-    for side in ("before", "after"):
-        df = matches(df, f"t_{side}", side, r"(?<![\p{L}\p{N}@._%+-])\p{L}{3,}+(?![\p{N}@_%+])", F.lit(True))
-    at = F.col("start") - F.length("before")
-    terms = F.concat(
-        F.transform("t_before", lambda m: F.struct(F.lower(m["value"]).alias("term"), (m["start"] + at).alias("start"), (m["end"] + at).alias("end"))),
-        F.transform("t_after", lambda m: F.struct(F.lower(m["value"]).alias("term"), (m["start"] + F.col("end")).alias("start"), (m["end"] + F.col("end")).alias("end"))),
-    )
-    near = cut(df.select("row", F.xxhash64("kind", F.lower("value")).alias("entity"), F.xxhash64("before", "after").alias("context"), terms.alias("terms")), "contexts")
-    pairs = near.select("entity", "context", F.explode(F.array_distinct(F.transform("terms", lambda t: t["term"]))).alias("term"))
-    joint = pairs.distinct().groupBy("entity", "term").agg(F.count("*").alias("n_ct")).filter(F.col("n_ct") >= min_contexts)
-    alone = near.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("n_c"))
-    # Document counts of all terms of the corpus; only those of candidates meet the join below.
-    tokens = F.array_distinct(F.split(F.lower(text_or_empty(text_col)), r"[^\p{L}]+"))
-    documents = docs.select(F.explode(tokens).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    total = F.lit(float(max(1, docs.count())))
+    return cut(df.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.xxhash64(P + "text").alias("digest"), F.col(P + "found").alias("found")), "personal")
+
+
+def disclosing_terms(docs: DataFrame, table: DataFrame, id_col: str, text_col: str, generalise: float, remove: float, min_contexts: int) -> DataFrame:
+    """(row, added): spans of the terms that disclose an entity of their document, per row key."""
+    holds = table.select("row", "digest", "found", F.explode("found").alias("e")).select("row", "digest", "found", F.xxhash64("e.kind", F.lower("e.value")).alias("entity"))
+    # An entity in fewer texts than asked for has no term in enough of them.
+    alone = holds.select("digest", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_c")).filter(F.col("n_c") >= min_contexts)
+    alone = cut(alone, "entities")
+    held = holds.join(alone, "entity").groupBy("row").agg(F.collect_set("entity").alias("entities"), F.first("digest").alias("digest"), F.first("found").alias("found"))
+    texts = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), text_or_empty(text_col).alias("text"))
+    near = matches(texts.join(held, "row"), "term", "text", _TERM, F.lit(True))
+    # What lies in an entity goes with it.
+    free = F.filter("term", lambda m: ~F.exists("found", lambda e: (e["start"] < m["end"]) & (m["start"] < e["end"])))
+    terms = F.transform(free, lambda m: F.struct(F.lower(m["value"]).alias("term"), m["start"].alias("start"), m["end"].alias("end")))
+    near = cut(near.select("row", "digest", "entities", terms.alias("terms")), "contexts")
+    pairs = near.select("row", "digest", "entities", F.explode(F.array_distinct(F.transform("terms", lambda t: t["term"]))).alias("term")).select("row", "digest", "term", F.explode("entities").alias("entity"))
+    joint = pairs.select("entity", "term", "digest").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_ct")).filter(F.col("n_ct") >= min_contexts)
+    # Counts of all terms over the distinct texts of the corpus; only those of candidates meet the join below.
+    tokens = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
+    once = docs.select(text_or_empty(text_col).alias("text")).withColumn("digest", F.xxhash64("text")).dropDuplicates(["digest"])
+    documents = once.select(F.explode(tokens).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    total = F.lit(float(max(1, table.select("digest").distinct().count())))
     risky = joint.join(alone, "entity").join(documents, "term")
     pmi = F.log2(F.col("n_ct") * total / (F.col("n_c") * F.col("n_t")))
     ic = F.greatest(F.log2(total / F.col("n_c")), F.lit(0.0))
     risky = risky.select("entity", "term", pmi.alias("pmi"), ic.alias("ic")).filter((F.col("ic") > 0) & (F.col("pmi") >= generalise * F.col("ic")))
     kind = F.when(F.col("pmi") >= remove * F.col("ic"), F.lit("removed")).otherwise(F.lit("generalised"))
-    hits = near.select("row", "entity", F.explode("terms").alias("t")).select("row", "entity", F.col("t.term").alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end"))
-    hits = hits.join(risky.withColumn("kind", kind), ["entity", "term"])
-    # The stronger action wins where two entities ask for the same word; a row's spans are bounded by its own text.
-    hits = hits.groupBy("row", "start", "end").agg(F.max("kind").alias("kind"))
-    return hits.groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end").cast(_SPAN)).alias("added"))
+    # The stronger action wins where two entities ask for the same word; a row's terms are bounded by its own text.
+    hits = pairs.join(risky.select("entity", "term", kind.alias("kind")), ["entity", "term"]).groupBy("row", "term").agg(F.max("kind").alias("kind"))
+    hits = hits.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("kinds"))
+    found = near.select("row", "terms").dropDuplicates(["row"]).join(hits, "row")
+    spans = F.transform("terms", lambda t: F.struct(F.try_element_at("kinds", t["term"]).alias("kind"), t["start"].alias("start"), t["end"].alias("end")))
+    return found.select("row", F.filter(spans, lambda s: s["kind"].isNotNull()).cast(f"array<{_SPAN}>").alias("added"))
 
 
 def _ordered(spans: Column) -> Column:
@@ -165,7 +152,7 @@ def _ordered(spans: Column) -> Column:
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", generalise: float = 0.8, remove: float = 0.95, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
     """(doc_id, row, base, spans) for each row of ``docs``: spans of the patterns, and all spans."""
     table = found_table(docs, id_col, text_col)
-    added = disclosing_terms(docs, table, text_col, generalise, remove, min_contexts)
+    added = disclosing_terms(docs, table, id_col, text_col, generalise, remove, min_contexts)
     base = F.transform("found", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     df = table.select("doc_id", "row", base.alias("base")).join(added, "row", "left")
     every = F.when(F.col("added").isNull(), F.col("base")).otherwise(_ordered(F.concat("base", "added")))

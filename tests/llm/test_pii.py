@@ -63,3 +63,15 @@ def test_disclosing_term_is_taken(spark):
     assert out[:60] == other
     assert all("Zorblatt" not in t and "[EMAIL]" in t and "the matter" in t for t in out[60:64])
     assert all(t == "call Quixley at [EMAIL] now" for t in out[64:])  # copies count once
+
+
+def test_terms_far_from_the_entity_and_among_copies(spark):
+    filler = "plain words about this matter and more of the same " * 4
+    other = [f"{filler}{k}" for k in range(60)]
+    far = [f"Dear Zorblatt {filler}{w} z.b@mail.example.com {filler} Zorblatt" for w in ("sun", "moon", "rain")]
+    copies = [f"call Quixley at q@mail.example.com {w}" for w in ("now", "then", "soon")]
+    df = spark.createDataFrame(list(enumerate(other + far + copies * 20)), "doc_id long, text string")
+    out = [r["text"] for r in sanitise(df).orderBy("doc_id").collect()]
+    assert out[:60] == other
+    assert all("Zorblatt" not in t and "[EMAIL]" in t for t in out[60:63])
+    assert all("Quixley" not in t and "[EMAIL]" in t for t in out[63:])
