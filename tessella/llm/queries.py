@@ -28,7 +28,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op3_embeddings": OP3_SQL,
     "op4_minhash": OP4_SQL,
-    "op5_lm": op5_lm,
     "op6_suffix_array": OP6_SQL,
     "op8_quality": OP8_SQL,
     "op9_substring": OP9_SQL,

@@ -50,3 +50,9 @@ def test_streams(spark):
     for r in sorted(catalogue.keyed_ftrl_stream(spark, SF).collect(), key=lambda r: r["batch"]):
         last[r["index"]] = r
     assert len(last) == online.count() and all(np.isfinite(r["w"]) for r in last.values())
+
+
+def test_sql_is_text():
+    import __spark_entry__ as e
+
+    assert [name for name, sql in e.oracle_sql().items() if not isinstance(sql, str)] == []
