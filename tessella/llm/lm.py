@@ -1,84 +1,82 @@
 """Language-model scores from a log-frequency Bloom filter of bigram counts.
 
-Texts become chunks of token numbers with a sorted vocabulary each.  Chunks ask shards
-(ranges of token hashes) for the exact training counts of their tokens and get them back
-in the same order.  Bigrams of the training part go to shards by hash; those seen at
-least ``MIN_COUNT`` times enter the shard's filter segment with their quantised count:
-level q stands for ``MIN_COUNT * LOG_BASE ** (q - 1)``, and the pairs (bigram, 1) to
-(bigram, q) are stored, so that membership probes with rising levels find q.
-
-The segments are broadcast to the workers.  A broadcast holds ``MAX_FILTER_BYTES`` at
-most: where all segments need more, texts are scored in several passes, each with some
-of the segments, and a document's score is the sum over passes, as each bigram belongs to
-one segment.
+Texts become chunks of token numbers with a sorted vocabulary each.  Chunks ask ranges of
+token hashes for the exact training counts of their tokens (see ``exchange``).  The filter
+holds every bigram of the training part with its quantised count: level q stands for counts
+from ``LEVELS[q - 1]`` to below ``LEVELS[q]``, and the pairs (bigram, 1) to (bigram, q) are
+stored, so that membership probes with rising levels find q.  It has one segment for each
+range of bigram keys.
+
+A filter has at most ``BITS_PER_LEVEL`` bits for each training token, as a bigram's level
+never exceeds its count.  Where that bound is within ``MAX_FILTER_BYTES``, all segments are
+broadcast to the workers, and each chunk probes them for its bigrams.  A larger filter
+is not broadcast: each segment stays in the task that built it, the chunks' bigrams come
+to it to be probed, and their levels go back.  Both ways give the same scores, and the
+corpus is read once in either.
 
 The smoothed probability of w after u is
 
-    max(q(u,w) - D, 0) / c(u) + g(u) (c(w) + 0.1) / (N + 0.1 (V + 1))
+    (q(u,w) + m(u) b(w)) / (c(u) + m(u)),  b(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)),  m(u) = c(u) ** HEAPS
 
-with the mass g(u) that discounting and dropping rare bigrams leave, as the mean of all
-contexts whose count has the same power of two; a context not seen leaves all of it.
+with the counts c of training and q the middle of the bigram's level, c(u) at most.  With
+exact counts these sum to one over w for each u; quantisation, which is exact for counts up
+to 4, and false positives of the filter (about 1.5 % of bigrams never seen) are what is
+left.  A context not seen leaves b(w) alone.
 
 Null or empty text is the end token alone; a null id is held out; texts are read whole;
-repeated rows count again; an empty table gives an empty table.  Tokens are told apart by
-64-bit hashes.
+repeated rows count again; an empty table gives an empty table; columns other than the two
+named are not read, so clashing names are safe.  Tokens and bigrams are told apart by
+56-bit hashes.
 """
 
 from __future__ import annotations
 
 import uuid
 import zlib
+from functools import partial
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import cut, drop_cut
+from tessella.llm.common import cut
+from tessella.llm.exchange import PACKETS, ask, by_owner, joined_answers, packet_batch, packets, planes, press, unplanes, unpress
 from tessella.llm.minhash import WordHashes, mixed
 
 CHUNK_BYTES = 4_000_000
-SHARD_KEYS = 1_500_000
-MIN_COUNT, LOG_BASE, DISCOUNT = 2, 1.5, 0.5
+#: Exponent of the number of different words that follow a context, as a power of its count.
+HEAPS = 0.7
 PROBES, BITS_PER_LEVEL = 6, 9
-MAX_FILTER_BYTES = 64_000_000
+MAX_FILTER_BYTES = 16_000_000
 _END, _START = xxhash.xxh64_intdigest(b"", seed=1), xxhash.xxh64_intdigest(b"", seed=2)
 _ODD = np.uint64(0x9E3779B97F4A7C15)  # odd multiplier: 2**64 over the golden ratio
 
-_TOKENS = "chunk string, ids array<long>, held array<boolean>, sizes array<int>, vocab binary, train binary, seq binary, n_vocab long"
 
+def levels(most: int = 2**62) -> np.ndarray:
+    """Least counts of the levels: each is half as much again as the one before, and one more at least."""
+    out = [1]
+    while out[-1] < most:
+        out.append(max(out[-1] + 1, 3 * out[-1] // 2))
+    return np.array(out, np.int64)
 
-def _press(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
 
+LEVELS = levels()
+#: What a level stands for, from level 0 on: the middle of its counts.
+VALUES = np.concatenate([[0.0], (LEVELS[:-1] + LEVELS[1:] - 1) / 2])
 
-def _open(x: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
-
-
-def planes(keys: np.ndarray) -> bytes:
-    """Sorted 56-bit keys as compressed byte planes of their steps."""
-    steps = np.diff(keys, prepend=np.uint64(0))
-    return _press(steps.view(np.uint8).reshape(-1, 8)[:, :7].T)
-
-
-def unplanes(x: bytes) -> np.ndarray:
-    raw = _open(x, np.uint8).reshape(7, -1)
-    steps = np.zeros((raw.shape[1], 8), np.uint8)
-    steps[:, :7] = raw.T
-    return np.cumsum(steps.view(np.uint64).ravel(), dtype=np.uint64)
+_TOKENS = "chunk long, ids array<long>, held array<boolean>, sizes array<int>, vocab binary, train binary, seq binary, n_vocab long, n_pairs long"
 
 
 def held_out(doc_id: int | None) -> bool:
     return doc_id is None or zlib.crc32(str(doc_id).encode()) % 10 == 0
 
 
-def _tokens(batches):
+def _tokens(batches, chunk_bytes: int):
     hashes = WordHashes()
-    kinds = pa.schema([("chunk", pa.string()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), *[(c, pa.binary()) for c in ("vocab", "train", "seq")], ("n_vocab", pa.int64())])
+    kinds = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), *[(c, pa.binary()) for c in ("vocab", "train", "seq")], ("n_vocab", pa.int64()), ("n_pairs", pa.int64())])
 
     def row(ids, docs):
         sizes = np.array([len(d) + 1 for d in docs], np.int64)
@@ -89,9 +87,10 @@ def _tokens(batches):
         h[word] = np.fromiter((x for d in docs for x in map(hashes.__getitem__, d)), np.uint64, int(word.sum()))
         h[~word] = _END
         held = [held_out(i) for i in ids]
-        vocab, seq = np.unique(h, return_inverse=True)
+        vocab, seq = np.unique(h >> np.uint64(8), return_inverse=True)
         train = np.bincount(seq[np.repeat(~np.array(held), sizes)], minlength=len(vocab))
-        return {"chunk": uuid.uuid4().hex, "ids": ids, "held": held, "sizes": sizes.tolist(), "vocab": vocab.tobytes(), "train": _press(train.astype(np.int32)), "seq": _press(seq.astype(np.int32)), "n_vocab": len(vocab)}
+        chunk = uuid.uuid4().int >> 65
+        return {"chunk": chunk, "ids": ids, "held": held, "sizes": sizes.tolist(), "vocab": planes(vocab), "train": press(train.astype(np.int32)), "seq": press(seq.astype(np.int32)), "n_vocab": len(vocab), "n_pairs": len(h)}
 
     ids, docs, size = [], [], 0
     for b in batches:
@@ -100,200 +99,134 @@ def _tokens(batches):
             ids.append(i)
             docs.append(raw.lower().split())
             size += len(raw)
-            if size >= CHUNK_BYTES:
+            if size >= chunk_bytes:
                 yield pa.RecordBatch.from_pylist([row(ids, docs)], kinds)
                 ids, docs, size = [], [], 0
     if ids:
         yield pa.RecordBatch.from_pylist([row(ids, docs)], kinds)
 
 
-def _shard_ends(vocab: np.ndarray, shards: int) -> np.ndarray:
-    """Where the hash ranges of the shards end in a sorted vocabulary."""
-    edges = np.array([(k << 64) // shards for k in range(1, shards)], np.uint64)
-    return np.concatenate([[0], np.searchsorted(vocab, edges), [len(vocab)]])
+def _bigrams(vocab: np.ndarray, seq: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """56-bit keys of each token with the one before it in its text."""
+    h = vocab[seq]
+    before = np.roll(h, 1)
+    before[np.cumsum(sizes) - sizes] = np.uint64(_START)
+    return mixed(before * _ODD + mixed(h)) >> np.uint64(8)
+
 
+def _ask_words(batches):
+    for b in batches:
+        for chunk, v, t in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            yield packet_batch(list(packets(chunk, unplanes(v), unpress(t, np.int32))))
 
-def _with_counts(tokens: DataFrame, shards: int) -> tuple[DataFrame, int, int]:
-    """``tokens`` with ``counts`` (of each word of the vocabulary in all training texts); N and V."""
 
-    def ask(batches):
-        for b in batches:
-            out: dict[str, list] = {"shard": [], "chunk": [], "vocab": [], "train": []}
-            for chunk, v, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                v, t = np.frombuffer(v, np.uint64), _open(t, np.int32)
-                ends = _shard_ends(v, shards)
-                for s in range(shards):
-                    part = slice(ends[s], ends[s + 1])
-                    for c, x in zip(out, (s, chunk, v[part].tobytes(), _press(t[part])), strict=True):
-                        out[c].append(x)
-            yield pa.RecordBatch.from_pydict(out, pa.schema([("shard", pa.int32()), ("chunk", pa.string()), ("vocab", pa.binary()), ("train", pa.binary())]))
-
-    def answer(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [np.frombuffer(x, np.uint64) for x in pdf["vocab"]]
-        words, inverse = np.unique(np.concatenate(parts), return_inverse=True)
-        total = np.bincount(inverse, np.concatenate([_open(x, np.int32) for x in pdf["train"]]), len(words)).astype(np.int64)
-        ends = np.cumsum([0, *map(len, parts)])
-        rows = [(c, key[0], _press(total[inverse[a:e]]), 0, 0) for c, a, e in zip(pdf["chunk"], ends[:-1], ends[1:], strict=True)]
-        return pd.DataFrame([*rows, (None, key[0], b"", int(total.sum()), int((total > 0).sum()))], columns=["chunk", "shard", "counts", "n", "v"])
-
-    asked = tokens.select("chunk", "vocab", "train").mapInArrow(ask, "shard int, chunk string, vocab binary, train binary")
-    answers = cut(asked.groupBy("shard").applyInPandas(answer, "chunk string, shard int, counts binary, n long, v long"), "answers")
-    n, v = answers.filter("chunk IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    counts = answers.filter("chunk IS NOT NULL").groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("shard", "counts"))).alias("counts"))
-    out = cut(tokens.drop("train").join(counts, "chunk").withColumn("counts", F.col("counts.counts")), "counted")
-    drop_cut(answers)
-    return out, int(n), int(v)
-
-
-def _level_bits(c: np.ndarray) -> np.ndarray:
-    """Power of two of a context's count, 31 at most."""
-    return np.minimum(np.floor(np.log2(np.maximum(c, 1))), 31).astype(np.uint64)
-
-
-def _opened(b: pa.RecordBatch, k: int, n_train_docs: int):
-    """Of a chunk: token counts, each token's context count and its bigram key, sizes, ids and held-out flags."""
-    vocab = np.frombuffer(b["vocab"][k].as_py(), np.uint64)
-    counts = np.concatenate([_open(x, np.int64) for x in b["counts"][k].as_py()])
-    seq = _open(b["seq"][k].as_py(), np.int32)
-    sizes = np.array(b["sizes"][k].as_py(), np.int64)
-    first = np.cumsum(sizes) - sizes
-    h, c = vocab[seq], counts[seq]
-    before, context = np.roll(h, 1), np.roll(c, 1)
-    before[first], context[first] = _START, n_train_docs
-    keys = mixed(before * _ODD + mixed(h)) >> np.uint64(13) << np.uint64(5) | _level_bits(context)
-    return c, context, keys, sizes, first, b["ids"][k].as_py(), b["held"][k].as_py()
-
-
-def _segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
-    return (mixed(keys) % np.uint64(segments)).astype(np.int64)
-
-
-def _places(keys: np.ndarray, level: int, probe: int, bits: np.ndarray) -> np.ndarray:
-    return mixed(keys * np.uint64(2 * level + 1) + np.uint64(probe + 1) * _ODD) % bits
-
-
-def _filters(counted: DataFrame, segments: int, n_train_docs: int) -> tuple[list[tuple[int, bytes]], np.ndarray]:
-    """Filter segments by number, and per power of two the share of mass that kept bigrams take."""
-
-    def send(batches):
-        for b in batches:
-            out: dict[str, list] = {"segment": [], "ones": [], "more": [], "n": []}
-            for k in range(b.num_rows):
-                _, _, keys, sizes, _, _, held = _opened(b, k, n_train_docs)
-                keys, n = np.unique(keys[np.repeat(~np.array(held, bool), sizes)], return_counts=True)
-                at = _segment_of(keys, segments)
-                order = np.argsort(at, kind="stable")
-                keys, n, ends = keys[order], n[order], np.searchsorted(at[order], np.arange(segments + 1))
-                for s in range(segments):
-                    x, m = keys[ends[s] : ends[s + 1]], n[ends[s] : ends[s + 1]]
-                    if len(x):
-                        for c, y in zip(out, (s, planes(x[m == 1]), planes(x[m > 1]), _press(m[m > 1].astype(np.int32))), strict=True):
-                            out[c].append(y)
-            yield pa.RecordBatch.from_pydict(out, pa.schema([("segment", pa.int32()), *[(c, pa.binary()) for c in ("ones", "more", "n")]]))
-
-    def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        ones = np.concatenate([unplanes(x) for x in pdf["ones"]])
-        keys = np.concatenate([ones, *[unplanes(x) for x in pdf["more"]]])
-        n = np.concatenate([np.ones(len(ones), np.int64), *[_open(x, np.int32) for x in pdf["n"]]])
-        keys, inverse = np.unique(keys, return_inverse=True)
-        n = np.bincount(inverse, n).astype(np.int64)
-        power = (keys & np.uint64(31)).astype(np.int64)
-        tokens = np.bincount(power, n, 32)
-        some = n >= MIN_COUNT
-        keys, n, power = keys[some], n[some], power[some]
-        level = 1 + np.floor(np.log(n / MIN_COUNT) / np.log(LOG_BASE) + 1e-9).astype(np.int64)
-        kept = np.bincount(power, MIN_COUNT * LOG_BASE ** (level - 1) - DISCOUNT, 32)
-        bits = np.uint64(max(64, int(level.sum()) * BITS_PER_LEVEL + 7 >> 3 << 3))
-        field = np.zeros(int(bits), bool)
-        for q in range(1, int(level.max(initial=0)) + 1):
-            x = keys[level >= q]
-            for p in range(PROBES):
-                field[_places(x, q, p, bits)] = True
-        return pd.DataFrame({"segment": [key[0]], "bits": [np.packbits(field).tobytes()], "tokens": [tokens], "kept": [kept]})
-
-    sent = counted.mapInArrow(send, "segment int, ones binary, more binary, n binary")
-    made = cut(sent.groupBy("segment").applyInPandas(build, "segment int, bits binary, tokens array<double>, kept array<double>"), "filters")
-    rows = made.select("segment", F.length("bits").alias("size"), "tokens", "kept").collect()  # 64 numbers a segment
-    tokens, kept = (sum((np.array(r[c]) for r in rows), np.zeros(32)) for c in ("tokens", "kept"))
-    return made, [(r["segment"], r["size"]) for r in sorted(rows)], np.where(tokens > 0, kept / np.maximum(tokens, 1), 0.0)
-
-
-def probe(keys: np.ndarray, segment: np.ndarray, field: np.ndarray, begin: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Levels found by membership probes; 0 for none.  ``begin`` and ``bits`` are of each segment, in bits."""
-    level, active, q = np.zeros(len(keys), np.int64), np.arange(len(keys)), 0
-    while len(active):
+def _ask_bigrams(batches):
+    for b in batches:
+        for chunk, held, sizes, v, s in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            keys = _bigrams(unplanes(v), unpress(s, np.int32), np.array(sizes, np.int64))
+            keys, at = np.unique(keys, return_inverse=True)
+            yield packet_batch(list(packets(chunk, keys, np.bincount(at[np.repeat(~np.array(held, bool), sizes)], minlength=len(keys)))))
+
+
+def _places(keys: np.ndarray, level: int, probe: int, bits: np.ndarray | np.uint64) -> np.ndarray:
+    return mixed(keys * np.uint64(2 * level + 1) + np.uint64((probe + 1) * int(_ODD) % 2**64)) % bits
+
+
+def bloom(keys: np.ndarray, n: np.ndarray, bits_per_level: int = BITS_PER_LEVEL) -> np.ndarray:
+    """Bytes of the filter segment of distinct keys with these counts; keys without a count are not in it."""
+    keys, level = keys[n > 0], np.searchsorted(LEVELS, n[n > 0], side="right")
+    bits = max(64, int(level.sum()) * bits_per_level + 7 >> 3 << 3)
+    field = np.zeros(bits, bool)
+    for q in range(1, int(level.max(initial=0)) + 1):
+        x = keys[level >= q]
+        for p in range(PROBES):
+            field[_places(x, q, p, np.uint64(bits))] = True
+    return np.packbits(field)
+
+
+def probe(keys: np.ndarray, field: np.ndarray) -> np.ndarray:
+    """Levels found by membership probes of one segment; 0 for none."""
+    level, active, q, bits = np.zeros(len(keys), np.uint8), np.arange(len(keys)), 0, np.uint64(8 * len(field))
+    while len(active) and q < len(LEVELS) - 1:
         q += 1
         for p in range(PROBES):
-            s = segment[active]
-            at = begin[s] + _places(keys[active], q, p, bits[s]).astype(np.int64)
+            at = _places(keys[active], q, p, bits).astype(np.int64)
             active = active[(field[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1]
         level[active] = q
     return level
 
 
-_SCORED = "chunk string, at int, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+def _segment(pdf: pd.DataFrame, bits_per_level: int) -> pd.DataFrame:
+    keys, at = np.unique(np.concatenate([unplanes(x) for x in pdf["keys"]]), return_inverse=True)
+    n = np.bincount(at, np.concatenate([unpress(x, np.int64) for x in pdf["n"]]), len(keys)).astype(np.int64)
+    return pd.DataFrame({"part": pdf["part"][:1], "bits": [bloom(keys, n, bits_per_level).tobytes()]})
+
 
+_SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
-def _score(counted: DataFrame, spec, n_train_docs: int, n: int, v: int) -> DataFrame:
-    """Per document its figures; ``score`` sums over bigrams whose segment is in this broadcast."""
+
+def _score(rows: DataFrame, spec, n: int, v: int, n_train_docs: int) -> DataFrame:
+    """Figures per document from ``rows``: chunks with ``counts`` and, where nothing is broadcast, ``found``."""
 
     def run(batches):
-        segments, have, data, share = spec.value
-        sizes_of = np.zeros(segments, np.int64)
-        begin_of = np.zeros(segments, np.int64)
-        sizes_of[[s for s, _ in have]] = [8 * x for _, x in have]
-        begin_of[[s for s, _ in have]] = np.cumsum([0, *[8 * x for _, x in have]])[:-1]
-        field, here = np.frombuffer(data, np.uint8), sizes_of > 0
-        bits = sizes_of.astype(np.uint64)
         for b in batches:
             for k in range(b.num_rows):
-                c, context, keys, sizes, first, ids, held = _opened(b, k, n_train_docs)
+                vocab, seq, sizes = unplanes(b["vocab"][k].as_py()), unpress(b["seq"][k].as_py(), np.int32), np.array(b["sizes"][k].as_py(), np.int64)
+                first = np.cumsum(sizes) - sizes
+                c = joined_answers(b["counts"][k].as_py(), "int64")[seq]
+                keys, at = np.unique(_bigrams(vocab, seq, sizes), return_inverse=True)
+                if spec is None:
+                    level = joined_answers(b["found"][k].as_py(), "uint8")
+                else:
+                    level = np.zeros(len(keys), np.uint8)
+                    part = (keys >> np.uint64(50)).astype(np.int64)
+                    for s, bits in spec.value.items():
+                        mine = slice(*np.searchsorted(part, [s, s + 1]))
+                        level[mine] = probe(keys[mine], np.frombuffer(bits, np.uint8))
+                context = np.roll(c, 1)
+                context[first] = n_train_docs
                 base = (c + 0.1) / (n + 0.1 * (v + 1))
-                segment = _segment_of(keys, segments)
-                mine = here[segment] if len(have) < segments else np.ones(len(keys), bool)
-                level = np.zeros(len(keys), np.int64)
-                level[mine] = probe(keys[mine], segment[mine], field, begin_of, bits)
-                count = np.where(level > 0, MIN_COUNT * LOG_BASE ** (level - 1.0) - DISCOUNT, 0.0)
-                free = np.where(context > 0, 1 - share[(keys & np.uint64(31)).astype(np.int64)], 1.0)
-                smooth = np.log10(np.minimum(count / np.maximum(context, 1), 1.0) * (context > 0) + free * base)
+                free = np.where(context > 0, context**HEAPS, 1.0)
+                smooth = np.log10((np.minimum(VALUES[level][at], context) + free * base) / (context + free))
                 add = lambda x, first=first: np.add.reduceat(x, first)
+                ids, held = b["ids"][k].as_py(), b["held"][k].as_py()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([b["chunk"][k].as_py()] * len(ids)), pa.array(np.arange(len(ids), dtype=np.int32)), pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(sizes), pa.array(add((c > 0).astype(np.int64))), pa.array(add(np.log10(base))), pa.array(add(np.where(mine, smooth, 0.0)))],
+                    [pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(sizes), pa.array(add((c > 0).astype(np.int64))), pa.array(add(np.log10(base))), pa.array(add(smooth))],
                     names=[x.split()[0] for x in _SCORED.split(", ")],
                 )
 
-    return counted.mapInArrow(run, _SCORED)
+    return rows.mapInArrow(run, _SCORED)
+
 
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_filter_bytes: int = MAX_FILTER_BYTES, bits_per_level: int = BITS_PER_LEVEL, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, mean_score, mean_gain) per row of ``docs``.
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row of ``docs``."""
+    ``mean_score`` is the score per token, ``mean_gain`` what the bigrams add to the base score per token.
+    """
     sc = docs.sparkSession.sparkContext
-    tokens = cut(docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(_tokens, _TOKENS), "tokens")
-    asked, n_tokens, n_train_docs = tokens.agg(
-        F.coalesce(F.sum("n_vocab"), F.lit(0)), F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0)), F.coalesce(F.sum(F.size(F.filter("held", lambda h: ~h)).cast("long")), F.lit(0))
+    tokens = cut(docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(partial(_tokens, chunk_bytes=chunk_bytes), _TOKENS), "tokens")
+    train = F.zip_with("held", "sizes", lambda h, s: F.when(h, F.lit(0)).otherwise(s).cast("long"))
+    n_vocab, n_pairs, n, n_train_docs = tokens.agg(
+        *[F.coalesce(F.sum(c), F.lit(0)) for c in ("n_vocab", "n_pairs")],
+        F.coalesce(F.sum(F.aggregate(train, F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0)),
+        F.coalesce(F.sum(F.size(F.filter("held", lambda h: ~h)).cast("long")), F.lit(0)),
     ).first()
-    counted, n, v = _with_counts(tokens, asked // SHARD_KEYS + 1)
-    drop_cut(tokens)
-    segments = n_tokens // (2 * SHARD_KEYS) + 1
-    made, sizes, share = _filters(counted, segments, n_train_docs)
-    # Segments go to passes of bounded size; a single one is bounded by SHARD_KEYS.
-    passes: list[list[tuple[int, int]]] = [[]]
-    for s in sizes:
-        if passes[-1] and sum(x for _, x in passes[-1]) + s[1] > max_filter_bytes:
-            passes.append([])
-        passes[-1].append(s)
-    parts = []
-    for have in passes:
-        bits = {r["segment"]: r["bits"] for r in made.filter(F.col("segment").isin([s for s, _ in have])).select("segment", "bits").collect()} if have else {}
-        spec = sc.broadcast((segments, have, b"".join(bytes(bits[s]) for s, _ in have), share))
-        parts.append(_score(counted, spec, n_train_docs, n, v))
-    out = parts[0]
-    if len(parts) > 1:
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        same = [F.first(c).alias(c) for c in ("doc_id", "held_out", "n_tokens", "n_known", "base_score")]
-        out = out.groupBy("chunk", "at").agg(*same, F.sum("score").alias("score"))
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    counts, leaves = ask(tokens.select("chunk", "vocab", "train").mapInArrow(_ask_words, PACKETS), n_vocab, lambda _, total: total, "int64")
+    v = leaves.agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0]
+    rows = tokens.drop("train").join(by_owner(counts, "counts"), F.col("chunk") == F.col("owner")).drop("owner")
+    sent = tokens.select("chunk", "held", "sizes", "vocab", "seq").mapInArrow(_ask_bigrams, PACKETS)
+    if n * bits_per_level // 8 <= max_filter_bytes:  # a bound on all segments together
+        made = cut(sent.groupBy("part").applyInPandas(lambda pdf: _segment(pdf, bits_per_level), "part long, bits binary"), "filters")
+        spec = sc.broadcast({r["part"]: bytes(r["bits"]) for r in made.collect()})
+    else:
+        found, _ = ask(sent, n_pairs, lambda keys, c: probe(keys, bloom(keys, c, bits_per_level)), "uint8")
+        rows, spec = rows.join(by_owner(found, "found"), F.col("chunk") == F.col("owner")).drop("owner"), None
+    out = _score(rows, spec, n, v, n_train_docs)
+    per = lambda x: x / F.col("n_tokens")
+    return out.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score",
+        per(F.col("score")).alias("mean_score"), per(F.col("score") - F.col("base_score")).alias("mean_gain"),
+    )
 
 
 def op5_lm(spark, sf_dir: str) -> DataFrame:
