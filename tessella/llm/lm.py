@@ -20,7 +20,7 @@ The smoothed probability of w after u is
 
 with the counts c of training and q the middle of the bigram's level, c(u) at most.  With
 exact counts these sum to one over w for each u; quantisation, which is exact for counts up
-to 4, and false positives of the filter (about 1.5 % of bigrams never seen) are what is
+to 3, and false positives of the filter (about 1.5 % of bigrams never seen) are what is
 left.  A context not seen leaves b(w) alone.
 
 Null or empty text is the end token alone; a null id is held out; texts are read whole;
