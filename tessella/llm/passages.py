@@ -6,7 +6,7 @@ work goes in steps, each a Spark job over packed chunks of documents:
 
 1. documents are packed into chunks of bounded size, written once;
 2. whole copies of a document are found by digest and left out of what follows;
-3. every chunk sends its anchors' hashes to shards, which send back those that occur twice;
+3. every chunk asks ranges of hashes which of its anchors occur twice (see ``exchange``);
 4. around each such anchor a chunk cuts one segment, the union of the windows it anchors,
    and sends the first of equal segments to a bucket by the anchor's hash;
 5. a bucket's kernel tells which windows of its segments occur earlier;
@@ -14,8 +14,10 @@ work goes in steps, each a Spark job over packed chunks of documents:
 
 Anchors that many places share (a very common passage) could fill one bucket with
 different segments, so their windows are dealt singly, by their own hash.  Equal segments
-leave a chunk once.  So shards, buckets and chunks all have bounded size, and the whole of
-every text is covered.
+leave a chunk once, or once for each of its documents where only other documents count,
+with all their places as rising sequences, so that a run of one character is one piece.
+So ranges, buckets and chunks all have bounded size, rows grow with the segments, and the
+whole of every text is covered.
 """
 
 from __future__ import annotations
@@ -32,15 +34,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import cut, drop_cut
+from tessella.llm.exchange import PACKETS, ask, by_owner, joined_answers, packet_batch, packets
 from tessella.llm.minhash import WordHashes, mixed
 
 #: Bytes of text in a chunk: of words, and of bytes, whose arrays are several times longer.
 CHUNK_BYTES = {True: 4_000_000, False: 1_000_000}
-#: Anchors per shard, and occurrences from which on an anchor's windows are dealt singly.
-SHARD_KEYS, HOT = 1_500_000, 2_000
-#: Segments per bucket, for words and for bytes; fewer and larger ones mean fewer pairs of chunk and bucket.
+#: Occurrences from which on an anchor's windows are dealt singly.
+HOT = 2_000
+#: Segments per bucket, for words and for bytes.
 BUCKET_SEGMENTS = {True: 6_000, False: 20_000}
-_POS = np.uint64(28)  # bits of a position within a chunk
+#: Segments that leave a chunk at a time.
+BATCH_SEGMENTS = 20_000
+_POS = np.uint64(28)  # low bits of a gram's hash that its place takes while the least is sought
+_BLOCK = 1 << 26  # windows whose anchors are sought at a time, so that places fit
 _ODD = np.uint64(0x9E3779B97F4A7C15)  # odd multiplier: 2**64 over the golden ratio
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * _ODD)
 
@@ -154,14 +160,19 @@ def anchored(units: Units, h: np.ndarray, counts: np.ndarray, skip: np.ndarray)
     if len(h) < units.length:
         return none, none, none, np.zeros(0, np.uint64)
     g = grams(h, units.gram)
-    best = least((g >> _POS << _POS) | np.arange(len(g), dtype=np.uint64), units.length - units.gram + 1)
+    width = units.length - units.gram + 1
+    best = np.empty(len(g) - width + 1, np.int64)
+    for a in range(0, len(best), _BLOCK):
+        part = g[a : a + _BLOCK + width - 1]
+        found = least((part >> _POS << _POS) | np.arange(len(part), dtype=np.uint64), width)
+        best[a : a + len(found)] = (found & ((np.uint64(1) << _POS) - np.uint64(1))).astype(np.int64) + a
     # Windows begin where a document that counts still has a whole one.
     ends = np.cumsum(counts)
     some = np.flatnonzero((counts >= units.length) & ~skip)
     n = counts[some] - units.length + 1
     doc = np.repeat(some, n)
     start = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - (ends[some] - counts[some]), n)
-    return start, (best[start] & ((np.uint64(1) << _POS) - np.uint64(1))).astype(np.int64), doc, g
+    return start, best[start], doc, g
 
 
 def _skipped(batch: pa.RecordBatch, k: int, ids: list) -> np.ndarray:
@@ -181,50 +192,23 @@ def _copies(packed: DataFrame) -> DataFrame:
 
 
 def _keys(h: np.ndarray) -> np.ndarray:
-    """48-bit anchor keys."""
-    return h >> np.uint64(16)
+    """56-bit anchor keys."""
+    return h >> np.uint64(8)
 
 
-def _repeated(units: Units, packed: DataFrame, shards: int) -> DataFrame:
-    """(chunk, keys): per chunk and shard the keys of anchors that occur twice or more in all, lowest bit set where very often."""
+def _repeated(units: Units, packed: DataFrame, total: int) -> DataFrame:
+    """Answers for each chunk's anchors: 0 for those that occur once in all, 2 for very frequent ones, 1 for others."""
 
     def send(batches):
         hashes = WordHashes()
         for b in batches:
-            out: dict[str, list] = {"shard": [], "chunk": [], "keys": [], "n": []}
             for k, (chunk, ids, sizes, data) in enumerate(chunks(b)):
                 _, h, counts = symbols(units, sizes, data, hashes)
                 _, at, _, g = anchored(units, h, counts, _skipped(b, k, ids))
-                keys, n = np.unique(_keys(g[at[np.diff(at, prepend=-1) != 0]]), return_counts=True)
-                shard = (mixed(keys) % np.uint64(shards)).astype(np.int64)
-                order = np.argsort(shard, kind="stable")
-                keys, n, shard = keys[order], n[order], shard[order]
-                for s in np.unique(shard).tolist():
-                    a, e = np.searchsorted(shard, [s, s + 1])
-                    out["shard"].append(s)
-                    out["chunk"].append(chunk)
-                    out["keys"].append(np.ascontiguousarray(keys[a:e].view(np.uint8).reshape(-1, 8)[:, :6]).tobytes())
-                    out["n"].append(np.minimum(n[a:e], 65535).astype(np.uint16).tobytes())
-            yield pa.RecordBatch.from_pydict(out, pa.schema([("shard", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("n", pa.binary())]))
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        raw = [np.frombuffer(x, np.uint8).reshape(-1, 6) for x in pdf["keys"]]
-        keys = np.zeros((sum(map(len, raw)), 8), np.uint8)
-        keys[:, :6] = np.concatenate(raw)
-        keys = keys.view(np.uint64).ravel()
-        n = np.concatenate([np.frombuffer(x, np.uint16) for x in pdf["n"]])
-        owner = np.repeat(np.arange(len(raw)), [len(r) for r in raw])
-        distinct, inverse = np.unique(keys, return_inverse=True)
-        total = np.bincount(inverse, n)[inverse]
-        some = total >= 2
-        marked = (keys[some] << np.uint64(1)) | (total[some] > HOT).astype(np.uint64)
-        owner = owner[some]  # in order of the rows
-        ends = np.searchsorted(owner, np.arange(len(raw) + 1))
-        got = [(c, marked[a:e].tobytes(), e - a) for c, a, e in zip(pdf["chunk"], ends[:-1], ends[1:], strict=True) if e > a]
-        return pd.DataFrame(got, columns=["chunk", "keys", "n"])
-
-    sent = packed.mapInArrow(send, "shard int, chunk long, keys binary, n binary")
-    return cut(sent.groupBy("shard").applyInPandas(merge, "chunk long, keys binary, n long"), "repeated")
+                yield packet_batch(list(packets(chunk, *np.unique(_keys(g[at[np.diff(at, prepend=-1) != 0]]), return_counts=True))))
+
+    hot = HOT
+    return ask(packed.mapInArrow(send, PACKETS), total, lambda _, n: (n >= 2).astype(np.uint8) + (n > hot), "uint8")[0]
 
 
 def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -233,113 +217,132 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-_SEGMENTS = "bucket int, chunk long, docs binary, bases binary, lens binary, data binary, known binary"
+def progressions(x: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Numbers as rows (first, step, count), none across a place where ``apart`` is true."""
+    step = np.diff(x)
+    new = apart.copy()
+    new[:1] = True
+    new[2:] |= step[1:] != step[:-1]
+    first = np.flatnonzero(new)
+    count = np.diff(np.append(first, len(x)))
+    steps = np.where(count > 1, np.append(step, 1)[first], 1)
+    return np.stack([x[first], steps, count], 1).astype(np.int32)
+
+
+def _sequences(starts: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """Rows (start, step, count, windows) for runs of windows."""
+    order = np.lexsort((starts, windows))
+    starts, windows = starts[order], windows[order]
+    apart = np.diff(windows, prepend=-1) != 0
+    rows = progressions(starts, apart)
+    return np.concatenate([rows, windows[np.cumsum(np.append(0, rows[:-1, 2]))][:, None].astype(np.int32)], 1)
+
+
+_SEGMENTS = "bucket int, chunk long, doc long, places binary, piece binary"
+_MARKS = "chunk long, start int, step int, count int, windows int"
 
 
 def _segments(units: Units, packed: DataFrame, repeated: DataFrame, buckets: int) -> DataFrame:
-    """Rows of segments per chunk and bucket; ``known``: windows that the chunk itself can tell, as start and number."""
+    """A row per segment with its places in the chunk; rows without a piece hold marks that the chunk itself can tell."""
+    kinds = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("doc", pa.int64()), ("places", pa.binary()), ("piece", pa.binary())])
+
+    def cut_out(chunk, ids, s, start, at, doc, hot, g):
+        # Windows of one anchor stand together and make one segment; those of a hot anchor stay alone.
+        w, length = units.width, units.length
+        new = np.ones(len(start), bool)
+        new[1:] = (np.diff(at) != 0) | hot[1:] | (np.diff(start) != 1)
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(start)) - 1
+        base, size, owner = start[first], start[last] - start[first] + length, doc[first]
+        number = np.array([ids[d] for d in owner.tolist()], np.int64)
+        raw, order = s.tobytes(), np.lexsort((base, number))
+        seen: dict[bytes, list] = {}  # per piece the document, then its places there
+        known = []
+        for j in order.tolist():
+            piece = raw[base[j] * w : (base[j] + size[j]) * w]
+            before = seen.get(piece)
+            if before is None:
+                seen[piece] = [j, base[j]]
+            elif units.within or number[before[0]] < number[j]:
+                known.append(j)
+            else:
+                before.append(base[j])
+        single = hot[first]
+        bucket = (mixed(_keys(g[at[first]])) % np.uint64(buckets)).astype(np.int64)
+        if known:
+            told = _sequences(base[known], size[known] - length + 1)
+            yield chunk % buckets, chunk, None, told.tobytes(), None
+        for piece, (j, *places) in seen.items():
+            to = xxhash.xxh64_intdigest(piece) % buckets if single[j] else int(bucket[j])
+            yield to, chunk, int(number[j]), progressions(np.array(places), np.zeros(len(places), bool)).tobytes(), piece
 
     def send(batches):
-        hashes, w, length = WordHashes(), units.width, units.length
+        hashes = WordHashes()
         for b in batches:
-            out: dict[str, list] = {c.split()[0]: [] for c in _SEGMENTS.split(", ")}
             for k, (chunk, ids, sizes, data) in enumerate(chunks(b)):
                 s, h, counts = symbols(units, sizes, data, hashes)
                 start, at, doc, g = anchored(units, h, counts, _skipped(b, k, ids))
-                marked = np.frombuffer(b"".join(b["keys"][k].as_py() or []), np.uint64)
-                if not len(marked) or not len(start):
-                    continue
-                marked = np.sort(marked)
-                keys = _keys(g[at]) << np.uint64(1)
-                i = np.minimum(np.searchsorted(marked, keys), len(marked) - 1)
-                some = (marked[i] >> np.uint64(1)) == (keys >> np.uint64(1))
-                hot = (marked[i] & np.uint64(1)).astype(bool)
-                start, at, doc, hot = start[some], at[some], doc[some], hot[some]
                 if not len(start):
                     continue
-                # Windows of one anchor stand together and make one segment; those of a hot anchor stay alone.
-                new = np.ones(len(start), bool)
-                new[1:] = (np.diff(at) != 0) | hot[1:] | (np.diff(start) != 1)
-                first = np.flatnonzero(new)
-                last = np.append(first[1:], len(start)) - 1
-                base, size, owner = start[first], start[last] - start[first] + length, doc[first]
-                number = np.array([ids[d] for d in owner.tolist()], np.int64)
-                raw, order = s.tobytes(), np.lexsort((base, number))
-                seen, known, kept = {}, [], []
-                for j in order.tolist():
-                    piece = raw[base[j] * w : (base[j] + size[j]) * w]
-                    before = seen.get(piece)
-                    if before is None:
-                        seen[piece] = number[j]
-                        kept.append((j, piece))
-                    elif units.within or before < number[j]:
-                        known.append(j)
-                    else:
-                        kept.append((j, piece))
-                single = hot[first]
-                deal = np.where(single, 0, _keys(g[at[first]]))
-                bucket = (mixed(deal) % np.uint64(buckets)).astype(np.int64)
-                by: dict[int, list] = {}
-                for j, piece in kept:
-                    to = xxhash.xxh64_intdigest(piece) % buckets if single[j] else int(bucket[j])
-                    by.setdefault(to, []).append((j, piece))
-                told = np.array([(base[j], size[j] - length + 1) for j in known], np.int32).tobytes()
-                if told and not by:
-                    by[0] = []
-                for to, rows in by.items():
-                    js = [j for j, _ in rows]
-                    out["bucket"].append(to)
-                    out["chunk"].append(chunk)
-                    out["docs"].append(number[js].tobytes())
-                    out["bases"].append(base[js].astype(np.int32).tobytes())
-                    out["lens"].append(size[js].astype(np.int32).tobytes())
-                    out["data"].append(b"".join(p for _, p in rows))
-                    out["known"].append(told)
-                    told = b""
-            yield pa.RecordBatch.from_pydict(out, pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), *[(c, pa.binary()) for c in ("docs", "bases", "lens", "data", "known")]]))
-
-    keys = repeated.groupBy("chunk").agg(F.collect_list("keys").alias("keys"))
-    return packed.join(keys, "chunk").mapInArrow(send, _SEGMENTS)
+                keys = _keys(g[at])
+                often = joined_answers(b["often"][k].as_py(), "uint8")[np.searchsorted(np.unique(keys), keys)]
+                some = often > 0
+                if not some.any():
+                    continue
+                rows = []
+                for row in cut_out(chunk, ids, s, start[some], at[some], doc[some], often[some] > 1, g):
+                    rows.append(row)
+                    if len(rows) == BATCH_SEGMENTS:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.types, strict=True)], schema=kinds)
+                        rows = []
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.types, strict=True)], schema=kinds)
+
+    known = packed.join(by_owner(repeated, "often"), F.col("chunk") == F.col("owner")).drop("owner")
+    return known.mapInArrow(send, _SEGMENTS)
 
 
 def _marks(units: Units, segments: DataFrame) -> DataFrame:
-    """(chunk, marks): window starts and numbers of windows that occur earlier."""
+    """Windows that occur earlier: starts at ``start`` and every ``step`` from there, ``count`` in all, ``windows`` windows at each."""
     w, length, kernel = units.width, units.length, units.kernel
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        docs = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["docs"]])
-        bases = np.concatenate([np.frombuffer(x, np.int32) for x in pdf["bases"]])
-        lens = np.concatenate([np.frombuffer(x, np.int32) for x in pdf["lens"]])
-        owner = np.repeat(np.arange(len(pdf)), [len(x) // 4 for x in pdf["bases"]])
-        data, ends = b"".join(pdf["data"]), np.cumsum(lens.astype(np.int64)) * w
-        order = np.lexsort((bases, pdf["chunk"].to_numpy()[owner], docs)) if len(docs) else np.zeros(0, np.int64)
-        pieces, number, where, who = [], [], {}, []
-        found: dict[int, list] = {k: [np.frombuffer(x, np.int32).reshape(-1, 2)] for k, x in enumerate(pdf["known"]) if x}
+        told: list[tuple[int, np.ndarray]] = []
+        own = pdf["piece"].isna().to_numpy()
+        for chunk, x in zip(pdf["chunk"][own], pdf["places"][own], strict=True):
+            told.append((chunk, np.frombuffer(x, np.int32).reshape(-1, 4)))
+        rest = pdf[~own]
+        chunk, docs = rest["chunk"].to_numpy(), rest["doc"].to_numpy(np.int64)
+        places = [np.frombuffer(x, np.int32).reshape(-1, 3) for x in rest["places"]]
+        order = np.lexsort(([int(x[0, 0]) for x in places], chunk, docs)) if len(rest) else []
+        data, pieces, number, where, same = rest["piece"].tolist(), [], [], {}, []
 
         def tell(j, a, n):
-            found.setdefault(int(owner[j]), []).append(np.array([[bases[j] + a, n]], np.int32))
-
-        same: dict[int, list] = {}
-        for j in order.tolist():
-            piece = data[ends[j] - lens[j] * w : ends[j]]
-            k = where.get(piece)
-            if k is None:
-                where[piece] = len(pieces)
-                pieces.append(piece)
+            rows = np.empty((len(places[j]), 4), np.int32)
+            rows[:, :3], rows[:, 3] = places[j], n
+            rows[:, 0] += a
+            told.append((chunk[j], rows))
+
+        for j in order:
+            k = where.setdefault(data[j], len(pieces))
+            if k == len(pieces):
+                pieces.append(data[j])
                 number.append(docs[j])
-                who.append(j)
+                same.append([j])
             elif units.within or number[k] < docs[j]:
-                tell(j, 0, lens[j] - length + 1)
+                tell(j, 0, len(data[j]) // w - length + 1)
             else:
-                same.setdefault(k, []).append(j)  # the same document again: as the first
+                same[k].append(j)  # the same document again: as the first
         for k, flags in enumerate(kernel(pieces, np.array(number, np.int64)) if len(pieces) > 1 else []):
             for a, e in zip(*_runs(flags), strict=True):
-                for j in (who[k], *same.get(k, [])):
+                for j in same[k]:
                     tell(j, a, e - a)
-        chunk = pdf["chunk"].to_numpy()
-        return pd.DataFrame([(chunk[k], np.concatenate(x).tobytes()) for k, x in found.items()], columns=["chunk", "marks"])
+        rows = np.concatenate([np.zeros((0, 4), np.int32), *[x for _, x in told]])
+        out = pd.DataFrame(rows, columns=["start", "step", "count", "windows"])
+        out.insert(0, "chunk", np.repeat(np.array([c for c, _ in told], np.int64), [len(x) for _, x in told]))
+        return out
 
-    return segments.groupBy("bucket").applyInPandas(solve, "chunk long, marks binary")
+    return segments.groupBy("bucket").applyInPandas(solve, _MARKS)
 
 
 def cut_repeats(docs: DataFrame, units: Units, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -349,8 +352,8 @@ def cut_repeats(docs: DataFrame, units: Units, id_col: str = "doc_id", text_col:
     known = packed.join(copies, "chunk", "left")
     total = packed.agg(F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))).first()[0]
     per = total / (6 if units.words else 1) * 2 / (units.length - units.gram + 2)
-    repeated = _repeated(units, known, max(1, int(per / SHARD_KEYS) + 1))
-    n = repeated.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    repeated = _repeated(units, known, int(per))
+    n = repeated.agg(F.coalesce(F.sum("hits"), F.lit(0))).first()[0]
     words, length = units.words, units.length
     segments = _segments(units, known, repeated, max(1, n // BUCKET_SEGMENTS[words] + 1))
     marks = cut(_marks(units, segments), "marks")
@@ -366,9 +369,12 @@ def cut_repeats(docs: DataFrame, units: Units, id_col: str = "doc_id", text_col:
                 counts = np.array([len(p) for p in parts], np.int64)
                 offset = np.concatenate([[0], np.cumsum(counts)])
                 step = np.zeros(offset[-1] + 1, np.int64)
-                m = np.concatenate([np.zeros((0, 2), np.int32), *[np.frombuffer(x, np.int32).reshape(-1, 2) for x in b["marks"][k].as_py() or []]]).astype(np.int64)
-                np.add.at(step, m[:, 0], 1)
-                np.add.at(step, m[:, 0] + m[:, 1] + length - 1, -1)
+                found = b["marks"][k].values
+                start, every, count, n = (found.field(c).to_numpy().astype(np.int64) for c in ("start", "step", "count", "windows")) if found is not None else np.zeros((4, 0), np.int64)
+                nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                start = np.repeat(start, count) + nth * np.repeat(every, count)
+                np.add.at(step, start, 1)
+                np.add.at(step, start + np.repeat(n, count) + length - 1, -1)
                 gone = np.cumsum(step)[:-1] > 0
                 for d in b["copies"][k].as_py() or []:
                     if counts[d] >= length:
@@ -385,5 +391,5 @@ def cut_repeats(docs: DataFrame, units: Units, id_col: str = "doc_id", text_col:
                         out[c].append(v)
             yield pa.RecordBatch.from_pydict(out, pa.schema([("doc_id", pa.int64()), *[(c, pa.int64()) for c in ("n_units", "n_removed", "n_spans")], ("kept", pa.binary())]))
 
-    marks = marks.groupBy("chunk").agg(F.collect_list("marks").alias("marks"))
+    marks = marks.groupBy("chunk").agg(F.collect_list(F.struct("start", "step", "count", "windows")).alias("marks"))
     return known.join(marks, "chunk", "left").mapInArrow(finish, "doc_id long, n_units long, n_removed long, n_spans long, kept binary")

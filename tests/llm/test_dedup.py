@@ -157,7 +157,7 @@ def passages(seed):
     text = lambda n: " ".join(word() + str(rng.randrange(60)) for _ in range(n))
     shared = [text(n) for n in (19, 20, 21, 25, 60, 200)]
     rows = [(k, " ".join(rng.choice(shared) if rng.random() < 0.4 else text(rng.randrange(1, 30)) for _ in range(8))) for k in range(40)]
-    rows += [(50, None), (51, ""), (52, "a " * 300), (53, "a " * 200), (54, rows[3][1]), (None, rows[3][1]), (2000, shared[5] + "\n" + shared[5]), (60, text(8000)), (61, "\x00" * 120), (62, "x" + "\x00" * 70)]
+    rows += [(50, None), (51, ""), (52, "a " * 300), (53, "a " * 200), (54, rows[3][1]), (None, rows[3][1]), (2000, shared[5] + "\n" + shared[5]), (60, text(8000)), (61, "\x00" * 120), (62, "x" + "\x00" * 70), (63, "ab " * 3000), (64, "ab " * 2000 + "c"), (65, "z" * 5000), (66, "z" * 5000 + "y" + "z" * 80)]
     rng.shuffle(rows)
     return rows
 
@@ -179,6 +179,28 @@ def test_substrings_against_plain_versions(spark, monkeypatch, hot):
     assert hashlib.sha256(b"").hexdigest() == remove_bytes(df.filter("doc_id = 51")).selectExpr("sha2(kept, 256) AS h").first()["h"]
 
 
+def test_a_run_of_one_character_is_one_piece(spark):
+    df = spark.createDataFrame([(k, "-" * 400_000 + str(k)) for k in range(3)] + [(9, "ha " * 100_000)], "doc_id long, text string").repartition(1)
+    got = {r["doc_id"]: (r["n_removed"], bytes(r["kept"])) for r in remove_bytes(df).collect()}
+    assert got[0][0] == 0 and got[9][0] == 0 and got[1] == (400_000, b"1") and got[2] == (400_000, b"2")
+    assert [r["n_removed"] for r in remove_words(df.filter("doc_id = 9")).collect()] == [99_999]
+
+
+def test_progressions_and_blocks(monkeypatch):
+    from tessella.llm import passages as frame
+
+    rng = np.random.default_rng(3)
+    for x in ([], [5], [1, 2, 3, 5, 7, 9, 20], np.flatnonzero(rng.random(300) < 0.5)):
+        x = np.array(x, np.int64)
+        rows = frame.progressions(x, rng.random(len(x)) < 0.1)
+        assert [a + k * s for a, s, n in rows.tolist() for k in range(n)] == x.tolist()
+    h = rng.integers(0, 2**63, 5000, dtype=np.uint64)
+    units, counts, skip = frame.Units(20, 5, True, True, None), np.array([3000, 10, 1990]), np.zeros(3, bool)
+    whole = frame.anchored(units, h, counts, skip)
+    monkeypatch.setattr(frame, "_BLOCK", 64)
+    assert all((a == b).all() for a, b in zip(whole, frame.anchored(units, h, counts, skip), strict=True))
+
+
 def test_words_alike_in_half_a_hash_are_told_apart(spark):
     hashes, seen, alike = minhash.WordHashes(), {}, None
     for k in range(10**6):
