@@ -9,12 +9,15 @@ of blocks, each leaf holds exact block counts per source, and the counts cut eve
 source's permuted block list into disjoint ranges.  Rows go to the shards of their blocks
 and are shuffled there by a second hash.
 
-Gathered on the driver: one number per source and block, and per leftover block one per
-sub-block; both grow with the number of sources, not of rows.
+Shards hold about ``SHARD_WORDS`` words, with no upper bound on their number, and a source
+has at least ``BLOCKS_PER_SHARD`` blocks for each shard.  Gathered on the driver: one number
+per source and block, and per leftover block one per sub-block: never rows, but a mix over
+very many sources (hosts, say) should first group the rare ones.
 
 Defined results: null text has size 0; a null source is a source of its own, last; a row
-of size 0 is drawn like any other; repeated rows are drawn together; an empty table gives
-an empty mix; reruns agree, as all draws are seeded.
+of size 0 is drawn like any other; repeated rows are drawn together; very long texts are
+single rows as others; working columns carry a prefix, so clashing names are safe; an empty
+table gives an empty mix; reruns agree, as all draws are seeded and depend on the rows alone.
 """
 
 from __future__ import annotations
@@ -26,10 +29,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import cut, parts_for, text_or_empty, word_count
+from tessella.llm.common import cut, text_or_empty, word_count
 
 WEIGHTS = (5, 2, 1)
-BLOCK_BITS, SUB_BITS = 8, 12
+BLOCK_BITS, SUB_BITS = 8, 12  # of the permutation key; blocks get more bits where there are many shards
+SHARD_WORDS, BLOCKS_PER_SHARD = 4_000_000, 8
 MAX_REPEATS = 3
 
 
@@ -73,27 +77,35 @@ class Mix:
 
     sized: DataFrame
     blocks: DataFrame
+    shards: int
+    block_bits: int
 
 
 _BLOCKS = "skey string, block int, source_size long, target double, draws array<struct<shard:int,pass:int,subs:array<int>>>"
 
 
-def with_keys(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """Adds ``__m_size``, ``__m_skey``, ``__m_block``, ``__m_sub``."""
-    key = F.xxhash64(F.lit(seed), F.col(id_col))
-    return (
-        docs.withColumn("__m_size", word_count(text_or_empty(text_col)))
-        .withColumn("__m_skey", F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("null")))
-        .withColumn("__m_block", F.shiftrightunsigned(key, 64 - BLOCK_BITS).cast("int"))
-        .withColumn("__m_sub", F.shiftrightunsigned(F.shiftleft(key, BLOCK_BITS), 64 - SUB_BITS).cast("int"))
-    )
+def with_keys(docs: DataFrame, seed: int, id_col: str, source_col: str) -> DataFrame:
+    """Adds ``__m_skey`` and ``__m_key``."""
+    skey = F.coalesce(F.concat(F.lit("s"), F.col(f"`{source_col}`").cast("string")), F.lit("null"))
+    return docs.withColumn("__m_skey", skey).withColumn("__m_key", F.xxhash64(F.lit(seed), F.col(f"`{id_col}`")))
+
+
+def with_blocks(df: DataFrame, bits: int) -> DataFrame:
+    """Adds ``__m_block`` and ``__m_sub``, the leading bits of the key."""
+    key = F.col("__m_key")
+    df = df.withColumn("__m_block", F.shiftrightunsigned(key, 64 - bits).cast("int"))
+    return df.withColumn("__m_sub", F.shiftrightunsigned(F.shiftleft(key, bits), 64 - SUB_BITS).cast("int"))
 
 
 def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 17, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> Mix:
     """Sizes of all rows, targets, and which blocks go where."""
     spark = docs.sparkSession
-    shards = shards or min(1024, parts_for(docs))
-    sized = cut(with_keys(docs.select(id_col, text_col, source_col), seed, id_col, text_col, source_col).drop(text_col), "sizes")
+    size = word_count(text_or_empty(F.col(f"`{text_col}`"))).alias("__m_size")
+    sized = cut(with_keys(docs, seed, id_col, source_col).select(F.col(f"`{id_col}`"), size, "__m_skey", "__m_key"), "sizes")
+    total = sized.agg(F.coalesce(F.sum("__m_size"), F.lit(0))).first()[0]
+    shards = shards or total // SHARD_WORDS + 1
+    bits = max(BLOCK_BITS, (BLOCKS_PER_SHARD * shards - 1).bit_length())
+    sized = with_blocks(sized, bits)
     per_block: dict[str, dict[int, int]] = {}
     for r in sized.groupBy("__m_skey", "__m_block").agg(F.sum("__m_size").alias("n")).collect():
         per_block.setdefault(r["__m_skey"], {})[r["__m_block"]] = r["n"]
@@ -136,7 +148,7 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 17
             part = subs[s] if s in partial and (b, p) == partial[s][:2] else None
             draws.setdefault(b, []).append((int(np.searchsorted(ends, at, side="right")), p, part))
         rows += [(s, b, sizes[k], float(goal[k]), draws.get(b, [])) for b in per_block[s]]
-    return Mix(sized, spark.createDataFrame(rows, _BLOCKS))
+    return Mix(sized, spark.createDataFrame(rows, _BLOCKS), shards, bits)
 
 
 def _drawn(df: DataFrame, mix: Mix) -> DataFrame:
@@ -148,24 +160,25 @@ def _drawn(df: DataFrame, mix: Mix) -> DataFrame:
 
 
 def mix_report(mix: Mix, id_col: str = "doc_id") -> DataFrame:
-    """Per row: size, source_size, target and the words that the mix takes of it."""
+    """Per row: size, source_size, target, the words that the mix takes of it, how often, and into which shards."""
     return _drawn(mix.sized, mix).select(
-        F.col(id_col).alias("doc_id"),
+        F.col(f"`{id_col}`").alias("doc_id"),
         F.col("__m_size").alias("size"),
         F.col("__b_source_size").alias("source_size"),
         F.col("__b_target").alias("target"),
         (F.col("__m_size") * F.size("__m_draws")).cast("long").alias("taken"),
+        F.size("__m_draws").cast("long").alias("passes"),
+        F.concat_ws(",", F.transform(F.array_sort(F.transform("__m_draws", lambda d: d["shard"])), lambda k: k.cast("string"))).alias("shards"),
     )
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 17, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: rows of ``docs``, repeated as drawn, dealt to shards and shuffled within them."""
-    shards = shards or min(1024, parts_for(docs))
     mix = plan_mix(docs, weights, seed, shards, id_col, text_col, source_col)
-    rows = _drawn(with_keys(docs, seed, id_col, text_col, source_col), mix)
+    rows = _drawn(with_blocks(with_keys(docs, seed, id_col, source_col), mix.block_bits), mix)
     rows = rows.withColumn("__m_draw", F.explode("__m_draws")).withColumn("__m_shard", F.col("__m_draw.shard"))
-    rows = rows.withColumn("__m_order", F.xxhash64(F.lit(seed + 1), F.col(id_col), F.col("__m_draw.pass")))
-    rows = rows.repartition(shards, "__m_shard").sortWithinPartitions("__m_shard", "__m_order")
+    rows = rows.withColumn("__m_order", F.xxhash64(F.lit(seed + 1), F.col(f"`{id_col}`"), F.col("__m_draw.pass")))
+    rows = rows.repartitionById(mix.shards, "__m_shard").sortWithinPartitions("__m_order")
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

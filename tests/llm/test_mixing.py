@@ -57,3 +57,31 @@ def test_edges(spark):
     assert {k: v for k, v in drawn.items() if v} == {k: v for k, v in report.items() if v}
     assert mix_report(plan_mix(df.limit(0))).count() == 0 and mix_sources(df.limit(0)).count() == 0
     assert mix_report(plan_mix(df.filter("text is null"))).collect()[0]["taken"] == 0
+
+
+def test_shards_hold_what_the_tree_dealt(spark):
+    df = spark.createDataFrame([(k, "w " * (k % 9 + 1), f"s{k % 3}") for k in range(3000)], "doc_id long, text string, source string")
+    mix = plan_mix(df, shards=5)
+    units = defaultdict(list)  # per source its blocks' draws, each one unit of the quota
+    draws = {}
+    for r in mix.blocks.collect():
+        draws[r["skey"], r["block"]] = r["draws"]
+        units[r["skey"]] += [(d["shard"], r["block"], d["pass"]) for d in r["draws"]]
+    assert all(len({u[1:] for u in x}) == len(x) for x in units.values())  # disjoint
+    per_shard = np.bincount([u[0] for x in units.values() for u in x], minlength=5)
+    assert per_shard.max() - per_shard.min() <= 4
+    # The tree's own counts, drawn anew, are those of every source and shard.
+    names = sorted(units)
+    counts = split_tree(np.array([len(units[n]) for n in names]), 5, np.random.default_rng(17))
+    assert all(np.bincount([u[0] for u in units[n]], minlength=5).tolist() == counts[:, k].tolist() for k, n in enumerate(names))
+    # Rows go where their block goes, as often, and the mix itself has them there.
+    rows = mix.sized.join(mix_report(mix), "doc_id").collect()
+    for r in rows:
+        mine = [d for d in draws[r["__m_skey"], r["__m_block"]] if d["subs"] is None or r["__m_sub"] in d["subs"]]
+        assert r["shards"] == ",".join(str(d["shard"]) for d in sorted(mine, key=lambda d: d["shard"])) and r["passes"] == len(mine)
+    from pyspark.sql import functions as F
+
+    placed = defaultdict(list)
+    for r in mix_sources(df, shards=5).select("doc_id", F.spark_partition_id().alias("p")).collect():
+        placed[r["doc_id"]].append(r["p"])
+    assert all(",".join(map(str, sorted(placed[r["doc_id"]]))) == r["shards"] for r in rows)
