@@ -1,23 +1,30 @@
 """Secret scans: fixed patterns, and a battery of randomness tests on long tokens.
 
-A long run of key characters gets an inferred encoding (hex, base32, base64) and three
-tests of the hypothesis that its characters are drawn uniformly: chi-squared of the
-alphabet, runs about the median, lag-one serial correlation.  The combined p-value is
-small for words and identifiers, and anything in (0, 1] for real keys.  Short tokens
-tell less, so the accepted p-value depends on length: within each class of encoding and
-length, over all documents, keys are uniform in p, so those above one half tell how many
-there are; a token is reported where the share of non-keys among the tokens that look at
-least as random is at most ``fdr``.
-
-Null text is empty and has no spans; texts are scanned whole; repeated rows count again.
-The table of p-values has a fixed number of cells and is all that is gathered.
+A long run of key characters, and each of its parts between separators that is long itself,
+gets an inferred encoding (hex, base32, base64) and three tests of the hypothesis that its
+characters are drawn uniformly: chi-squared of the alphabet, runs about the middle, lag-one
+serial correlation.  The least of the three p-values is compared with those of random tokens
+of the same alphabet and length, so the combined p-value is uniform for keys and near 0 for
+words and identifiers.
+
+Short tokens tell less, so the accepted p-value depends on length.  Within a class of encoding
+and length, over all documents, the keys among the tokens are estimated from those above one
+half, where words do not come; a token is reported where the estimated share of non-keys among
+the tokens that look at least as random is at most ``fdr``.  Classes with few tokens share one
+estimate, first those of an encoding, then those of all.
+
+Null text is empty and has no spans; texts are scanned whole; repeated rows count again; equal
+p-values share a cell and its verdict; columns other than the two named are not read, so
+clashing names are safe; an empty table gives an empty table.  The table of p-values has a
+fixed number of cells and is all that is gathered.
 """
 
 from __future__ import annotations
 
-import math
 import re
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,51 +51,58 @@ ENCODINGS = (
 _SETS = [(name, frozenset(a), {c: k for k, c in enumerate(a)}) for name, a in ENCODINGS]
 #: Cells of the table of p-values, and lengths from which on all tokens share a class.
 P_CELLS, MAX_LENGTH_CLASS = 40, 12
+#: Random tokens per alphabet and length, up to which length they are drawn, and tokens that a class needs for its own estimate.
+DRAWS, DRAWN_LENGTH, CLASS_TOKENS = 2000, 128, 200
+_PARTS = re.compile(r"[A-Za-z0-9]{20,}")
 
 
-def _normal_tail(z: float) -> float:
-    return math.erfc(abs(z) / math.sqrt(2))
+def _normal_tail(z: np.ndarray) -> np.ndarray:
+    """Upper tail of the normal distribution (an approximation of its logistic kind; ranks are what counts)."""
+    return 1 / (1 + np.exp(np.clip(1.5976 * z + 0.07056 * z**3, -700, 700)))
+
+
+def least_p(x: np.ndarray, m: int) -> np.ndarray:
+    """Of each row of places in an alphabet of ``m``: the least p-value of the three tests."""
+    rows, n = x.shape
+    count = np.bincount((x + m * np.arange(rows)[:, None]).ravel(), minlength=rows * m).reshape(rows, m)
+    # Chi-squared by the Wilson-Hilferty cube root, upper tail only: too even is no fault.
+    chi = np.maximum((count * count).sum(1) * m / n - n, 0)
+    z = ((chi / (m - 1)) ** (1 / 3) - (1 - 2 / (9 * (m - 1)))) / np.sqrt(2 / (9 * (m - 1)))
+    p_chi = _normal_tail(z)
+    high = x >= m / 2
+    n1 = high.sum(1)
+    mean = 1 + 2 * (n - n1) * n1 / n
+    runs = 1 + (high[:, 1:] != high[:, :-1]).sum(1)
+    p_runs = 2 * _normal_tail(np.abs(runs - mean) / np.sqrt(np.maximum((mean - 1) * (mean - 2) / (n - 1), 1e-9)))
+    p_runs = np.where((n1 == 0) | (n1 == n), 0.0, p_runs)
+    off = x - x.mean(1)[:, None]
+    spread = (off * off).sum(1)
+    r = (off[:, 1:] * off[:, :-1]).sum(1) / np.maximum(spread, 1e-12)
+    p_serial = np.where(spread > 0, 2 * _normal_tail(np.abs(r + 1 / n) * np.sqrt(n)), 0.0)
+    return np.minimum(np.minimum(p_chi, p_runs), p_serial)
+
+
+@lru_cache(maxsize=1024)
+def _random_tokens(m: int, n: int) -> np.ndarray:
+    """Sorted least p-values of random tokens."""
+    return np.sort(least_p(np.random.default_rng([m, n]).integers(0, m, (DRAWS, n)), m))
 
 
 def randomness(token: str) -> tuple[str, float] | None:
-    """The inferred encoding and the combined p-value; None where no key would look so (one kind of letter or digits only)."""
+    """The inferred encoding and the combined p-value; None where no encoding has all characters."""
     seen = set(token)
-    digits = any(c.isdigit() for c in seen)
-    if not digits or not any(c.isalpha() for c in seen):
-        return None
     name, _, place = next((s for s in _SETS if seen <= s[1]), ("", None, None))
     if place is None:
         return None
-    x, n, m = [place[c] for c in token], len(token), len(place)
-    count: dict[int, int] = {}
-    for v in x:
-        count[v] = count.get(v, 0) + 1
-    # Chi-squared by the Wilson-Hilferty cube root, upper tail only: too even is no fault.
-    chi = sum(c * c for c in count.values()) * m / n - n
-    z = ((chi / (m - 1)) ** (1 / 3) - (1 - 2 / (9 * (m - 1)))) / math.sqrt(2 / (9 * (m - 1))) if chi > 0 else -9.0
-    p_chi = 0.5 * math.erfc(z / math.sqrt(2))
-    high = [v >= m / 2 for v in x]
-    n1 = sum(high)
-    n0 = n - n1
-    if n0 and n1:
-        runs = 1 + sum(a != b for a, b in zip(high, high[1:], strict=False))
-        mean = 1 + 2 * n0 * n1 / n
-        var = max((mean - 1) * (mean - 2) / (n - 1), 1e-9)
-        p_runs = _normal_tail((runs - mean) / math.sqrt(var))
-    else:
-        p_runs = 2.0 ** (1 - n)
-    mu = sum(x) / n
-    spread = sum((v - mu) ** 2 for v in x)
-    if spread:
-        r = sum((a - mu) * (b - mu) for a, b in zip(x, x[1:], strict=False)) / spread
-        p_serial = _normal_tail((r + 1 / n) * math.sqrt(n))
-    else:
-        p_serial = 0.0
-    return name, min(1.0, 3 * min(p_chi, p_runs, p_serial))
+    n, m = len(token), len(place)
+    p = least_p(np.array([[place[c] for c in token]]), m)[0]
+    if n > DRAWN_LENGTH:
+        return name, float(1 - (1 - min(p, 1.0)) ** 3)  # as of three independent tests
+    return name, float(np.searchsorted(_random_tokens(m, n), p, side="right") / DRAWS)
 
 
 def scan_text(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[int, int, str, float]]]:
-    """Spans of the fixed patterns, and long tokens outside them with encoding and p-value."""
+    """Spans of the fixed patterns, and long tokens and parts outside them with encoding and p-value."""
     spans = []
     if ("=" in text or ":" in text) and _ASSIGN_KEY.search(text):
         spans += [("assign", *m.span()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
@@ -102,11 +116,22 @@ def scan_text(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[int, in
     found = []
     for m in long:
         a, b = m.span()
-        if not any(s < b and a < e for _, s, e in spans) and (r := randomness(m[0])):
-            found.append((a, b, *r))
+        parts = [(a + x.start(), a + x.end()) for x in _PARTS.finditer(m[0])]
+        for c, d in [(a, b), *[x for x in parts if x != (a, b)]]:
+            if not any(s < d and c < e for _, s, e in spans) and (r := randomness(text[c:d])):
+                found.append((c, d, *r))
     return spans, found
 
 
+def pooled(counts: dict[tuple[str, int], list[int]]) -> dict[tuple[str, int], list[int]]:
+    """Per class the cells that its estimate is made of: its own, or those of all small classes of its encoding, or of all small ones."""
+    small = {w: c for w, c in counts.items() if sum(c) < CLASS_TOKENS}
+    add = lambda cells: [sum(x) for x in zip(*cells, strict=True)]
+    of = {e: add([c for (x, _), c in small.items() if x == e]) for e, _ in small}
+    rest = [c for c in of.values() if sum(c) < CLASS_TOKENS]
+    return {w: c if w not in small else of[w[0]] if sum(of[w[0]]) >= CLASS_TOKENS else add(rest) for w, c in counts.items()}
+
+
 _SCANNED = "doc_id long, spans array<struct<kind:string,start:int,end:int>>, found array<struct<start:int,end:int,encoding:string,length:int,cell:int>>"
 
 
@@ -129,20 +154,21 @@ def secret_spans(docs: DataFrame, fdr: float = 0.05, id_col: str = "doc_id", tex
     counts: dict[tuple[str, int], list[int]] = {}
     for r in cells.collect():
         counts.setdefault((r["encoding"], r["length"]), [0] * P_CELLS)[r["cell"]] = r["count"]
-    least = []
-    for (encoding, length), c in counts.items():
+    limits = {}
+    for which, c in pooled(counts).items():
         keys = 2 * sum(c[P_CELLS // 2 :]) / P_CELLS  # expected keys in a cell, as these are uniform
-        for k in range(P_CELLS):
+        for k in range(1, P_CELLS):
             seen = sum(c[k:])
-            if seen and 1 - min(1.0, keys * (P_CELLS - k) / seen) <= fdr and k >= 1:
-                least.append((encoding, length, k))
+            if seen and 1 - min(1.0, keys * (P_CELLS - k) / seen) <= fdr:
+                limits[which] = k
                 break
-    if not least:
-        ok = F.lit(False)
-        chosen = F.filter("found", lambda f: ok)
+    if not limits:
+        chosen = F.filter("found", lambda f: F.lit(False))
     else:
-        limit = F.create_map(*[x for e, n, k in least for x in (F.lit(f"{e}/{n}"), F.lit(k))])
+        limit = F.create_map(*[x for (e, n), k in sorted(limits.items()) for x in (F.lit(f"{e}/{n}"), F.lit(k))])
         chosen = F.filter("found", lambda f: F.coalesce(f["cell"] >= F.try_element_at(limit, F.concat_ws("/", f["encoding"], f["length"].cast("string"))), F.lit(False)))
+    # A part goes with a whole that is reported.
+    chosen = F.filter(chosen, lambda f: ~F.exists(chosen, lambda g: (g["start"] <= f["start"]) & (f["end"] <= g["end"]) & (g["end"] - g["start"] > f["end"] - f["start"])))
     extra = F.transform(chosen, lambda f: F.struct(F.lit("random").alias("kind"), f["start"].alias("start"), f["end"].alias("end")))
     rank = F.create_map(*[x for k, name in enumerate(KINDS) for x in (F.lit(name), F.lit(k))])
     ordered = F.transform(F.array_sort(F.transform(F.concat("spans", extra), lambda s: F.struct(s["start"], rank[s["kind"]].alias("r"), s["end"], s["kind"]))), lambda s: F.struct(s["kind"], s["start"], s["end"]))

@@ -42,9 +42,27 @@ def test_edges_and_random_keys(spark):
     assert secret_spans(df.limit(0)).count() == 0
 
 
-def test_battery():
+def test_keys_are_uniform_in_p():
     rng = random.Random(1)
-    ps = [randomness("".join(rng.choices("0123456789abcdef", k=32)))[1] for _ in range(400)]
-    assert 0.02 < sum(p < 0.1 for p in ps) / 400 < 0.25
-    assert randomness("aaaaaaaaaaaaaaaaaaaaaaaa1")[1] < 1e-6
-    assert randomness("internationalization") is None
+    for letters, n in (("0123456789abcdef", 24), ("0123456789abcdef", 40), (string.ascii_letters + string.digits, 20), (string.ascii_letters + string.digits, 64), (string.ascii_letters + string.digits + "+/", 200)):
+        ps = [randomness("".join(rng.choices(letters, k=n)))[1] for _ in range(1000)]
+        for t in (0.1, 0.25, 0.5, 0.75, 0.9):
+            assert abs(sum(p < t for p in ps) / 1000 - t) < 0.06, (letters, n, t)
+    assert randomness("aaaaaaaaaaaaaaaaaaaaaaaa1")[1] < 0.01 and randomness("internationalization")[1] < 0.05
+    assert randomness("a_b/c" * 5) is None
+
+
+def test_false_discoveries_stay_below_the_rate(spark):
+    rng = random.Random(11)
+    words = "get set user name list view model table index parse token cache event stream build value config render update handler manager service context request response".split()
+    names = ["".join(w.capitalize() for w in rng.choices(words, k=4)) for _ in range(1500)] + ["_".join(rng.choices(words, k=5)) for _ in range(500)] + ["/".join(rng.choices(words, k=5)) for _ in range(500)]
+    letters = string.ascii_letters + string.digits
+    keys = ["".join(rng.choices(letters, k=k)) for k in (20, 24, 32, 40, 64) for _ in range(60)]
+    lone = ["".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", k=32))]  # the only one of its encoding
+    inside = ["https://host/files/" + "".join(rng.choices(letters, k=40)) + "/view" for _ in range(60)]
+    texts = [f"see {t} there" for t in names + keys + lone + inside]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"] for r in secret_spans(df, fdr=0.05).filter("size(spans) > 0").collect()}
+    wrong, right = sum(k < len(names) for k in got), sum(k >= len(names) for k in got)
+    assert wrong <= 0.05 * (wrong + right), (wrong, right)
+    assert right >= 0.8 * (len(texts) - len(names)), right
