@@ -8,7 +8,8 @@ entity c and term t and compares it with the entity's information content:
     PMI(c; t) = log2(n(c,t) N / (n(c) n(t))),  IC(c) = log2(N / n(c))
 
 All four count distinct texts, so that copies count once.  A term whose PMI reaches
-``generalise`` x IC is generalised to a label, one that reaches ``remove`` x IC is removed,
+``generalise`` x IC is generalised to a label that keeps its shape (name, word or acronym)
+and class of length, one that reaches ``remove`` x IC is removed,
 wherever it stands in a document with that entity; at least ``min_contexts`` distinct texts
 with both are asked for.
 
@@ -16,7 +17,8 @@ DataFrame functions only.  Every pattern is written so that it never backtracks
 runs: possessive repeats, and look-behinds that start at the head of a run.
 
 Null text is empty and has no spans; texts are scanned whole; repeated rows get the same
-spans; working columns carry a prefix, so clashing names are safe; an empty table gives
+spans; of an entity and a term at one place the entity goes; rows and texts are told apart by
+64-bit hashes; working columns carry a prefix, so clashing names are safe; an empty table gives
 an empty table.
 """
 
@@ -159,17 +161,26 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return df.select("doc_id", "row", "base", every.alias("spans"))
 
 
+def shape(term: Column) -> Column:
+    """What a generalised term leaves: ``[NAME-M]`` and the like; S has up to 5 letters, M up to 9, L more."""
+    first = F.substring(term, 1, 1)
+    kind = F.when(term == F.upper(term), F.lit("ACRONYM")).when(first != F.lower(first), F.lit("NAME")).otherwise(F.lit("WORD"))
+    size = F.when(F.length(term) <= 5, F.lit("S")).when(F.length(term) <= 9, F.lit("M")).otherwise(F.lit("L"))
+    return F.concat(F.lit("["), kind, F.lit("-"), size, F.lit("]"))
+
+
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", generalise: float = 0.8, remove: float = 0.95, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
-    """``docs`` with every span replaced: patterns and generalised terms by a label, removed terms by nothing."""
+    """``docs`` with every span replaced: patterns by a label, generalised terms by their shape, removed terms by nothing."""
     spans = personal_data(docs, id_col, text_col, generalise, remove, min_contexts).filter(F.size("spans") > 0)
     spans = spans.select(F.col("row").alias(P + "row"), F.col("spans").alias(P + "spans")).dropDuplicates([P + "row"])
     df = docs.withColumn(P + "row", F.xxhash64(F.col(id_col), F.col(text_col))).join(spans, P + "row", "left")
     text = F.col(f"`{text_col}`")
-    label = F.create_map(*[x for k in KINDS for x in (F.lit(k), F.lit("" if k == "removed" else "[TERM]" if k == "generalised" else f"[{k.upper()}]"))])
+    label = F.create_map(*[x for k in KINDS for x in (F.lit(k), F.lit("" if k == "removed" else f"[{k.upper()}]"))])
 
     def step(acc, s):
         fresh = s["start"] >= acc["pos"]
-        out = F.when(fresh, F.concat(acc["out"], F.substring(text, acc["pos"] + 1, s["start"] - acc["pos"]), label[s["kind"]])).otherwise(acc["out"])
+        put = F.when(s["kind"] == "generalised", shape(F.substring(text, s["start"] + 1, s["end"] - s["start"]))).otherwise(label[s["kind"]])
+        out = F.when(fresh, F.concat(acc["out"], F.substring(text, acc["pos"] + 1, s["start"] - acc["pos"]), put)).otherwise(acc["out"])
         return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), out.alias("out"))
 
     clean = F.aggregate(

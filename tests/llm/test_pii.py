@@ -1,7 +1,11 @@
 """Personal data against a plain reading of the patterns, and the disclosure rule on a small corpus."""
 
 import hashlib
+import math
 import re
+from collections import defaultdict
+
+import regex
 
 from tessella.llm.pii import joined, op2_pii, personal_data, sanitise
 
@@ -75,3 +79,54 @@ def test_terms_far_from_the_entity_and_among_copies(spark):
     assert out[:60] == other
     assert all("Zorblatt" not in t and "[EMAIL]" in t for t in out[60:63])
     assert all("Quixley" not in t and "[EMAIL]" in t for t in out[63:])
+
+
+def added(texts, generalise=0.8, remove=0.95, least=3):
+    """The disclosing terms' spans of each text, by plain counting over distinct texts."""
+    term = regex.compile(r"(?<![\p{L}\p{N}@._%+-])\p{L}{3,}+(?![\p{N}@_%+])")
+    once = sorted(set(texts))
+    held, free, of_entity, joint, of_term = {}, {}, defaultdict(int), defaultdict(int), defaultdict(int)
+    for t in once:
+        found = base(t)
+        held[t] = {(k, t[a:b].lower()) for k, a, b in found}
+        free[t] = [(m[0].lower(), *m.span()) for m in term.finditer(t) if not any(a < m.end() and m.start() < b for _, a, b in found)]
+        for e in held[t]:
+            of_entity[e] += 1
+            for w in {x[0] for x in free[t]}:
+                joint[e, w] += 1
+        for w in set(regex.split(r"[^\p{L}]+", t.lower())):
+            of_term[w] += 1
+    out = {}
+    for t in once:
+        kinds = {}
+        for e in held[t]:
+            ic = math.log2(len(once) / of_entity[e])
+            for w in {x[0] for x in free[t]}:
+                if of_entity[e] >= least and joint[e, w] >= least and ic > 0:
+                    pmi = math.log2(joint[e, w] * len(once) / (of_entity[e] * of_term[w]))
+                    if pmi >= generalise * ic:
+                        kinds[w] = max(kinds.get(w, ""), "removed" if pmi >= remove * ic else "generalised")
+        out[t] = {(kinds[w], a, b) for w, a, b in free[t] if w in kinds}
+    return [out[t] for t in texts]
+
+
+def test_added_spans_by_brute_force(spark):
+    docs = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    letters = [(10**6 + k, f"Dear {'Zorblatt' if k % 5 else 'someone'}, {'QUIX' if k < 9 else 'plain'} matter {k} {w} z.b@mail.example.com or +1 (988) 555-2485{' again' * (k % 3)}") for k, w in enumerate(["sun", "moon", "rain", "wind", "snow"] * 3)]
+    letters += [(10**6 + 50 + k, f"Zorblatt alone in text {k}") for k in range(5)]
+    rows = docs + letters + letters[:4] + [(10**6 + 99, letters[0][1])]
+    got = personal_data(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", joined("base").alias("b"), joined("spans").alias("s")).collect()
+    want = defaultdict(list)
+    for (d, t), x in zip(rows, added([t for _, t in rows]), strict=True):
+        want[d].append({f"{k}:{a}:{b}" for k, a, b in [*x, *base(t)]})
+    assert sum(len(x[0]) for x in want.values()) > 30 and len(got) == len(rows)
+    for r in got:
+        assert set(r["s"].split(",")) - {""} == want[r["doc_id"]][0]
+    assert any("generalised" in r["s"] for r in got) and any("removed" in r["s"] for r in got)
+
+
+def test_generalised_terms_keep_their_shape(spark):
+    from tessella.llm.pii import shape
+
+    df = spark.createDataFrame([("Zorblatt", "[NAME-M]"), ("QUIX", "[ACRONYM-S]"), ("plainlyspoken", "[WORD-L]")], "t string, w string")
+    assert all(r["w"] == r["s"] for r in df.select("w", shape(df["t"]).alias("s")).collect())
