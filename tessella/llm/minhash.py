@@ -13,8 +13,14 @@ that forms them keeps those that pass the sketch; large buckets are cut into til
 tasks compare all their pairs and return no more links than they have members.
 Components are as of all pairs, since a pair within one component adds nothing.
 
-Null or empty text has an empty set, links with nothing and is kept; a null id links with
-nothing; repeated rows share their id and their component; texts are read whole.
+Shingles are told apart by 64-bit hashes in ``n_shingles`` and in tiles; pairs met singly are
+confirmed on the words themselves.
+
+Null or empty text has an empty set, links with nothing and is kept, also beside a row with
+words of the same id; a null id links with nothing; repeated rows share their id and their
+component; a pair at exactly the threshold is linked; texts are read whole; columns other
+than the two named are not read, so clashing names are safe; an empty table gives an empty
+table.
 """
 
 from __future__ import annotations
@@ -46,6 +52,8 @@ _PLACE = _rng.integers(1, 2**63, 16, dtype=np.uint64) | np.uint64(1)
 MAX_WORDS = 400_000
 #: Members up to which a bucket's pairs are formed singly; rows and shingles of a tile's side; columns of its matrices at a time.
 SMALL, TILE_ROWS, TILE_SHINGLES, TILE_COLUMNS = 16, 1024, 500_000, 4096
+#: Links of one document that one task confirms; one with more has copies of its text and sketch dealt by salt.
+HUB_LINKS = 256
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -166,8 +174,22 @@ def _packed_texts(texts: DataFrame, ids: DataFrame) -> DataFrame:
     return cut(texts.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(run, "doc_id long, packed binary"), "texts")
 
 
-def _confirm(pairs: DataFrame, packed: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose full sets of shingles reach the threshold."""
+def _attached(met: DataFrame, hubs: DataFrame, table: DataFrame) -> DataFrame:
+    """``met`` (end, doc, copies) with ``table``'s columns as structs x of the end and y of the other.
+
+    An end may be met by very many, so its row is copied (``hubs``: end, copies) and pairs
+    choose a copy by the other document's hash.
+    """
+    row = F.struct(*[c for c in table.columns if c != "doc_id"])
+    copied = table.withColumnRenamed("doc_id", "end").withColumn("x", row).select("end", "x").join(hubs.hint("merge"), "end")
+    copied = copied.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    salted = met.withColumn("salt", F.pmod(F.xxhash64("doc"), F.col("copies")).cast("int"))
+    other = table.withColumn("y", row).select(F.col("doc_id").alias("doc"), "y")
+    return salted.join(copied.hint("merge"), ["end", "copies", "salt"]).join(other.hint("merge"), "doc")
+
+
+def _confirm(met: DataFrame, hubs: DataFrame, packed: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of ``met`` whose full sets of shingles reach the threshold."""
 
     def run(batches):
         kept: tuple[bytes, set] = (b"", set())
@@ -181,8 +203,8 @@ def _confirm(pairs: DataFrame, packed: DataFrame, width: int, num: int, den: int
                 out.append(bool(both) and den * both >= num * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(out, pa.bool_()))
 
-    t, u = packed.toDF("a", "t").hint("merge"), packed.toDF("b", "u").hint("merge")
-    return cut(pairs.join(t, "a").join(u, "b").select("a", "b", "t", "u").mapInArrow(run, "a long, b long").distinct(), "confirmed")
+    both = _attached(met, hubs, packed).select(F.least("end", "doc").alias("a"), F.greatest("end", "doc").alias("b"), "x.packed", F.col("y.packed").alias("other"))
+    return cut(both.mapInArrow(run, "a long, b long").distinct(), "confirmed")
 
 
 def linked_in_tile(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -262,18 +284,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     sketch = reps.drop("bands")
     limit = sketch_limit(num, den)
 
-    def sketched(pairs: DataFrame) -> DataFrame:
-        x, y = sketch.withColumnRenamed("doc_id", "a").alias("x"), sketch.withColumnRenamed("doc_id", "b").alias("y")
-        return cut(pairs.join(x, "a").join(y, "b").filter(_apart("x", "y") <= limit).select("a", "b").distinct(), "candidates")
-
     # Round 1: every member of a bucket with the bucket's least and greatest documents.
     members = reps.select(F.explode("bands").alias("band"), "doc_id")
     buckets = members.groupBy("band").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).filter("first < last")
     inside = cut(members.join(cut(buckets, "buckets").hint("merge"), "band"), "inside")
     packed = _packed_texts(texts, inside.select("doc_id").distinct())
-    ends = inside.select("doc_id", F.explode(F.array("first", "last")).alias("end")).filter("doc_id != end")
-    met = cut(ends.select(F.least("doc_id", "end").alias("a"), F.greatest("doc_id", "end").alias("b")).distinct(), "met")
-    links = _confirm(sketched(met), packed, width, num, den)
+    # A bucket's size bounds the links that it gives its two ends; copies are powers of two, few for each end.
+    copies = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.col("n") / HUB_LINKS, F.lit(1.0))))).cast("int").alias("copies")
+    hubs = cut(inside.select("first", "last", copies).distinct().select(F.explode(F.array("first", "last")).alias("end"), "copies").distinct(), "hubs")
+    ends = inside.select("doc_id", F.explode(F.array("first", "last")).alias("end"), copies).filter("doc_id != end")
+    one = F.max(F.struct("copies", "end", F.col("doc_id").alias("doc"))).alias("m")
+    met = ends.groupBy(F.least("doc_id", "end").alias("a"), F.greatest("doc_id", "end").alias("b")).agg(one)
+    met = cut(met.select("a", "b", "m.*"), "met")
+    alike = cut(_attached(met.drop("a", "b"), hubs, sketch.drop("size")).filter(_apart("x", "y") <= limit).select("end", "doc", "copies"), "candidates")
+    links = _confirm(alike, hubs, packed, width, num, den)
     comp = components(links)
     # Round 2: pairs of different components that are left, singly in small buckets, by tiles in large ones.
     own = cut(inside.join(comp, F.col("doc_id") == F.col("node"), "left").select("band", "doc_id", "n", F.coalesce("component", "doc_id").alias("comp")), "members")
@@ -282,8 +306,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     x, y = full.filter(F.col("n") <= SMALL).alias("x"), full.filter(F.col("n") <= SMALL).alias("y")
     joined = (F.col("x.band") == F.col("y.band")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.comp") != F.col("y.comp")) & (_apart("x", "y") <= limit)
     pairs = x.join(y, joined).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-    left = cut(pairs.join(met, ["a", "b"], "left_anti"), "candidates")
-    more = cut(_confirm(left, packed, width, num, den).union(_tile_links(full.filter(F.col("n") > SMALL), packed, width, num, den, limit)), "confirmed")
+    left = cut(pairs.join(met.select("a", "b"), ["a", "b"], "left_anti").select(F.col("a").alias("end"), F.col("b").alias("doc"), F.lit(1).alias("copies")), "candidates")
+    once = left.select("end", "copies").distinct()  # a document of small buckets has few links
+    more = cut(_confirm(left, once, packed, width, num, den).union(_tile_links(full.filter(F.col("n") > SMALL), packed, width, num, den, limit)), "confirmed")
     if more.take(1):
         links = links.union(more)
         comp = components(links)
@@ -294,7 +319,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
         of = nodes.select("doc_id", F.col("doc_id").alias("rep")).distinct()
     found = cut(of.join(comp, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("component", "rep").alias("component_id")), "found")
     out = signed.select("doc_id", F.col("n").alias("n_shingles")).join(found, "doc_id", "left")
-    own_id = F.coalesce("component_id", "doc_id")
+    own_id = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", own_id.alias("component_id"), F.coalesce(F.col("doc_id") == own_id, F.lit(True)).alias("kept"))
 
 
@@ -305,8 +330,12 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: in
     out = docs.join(ids.withColumnRenamed("doc_id", "__n_id"), F.col(id_col).cast("long") == F.col("__n_id"), "left")
     out = out.filter(F.col("__n_id").isNotNull() | F.col(id_col).isNull())
     if ids.filter("__n_rows > 1").take(1):
-        several = out.filter("__n_rows > 1").dropDuplicates([id_col])
-        out = out.filter("__n_rows = 1 OR __n_rows IS NULL").unionByName(several)
+        # The row with the least text, and of those the least hash, so that reruns agree.
+        cols = [F.col(f"`{c}`") for c in docs.columns]
+        first = F.min_by(F.struct(*cols), F.struct(F.col(f"`{text_col}`"), F.xxhash64(*[c for c in cols])))
+        several = out.filter("__n_rows > 1").groupBy("__n_id").agg(first.alias("__n_row")).select("__n_row.*")
+        out = out.select(*cols, "__n_rows")
+        out = out.filter("__n_rows = 1 OR __n_rows IS NULL").drop("__n_rows").unionByName(several)
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
