@@ -192,8 +192,8 @@ def _copies(packed: DataFrame) -> DataFrame:
 
 
 def _keys(h: np.ndarray) -> np.ndarray:
-    """56-bit anchor keys."""
-    return h >> np.uint64(8)
+    """56-bit anchor keys; hashed again, as anchors are the least of their neighbours."""
+    return mixed(h) >> np.uint64(8)
 
 
 def _repeated(units: Units, packed: DataFrame, total: int) -> DataFrame:
@@ -239,11 +239,12 @@ def _sequences(starts: np.ndarray, windows: np.ndarray) -> np.ndarray:
 
 
 _SEGMENTS = "bucket int, chunk long, doc long, places binary, piece binary"
+_ONCE = np.int32(1).tobytes()
 _MARKS = "chunk long, start int, step int, count int, windows int"
 
 
 def _segments(units: Units, packed: DataFrame, repeated: DataFrame, buckets: int) -> DataFrame:
-    """A row per segment with its places in the chunk; rows without a piece hold marks that the chunk itself can tell."""
+    """A row per segment with its places in the chunk as (first, step, count); rows without a piece hold marks that the chunk itself can tell."""
     kinds = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("doc", pa.int64()), ("places", pa.binary()), ("piece", pa.binary())])
 
     def cut_out(chunk, ids, s, start, at, doc, hot, g):
@@ -256,25 +257,43 @@ def _segments(units: Units, packed: DataFrame, repeated: DataFrame, buckets: int
         base, size, owner = start[first], start[last] - start[first] + length, doc[first]
         number = np.array([ids[d] for d in owner.tolist()], np.int64)
         raw, order = s.tobytes(), np.lexsort((base, number))
-        seen: dict[bytes, list] = {}  # per piece the document, then its places there
+        begin, end, docs = (base * w).tolist(), ((base + size) * w).tolist(), number.tolist()
+        seen: dict[bytes, int] = {}
+        more: dict[bytes, list[int]] = {}  # further places of a piece in its first document
         known = []
         for j in order.tolist():
-            piece = raw[base[j] * w : (base[j] + size[j]) * w]
-            before = seen.get(piece)
-            if before is None:
-                seen[piece] = [j, base[j]]
-            elif units.within or number[before[0]] < number[j]:
+            piece = raw[begin[j] : end[j]]
+            before = seen.setdefault(piece, j)
+            if before == j:
+                continue
+            if units.within or docs[before] < docs[j]:
                 known.append(j)
             else:
-                before.append(base[j])
-        single = hot[first]
-        bucket = (mixed(_keys(g[at[first]])) % np.uint64(buckets)).astype(np.int64)
+                more.setdefault(piece, []).append(j)
+        js = np.fromiter(seen.values(), np.int64, len(seen))
+        bucket = (mixed(_keys(g[at[first[js]]])) % np.uint64(buckets)).astype(np.int64).tolist()
+        for i in np.flatnonzero(hot[first[js]]).tolist():
+            bucket[i] = xxhash.xxh64_intdigest(raw[begin[js[i]] : end[js[i]]]) % buckets
+        one = np.ones((len(js), 3), np.int32)
+        one[:, 0] = base[js]
+        one = one.tobytes()
+        places = [one[k : k + 12] for k in range(0, len(one), 12)]
+        pieces, number = list(seen), number[js].tolist()
+        if more:
+            where = {piece: k for k, piece in enumerate(pieces)}
+            for piece, rest in more.items():
+                at = base[[seen[piece], *rest]]
+                places[where[piece]] = progressions(at, np.zeros(len(at), bool)).tobytes()
         if known:
             told = _sequences(base[known], size[known] - length + 1)
-            yield chunk % buckets, chunk, None, told.tobytes(), None
-        for piece, (j, *places) in seen.items():
-            to = xxhash.xxh64_intdigest(piece) % buckets if single[j] else int(bucket[j])
-            yield to, chunk, int(number[j]), progressions(np.array(places), np.zeros(len(places), bool)).tobytes(), piece
+            bucket.append(chunk % buckets)
+            number.append(0)
+            places.append(told.tobytes())
+            pieces.append(None)
+        for a in range(0, len(pieces), BATCH_SEGMENTS):
+            cols = [x[a : a + BATCH_SEGMENTS] for x in (bucket, number, places, pieces)]
+            cols.insert(1, [chunk] * len(cols[0]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds.types, strict=True)], schema=kinds)
 
     def send(batches):
         hashes = WordHashes()
@@ -289,14 +308,7 @@ def _segments(units: Units, packed: DataFrame, repeated: DataFrame, buckets: int
                 some = often > 0
                 if not some.any():
                     continue
-                rows = []
-                for row in cut_out(chunk, ids, s, start[some], at[some], doc[some], often[some] > 1, g):
-                    rows.append(row)
-                    if len(rows) == BATCH_SEGMENTS:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.types, strict=True)], schema=kinds)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.types, strict=True)], schema=kinds)
+                yield from cut_out(chunk, ids, s, start[some], at[some], doc[some], often[some] > 1, g)
 
     known = packed.join(by_owner(repeated, "often"), F.col("chunk") == F.col("owner")).drop("owner")
     return known.mapInArrow(send, _SEGMENTS)
@@ -307,21 +319,21 @@ def _marks(units: Units, segments: DataFrame) -> DataFrame:
     w, length, kernel = units.width, units.length, units.kernel
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        told: list[tuple[int, np.ndarray]] = []
         own = pdf["piece"].isna().to_numpy()
-        for chunk, x in zip(pdf["chunk"][own], pdf["places"][own], strict=True):
-            told.append((chunk, np.frombuffer(x, np.int32).reshape(-1, 4)))
+        told = [(c, np.frombuffer(x, np.int32).reshape(-1, 4)) for c, x in zip(pdf["chunk"][own], pdf["places"][own], strict=True)]
         rest = pdf[~own]
-        chunk, docs = rest["chunk"].to_numpy(), rest["doc"].to_numpy(np.int64)
-        places = [np.frombuffer(x, np.int32).reshape(-1, 3) for x in rest["places"]]
-        order = np.lexsort(([int(x[0, 0]) for x in places], chunk, docs)) if len(rest) else []
-        data, pieces, number, where, same = rest["piece"].tolist(), [], [], {}, []
+        chunk, docs, places, data = rest["chunk"].tolist(), rest["doc"].astype("int64").tolist(), rest["places"].tolist(), rest["piece"].tolist()
+        begin = np.frombuffer(b"".join(x[:4] for x in places), np.int32)
+        order = np.lexsort((begin, chunk, docs)).tolist() if len(rest) else []
+        begin, pieces, number, where, same = begin.tolist(), [], [], {}, []
+        single: list[tuple[int, int, int, int, int]] = []
 
         def tell(j, a, n):
-            rows = np.empty((len(places[j]), 4), np.int32)
-            rows[:, :3], rows[:, 3] = places[j], n
-            rows[:, 0] += a
-            told.append((chunk[j], rows))
+            if places[j][8:] == _ONCE:
+                single.append((chunk[j], begin[j] + a, 1, 1, n))
+                return
+            x = np.frombuffer(places[j], np.int32).reshape(-1, 3)
+            told.append((chunk[j], np.concatenate([x, np.full((len(x), 1), n, np.int32)], 1) + np.array([a, 0, 0, 0], np.int32)))
 
         for j in order:
             k = where.setdefault(data[j], len(pieces))
@@ -334,13 +346,14 @@ def _marks(units: Units, segments: DataFrame) -> DataFrame:
             else:
                 same[k].append(j)  # the same document again: as the first
         for k, flags in enumerate(kernel(pieces, np.array(number, np.int64)) if len(pieces) > 1 else []):
-            for a, e in zip(*_runs(flags), strict=True):
-                for j in same[k]:
-                    tell(j, a, e - a)
-        rows = np.concatenate([np.zeros((0, 4), np.int32), *[x for _, x in told]])
-        out = pd.DataFrame(rows, columns=["start", "step", "count", "windows"])
-        out.insert(0, "chunk", np.repeat(np.array([c for c, _ in told], np.int64), [len(x) for _, x in told]))
-        return out
+            if flags.any():
+                for a, e in zip(*[x.tolist() for x in _runs(flags)], strict=True):
+                    for j in same[k]:
+                        tell(j, a, e - a)
+        rows = [np.array(single, np.int64).reshape(-1, 5)]
+        rows += [np.concatenate([np.full((len(x), 1), c, np.int64), x], 1) for c, x in told]
+        out = pd.DataFrame(np.concatenate(rows), columns=["chunk", "start", "step", "count", "windows"])
+        return out.astype({c: "int32" for c in out.columns[1:]})
 
     return segments.groupBy("bucket").applyInPandas(solve, _MARKS)
 
