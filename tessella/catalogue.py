@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import partial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,10 +13,11 @@ from tessella.functions import hashing as H
 from tessella.functions import losses as L
 from tessella.operators import clustering, factorization, frame, linalg, metrics
 from tessella.operators import updaters as U
+from tessella.plans import apps
 from tessella.plans import tables as T
 from tessella.plans import trainers
 from tessella.plans.config import Embedding, LearnConfig
-from tessella.plans.lbfgs import LBFGS
+from tessella.plans.lbfgs import LBFGS, pseudo_gradient
 from tessella.plans.tables import EVENTS_SQL, ORDERS_SQL, QUALITY_SQL, key_sql, md5_sql, weight_sql
 from tessella.sources import files, formats
 from tessella.streaming import online
@@ -289,10 +292,14 @@ def negative_downsample(spark, sf_dir):
     return frame.downsample_negatives(rows, H.bernoulli(F.col("row_id"), 9, 300)).select("row_id", (F.col("label") > 0).alias("positive"))
 
 
-@query("SELECT least((l_orderkey - 0) // 1500, 9) AS part, count(*) AS n, min(l_orderkey) AS lo, max(l_orderkey) AS hi FROM lineitem WHERE l_orderkey < 15000 GROUP BY 1")
+@query(
+    "WITH b AS (SELECT min(l_orderkey) AS lo, max(l_orderkey) + 1 AS hi FROM lineitem) "
+    "SELECT least((l_orderkey - b.lo) // greatest((b.hi - b.lo) // 10, 1), 9) AS part, count(*) AS n, min(l_orderkey) AS lo, max(l_orderkey) AS hi FROM lineitem, b GROUP BY 1"
+)
 def range_segment(spark, sf_dir):
-    keys = table(spark, sf_dir, "lineitem").filter("l_orderkey < 15000")
-    return keys.groupBy(frame.segment_of(F.col("l_orderkey"), 0, 15000, 10).alias("part")).agg(F.count("*").alias("n"), F.min("l_orderkey").alias("lo"), F.max("l_orderkey").alias("hi"))
+    keys = table(spark, sf_dir, "lineitem")
+    lo, hi = keys.agg(F.min("l_orderkey"), F.max("l_orderkey") + 1).first()
+    return keys.groupBy(frame.segment_of(F.col("l_orderkey"), lo, hi, 10).alias("part")).agg(F.count("*").alias("n"), F.min("l_orderkey").alias("lo"), F.max("l_orderkey").alias("hi"))
 
 
 @query()
@@ -332,8 +339,12 @@ def ftrl_step(spark, sf_dir):
     return _first_push(spark, sf_dir, U.FTRL())
 
 
-def _ftrl_sql(batches: int, size: int) -> str:
-    """Unrolled: one block of CTEs a batch."""
+#: Three minibatches cover the table.
+_THIRD = "((SELECT count(*) FROM events) // 3 + 1)"
+
+
+def _ftrl_ctes(batches: int, size: str) -> str:
+    """Unrolled: one block of CTEs a batch; the state after all of them is s<batches>."""
     out = [f"{EVENTS_SQL}, nb AS (SELECT row_id, (row_number() OVER (ORDER BY row_id) - 1) // {size} AS b FROM er)", "s0 AS (SELECT 0::BIGINT AS index, 0.0E0 AS w, 0.0E0 AS z, 0.0E0 AS n WHERE false)"]
     for k in range(batches):
         out += [
@@ -345,12 +356,13 @@ def _ftrl_sql(batches: int, size: int) -> str:
             f"u{k} AS (SELECT index, g, w, CASE WHEN g IS NULL THEN z ELSE z + g - (sqrt(n * n + g * g) - n) / 0.1E0 * w END AS z, CASE WHEN g IS NULL THEN n ELSE sqrt(n * n + g * g) END AS n FROM j{k})",
             f"s{k + 1} AS (SELECT index, CASE WHEN g IS NULL THEN w ELSE {_prox('-z', '((1 + n) / 0.1E0)')} END AS w, z, n FROM u{k})",
         ]
-    return ",\n".join(out) + f"\nSELECT index, {rs('w')} AS w, {rs('z')} AS z, {rs('n')} AS n FROM s{batches}"
+    return ",\n".join(out)
 
 
-@query(_ftrl_sql(3, 300))
+@query(f"{_ftrl_ctes(3, _THIRD)} SELECT index, {rs('w')} AS w, {rs('z')} AS z, {rs('n')} AS n FROM s3")
 def ftrl_three_batches(spark, sf_dir):
-    rows = frame.minibatches(T.events_rows(spark, sf_dir), 300).persist()
+    rows = T.events_rows(spark, sf_dir)
+    rows = frame.minibatches(rows, rows.count() // 3 + 1).persist()
     rule, state = U.FTRL(), trainers.empty_state(spark, U.FTRL())
     for k in range(3):
         part = rows.filter(F.col("batch_id") == k)
@@ -374,11 +386,33 @@ def sgd_fit(spark, sf_dir):
     return spark.createDataFrame([(h["pass"], h["train"]["n_rows"], h["train"]["logloss"], h["train"]["auc"]) for h in history], "pass int, n_rows long, logloss double, auc double").crossJoin(U.nnz(model.state))
 
 
-@query()
+@query(
+    f"{_ftrl_ctes(3, _THIRD)}, fm AS (SELECT row_id, label, coalesce(sum(value * w), 0) AS margin FROM tr LEFT JOIN s3 USING (index) GROUP BY ALL) "
+    f"SELECT row_id, label, {rs('margin', 5)} AS margin, {rs(_SIGMOID.format('margin'), 5)} AS prediction FROM fm"
+)
 def ftrl_fit_predict(spark, sf_dir):
     rows = T.events_rows(spark, sf_dir)
-    model, _ = trainers.train_linear(rows, LearnConfig(minibatch=rows.count() // 3 + 1, max_data_pass=1))
-    return model.transform(rows).select("row_id", "label", "margin", "prediction")
+    model, _ = trainers.train_linear(rows, LearnConfig(minibatch=rows.count() // 3 + 1, max_data_pass=1, rand_shuffle=0))
+    return model.transform(rows).select("row_id", "label", r("margin", 5).alias("margin"), r("prediction", 5).alias("prediction"))
+
+
+# Ids of 2**63 and more are negative longs; the model's bias has no id.
+_HIGH = "CASE WHEN index % 2 = 0 THEN index ELSE index - 9223372036854775807 - 1 END"
+
+
+@query(
+    f"{EVENTS_SQL}, hi AS (SELECT row_id, label, value, {_HIGH} AS index FROM tr), hm AS (SELECT row_id, label, sum(value * {weight_sql('index')}) + 0.25E0 AS margin FROM hi GROUP BY ALL) "
+    f"SELECT row_id, label, {rs('margin')} AS margin, {rs(_SIGMOID.format('margin'))} AS prediction FROM hm"
+)
+def batch_predict(spark, sf_dir):
+    def high(f):
+        return F.struct(F.when(f["index"] % 2 == 0, f["index"]).otherwise(f["index"].bitwiseXOR(F.lit(-(1 << 63)))).alias("index"), f["value"].alias("value"))
+
+    rows = T.events_rows(spark, sf_dir).withColumn("features", F.transform("features", high))
+    model, path = T.hash_model(frame.triplets(rows)), files.scratch(spark, "model")
+    model.unionByName(spark.createDataFrame([(None, 0.25)], "index long, w double")).write.parquet(path)
+    out = apps.predicted(rows, spark.read.parquet(path))
+    return out.select("row_id", "label", r("margin").alias("margin"), r("prediction").alias("prediction"))
 
 
 @query()
@@ -438,41 +472,38 @@ def kmeans_fit(spark, sf_dir):
 _NLL = f"(label * {_SOFTPLUS.format('-margin')} + (1 - label) * {_SOFTPLUS.format('margin')})"
 
 
-def _nll():
-    return L.logistic_nll(F.col("label"), F.col("margin"))
+def _linear_objective(spark, sf_dir):
+    """The solver's objective on orders, the ids of its coordinates, and the hash weights with a bias of 0."""
+    target = trainers.LinearObjective(T.orders_rows(spark, sf_dir), l2=0.1)
+    at = target.dictionary.select("local_id", "index", T.hash_weight(F.col("index")).alias("w")).toArrow().sort_by("local_id")  # one row a coordinate
+    return target, at["index"], np.append(at["w"].to_numpy(), 0.0)
+
+
+def _by_index(spark, ids, x, name):
+    return spark.createDataFrame(pa.table({"index": ids, name: x}))
 
 
 @query(f"{ORDERS_SQL}, mw AS (SELECT DISTINCT index, {weight_sql('index')} AS w FROM tr) SELECT {rs(f'(SELECT sum({_NLL}) FROM mg) + 0.5E0 * 0.1E0 * (SELECT sum(w * w) FROM mw)', 4)} AS smooth, {rs('0.3E0 * (SELECT sum(abs(w)) FROM mw)', 4)} AS l1 ")
 def lbfgs_objective(spark, sf_dir):
-    rows = T.orders_rows(spark, sf_dir)
-    model = T.hash_model(frame.triplets(rows))
-    loss = T.margins(rows).agg(F.sum(_nll()).alias("loss"))
-    norms = model.agg((0.05 * F.sum(F.col("w") * F.col("w"))).alias("ridge"), (0.3 * F.sum(F.abs("w"))).alias("l1"))
-    return loss.crossJoin(norms).select(r(F.col("loss") + F.col("ridge"), 4).alias("smooth"), r("l1", 4).alias("l1"))
+    target, _, w = _linear_objective(spark, sf_dir)
+    return spark.createDataFrame([(target.value(w), LBFGS(l1=0.3).total(0.0, w))], "smooth double, l1 double").select(r("smooth", 4).alias("smooth"), r("l1", 4).alias("l1"))
 
 
 _LIN_GRAD = f"""{ORDERS_SQL}, dg AS (SELECT row_id, {_SIGMOID.format('margin')} - label AS d FROM mg),
 gr AS (SELECT index, sum(value * d) + 0.1E0 * {weight_sql('index')} AS g, {weight_sql('index')} AS w FROM tr JOIN dg USING (row_id) GROUP BY index)"""
 
 
-def _linear_gradient(spark, sf_dir):
-    rows = T.orders_rows(spark, sf_dir)
-    tri = frame.triplets(rows)
-    dual = T.margins(rows).select("row_id", (L.sigmoid(F.col("margin")) - F.col("label")).alias("d"))
-    return linalg.spmv_t(tri, dual).withColumn("w", T.hash_weight(F.col("index"))).withColumn("g", F.col("g") + 0.1 * F.col("w"))
-
-
 @query(f"{_LIN_GRAD} SELECT index, {rs('g', 5)} AS g FROM gr")
 def lbfgs_gradient(spark, sf_dir):
-    return _linear_gradient(spark, sf_dir).select("index", r("g", 5).alias("g"))
+    target, ids, w = _linear_objective(spark, sf_dir)
+    return _by_index(spark, ids, target.value_and_grad(w)[1][:-1], "g").select("index", r("g", 5).alias("g"))
 
 
 @query(f"{_LIN_GRAD} SELECT index, {rs('CASE WHEN w > 0 THEN -g - 0.3E0 WHEN w < 0 THEN -g + 0.3E0 WHEN g < -0.3E0 THEN -g - 0.3E0 WHEN g > 0.3E0 THEN -g + 0.3E0 ELSE 0.0E0 END', 5)} AS steepest FROM gr")
 def owlqn_pseudo_gradient(spark, sf_dir):
-    w, g, l1 = F.col("w"), F.col("g"), 0.3
-    at_zero = F.when(g < -l1, -g - l1).when(g > l1, -g + l1).otherwise(F.lit(0.0))
-    steepest = F.when(w > 0, -g - l1).when(w < 0, -g + l1).otherwise(at_zero)
-    return _linear_gradient(spark, sf_dir).select("index", r(steepest, 5).alias("steepest"))
+    target, ids, w = _linear_objective(spark, sf_dir)
+    steepest = pseudo_gradient(w, target.value_and_grad(w)[1], 0.3)
+    return _by_index(spark, ids, steepest[:-1], "steepest").select("index", r("steepest", 5).alias("steepest"))
 
 
 @query()

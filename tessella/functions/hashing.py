@@ -45,6 +45,11 @@ def unsigned_order(x: Column) -> Column:
     return x.bitwiseXOR(F.lit(-(1 << 63)))
 
 
+def unsigned_text(x: Column) -> Column:
+    """A 64-bit id taken as unsigned, in decimal digits."""
+    return F.when(x >= 0, x.cast("string")).otherwise(F.conv(F.hex(x), 16, 10))
+
+
 def bernoulli(key: Column, seed: int, per_thousand: int) -> Column:
     """True for about ``per_thousand`` of 1000 keys, the same ones on every run."""
     return md5_60(F.concat_ws("#", key.cast("string"), F.lit(str(seed)))) % 1000 < per_thousand

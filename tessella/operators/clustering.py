@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.losses import cosine_score, unit
+from tessella.sources.files import written
 
 
 def initial_centroids(vectors: DataFrame, k: int, seed: int = 0) -> DataFrame:
@@ -53,3 +54,45 @@ def fit(vectors: DataFrame, k: int, max_iter: int, seed: int = 0, init: DataFram
             raise ValueError("a cluster is empty: use fewer clusters, or empty='keep'")
         centroids = spark.createDataFrame([(r["cluster"], r["centroid"]) for r in rows], "cluster int, centroid array<double>")
     return centroids
+
+
+def _at_unit_length(sums: DataFrame) -> DataFrame:
+    """(cluster, index, w) at unit length of sums (cluster, index, x)."""
+    norms = sums.groupBy("cluster").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    return sums.join(norms, "cluster").select("cluster", "index", (F.col("x") / F.greatest("norm", F.lit(1e-300))).alias("w"))
+
+
+def assign_sparse(rows: DataFrame, centroids: DataFrame, k: int) -> DataFrame:
+    """``rows`` with ``cluster``: the best centroid (cluster, index, w) by cosine; ties and rows without a match go to the lowest.
+
+    A row's products with all k centroids are k sums of one aggregate, so entries shuffle
+    once and no dense vector is made.
+    """
+    flat = rows.select("row_id", F.explode("features").alias("f")).select("row_id", F.col("f.index").alias("index"), F.col("f.value").alias("value"))
+    wide = centroids.groupBy("index").agg(*[F.sum(F.when(F.col("cluster") == c, F.col("w"))).alias(f"w{c}") for c in range(k)])
+    dots = flat.join(wide, "index").groupBy("row_id").agg(*[F.coalesce(F.sum(F.col("value") * F.col(f"w{c}")), F.lit(0.0)).alias(f"y{c}") for c in range(k)])
+    best = F.array_max(F.array(*[F.struct(F.col(f"y{c}").alias("y"), F.lit(-c).alias("minus")) for c in range(k)]))
+    found = dots.select("row_id", (-best["minus"]).alias("cluster"))
+    return rows.join(found, "row_id", "left").withColumn("cluster", F.coalesce("cluster", F.lit(0)))
+
+
+def fit_sparse(rows: DataFrame, k: int, max_iter: int, seed: int = 0, empty: str = "error") -> DataFrame:
+    """(cluster, centroid) of sparse rows: work goes with stored entries; only the k centroids returned are dense."""
+    rows = rows.persist()
+    picks = rows.orderBy(F.xxhash64("row_id", F.lit(seed)), "row_id").limit(k).select("row_id").collect()  # k rows
+    first = rows.sparkSession.createDataFrame([(c, r["row_id"]) for c, r in enumerate(picks)], "cluster int, row_id long")
+    entries = lambda df: df.select("cluster", F.explode("features").alias("f")).groupBy("cluster", F.col("f.index").alias("index"))
+    centroids = written(_at_unit_length(entries(rows.join(first, "row_id")).agg(F.sum("f.value").alias("x"))), "centroids")
+    for _ in range(max_iter):
+        sums = entries(assign_sparse(rows, centroids, len(picks))).agg(F.sum("f.value").alias("x"))
+        new = written(_at_unit_length(sums), "centroids")
+        missing = centroids.join(new.select("cluster").distinct(), "cluster", "left_anti")
+        if missing.take(1):
+            if empty == "error":
+                raise ValueError("a cluster is empty: use fewer clusters, or empty='keep'")
+            new = written(new.unionByName(missing), "centroids")
+        centroids = new
+    dim = (rows.select(F.explode("features").alias("f")).agg(F.max("f.index")).first()[0] or 0) + 1
+    by = centroids.groupBy("cluster").agg(F.map_from_entries(F.collect_list(F.struct("index", "w"))).alias("m"))
+    dense = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(dim - 1).cast("long")), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
+    return by.select("cluster", dense.alias("centroid"))

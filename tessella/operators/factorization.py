@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions.hashing import unsigned_order, unsigned_text
 from tessella.functions.losses import logistic_nll
 from tessella.operators.linalg import spmv, spmv_t
 
@@ -53,6 +54,6 @@ def objective(scored: DataFrame, model: DataFrame, l2: float, l2_v: float) -> Da
 
 def dump(model: DataFrame, bias: float) -> DataFrame:
     """Text rows of a model: index, w and V by tabs, the bias last."""
-    line = F.concat_ws("\t", F.col("index").cast("string"), F.col("w").cast("string"), F.col("v").cast("array<string>"))
+    line = F.concat_ws("\t", unsigned_text(F.col("index")), F.col("w").cast("string"), F.col("v").cast("array<string>"))
     last = model.sparkSession.createDataFrame([(f"bias\t{bias}",)], "value string")
-    return model.orderBy("index").select(line.alias("value")).union(last)
+    return model.orderBy(unsigned_order(F.col("index"))).select(line.alias("value")).union(last)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.hashing import unsigned_mod, unsigned_order
+from tessella.sources.files import written
 
 FEATURES = "array<struct<index:bigint,value:double>>"
 
@@ -53,11 +54,11 @@ def dictionary(tri: DataFrame) -> DataFrame:
     """(index, count, local_id): dense ids in unsigned order of the index.
 
     Range partitions are numbered apart and then shifted by the sizes of those before, so
-    that no task holds all indices.
+    that no task holds all indices.  They are written first: both branches read one table.
     """
     counted = unique_index(tri).withColumn("o", unsigned_order(F.col("index")))
     parts = max(1, int(tri.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = counted.repartitionByRange(parts, "o").withColumn("part", F.spark_partition_id()).persist()
+    ranged = written(counted.repartitionByRange(parts, "o").withColumn("part", F.spark_partition_id()), "ranged")
     sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))  # one row a partition
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     shift = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
@@ -73,10 +74,10 @@ def remap(tri: DataFrame, dic: DataFrame) -> DataFrame:
 def minibatches(rows: DataFrame, size: int, order: str = "row_id") -> DataFrame:
     """Adds ``batch_id``: ``size`` rows each in order, the last one may be short.
 
-    Rows are numbered within range partitions and shifted, as for dictionaries.
+    Rows are numbered within range partitions, written first, and shifted, as for dictionaries.
     """
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = rows.repartitionByRange(parts, order).withColumn("__part", F.spark_partition_id()).persist()
+    ranged = written(rows.repartitionByRange(parts, order).withColumn("__part", F.spark_partition_id()), "ranged")
     sizes = ranged.groupBy("__part").agg(F.count("*").alias("n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     shift = sizes.select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__shift"))

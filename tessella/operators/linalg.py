@@ -20,6 +20,12 @@ def spmv_t(tri: DataFrame, d: DataFrame, by: str = "d", out: str = "g") -> DataF
     return tri.join(d, "row_id").groupBy("index").agg(F.sum(F.col("value") * F.col(by)).alias(out))
 
 
+def rows_t(rows: DataFrame, by: str = "d", out: str = "g") -> DataFrame:
+    """(index, g): g = D' d for rows that carry their features and ``d``; only the grouped sum shuffles."""
+    flat = rows.select(F.col(by), F.explode("features").alias("f"))
+    return flat.groupBy("f.index").agg(F.sum(F.col("f.value") * F.col(by)).alias(out))
+
+
 def spmm(tri: DataFrame, m: DataFrame, out: str = "y", square: bool = False) -> DataFrame:
     """(row_id, k, y): Y = D M for ``m`` (index, v array); ``square`` takes squares of both."""
     long = tri.join(m, "index").select("row_id", "value", F.posexplode("v").alias("k", "x"))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.losses import sigmoid, softplus, sign_label
+from tessella.functions.losses import softplus, sign_label
 
-#: Ranges of scores that the global AUC sums up apart.
-SCORE_RANGES = 4096
+#: Ranges of scores, as even as quantiles make them, that the global AUC sums up apart.
+SCORE_RANGES = 256
 
 
 def logit_objective(label: Column, m: Column) -> Column:
@@ -49,7 +49,8 @@ def auc(df: DataFrame, score: str = "margin", label: str = "label", by: list[str
         before = Window.partitionBy(*by).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
         summed = per.withColumn("below", F.coalesce(F.sum("n").over(before), F.lit(0.0)))
     else:
-        per = per.withColumn("r", F.floor(sigmoid(F.col("s")) * SCORE_RANGES))
+        edges = per.agg(F.percentile_approx("s", F.array(*[F.lit(k / SCORE_RANGES) for k in range(1, SCORE_RANGES)])).alias("edges"))
+        per = per.join(F.broadcast(edges)).withColumn("r", F.size(F.filter("edges", lambda e: e < F.col("s")))).drop("edges")  # one row of edges
         ranges = per.groupBy("r").agg(F.sum("n").alias("rn"))
         all_before = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
         ranges = ranges.select("r", F.coalesce(F.sum("rn").over(all_before), F.lit(0.0)).alias("shift"))

@@ -76,11 +76,6 @@ class FMLinear(Rule):
         return {"w": prox(z, (self.beta + n) / self.alpha, self.l1, 0.0), "z": z, "n": n}
 
 
-def pull(tri: DataFrame, state: DataFrame) -> DataFrame:
-    """Triplets with their weights; 0 for a feature not seen before."""
-    return tri.join(state.select("index", "w"), "index", "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
-
-
 def push(state: DataFrame, grad: DataFrame, rule: Rule, t: int = 1) -> DataFrame:
     """The state after one keyed upsert of ``grad`` (index, g)."""
     both = state.join(grad, "index", "full_outer")

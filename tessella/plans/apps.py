@@ -32,7 +32,7 @@ def _passes(train, conf: LearnConfig, begin: int, saved):
     """Trains pass by pass, saving every ``save_iter`` passes and at the end."""
     model, history = None, []
     for k in range(begin, conf.max_data_pass):
-        model, got = train(model)
+        model, got = train(model, k)
         history.append(got[-1] | {"pass": k})
         last = k == conf.max_data_pass - 1
         if conf.model_out and conf.save_iter > 0 and (k + 1) % conf.save_iter == 0 and not last:
@@ -58,7 +58,7 @@ def linear(spark: SparkSession, text: str = "", **over) -> tuple[trainers.Linear
     rows = examples(spark, conf.train_data, conf.data_format).persist()
     held = examples(spark, conf.val_data, conf.data_format).persist() if conf.val_data else None
     one = LearnConfig.load("", **(trainers.settings_of(conf) | {"max_data_pass": 1, "embedding": conf.embedding}))
-    return _passes(lambda m: trainers.train_linear(rows, one, held, m or warm), conf, conf.load_iter + 1 if conf.load_iter > 0 else 0, lambda m, k: m.save(conf.model_out, k))
+    return _passes(lambda m, k: trainers.train_linear(rows, one, held, m or warm, first_pass=k), conf, conf.load_iter + 1 if conf.load_iter > 0 else 0, lambda m, k: m.save(conf.model_out, k))
 
 
 def factorization_machine(spark: SparkSession, text: str = "", **over) -> tuple[trainers.FactorizationModel, list[dict]]:
@@ -83,15 +83,19 @@ def _solver(args: dict) -> LBFGS:
     return LBFGS(**{v: args[k] for k, v in names.items() if k in args})
 
 
+def predicted(rows: DataFrame, model: DataFrame, objective: str = "logistic") -> DataFrame:
+    """``rows`` with margin and prediction by a batch model, whose row without an index is the bias; any 64-bit id counts."""
+    bias = model.filter("index IS NULL").first()["w"]
+    margin = rows.join(spmv(triplets(rows), model.filter("index IS NOT NULL"), rows, "margin"), "row_id").withColumn("margin", F.col("margin") + bias)
+    return margin.withColumn("prediction", sigmoid(F.col("margin")) if objective == "logistic" else F.col("margin"))
+
+
 def batch_linear(spark: SparkSession, data: str, *args: str) -> DataFrame:
     """Linear or logistic regression by L-BFGS; ``task=pred`` predicts with ``model_in``."""
     a = {"objective": "logistic", "base_score": 0.5, "reg_L2": 0.0, "task": "train", "model_out": "final.model", "name_pred": "pred.txt"} | parse_args(list(args))
     rows = examples(spark, data, "libsvm").persist()
     if a["task"] == "pred":
-        model = spark.read.parquet(a["model_in"])
-        bias = model.filter("index = -1").first()["w"]
-        margin = rows.join(spmv(triplets(rows), model.filter("index >= 0"), rows, "margin"), "row_id").withColumn("margin", F.col("margin") + bias)
-        out = margin.withColumn("prediction", sigmoid(F.col("margin")) if a["objective"] == "logistic" else F.col("margin"))
+        out = predicted(rows, spark.read.parquet(a["model_in"]), a["objective"])
         write_predictions(out, a["name_pred"])
         return out
     model, _, _ = trainers.train_linear_lbfgs(rows, _solver(a), l2=float(a["reg_L2"]), objective=a["objective"], base_score=a["base_score"])
@@ -104,22 +108,18 @@ def batch_factorization_machine(spark: SparkSession, data: str, *args: str) -> t
     a = {"nfactor": 4, "reg_L2": 0.0, "reg_L2_V": 0.0, "fm_random": 0.01, "task": "train", "model_out": "final.model"} | parse_args(list(args))
     if a["task"] == "dump":
         both = spark.read.parquet(a["model_in"])
-        bias, model = both.filter("index = -1").first()["w"], both.filter("index >= 0")
+        bias, model = both.filter("index IS NULL").first()["w"], both.filter("index IS NOT NULL")
         factorization.dump(model, bias).write.text(a["name_dump"])
         return model, bias
     held = examples(spark, a["val_data"], "libsvm") if "val_data" in a else None
     model, bias, _ = trainers.train_factorization_lbfgs(examples(spark, data, "libsvm").persist(), _solver(a), held, factors=a["nfactor"], l2=float(a["reg_L2"]), l2_v=float(a["reg_L2_V"]), scale=a["fm_random"])
-    model.unionByName(spark.createDataFrame([(-1, bias, None)], "index long, w double, v array<double>")).write.mode("overwrite").parquet(a["model_out"])
+    model.unionByName(spark.createDataFrame([(None, bias, None)], "index long, w double, v array<double>")).write.mode("overwrite").parquet(a["model_out"])
     return model, bias
 
 
 def kmeans(spark: SparkSession, data: str, k: int, max_iter: int, out: str | None = None, empty: str = "error", seed: int = 0) -> DataFrame:
     """Spherical k-means of sparse rows; centroids as a text matrix where ``out`` is given."""
-    rows = examples(spark, data, "libsvm").persist()
-    dim = (rows.select(F.explode("features").alias("f")).agg(F.max("f.index")).first()[0] or 0) + 1
-    entries = F.map_from_entries(F.transform("features", lambda f: F.struct(f["index"], f["value"])))
-    dense = rows.withColumn("m", entries).select("row_id", F.transform(F.sequence(F.lit(0).cast("long"), F.lit(dim - 1).cast("long")), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("x"))
-    centroids = clustering.fit(dense, k, max_iter, seed, empty=empty)
+    centroids = clustering.fit_sparse(examples(spark, data, "libsvm"), k, max_iter, seed, empty)
     if out:
         write_centroids(centroids, out)
     return centroids

@@ -86,8 +86,11 @@ class LBFGS:
     def total(self, smooth: float, w: np.ndarray) -> float:
         return smooth + self.l1 * float(np.abs(w).sum())
 
-    def run(self, objective: Objective, w: np.ndarray | None = None, validate=None) -> np.ndarray:
-        """The minimiser found; with ``validate`` (w -> loss) the best weights by it, with early stopping."""
+    def run(self, objective: Objective, w: np.ndarray | None = None, validate=None, each=None) -> np.ndarray:
+        """The minimiser found; with ``validate`` (w -> loss) the best weights by it, with early stopping.
+
+        ``each(iteration, w)`` is called after every iteration.
+        """
         if objective.dim > MAX_DIM:
             raise ValueError(f"dimension {objective.dim} is above {MAX_DIM}")
         w = objective.initial() if w is None else w
@@ -117,6 +120,8 @@ class LBFGS:
                 history.append((s, y))
             before, now, w, grad = now, value, new, new_grad
             self.trace.append(now)
+            if each is not None:
+                each(it, w)
             if validate is not None:
                 loss = validate(w)
                 best, best_loss, worse = (w, loss, 0) if loss < best_loss else (best, best_loss, worse + 1)

@@ -20,11 +20,12 @@ from tessella.functions.losses import Loss, base_score_logit, clip, dropout, log
 from tessella.operators.factorization import gradient as fm_gradient
 from tessella.operators.factorization import normalised, projections, score
 from tessella.operators.frame import dictionary, downsample_negatives, minibatches, remap, triplets, unique_index
-from tessella.operators.linalg import spmv, spmv_t
+from tessella.operators.linalg import rows_t, spmv, spmv_t
 from tessella.operators.metrics import merged_progress, progress
-from tessella.operators.updaters import SGD, AdaGrad, FMLinear, FTRL, Rule, activate, embedding_step, fresh_embedding, push
+from tessella.operators.updaters import SGD, AdaGrad, FMLinear, FTRL, Rule, activate, embedding_step, fresh_embedding, push, visible_embedding
 from tessella.plans.config import LearnConfig
 from tessella.plans.lbfgs import LBFGS, Objective
+from tessella.sources.files import written
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -70,26 +71,47 @@ class LinearModel:
         return LinearModel(spark.read.parquet(f"{path}/last" if iteration < 0 else f"{path}/iter={iteration}"), loss or Loss())
 
 
-def train_linear(rows: DataFrame, conf: LearnConfig, validation: DataFrame | None = None, warm: LinearModel | None = None, every: int = 4, stop=None) -> tuple[LinearModel, list[dict]]:
+#: Minibatches per folder of a batch table: what one batch's scan may read.
+BATCHES_PER_FOLDER = 16
+
+
+def batch_table(rows: DataFrame, size: int, shuffle: bool, epoch: int) -> tuple[DataFrame, list[int]]:
+    """Minibatches in folders of consecutive ones, and their numbers; with ``shuffle`` rows in another order each pass.
+
+    A minibatch reads its own folder only, so a pass is linear in its rows.
+    """
+    order = "row_id"
+    if shuffle:
+        order, rows = "__order", rows.withColumn("__order", F.xxhash64("row_id", F.lit(epoch)))
+    batched = minibatches(rows, size, order)
+    batched = batched.drop("__order").withColumn("batch_group", F.floor(F.col("batch_id") / BATCHES_PER_FOLDER).cast("long"))
+    batched = written(batched, "batches", "batch_group")
+    return batched, [r[0] for r in batched.select("batch_id").distinct().orderBy("batch_id").collect()]  # one number a batch
+
+
+def one_batch(batched: DataFrame, b: int) -> DataFrame:
+    return batched.filter((F.col("batch_group") == b // BATCHES_PER_FOLDER) & (F.col("batch_id") == b)).drop("batch_group")
+
+
+def train_linear(rows: DataFrame, conf: LearnConfig, validation: DataFrame | None = None, warm: LinearModel | None = None, every: int = 4, stop=None, first_pass: int = 0) -> tuple[LinearModel, list[dict]]:
     """A linear model, and per pass the merged progress of its batches.
 
-    ``stop(progress, is_training)`` may end training after a pass.
+    ``stop(progress, is_training)`` may end training after a pass.  With ``rand_shuffle``
+    each pass, numbered from ``first_pass``, has its rows in another order.
     """
     spark, rule, loss = rows.sparkSession, rule_of(conf), Loss(conf.loss)
     model = LinearModel(warm.state if warm else empty_state(spark, rule), loss)
     if 0 <= conf.neg_sampling < 1:
         rows = downsample_negatives(rows, F.rand(conf.rand_shuffle) >= conf.neg_sampling)
-    batched = minibatches(rows, conf.minibatch).persist()
-    ids = [r[0] for r in batched.select("batch_id").distinct().orderBy("batch_id").collect()]  # one number a batch
-    history, t = [], 0
+    history, t, batched, ids = [], 0, None, []
     for epoch in range(conf.max_data_pass):
         seen = []
+        if batched is None or conf.rand_shuffle > 0:
+            batched, ids = batch_table(rows, conf.minibatch, conf.rand_shuffle > 0, first_pass + epoch)
         for b in ids:
             t += 1
-            part = batched.filter(F.col("batch_id") == b)
-            scored = model.margins(part).persist()
-            dual = scored.select("row_id", loss.dual(F.col("label"), F.col("margin")).alias("d"))
-            grad = spmv_t(triplets(part), dual)
+            scored = model.margins(one_batch(batched, b)).persist()
+            grad = rows_t(scored.withColumn("d", loss.dual(F.col("label"), F.col("margin"))))
             seen.append(progress(scored))
             model.state = push(model.state, grad, rule, t)
             if t % every == 0 or b == ids[-1]:
@@ -168,8 +190,7 @@ class FactorizationModel:
     conf: LearnConfig
 
     def margins(self, rows: DataFrame) -> DataFrame:
-        v = F.when(F.col("w") != 0, F.col("v")) if self.conf.l1_shrk else F.col("v")
-        model = self.state.select("index", "w", v.alias("v"))
+        model = self.state.select("index", "w", visible_embedding(F.col("w"), F.col("v"), self.conf.l1_shrk).alias("v"))
         return rows.join(score(rows, triplets(rows), model), "row_id")
 
     def transform(self, rows: DataFrame) -> DataFrame:
@@ -199,7 +220,7 @@ def fm_step(state: DataFrame, part: DataFrame, conf: LearnConfig, count_features
         return df.withColumn("__on", on).withColumn("vn", F.when(F.col("__on"), zeros).otherwise(F.col("vn"))).withColumn("v", F.when(F.col("__on"), fresh).otherwise(F.col("v"))).drop("__on")
 
     s = activated(s, F.col("here")).persist()
-    seen_v = F.when(F.col("w") != 0, F.col("v")) if conf.l1_shrk else F.col("v")
+    seen_v = visible_embedding(F.col("w"), F.col("v"), conf.l1_shrk)
     model = s.filter("here").select("index", "w", seen_v.alias("v"))
     proj = projections(tri, model).persist()
     scored = part.join(score(part, tri, model, proj=proj), "row_id").persist()
@@ -230,13 +251,13 @@ def train_factorization(rows: DataFrame, conf: LearnConfig, validation: DataFram
     """
     spark = rows.sparkSession
     model = warm or FactorizationModel(spark.createDataFrame([], _FM_STATE), conf)
-    batched = minibatches(rows, conf.minibatch).persist()
-    ids = [r[0] for r in batched.select("batch_id").distinct().orderBy("batch_id").collect()]
-    history, before = [], 100.0
+    history, before, batched, ids = [], 100.0, None, []
     for epoch in range(conf.max_data_pass):
         seen = None
+        if batched is None or conf.rand_shuffle > 0:
+            batched, ids = batch_table(rows, conf.minibatch, conf.rand_shuffle > 0, epoch)
         for b in ids:
-            part = batched.filter(F.col("batch_id") == b)
+            part = one_batch(batched, b)
             state, scored = fm_step(model.state, part, conf, count_features=epoch == 0 and conf.embedding.dim > 0)
             model.state = checkpointed(state)
             own = progress(scored)
@@ -275,7 +296,7 @@ class LinearObjective(Objective):
     def _scored(self, w: np.ndarray) -> DataFrame:
         spark = self.rows.sparkSession
         at = np.flatnonzero(w[:-1])
-        weights = spark.createDataFrame(list(zip(at.tolist(), w[at].tolist(), strict=True)), "index long, w double")
+        weights = spark.createDataFrame(pa.table({"index": at, "w": w[at]}))
         m = F.col("y") + float(w[-1]) + self.base
         return self.rows.join(spmv(self.tri, weights), "row_id", "left").withColumn("y", F.coalesce("y", F.lit(0.0))).withColumn("margin", m)
 
@@ -293,23 +314,26 @@ class LinearObjective(Objective):
         scored = self._scored(w).withColumn("d", d).withColumn("loss", self._loss()).persist()
         total, bias = scored.agg(F.sum("loss"), F.sum("d")).first()
         out = np.zeros(self.dim)
-        for r in spmv_t(self.tri, scored.select("row_id", "d")).collect():  # one number a dimension, MAX_DIM at most
-            out[r["index"]] = r["g"]
+        g = spmv_t(self.tri, scored.select("row_id", "d")).toArrow()  # one number a dimension, MAX_DIM at most
+        out[g["index"].to_numpy()] = g["g"].to_numpy()
         out[:-1] += self.l2 * w[:-1]
         out[-1] = bias
         scored.unpersist()
         return total + self._ridge(w), out
 
 
-def train_linear_lbfgs(rows: DataFrame, solver: LBFGS | None = None, l2: float = 0.0, objective: str = "logistic", base_score: float = 0.5) -> tuple[DataFrame, LBFGS, LinearObjective]:
-    """(index, w) with the bias as index -1; the solver with its trace; the objective."""
+def train_linear_lbfgs(rows: DataFrame, solver: LBFGS | None = None, l2: float = 0.0, objective: str = "logistic", base_score: float = 0.5, state_path: str | None = None) -> tuple[DataFrame, LBFGS, LinearObjective]:
+    """(index, w) with the bias in the row without an index; the solver with its trace; the objective.
+
+    With ``state_path`` the weights of each iteration are saved there, and a run that finds some goes on from them.
+    """
     solver = solver or LBFGS()
     target = LinearObjective(rows, l2, objective, base_score)
-    w = solver.run(target)
+    w = resumed(solver, target, state_path)
     spark = rows.sparkSession
-    local = spark.createDataFrame(list(enumerate(w[:-1].tolist())), "local_id long, w double")
+    local = spark.createDataFrame(pa.table({"local_id": np.arange(len(w) - 1), "w": w[:-1]}))
     model = target.dictionary.join(local, "local_id").select("index", "w")
-    return model.union(spark.createDataFrame([(-1, float(w[-1] + target.base))], "index long, w double")), solver, target
+    return model.union(spark.createDataFrame([(None, float(w[-1] + target.base))], "index long, w double")), solver, target
 
 
 class FactorizationObjective(Objective):
@@ -326,7 +350,8 @@ class FactorizationObjective(Objective):
 
     def _model(self, w: np.ndarray) -> DataFrame:
         v = w[self.n : -1].reshape(self.n, self.k)
-        return self.rows.sparkSession.createDataFrame([(i, float(w[i]), v[i].tolist()) for i in range(self.n)], "index long, w double, v array<double>")
+        rows = pa.ListArray.from_arrays(np.arange(0, self.n * self.k + 1, self.k or 1, dtype=np.int32)[: self.n + 1], v.ravel()) if self.k else pa.array([[]] * self.n, pa.list_(pa.float64()))
+        return self.rows.sparkSession.createDataFrame(pa.table({"index": np.arange(self.n), "w": w[: self.n], "v": rows}))
 
     def _ridge(self, w: np.ndarray) -> float:
         a, b = w[: self.n], w[self.n : -1]
@@ -344,10 +369,10 @@ class FactorizationObjective(Objective):
         total, bias = scored.agg(F.sum(F.col("weight") * logistic_nll(F.col("label"), F.col("margin"))), F.sum("d")).first()
         g_w, g_v = fm_gradient(self.tri, model, scored.select("row_id", "d"), proj)
         out = np.zeros(self.dim)
-        for r in g_w.collect():
-            out[r["index"]] = r["g"]
-        for r in g_v.collect():
-            out[self.n + r["index"] * self.k + r["k"]] = r["gv"]
+        g = g_w.toArrow()
+        out[g["index"].to_numpy()] = g["g"].to_numpy()
+        g = g_v.toArrow()
+        out[self.n + g["index"].to_numpy() * self.k + g["k"].to_numpy()] = g["gv"].to_numpy()
         out[: self.n] += self.l2 * w[: self.n]
         out[self.n : -1] += self.l2_v * w[self.n : -1]
         out[-1] = bias
@@ -389,6 +414,17 @@ class SolverState:
         return SolverState(params.pop("iteration"), np.array([r["w"] for r in rows]), params)
 
 
+def resumed(solver: LBFGS, target: Objective, path: str | None) -> np.ndarray:
+    """Runs the solver; with ``path`` from the state saved there, if any, and saving each iteration's."""
+    if path is None:
+        return solver.run(target)
+    spark = SparkSession.getActiveSession()
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/params/_SUCCESS")  # written last
+    before = SolverState.load(spark, path) if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where) else None
+    start = before.iteration + 1 if before else 0
+    return solver.run(target, before.weights if before else None, each=lambda k, w: SolverState(start + k, w).save(spark, path))
+
+
 def train_boosted_trees(df: DataFrame, features: list[str], label: str = "label", **settings):
     """Spark's own gradient-boosted trees on dense columns."""
     from pyspark.ml import Pipeline

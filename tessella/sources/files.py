@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
@@ -22,6 +22,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/tessella/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str, *partition: str) -> DataFrame:
+    """Writes ``df`` to a new scratch folder and reads it again, so that what reads it twice sees one and the same table."""
+    path = scratch(df.sparkSession, name)
+    df.write.partitionBy(*partition).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def match_files(spark: SparkSession, pattern: str) -> list[str]:
     """Files whose path matches: the last part of ``pattern`` is a regular expression, searched in the full path.
 

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.functions.hashing import group_key, string_key
+from tessella.functions.hashing import group_key, string_key, unsigned_text
 from tessella.operators.frame import FEATURES
 
 Reader = Callable[[SparkSession, "str | list[str]"], DataFrame]
@@ -102,9 +102,11 @@ for _name, _reader in {
 
 
 def libsvm_lines(rows: DataFrame) -> DataFrame:
-    """``label id:value ...``; a value of 1 is left out."""
-    entry = lambda f: F.concat(f["index"].cast("string"), F.when(f["value"] == 1.0, F.lit("")).otherwise(F.concat(F.lit(":"), f["value"].cast("string"))))
-    return rows.select(F.concat_ws(" ", F.col("label").cast("string"), F.transform("features", entry)).alias("value"))
+    """``label[:weight] id:value ...``; a value or weight of 1 is left out; ids are unsigned."""
+    entry = lambda f: F.concat(unsigned_text(f["index"]), F.when(f["value"] == 1.0, F.lit("")).otherwise(F.concat(F.lit(":"), f["value"].cast("string"))))
+    weight = F.col("weight") if "weight" in rows.columns else F.lit(1.0)
+    head = F.concat(F.col("label").cast("string"), F.when(weight == 1.0, F.lit("")).otherwise(F.concat(F.lit(":"), weight.cast("string"))))
+    return rows.select(F.concat_ws(" ", head, F.transform("features", entry)).alias("value"))
 
 
 def write_format(rows: DataFrame, path: str, name: str, max_records: int = 0) -> None:

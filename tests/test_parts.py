@@ -138,7 +138,7 @@ def test_logistic_like_spark_ml(spark):
     ours = {r["index"]: r["w"] for r in model.collect()}
     dense = F.udf(lambda f: Vectors.sparse(6, sorted((x["index"], x["value"]) for x in f)), VectorUDT())
     theirs = LogisticRegression(regParam=l2 / n, standardization=False, tol=1e-10, maxIter=200).fit(rows.select("label", dense("features").alias("features")))
-    assert np.allclose([ours[k] for k in range(6)], theirs.coefficients.toArray(), atol=2e-3) and abs(ours[-1] - theirs.intercept) < 2e-3
+    assert np.allclose([ours[k] for k in range(6)], theirs.coefficients.toArray(), atol=2e-3) and abs(ours[None] - theirs.intercept) < 2e-3
 
 
 def test_local_training_is_the_same_rule(spark):
