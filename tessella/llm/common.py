@@ -72,8 +72,3 @@ def word_count(text: Column) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
-
-
-def parts_for(df: DataFrame, least: int = 1) -> int:
-    """Shuffle partitions of the session, as a plain number."""
-    return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
