@@ -58,7 +58,7 @@ def linear(spark: SparkSession, text: str = "", **over) -> tuple[trainers.Linear
     rows = examples(spark, conf.train_data, conf.data_format).persist()
     held = examples(spark, conf.val_data, conf.data_format).persist() if conf.val_data else None
     one = LearnConfig.load("", **(trainers.settings_of(conf) | {"max_data_pass": 1, "embedding": conf.embedding}))
-    return _passes(lambda m, k: trainers.train_linear(rows, one, held, m or warm, first_pass=k), conf, conf.load_iter + 1 if conf.load_iter > 0 else 0, lambda m, k: m.save(conf.model_out, k))
+    return _passes(lambda m, k: trainers.train_linear(rows, one, held, m or warm, shuffle=conf.rand_shuffle > 0, first_pass=k), conf, conf.load_iter + 1 if conf.load_iter > 0 else 0, lambda m, k: m.save(conf.model_out, k))
 
 
 def factorization_machine(spark: SparkSession, text: str = "", **over) -> tuple[trainers.FactorizationModel, list[dict]]:
@@ -72,7 +72,7 @@ def factorization_machine(spark: SparkSession, text: str = "", **over) -> tuple[
         return warm, []
     rows = examples(spark, conf.train_data, conf.data_format).persist()
     held = examples(spark, conf.val_data, conf.data_format).persist() if conf.val_data else None
-    model, history = trainers.train_factorization(rows, conf, held, warm)
+    model, history = trainers.train_factorization(rows, conf, held, warm, conf.rand_shuffle > 0)
     if conf.model_out:
         model.save(conf.model_out)
     return model, history

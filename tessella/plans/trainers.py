@@ -93,10 +93,10 @@ def one_batch(batched: DataFrame, b: int) -> DataFrame:
     return batched.filter((F.col("batch_group") == b // BATCHES_PER_FOLDER) & (F.col("batch_id") == b)).drop("batch_group")
 
 
-def train_linear(rows: DataFrame, conf: LearnConfig, validation: DataFrame | None = None, warm: LinearModel | None = None, every: int = 4, stop=None, first_pass: int = 0) -> tuple[LinearModel, list[dict]]:
+def train_linear(rows: DataFrame, conf: LearnConfig, validation: DataFrame | None = None, warm: LinearModel | None = None, every: int = 4, stop=None, shuffle: bool = False, first_pass: int = 0) -> tuple[LinearModel, list[dict]]:
     """A linear model, and per pass the merged progress of its batches.
 
-    ``stop(progress, is_training)`` may end training after a pass.  With ``rand_shuffle``
+    ``stop(progress, is_training)`` may end training after a pass.  With ``shuffle``
     each pass, numbered from ``first_pass``, has its rows in another order.
     """
     spark, rule, loss = rows.sparkSession, rule_of(conf), Loss(conf.loss)
@@ -106,8 +106,8 @@ def train_linear(rows: DataFrame, conf: LearnConfig, validation: DataFrame | Non
     history, t, batched, ids = [], 0, None, []
     for epoch in range(conf.max_data_pass):
         seen = []
-        if batched is None or conf.rand_shuffle > 0:
-            batched, ids = batch_table(rows, conf.minibatch, conf.rand_shuffle > 0, first_pass + epoch)
+        if batched is None or shuffle:
+            batched, ids = batch_table(rows, conf.minibatch, shuffle, first_pass + epoch)
         for b in ids:
             t += 1
             scored = model.margins(one_batch(batched, b)).persist()
@@ -243,7 +243,7 @@ def fm_step(state: DataFrame, part: DataFrame, conf: LearnConfig, count_features
     return s.select("index", "cnt", "w", "z", "n", "v", "vn"), scored
 
 
-def train_factorization(rows: DataFrame, conf: LearnConfig, validation: DataFrame | None = None, warm: FactorizationModel | None = None) -> tuple[FactorizationModel, list[dict]]:
+def train_factorization(rows: DataFrame, conf: LearnConfig, validation: DataFrame | None = None, warm: FactorizationModel | None = None, shuffle: bool = False) -> tuple[FactorizationModel, list[dict]]:
     """A factorization machine whose embeddings appear as features are seen often enough.
 
     Stops where the training loss per example passes ``max_objv``, or, with
@@ -254,8 +254,8 @@ def train_factorization(rows: DataFrame, conf: LearnConfig, validation: DataFram
     history, before, batched, ids = [], 100.0, None, []
     for epoch in range(conf.max_data_pass):
         seen = None
-        if batched is None or conf.rand_shuffle > 0:
-            batched, ids = batch_table(rows, conf.minibatch, conf.rand_shuffle > 0, epoch)
+        if batched is None or shuffle:
+            batched, ids = batch_table(rows, conf.minibatch, shuffle, epoch)
         for b in ids:
             part = one_batch(batched, b)
             state, scored = fm_step(model.state, part, conf, count_features=epoch == 0 and conf.embedding.dim > 0)

@@ -231,3 +231,54 @@ def test_settings():
     with pytest.raises(ValueError):
         LearnConfig.load("no_such = 1")
     assert trainers.settings_of(conf)["embedding"]["dim"] == 8
+
+
+def test_batches_in_another_order_each_pass(spark):
+    rows = rows_of(spark, 50)
+    one, ids = trainers.batch_table(rows, 20, True, 0)
+    two, _ = trainers.batch_table(rows, 20, True, 1)
+    of = lambda t: [sorted(r["row_id"] for r in trainers.one_batch(t, b).collect()) for b in ids]
+    a, b = of(one), of(two)
+    assert ids == [0, 1, 2] and a != b and sorted(sum(a, [])) == sorted(sum(b, [])) == list(range(50))
+    assert set(one.columns) - {"batch_id", "batch_group"} == set(rows.columns)
+
+
+def test_high_ids_are_learnt_and_written(spark, tmp_path):
+    from tessella.plans import apps
+    from tessella.sources import formats
+
+    high = [-1, -(1 << 63), 5]  # the first two are 2**64 - 1 and 2**63
+    data = [(k, float(k % 2), float(1 + k % 3), [(high[k % 2], 1.0), (5, 0.5)]) for k in range(60)]
+    rows = spark.createDataFrame(data, f"row_id long, label double, weight double, features {frame.FEATURES}")
+    model, _, _ = trainers.train_linear_lbfgs(rows, LBFGS(max_iter=10), l2=0.01)
+    assert all((r["prediction"] > 0.5) == (r["label"] > 0) for r in apps.predicted(rows, model).collect())
+    formats.write_format(rows, f"{tmp_path}/t", "libsvm")
+    text = spark.read.text(f"{tmp_path}/t")
+    assert any("18446744073709551615" in r["value"] for r in text.collect()) and not any("-" in r["value"] for r in text.collect())
+    back = formats.parse_libsvm(text)
+    key = lambda r: (r["label"], r["weight"], sorted((f["index"], f["value"]) for f in r["features"]))
+    assert sorted(map(key, back.collect())) == sorted(map(key, rows.collect()))
+
+
+def test_solver_goes_on_from_its_state(spark, tmp_path):
+    rows, path = rows_of(spark), f"{tmp_path}/s"
+    trainers.train_linear_lbfgs(rows, LBFGS(max_iter=3), l2=1.0, state_path=path)
+    assert trainers.SolverState.load(spark, path).iteration == 2
+    _, solver, _ = trainers.train_linear_lbfgs(rows, LBFGS(max_iter=2), l2=1.0, state_path=path)
+    _, whole, _ = trainers.train_linear_lbfgs(rows, LBFGS(max_iter=3), l2=1.0)
+    assert abs(solver.trace[0] - whole.trace[-1]) < 1e-9 and trainers.SolverState.load(spark, path).iteration == 4
+
+
+def test_sparse_kmeans_against_dense(spark):
+    from tessella.operators import clustering
+
+    rng = np.random.default_rng(4)
+    data = [(k, 0.0, 1.0, [(int(i), float(v)) for i, v in zip(rng.choice(9, 4, replace=False), rng.random(4) + 0.1, strict=True)]) for k in range(50)]
+    rows = spark.createDataFrame(data, f"row_id long, label double, weight double, features {frame.FEATURES}")
+    dense = np.zeros((50, 9))
+    for k, _, _, f in data:
+        for i, v in f:
+            dense[k, i] = v
+    vectors = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(dense)], "row_id long, x array<double>")
+    of = lambda c: np.array([r["centroid"] for r in c.orderBy("cluster").collect()])
+    assert np.allclose(of(clustering.fit_sparse(rows, 3, 3, 2, "keep")), of(clustering.fit(vectors, 3, 3, 2, empty="keep")))
