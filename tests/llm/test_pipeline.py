@@ -61,3 +61,21 @@ def test_stages(spark):
 def test_run(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 0 and {"doc_id", "ids", "n_tokens"} <= set(out.columns)
+
+
+def test_edges_go_through_all_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    def text(k):
+        return " ".join(f"word{(k * 7919 + j * 104729) % 9973} and the of" if j % 4 == 0 else f"plain{(k + 1) * (j + 3) % 997}" for j in range(80)) + "."
+
+    rows = [(k, text(k), "en", f"s{k % 3}" if k % 5 else None, None, -k) for k in range(30)]
+    rows += [(100, None, None, "s1", None, 1), (101, "", "en", None, 0, 1), (None, "short", None, None, None, None), (3, text(3), "en", "s0", None, -3), (3, text(3), "en", "s0", None, -3), (102, text(5) * 400, "en", "s1", None, 2)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, n_tokens long"
+    for name, data in (("some", rows), ("none", [])):
+        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        got = out.collect()
+        assert {"doc_id", "text", "ids", "n_tokens"} <= set(out.columns) and len(out.columns) == len(set(out.columns))
+        assert all(r["n_tokens"] == len(r["ids"]) and r["text"] for r in got)
+        assert not {100, 101, None} & {r["doc_id"] for r in got} and bool(got) == bool(data)
