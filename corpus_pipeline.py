@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; :func:`run` writes each
 stage's rows as Parquet in the shared folder and hands the next stage what it reads back.
 All stages but the last return the columns of ``documents``.
+
+A null, empty or very short text fails the quality rules, so it goes in the first stage;
+very long ones are read whole; equal rows that share an id are one group, of which one row
+stays; a null source is a source of its own; an empty table gives an empty table.  The last
+stage sets ``ids``, ``n_tokens`` and ``text``: of further columns of ``documents``, only those
+with the first two names are replaced.
 """
 
 from __future__ import annotations
