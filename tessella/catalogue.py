@@ -143,7 +143,7 @@ _LONG = f"mv AS (SELECT index, x.k AS k, x.v AS v FROM (SELECT index, unnest([{'
 @query(f"{EVENTS_SQL}, {_LONG} SELECT row_id, k::INT AS k, {rs('sum(value * v)')} AS y FROM tr JOIN mv USING (index) GROUP BY row_id, k")
 def spmm(spark, sf_dir):
     tri = T.events_triplets(spark, sf_dir)
-    return linalg.spmm(tri, T.hash_model(tri, 4)).withColumn("y", r("y"))
+    return linalg.spmm(tri, T.hash_model(tri, 4), 4).withColumn("y", r("y"))
 
 
 @query(f"""{EVENTS_SQL}, {_LONG}, xk AS (SELECT row_id, k, (row_id % (k + 2)) AS x FROM (SELECT DISTINCT row_id FROM tr), (SELECT unnest([0, 1, 2, 3]) AS k)),
@@ -152,9 +152,9 @@ SELECT index, k::INT AS k, {rs('y + 0.5E0 * v')} AS y FROM g JOIN mv USING (inde
 def spmm_transpose_addend(spark, sf_dir):
     rows = T.events_rows(spark, sf_dir)
     tri = frame.triplets(rows)
-    x = rows.select("row_id", F.posexplode(F.array(*[(F.col("row_id") % (k + 2)).cast("double") for k in range(4)])).alias("k", "x"))
-    z = T.hash_model(tri, 4).select("index", F.posexplode("v").alias("k", "z"))
-    return linalg.spmm_t(tri, x, z, 0.5).withColumn("y", r("y"))
+    x = rows.select("row_id", F.array(*[(F.col("row_id") % (k + 2)).cast("double") for k in range(4)]).alias("x"))
+    z = T.hash_model(tri, 4).select("index", F.col("v").alias("z"))
+    return linalg.spmm_t(tri, x, 4, z, 0.5).withColumn("y", r("y"))
 
 
 # --- losses and metrics --------------------------------------------------------------
@@ -274,8 +274,8 @@ def grad_clip(spark, sf_dir):
 
 @query(f"SELECT l_suppkey AS index, 0::INT AS k, {rs('g / sqrt(sum(g * g) OVER ())')} AS gv FROM ({_G})")
 def grad_normalize(spark, sf_dir):
-    g = _supplier_gradients(spark, sf_dir).select(F.col("l_suppkey").alias("index"), F.lit(0).alias("k"), F.col("g").alias("gv"))
-    return factorization.normalised(g).withColumn("gv", r("gv"))
+    g = _supplier_gradients(spark, sf_dir).select(F.col("l_suppkey").alias("index"), F.array("g").alias("gv"))
+    return factorization.normalised(g).select("index", F.posexplode("gv").alias("k", "gv")).withColumn("gv", r("gv"))
 
 
 # --- batches ----------------------------------------------------------------------------
@@ -524,8 +524,14 @@ def _fm(spark, sf_dir):
     rows = T.events_rows(spark, sf_dir)
     tri = frame.triplets(rows)
     model = T.hash_model(tri, 4)
-    proj = factorization.projections(tri, model)
-    return rows, tri, model, proj, rows.join(factorization.score(rows, tri, model, proj=proj), "row_id")
+    return model, factorization.with_margin(rows, tri, model, 4)
+
+
+def _fm_gradient(spark, sf_dir):
+    """The model with the gradient of its features."""
+    model, scored = _fm(spark, sf_dir)
+    duals = scored.withColumn("d", L.Loss().dual(F.col("label"), F.col("margin")))
+    return model, factorization.gradient(duals, model, 4)
 
 
 @query(f"{_FM} SELECT row_id, {rs('m')} AS margin FROM sc")
@@ -535,14 +541,12 @@ def fm_score(spark, sf_dir):
 
 @query(f"{_FM} SELECT index, k::INT AS k, {rs('sum(d * value * (xv - value * v))')} AS gv FROM tr JOIN mv USING (index) JOIN du USING (row_id) JOIN pr USING (row_id, k) GROUP BY index, k")
 def fm_gradient(spark, sf_dir):
-    rows, tri, model, proj, scored = _fm(spark, sf_dir)
-    dual = scored.select("row_id", L.Loss().dual(F.col("label"), F.col("margin")).alias("d"))
-    return factorization.gradient(tri, model, dual, proj)[1].withColumn("gv", r("gv"))
+    return _fm_gradient(spark, sf_dir)[1].select("index", F.posexplode("gv").alias("k", "gv")).withColumn("gv", r("gv"))
 
 
 @query(f"{_FM}, ms AS (SELECT sum(w * w) AS w2 FROM (SELECT DISTINCT index, {weight_sql('index')} AS w FROM tr)) SELECT {rs(f'(SELECT sum({_SOFTPLUS.format("-" + _Y + " * m")}) FROM sc) + 0.05E0 * (SELECT w2 FROM ms) + 0.1E0 * (SELECT sum(v * v) FROM mv)', 4)} AS objective")
 def fm_objective(spark, sf_dir):
-    _, _, model, _, scored = _fm(spark, sf_dir)
+    model, scored = _fm(spark, sf_dir)
     return factorization.objective(scored, model, 0.1, 0.2).select(r("objective", 4).alias("objective"))
 
 
@@ -564,10 +568,8 @@ def fm_online_w_step(spark, sf_dir):
 @query(f"""{_FM}, gv AS (SELECT index, k, sum(d * value * (xv - value * v)) + 0.1E0 * any_value(v) AS g, any_value(v) AS v FROM tr JOIN mv USING (index) JOIN du USING (row_id) JOIN pr USING (row_id, k) GROUP BY index, k)
 SELECT index, k::INT AS k, {rs('v - 0.05E0 / (abs(g) + 1) * g')} AS v, {rs('abs(g)')} AS n FROM gv""")
 def fm_online_v_step(spark, sf_dir):
-    rows, tri, model, proj, scored = _fm(spark, sf_dir)
-    dual = scored.select("row_id", L.Loss().dual(F.col("label"), F.col("margin")).alias("d"))
-    g = factorization.gradient(tri, model, dual, proj)[1].groupBy("index").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "gv"))), lambda x: x["gv"]).alias("g"))
-    both = model.join(g, "index").withColumn("n", F.transform("v", lambda x: F.lit(0.0)))
+    model, grad = _fm_gradient(spark, sf_dir)
+    both = model.join(grad.select("index", F.col("gv").alias("g")), "index").withColumn("n", F.transform("v", lambda x: F.lit(0.0)))
     v, n = U.embedding_step(F.col("v"), F.col("n"), F.col("g"), 0.05, 1.0, 0.1)
     long = both.select("index", v.alias("v2"), n.alias("n2")).select("index", F.posexplode(F.arrays_zip("v2", "n2")).alias("k", "x"))
     return long.select("index", "k", r("x.v2").alias("v"), r("x.n2").alias("n"))

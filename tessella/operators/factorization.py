@@ -10,38 +10,66 @@ from pyspark.sql import functions as F
 
 from tessella.functions.hashing import unsigned_order, unsigned_text
 from tessella.functions.losses import logistic_nll
-from tessella.operators.linalg import spmv, spmv_t
 
 
-def projections(tri: DataFrame, v: DataFrame) -> DataFrame:
-    """(row_id, k, xv, xv2): sums of value v and of its square, for ``v`` (index, v array)."""
-    long = tri.join(v.filter("v IS NOT NULL").select("index", "v"), "index").select("row_id", "value", F.posexplode("v").alias("k", "x"))
-    term = F.col("value") * F.col("x")
-    return long.groupBy("row_id", "k").agg(F.sum(term).alias("xv"), F.sum(term * term).alias("xv2"))
-
-
-def score(rows: DataFrame, tri: DataFrame, model: DataFrame, bias: float = 0.0, proj: DataFrame | None = None) -> DataFrame:
-    """(row_id, margin) for ``model`` (index, w, v)."""
-    proj = projections(tri, model) if proj is None else proj
-    pairs = proj.groupBy("row_id").agg((0.5 * F.sum(F.col("xv") * F.col("xv") - F.col("xv2"))).alias("q"))
-    linear = spmv(tri, model.select("index", "w"), rows)
-    return linear.join(pairs, "row_id", "left").select("row_id", (F.col("y") + F.coalesce("q", F.lit(0.0)) + bias).alias("margin"))
-
-
-def gradient(tri: DataFrame, model: DataFrame, dual: DataFrame, proj: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(index, g) and (index, k, gv) for ``dual`` (row_id, d)."""
-    g_w = spmv_t(tri, dual)
-    active = tri.join(model.filter("v IS NOT NULL").select("index", "v"), "index").join(dual, "row_id")
-    long = active.select("row_id", "index", "value", "d", F.posexplode("v").alias("k", "x"))
-    term = F.col("d") * F.col("value") * (F.col("xv") - F.col("value") * F.col("x"))
-    g_v = long.join(proj.select("row_id", "k", "xv"), ["row_id", "k"]).groupBy("index", "k").agg(F.sum(term).alias("gv"))
-    return g_w, g_v
-
-
-def normalised(g_v: DataFrame, least: float = 1e-10) -> DataFrame:
-    """The whole gradient at length 1, unless its square is below ``least``."""
-    n2 = g_v.agg(F.sum(F.col("gv") * F.col("gv")).alias("n2"))  # one row
-    return g_v.crossJoin(F.broadcast(n2)).select("index", "k", F.when(F.col("n2") < least, F.col("gv")).otherwise(F.col("gv") / F.sqrt("n2")).alias("gv"))
+def factors_of(model: DataFrame) -> int:
+    """Length of the embeddings, read from one of them; 0 where there are none."""
+    first = model.filter("v IS NOT NULL").select(F.size("v")).first()
+    return first[0] if first else 0
+
+
+def projections(tri: DataFrame, model: DataFrame, k: int) -> DataFrame:
+    """(row_id, y, xv, x2) for ``model`` (index, w, v): X w, the k sums of value times v, and the sum of the squares of all those terms.
+
+    All are columns of one aggregate, so a row's entries shuffle once, whatever k is.
+    """
+    terms = [F.col("value") * F.coalesce(F.get("v", F.lit(i)), F.lit(0.0)) for i in range(k)]
+    return (
+        tri.join(model.select("index", "w", "v"), "index")
+        .groupBy("row_id")
+        .agg(
+            F.sum(F.col("value") * F.col("w")).alias("y"),
+            F.array(*[F.sum(t) for t in terms]).cast("array<double>").alias("xv"),
+            F.sum(sum((t * t for t in terms), F.lit(0.0))).alias("x2"),
+        )
+    )
+
+
+def with_margin(rows: DataFrame, tri: DataFrame, model: DataFrame, k: int, bias: float = 0.0) -> DataFrame:
+    """``rows`` with ``margin`` and ``xv``, which is null where no entry is in the model."""
+    q = F.aggregate("xv", F.lit(0.0), lambda s, x: s + x * x) - F.col("x2")
+    got = rows.join(projections(tri, model, k), "row_id", "left")
+    return got.withColumn("margin", F.coalesce(F.col("y") + 0.5 * q, F.lit(0.0)) + bias).drop("y", "x2")
+
+
+def score(rows: DataFrame, tri: DataFrame, model: DataFrame, bias: float = 0.0, k: int | None = None) -> DataFrame:
+    """(row_id, margin) for ``model`` (index, w, v); without ``k`` the length of the embeddings is read from one of them."""
+    k = factors_of(model) if k is None else k
+    return with_margin(rows.select("row_id"), tri, model, k, bias).select("row_id", "margin")
+
+
+def gradient(rows: DataFrame, model: DataFrame, k: int) -> DataFrame:
+    """(index, g, gv) for rows with their features, ``d`` and ``xv``; gv is null for features without an embedding.
+
+    The sum over rows of d x (xv - x v) is taken as sum(d x xv) - v sum(d x x), so v meets
+    the sums of its feature, not its entries, and only partial sums shuffle.
+    """
+    value, d = F.col("f.value"), F.col("d")
+    flat = rows.select("d", "xv", F.explode("features").alias("f")).select(F.col("f.index").alias("index"), (d * value).alias("dx"), (d * value * value).alias("dxx"), "xv")
+    sums = flat.groupBy("index").agg(
+        F.sum("dx").alias("g"),
+        F.sum("dxx").alias("sxx"),
+        F.array(*[F.coalesce(F.sum(F.col("dx") * F.get("xv", F.lit(i))), F.lit(0.0)) for i in range(k)]).cast("array<double>").alias("s"),
+    )
+    own = F.zip_with("s", "v", lambda s, x: s - x * F.col("sxx"))
+    return sums.join(model.select("index", "v"), "index", "left").select("index", "g", F.when(F.col("v").isNotNull(), own).alias("gv"))
+
+
+def normalised(grad: DataFrame, least: float = 1e-10) -> DataFrame:
+    """``grad`` with the whole of its ``gv`` arrays at length 1, unless the square is below ``least``."""
+    n2 = grad.agg(F.coalesce(F.sum(F.aggregate("gv", F.lit(0.0), lambda s, x: s + x * x)), F.lit(0.0)).alias("n2"))  # one row
+    scaled = F.when(F.col("n2") < least, F.col("gv")).otherwise(F.transform("gv", lambda x: x / F.sqrt("n2")))
+    return grad.crossJoin(F.broadcast(n2)).withColumn("gv", scaled).drop("n2")
 
 
 def objective(scored: DataFrame, model: DataFrame, l2: float, l2_v: float) -> DataFrame:

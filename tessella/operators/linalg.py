@@ -26,16 +26,20 @@ def rows_t(rows: DataFrame, by: str = "d", out: str = "g") -> DataFrame:
     return flat.groupBy("f.index").agg(F.sum(F.col("f.value") * F.col(by)).alias(out))
 
 
-def spmm(tri: DataFrame, m: DataFrame, out: str = "y", square: bool = False) -> DataFrame:
-    """(row_id, k, y): Y = D M for ``m`` (index, v array); ``square`` takes squares of both."""
-    long = tri.join(m, "index").select("row_id", "value", F.posexplode("v").alias("k", "x"))
-    term = F.col("value") * F.col("x")
-    return long.groupBy("row_id", "k").agg(F.sum(term * term if square else term).alias(out))
-
-
-def spmm_t(tri: DataFrame, m: DataFrame, z: DataFrame | None = None, p: float = 1.0, out: str = "y") -> DataFrame:
-    """(index, k, y): Y = D' M + p Z for ``m`` (row_id, k, x) and ``z`` (index, k, z)."""
-    got = tri.join(m, "row_id").groupBy("index", "k").agg(F.sum(F.col("value") * F.col("x")).alias(out))
-    if z is None:
-        return got
-    return got.join(z, ["index", "k"], "left").select("index", "k", (F.col(out) + p * F.coalesce("z", F.lit(0.0))).alias(out))
+def _sums(df: DataFrame, by: str, array: str, k: int, square: bool = False) -> DataFrame:
+    """``by`` with the k sums of value times the array's entries: columns of one aggregate, so entries are not multiplied by k."""
+    terms = [F.col("value") * F.get(array, F.lit(i)) for i in range(k)]
+    return df.groupBy(by).agg(F.array(*[F.sum(t * t if square else t) for t in terms]).alias("__s"))
+
+
+def spmm(tri: DataFrame, m: DataFrame, k: int, out: str = "y", square: bool = False) -> DataFrame:
+    """(row_id, k, y): Y = D M for ``m`` (index, v array of length ``k``); ``square`` takes squares of both."""
+    return _sums(tri.join(m.select("index", "v"), "index"), "row_id", "v", k, square).select("row_id", F.posexplode("__s").alias("k", out))
+
+
+def spmm_t(tri: DataFrame, m: DataFrame, k: int, z: DataFrame | None = None, p: float = 1.0, out: str = "y") -> DataFrame:
+    """(index, k, y): Y = D' M + p Z for ``m`` (row_id, x array of length ``k``) and ``z`` (index, z array)."""
+    got = _sums(tri.join(m.select("row_id", "x"), "row_id"), "index", "x", k)
+    if z is not None:
+        got = got.join(z, "index", "left").withColumn("__s", F.when(F.col("z").isNull(), F.col("__s")).otherwise(F.zip_with("__s", "z", lambda a, b: a + p * b)))
+    return got.select("index", F.posexplode("__s").alias("k", out))

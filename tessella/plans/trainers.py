@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 from tessella.functions.losses import Loss, base_score_logit, clip, dropout, logistic_nll, sigmoid
 from tessella.operators.factorization import gradient as fm_gradient
-from tessella.operators.factorization import normalised, projections, score
+from tessella.operators.factorization import normalised, score, with_margin
 from tessella.operators.frame import dictionary, downsample_negatives, minibatches, remap, triplets, unique_index
-from tessella.operators.linalg import rows_t, spmv, spmv_t
+from tessella.operators.linalg import rows_t, spmv
 from tessella.operators.metrics import merged_progress, progress
 from tessella.operators.updaters import SGD, AdaGrad, FMLinear, FTRL, Rule, activate, embedding_step, fresh_embedding, push, visible_embedding
 from tessella.plans.config import LearnConfig
@@ -191,7 +191,7 @@ class FactorizationModel:
 
     def margins(self, rows: DataFrame) -> DataFrame:
         model = self.state.select("index", "w", visible_embedding(F.col("w"), F.col("v"), self.conf.l1_shrk).alias("v"))
-        return rows.join(score(rows, triplets(rows), model), "row_id")
+        return with_margin(rows, triplets(rows), model, self.conf.embedding.dim).drop("xv")
 
     def transform(self, rows: DataFrame) -> DataFrame:
         return self.margins(rows).withColumn("prediction", sigmoid(F.col("margin")) if self.conf.prob_predict else F.col("margin"))
@@ -222,19 +222,17 @@ def fm_step(state: DataFrame, part: DataFrame, conf: LearnConfig, count_features
     s = activated(s, F.col("here")).persist()
     seen_v = visible_embedding(F.col("w"), F.col("v"), conf.l1_shrk)
     model = s.filter("here").select("index", "w", seen_v.alias("v"))
-    proj = projections(tri, model).persist()
-    scored = part.join(score(part, tri, model, proj=proj), "row_id").persist()
-    dual = scored.select("row_id", Loss().dual(F.col("label"), F.col("margin")).alias("d"))
-    g_w, g_v = fm_gradient(tri, model, dual, proj)
+    scored = with_margin(part, tri, model, e.dim).persist()
+    grad = fm_gradient(scored.withColumn("d", Loss().dual(F.col("label"), F.col("margin"))), model, e.dim)
     rule = FMLinear(alpha=alpha, beta=beta, l1=conf.lambda_l1, l2=conf.lambda_l2)
     new = rule.update(F.col("g"), 0)
-    s = s.join(g_w, "index", "left")
     if e.dim:
-        g_v = g_v.withColumn("gv", dropout(clip(F.col("gv"), e.grad_clipping), e.dropout, seed))
-        g_v = normalised(g_v) if e.grad_normalization > 0 else g_v
-        arrays = g_v.groupBy("index").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "gv"))), lambda x: x["gv"]).alias("gv"))
+        kept = F.array(*[dropout(clip(F.get("gv", F.lit(i)), e.grad_clipping), e.dropout, seed + i) for i in range(e.dim)])
+        grad = grad.withColumn("gv", F.when(F.col("gv").isNotNull(), kept))
+        grad = normalised(grad) if e.grad_normalization > 0 else grad
+    s = s.join(grad, "index", "left")
+    if e.dim:
         v2, vn2 = embedding_step(F.col("v"), F.col("vn"), F.col("gv"), e.lr_eta or alpha, e.lr_beta or beta, e.lambda_l2)
-        s = s.join(arrays, "index", "left")
         moved = F.col("gv").isNotNull()
         s = s.withColumn("__v", F.when(moved, v2).otherwise(F.col("v"))).withColumn("vn", F.when(moved, vn2).otherwise(F.col("vn"))).withColumn("v", F.col("__v"))
     was_zero = F.col("w") == 0
@@ -274,11 +272,19 @@ def train_factorization(rows: DataFrame, conf: LearnConfig, validation: DataFram
     return model, history
 
 
+def _with_local_ids(rows: DataFrame, dic: DataFrame) -> DataFrame:
+    """``rows`` with their features by dense id; those that the dictionary lacks are dropped."""
+    own = remap(triplets(rows), dic).groupBy("row_id").agg(F.collect_list(F.struct(F.col("local_id").alias("index"), "value")).alias("features"))
+    return rows.select("row_id", "label", "weight").join(own, "row_id", "left")
+
+
 def _local(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """Triplets with dense ids, the dictionary, and the dimension."""
-    tri = triplets(rows)
-    dic = dictionary(tri).persist()
-    return remap(tri, dic).withColumnRenamed("local_id", "index").persist(), dic, dic.count()
+    """Rows with dense ids, the dictionary, and the dimension.
+
+    Rows keep their features, so a gradient carries each row's slope along and only sums shuffle.
+    """
+    dic = dictionary(triplets(rows)).persist()
+    return _with_local_ids(rows, dic).persist(), dic, dic.count()
 
 
 class LinearObjective(Objective):
@@ -288,8 +294,8 @@ class LinearObjective(Objective):
     """
 
     def __init__(self, rows: DataFrame, l2: float = 0.0, objective: str = "logistic", base_score: float = 0.5):
-        self.rows = rows.select("row_id", "label").persist()
-        self.tri, self.dictionary, n = _local(rows)
+        self.rows, self.dictionary, n = _local(rows)
+        self.tri = triplets(self.rows)
         self.dim, self.l2, self.logistic = n + 1, l2, objective == "logistic"
         self.base = base_score_logit(base_score)
 
@@ -314,7 +320,7 @@ class LinearObjective(Objective):
         scored = self._scored(w).withColumn("d", d).withColumn("loss", self._loss()).persist()
         total, bias = scored.agg(F.sum("loss"), F.sum("d")).first()
         out = np.zeros(self.dim)
-        g = spmv_t(self.tri, scored.select("row_id", "d")).toArrow()  # one number a dimension, MAX_DIM at most
+        g = rows_t(scored).toArrow()  # one number a dimension, MAX_DIM at most
         out[g["index"].to_numpy()] = g["g"].to_numpy()
         out[:-1] += self.l2 * w[:-1]
         out[-1] = bias
@@ -340,8 +346,8 @@ class FactorizationObjective(Objective):
     """Weighted logistic loss of a factorization machine: w, then V by rows, then the bias."""
 
     def __init__(self, rows: DataFrame, factors: int = 4, l2: float = 0.0, l2_v: float = 0.0, scale: float = 0.01, seed: int = 0):
-        self.rows = rows.select("row_id", "label", "weight").persist()
-        self.tri, self.dictionary, self.n = _local(rows)
+        self.rows, self.dictionary, self.n = _local(rows)
+        self.tri = triplets(self.rows)
         self.k, self.l2, self.l2_v, self.scale, self.seed = factors, l2, l2_v, scale, seed
         self.dim = self.n * (factors + 1) + 1
 
@@ -358,26 +364,22 @@ class FactorizationObjective(Objective):
         return 0.5 * self.l2 * float(a @ a) + 0.5 * self.l2_v * float(b @ b)
 
     def value(self, w: np.ndarray) -> float:
-        scored = self.rows.join(score(self.rows, self.tri, self._model(w), float(w[-1])), "row_id")
+        scored = with_margin(self.rows, self.tri, self._model(w), self.k, float(w[-1]))
         return scored.agg(F.sum(F.col("weight") * logistic_nll(F.col("label"), F.col("margin")))).first()[0] + self._ridge(w)
 
     def value_and_grad(self, w: np.ndarray) -> tuple[float, np.ndarray]:
         model = self._model(w)
-        proj = projections(self.tri, model).persist()
-        scored = self.rows.join(score(self.rows, self.tri, model, float(w[-1]), proj), "row_id")
+        scored = with_margin(self.rows, self.tri, model, self.k, float(w[-1]))
         scored = scored.withColumn("d", F.col("weight") * (sigmoid(F.col("margin")) - F.col("label"))).persist()
         total, bias = scored.agg(F.sum(F.col("weight") * logistic_nll(F.col("label"), F.col("margin"))), F.sum("d")).first()
-        g_w, g_v = fm_gradient(self.tri, model, scored.select("row_id", "d"), proj)
-        out = np.zeros(self.dim)
-        g = g_w.toArrow()
-        out[g["index"].to_numpy()] = g["g"].to_numpy()
-        g = g_v.toArrow()
-        out[self.n + g["index"].to_numpy() * self.k + g["k"].to_numpy()] = g["gv"].to_numpy()
+        g = fm_gradient(scored, model, self.k).toArrow()  # one row a feature, MAX_DIM numbers at most
+        out, at = np.zeros(self.dim), g["index"].to_numpy()
+        out[at] = g["g"].to_numpy()
+        out[self.n : -1].reshape(self.n, self.k)[at] = g["gv"].combine_chunks().flatten().to_numpy().reshape(len(at), self.k)
         out[: self.n] += self.l2 * w[: self.n]
         out[self.n : -1] += self.l2_v * w[self.n : -1]
         out[-1] = bias
         scored.unpersist()
-        proj.unpersist()
         return total + self._ridge(w), out
 
 
@@ -386,9 +388,8 @@ def train_factorization_lbfgs(rows: DataFrame, solver: LBFGS | None = None, vali
     solver, target = solver or LBFGS(), FactorizationObjective(rows, **settings)
     validate = None
     if validation is not None:
-        held = validation.select("row_id", "label", "weight").persist()
-        tri = remap(triplets(validation), target.dictionary).withColumnRenamed("local_id", "index").persist()
-        validate = lambda w: held.join(score(held, tri, target._model(w), float(w[-1])), "row_id").agg(F.avg(logistic_nll(F.col("label"), F.col("margin")))).first()[0]
+        held = _with_local_ids(validation, target.dictionary).persist()
+        validate = lambda w: held.join(score(held, triplets(held), target._model(w), float(w[-1]), target.k), "row_id").agg(F.avg(logistic_nll(F.col("label"), F.col("margin")))).first()[0]
     w = solver.run(target, validate=validate)
     local = target._model(w).withColumnRenamed("index", "local_id")
     return target.dictionary.join(local, "local_id").select("index", "w", "v"), float(w[-1]), solver
