@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tessella.functions.losses import Loss, base_score_logit, clip, dropout, logistic_nll, sigmoid
 from tessella.operators.factorization import gradient as fm_gradient
 from tessella.operators.factorization import normalised, score, with_margin
-from tessella.operators.frame import dictionary, downsample_negatives, minibatches, remap, triplets, unique_index
+from tessella.operators.frame import dictionary, downsample_negatives, minibatches, triplets, unique_index
 from tessella.operators.linalg import rows_t, spmv
 from tessella.operators.metrics import merged_progress, progress
 from tessella.operators.updaters import SGD, AdaGrad, FMLinear, FTRL, Rule, activate, embedding_step, fresh_embedding, push, visible_embedding
@@ -274,8 +274,10 @@ def train_factorization(rows: DataFrame, conf: LearnConfig, validation: DataFram
 
 def _with_local_ids(rows: DataFrame, dic: DataFrame) -> DataFrame:
     """``rows`` with their features by dense id; those that the dictionary lacks are dropped."""
-    own = remap(triplets(rows), dic).groupBy("row_id").agg(F.collect_list(F.struct(F.col("local_id").alias("index"), "value")).alias("features"))
-    return rows.select("row_id", "label", "weight").join(own, "row_id", "left")
+    flat = rows.select("row_id", "label", "weight", F.explode_outer("features").alias("f")).withColumn("index", F.col("f.index"))
+    entry = F.when(F.col("local_id").isNotNull(), F.struct(F.col("local_id").alias("index"), F.col("f.value").alias("value")))
+    found = flat.join(dic.select("index", "local_id"), "index", "left").groupBy("row_id")
+    return found.agg(F.first("label").alias("label"), F.first("weight").alias("weight"), F.collect_list(entry).alias("features"))
 
 
 def _local(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
