@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.losses import softplus, sign_label
+from tessella.functions.losses import sigmoid, sign_label, softplus
 
 #: Ranges of scores, as even as quantiles make them, that the global AUC sums up apart.
 SCORE_RANGES = 256
