@@ -17,7 +17,7 @@ from tessella.plans import apps
 from tessella.plans import tables as T
 from tessella.plans import trainers
 from tessella.plans.config import Embedding, LearnConfig
-from tessella.plans.lbfgs import LBFGS, pseudo_gradient
+from tessella.plans.lbfgs import LBFGS, aligned, in_orthant, pseudo_gradient
 from tessella.plans.tables import EVENTS_SQL, ORDERS_SQL, QUALITY_SQL, key_sql, md5_sql, weight_sql
 from tessella.sources import files, formats
 from tessella.streaming import online
@@ -669,6 +669,259 @@ def gbt_wrapper(spark, sf_dir):
     return model.transform(li).groupBy("label", "prediction").agg(F.count("*").alias("n"))
 
 
+# --- whole fits, unrolled ----------------------------------------------------------------------------
+
+
+def _fit_ctes(source: str, size: str, batches: int, passes: int, columns: tuple[str, ...], step) -> str:
+    """Unrolled passes over minibatches: m<k> are the margins of step k, s<k> the state before it; ``step(t)`` has the columns' SQL."""
+    out = [
+        f"{source}, nb AS (SELECT row_id, (row_number() OVER (ORDER BY row_id) - 1) // {size} AS b FROM er)",
+        f"s0 AS (SELECT 0::BIGINT AS index, {', '.join(f'0.0E0 AS {c}' for c in columns)} WHERE false)",
+    ]
+    for k in range(batches * passes):
+        old = ", ".join(f"coalesce({c}, 0) AS {c}" for c in columns)
+        new = ", ".join(f"CASE WHEN g IS NULL THEN {c} ELSE {sql} END AS {c}" for c, sql in step(k + 1).items())
+        out += [
+            f"t{k} AS (SELECT tr.* FROM tr JOIN nb USING (row_id) WHERE b = {k % batches})",
+            f"m{k} AS (SELECT row_id, label, sum(value * coalesce(w, 0)) AS margin FROM t{k} LEFT JOIN s{k} USING (index) GROUP BY ALL)",
+            f"d{k} AS (SELECT row_id, -{_Y} / (1 + exp({_Y} * margin)) AS d FROM m{k})",
+            f"h{k} AS (SELECT index, sum(value * d) AS g FROM t{k} JOIN d{k} USING (row_id) GROUP BY index)",
+            f"j{k} AS (SELECT index, g, {old} FROM s{k} FULL JOIN h{k} USING (index))",
+            f"s{k + 1} AS (SELECT index, {new} FROM j{k})",
+        ]
+    return ",\n".join(out)
+
+
+def _sgd_sql(t: int) -> dict[str, str]:
+    eta = f"{(1 + t**0.5) / 0.1!r}::DOUBLE"
+    return {"w": _prox(f"{eta} * w - g", eta)}
+
+
+def _adagrad_sql(t: int) -> dict[str, str]:
+    n = "sqrt(n * n + g * g)"
+    eta = f"(({n} + 1) / 0.1E0)"
+    return {"w": _prox(f"{eta} * w - g", eta), "n": n}
+
+
+_HALF = "((SELECT count(*) FROM events) // 2 + 1)"
+
+
+@query(f"{_fit_ctes(EVENTS_SQL, _THIRD, 3, 1, ('w',), _sgd_sql)} SELECT index, {rs('w')} AS w FROM s3")
+def sgd_fit_weights(spark, sf_dir):
+    rows = T.events_rows(spark, sf_dir)
+    model, _ = trainers.train_linear(rows, LearnConfig(algo="sgd", minibatch=rows.count() // 3 + 1, max_data_pass=1))
+    return model.state.select("index", r("w").alias("w"))
+
+
+@query(f"{_fit_ctes(EVENTS_SQL, _HALF, 2, 2, ('w', 'n'), _adagrad_sql)} SELECT index, {rs('w')} AS w, {rs('n')} AS n FROM s4")
+def adagrad_fit_weights(spark, sf_dir):
+    rows = T.events_rows(spark, sf_dir)
+    model, _ = trainers.train_linear(rows, LearnConfig(algo="adagrad", minibatch=rows.count() // 2 + 1, max_data_pass=2))
+    return model.state.select("index", r("w").alias("w"), r("n").alias("n"))
+
+
+_LOSS_OF = f"avg({_SOFTPLUS.format('-' + _Y + ' * margin')})"
+
+
+@query(
+    f"{_fit_ctes(EVENTS_SQL, _HALF, 2, 2, ('w', 'n'), _adagrad_sql)}, "
+    + ", ".join(f"v{p} AS (SELECT row_id, label, sum(value * coalesce(w, 0)) AS margin FROM tr LEFT JOIN s{2 * p + 2} USING (index) GROUP BY ALL)" for p in range(2))
+    + " "
+    + " UNION ALL ".join(
+        f"SELECT {p}::INT AS pass, (SELECT count(*) FROM v{p}) AS n_rows, (SELECT {rs(_LOSS_OF)} FROM (FROM m{2 * p} UNION ALL FROM m{2 * p + 1})) AS logloss, (SELECT {rs(_LOSS_OF)} FROM v{p}) AS held_logloss" for p in range(2)
+    )
+)
+def fit_history(spark, sf_dir):
+    """Progress of each pass: of its minibatches as they were met, and of a held table after it."""
+    rows = T.events_rows(spark, sf_dir)
+    _, history = trainers.train_linear(rows, LearnConfig(algo="adagrad", minibatch=rows.count() // 2 + 1, max_data_pass=2), validation=rows)
+    got = [(h["pass"], h["train"]["n_rows"], h["train"]["logloss"], h["validation"]["logloss"]) for h in history]  # one row a pass
+    return spark.createDataFrame(got, "pass int, n_rows long, logloss double, held_logloss double").select("pass", "n_rows", r("logloss").alias("logloss"), r("held_logloss").alias("held_logloss"))
+
+
+@query(f"{_ftrl_ctes(2, _HALF)} SELECT index, {rs('w')} AS w, {rs('z')} AS z, {rs('n')} AS n FROM s2")
+def online_ftrl_resumed(spark, sf_dir):
+    """A stream whose second half arrives after the learner has stopped; it goes on from its saved state."""
+    rows = T.events_rows(spark, sf_dir)
+    halves = frame.minibatches(rows, rows.count() // 2 + 1).persist()
+    path, home = files.scratch(spark, "arrivals"), files.scratch(spark, "online")
+    for k in range(2):
+        halves.filter(F.col("batch_id") == k).drop("batch_id").write.mode("append").parquet(path)
+        state = online.learn_stream(spark.readStream.schema(rows.schema).parquet(path), home=home)
+    return state.select("index", *[r(c).alias(c) for c in ("w", "z", "n")])
+
+
+def _fm_fit_ctes(batches: int, size: str, threshold: int, alpha: str = "0.1E0", l1: str = "0.1E0") -> str:
+    """Unrolled online factorization machine of two factors; embeddings appear where a feature is frequent and its weight not 0."""
+    fresh = {k: f"(({md5_sql(f'''index::VARCHAR || ':{k}' || '#1'''+chr(39))} % 1000003 / 1000003.0E0 * 2 - 1) * 0.01E0)" for k in range(2)}
+    none = "NULL::DOUBLE"
+
+    def activated(when: str) -> str:
+        on = f"({when}) AND v0 IS NULL AND cnt > {threshold} AND w <> 0"
+        return ", ".join([*[f"CASE WHEN {on} THEN {fresh[k]} ELSE v{k} END AS v{k}" for k in range(2)], *[f"CASE WHEN {on} THEN 0.0E0 ELSE e{k} END AS e{k}" for k in range(2)]])
+
+    out = [
+        f"{EVENTS_SQL}, nb AS (SELECT row_id, (row_number() OVER (ORDER BY row_id) - 1) // {size} AS b FROM er)",
+        f"s0 AS (SELECT 0::BIGINT AS index, 0::BIGINT AS cnt, 0.0E0 AS w, 0.0E0 AS z, 0.0E0 AS n, {none} AS v0, {none} AS v1, {none} AS e0, {none} AS e1 WHERE false)",
+    ]
+    for k in range(batches):
+        turned = "sqrt(n * n + g * g)"
+        new_z = f"(z - (g - ({turned} - n) / {alpha} * w))"
+        full = "sqrt(e{0} * e{0} + q{0} * q{0})"
+        out += [
+            f"t{k} AS (SELECT tr.* FROM tr JOIN nb USING (row_id) WHERE b = {k})",
+            f"c{k} AS (SELECT index, count(*) AS c FROM t{k} GROUP BY index)",
+            f"a{k} AS (SELECT index, coalesce(cnt, 0) + coalesce(c, 0) AS cnt, coalesce(w, 0) AS w, coalesce(z, 0) AS z, coalesce(n, 0) AS n, v0, v1, e0, e1, c IS NOT NULL AS here FROM s{k} FULL JOIN c{k} USING (index))",
+            f"b{k} AS (SELECT index, cnt, w, z, n, here, {activated('here')} FROM a{k})",
+            f"o{k} AS (SELECT index, w, CASE WHEN w <> 0 THEN v0 END AS v0, CASE WHEN w <> 0 THEN v1 END AS v1 FROM b{k} WHERE here)",
+            f"p{k} AS (SELECT row_id, label, sum(value * w) AS y, coalesce(sum(value * v0), 0) AS x0, coalesce(sum(value * v1), 0) AS x1, coalesce(sum(pow(value * v0, 2) + pow(value * v1, 2)), 0) AS xx FROM t{k} JOIN o{k} USING (index) GROUP BY ALL)",
+            f"m{k} AS (SELECT *, y + 0.5E0 * (x0 * x0 + x1 * x1 - xx) AS margin FROM p{k})",
+            f"d{k} AS (SELECT row_id, x0, x1, -{_Y} / (1 + exp({_Y} * margin)) AS d FROM m{k})",
+            f"h{k} AS (SELECT index, sum(value * d) AS g, sum(value * d * x0) AS r0, sum(value * d * x1) AS r1, sum(value * value * d) AS rr FROM t{k} JOIN d{k} USING (row_id) GROUP BY index)",
+            f"i{k} AS (SELECT b{k}.*, g, CASE WHEN w <> 0 THEN r0 - v0 * rr END AS q0, CASE WHEN w <> 0 THEN r1 - v1 * rr END AS q1 FROM b{k} LEFT JOIN h{k} USING (index))",
+            f"u{k} AS (SELECT index, cnt, w = 0 AS was, CASE WHEN g IS NULL THEN w ELSE {_prox(new_z, f'((1 + {turned}) / {alpha})', l1)} END AS w, CASE WHEN g IS NULL THEN z ELSE {new_z} END AS z, CASE WHEN g IS NULL THEN n ELSE {turned} END AS n, "
+            + ", ".join(f"CASE WHEN q{f} IS NULL THEN v{f} ELSE v{f} - {alpha} / ({full.format(f)} + 1) * q{f} END AS v{f}, CASE WHEN q{f} IS NULL THEN e{f} ELSE {full.format(f)} END AS e{f}" for f in range(2))
+            + f" FROM i{k})",
+            f"s{k + 1} AS (SELECT index, cnt, w, z, n, {activated('was')} FROM u{k})",
+        ]
+    return ",\n".join(out)
+
+
+@query(f"{_fm_fit_ctes(2, _HALF, 10)} SELECT index, cnt, {rs('w')} AS w, {rs('z')} AS z, {rs('n')} AS n, {rs('v0', 9)} AS v0, {rs('v1', 9)} AS v1 FROM s2")
+def fm_online_fit_state(spark, sf_dir):
+    rows = T.events_rows(spark, sf_dir)
+    conf = LearnConfig(minibatch=rows.count() // 2 + 1, max_data_pass=1, lambda_l1=0.1, lr_eta=0.1, embedding=Embedding(dim=2, threshold=10))
+    model, _ = trainers.train_factorization(rows, conf)
+    v = [r(F.get("v", F.lit(k)), 9).alias(f"v{k}") for k in range(2)]
+    return model.state.select("index", "cnt", *[r(c).alias(c) for c in ("w", "z", "n")], *v)
+
+
+# The first step from zero weights: steepest descent, cut by tens until it lowers the objective enough.
+_FIRST_STEP = f"""{EVENTS_SQL}, gz AS (SELECT index, sum(value * (0.5E0 - label)) AS g FROM tr GROUP BY index UNION ALL SELECT NULL, sum(0.5E0 - label) FROM er),
+st AS (SELECT index, CASE WHEN g > 0.5E0 THEN 0.5E0 - g WHEN g < -0.5E0 THEN -0.5E0 - g ELSE 0.0E0 END AS s FROM gz),
+q AS (SELECT sqrt(sum(s * s)) AS n, sum(abs(s)) AS a, sum(s * s) FILTER (WHERE index IS NOT NULL) AS r, max(s) FILTER (WHERE index IS NULL) AS b FROM st),
+um AS (SELECT row_id, label, sum(value * s) + (SELECT b FROM q) AS u FROM tr JOIN st USING (index) GROUP BY row_id, label),
+tj AS (SELECT j, pow(0.1E0, j) / n AS step FROM q, range(8) AS js(j)),
+ob AS (SELECT j, step, sum(label * {_SOFTPLUS.format('-step * u')} + (1 - label) * {_SOFTPLUS.format('step * u')}) AS loss FROM um, tj GROUP BY j, step),
+ok AS (SELECT step, loss + 0.5E0 * step * step * r + 0.5E0 * step * a AS objective FROM ob, q WHERE loss + 0.5E0 * step * step * r + 0.5E0 * step * a - (SELECT count(*) * ln(2) FROM er) <= -1e-4 * step * n * n ORDER BY j LIMIT 1)"""
+
+
+@query(f"{_FIRST_STEP} SELECT coalesce(index::VARCHAR, 'bias') AS feature, {rs('step * s')} AS w, {rs('objective', 4)} AS objective FROM st, ok")
+def lbfgs_first_step(spark, sf_dir):
+    model, solver, _ = trainers.train_linear_lbfgs(T.events_rows(spark, sf_dir), LBFGS(max_iter=1, l1=0.5), l2=1.0)
+    return model.select(F.coalesce(F.col("index").cast("string"), F.lit("bias")).alias("feature"), r("w").alias("w"), r(F.lit(solver.trace[-1]), 4).alias("objective"))
+
+
+@query(f"{_LIN_GRAD}, sp AS (SELECT index, w, g, CASE WHEN w > 0 THEN -g - 0.3E0 WHEN w < 0 THEN -g + 0.3E0 WHEN g < -0.3E0 THEN -g - 0.3E0 WHEN g > 0.3E0 THEN -g + 0.3E0 ELSE 0.0E0 END AS s FROM gr), "
+       f"dr AS (SELECT *, CASE WHEN -g * s > 0 THEN -g ELSE 0.0E0 END AS d FROM sp), nw AS (SELECT *, w + 0.1E0 * d AS x, CASE WHEN w <> 0 THEN sign(w) ELSE sign(s) END AS side FROM dr) "
+       f"SELECT index, {rs('d', 5)} AS direction, {rs('CASE WHEN x * side < 0 THEN 0.0E0 ELSE x END', 5)} AS point FROM nw")
+def owlqn_orthant(spark, sf_dir):
+    """The plain direction without what points away from steepest descent, and a step along it within the orthant."""
+    target, ids, w = _linear_objective(spark, sf_dir)
+    grad = target.value_and_grad(w)[1]
+    steepest = pseudo_gradient(w, grad, 0.3)
+    direction = aligned(-grad, steepest, 0.3)
+    point = in_orthant(w + 0.1 * direction, w, steepest, 0.3)
+    both = spark.createDataFrame(pa.table({"index": ids, "direction": direction[:-1], "point": point[:-1]}))
+    return both.select("index", r("direction", 5).alias("direction"), r("point", 5).alias("point"))
+
+
+# --- models, sinks and shaping ---------------------------------------------------------------------------
+
+
+@query(f"{EVENTS_SQL}, {_ZERO_GRAD}, md AS (SELECT index, {_prox('-g', '((abs(g) + 1) / 0.1E0)')} AS w FROM g0) SELECT index, {rs('w')} AS w FROM md WHERE w <> 0")
+def model_file(spark, sf_dir):
+    """A saved model of weights only, read back."""
+    path = files.scratch(spark, "model")
+    rows = T.events_rows(spark, sf_dir)
+    grad = linalg.rows_t(rows.withColumn("d", L.Loss().dual(F.col("label"), F.lit(0.0))))
+    trainers.LinearModel(U.push(trainers.empty_state(spark, U.FTRL()), grad, U.FTRL()), L.Loss()).save(path, 3, weights_only=True)
+    return trainers.LinearModel.load(spark, path, 3).state.select("index", r("w").alias("w"))
+
+
+@query(f"{EVENTS_SQL} SELECT {rs(_SIGMOID.format('margin'))} AS prediction, count(*) AS n FROM mg GROUP BY 1")
+def prediction_file(spark, sf_dir):
+    """Predictions written one a line and read back."""
+    path = files.scratch(spark, "predictions")
+    formats.write_predictions(T.margins(T.events_rows(spark, sf_dir)).withColumn("prediction", L.sigmoid(F.col("margin"))), path)
+    return spark.read.text(path).groupBy(r(F.col("value").cast("double")).alias("prediction")).agg(F.count("*").alias("n"))
+
+
+@query(f"{_kmeans_sql(1)} SELECT i::INT AS k, {rs('e')} AS v, count(*) AS n FROM (SELECT unnest(c) AS e, unnest(range(0, len(c))) AS i FROM c1) GROUP BY ALL")
+def centroid_file(spark, sf_dir):
+    """Centroids of one round, written as a text matrix and read back."""
+    path, v = files.scratch(spark, "centroids"), T.vectors(spark, sf_dir, scaled=True)
+    c = _seeds(v)
+    formats.write_centroids(clustering.update(clustering.assign(v, c, 12), c), path)
+    long = spark.read.text(path).select(F.posexplode(F.split("value", " ")).alias("k", "v"))
+    return long.groupBy("k", r(F.col("v").cast("double")).alias("v")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_partkey AS index, p_brand || '=' || p_size AS name, 'i' AS kind FROM part")
+def feature_names(spark, sf_dir):
+    path = files.scratch(spark, "names")
+    line = F.concat_ws("\t", F.col("p_partkey").cast("string"), F.concat_ws("=", "p_brand", F.col("p_size").cast("string")), F.lit("i"))
+    table(spark, sf_dir, "part").select(line.alias("value")).write.text(path)
+    return formats.read_feature_names(spark, path)
+
+
+@query(f"{EVENTS_SQL} SELECT row_id, {rs('coalesce(sum(CASE WHEN index % 2 = 0 THEN value * ' + weight_sql('index') + ' END), 0)')} AS y FROM tr GROUP BY row_id")
+def spmv_missing(spark, sf_dir):
+    """A product with weights for half the features; the others count nothing."""
+    rows = T.events_rows(spark, sf_dir)
+    tri = frame.triplets(rows)
+    return linalg.spmv(tri, T.hash_model(tri).filter("index % 2 = 0"), rows).select("row_id", r("y").alias("y"))
+
+
+@query(f"{EVENTS_SQL}, {_ZERO_GRAD}, md AS (SELECT index, {_prox('-g', '((abs(g) + 1) / 0.1E0)')} AS w FROM g0) SELECT index, w <> 0 AS shown, CASE WHEN w <> 0 THEN {rs(weight_sql('index', 'v0:') + ' / 10')} END AS v0 FROM md")
+def fm_visible(spark, sf_dir):
+    """Embeddings as others see them: none where shrinking left a weight of 0."""
+    state = _first_push(spark, sf_dir, U.FTRL(), 12).join(T.hash_model(T.events_triplets(spark, sf_dir), 4).select("index", "v"), "index")
+    v = U.visible_embedding(F.col("w"), F.col("v"), True)
+    return state.select("index", v.isNotNull().alias("shown"), r(F.get(v, F.lit(0))).alias("v0"))
+
+
+@query(f"SELECT l_suppkey, {rs('round(greatest(least(g, 0.2E0), -0.2E0) / 0.2E0 * 127) / 127 * 0.2E0')} AS g FROM ({_G})")
+def grad_quantize(spark, sf_dir):
+    return _supplier_gradients(spark, sf_dir).select("l_suppkey", r(L.quantize(F.col("g"), 1, 0.2)).alias("g"))
+
+
+@query(f"SELECT vec_id AS row_id, {rs('list_sum(list_transform(range(1, len(embedding) + 1), lambda i: i * (embedding[i]::DOUBLE + 0.5E0 * embedding[len(embedding) + 1 - i]::DOUBLE)))')} AS y FROM embeddings")
+def axpy_vectors(spark, sf_dir):
+    """x + 0.5 y of each vector and its reverse, seen through a product with 1, 2, 3, ..."""
+    got = L.axpy(F.col("x"), F.reverse("x"), 0.5)
+    steps = F.transform("x", lambda v, i: (i + 1).cast("double"))
+    return T.vectors(spark, sf_dir).select("row_id", r(L.dot(got, steps)).alias("y"))
+
+
+@query(f"SELECT o_orderpriority, {rs('ln(p / (1 - p))')} AS margin FROM (SELECT o_orderpriority, avg((o_orderstatus = 'P')::INT) AS p FROM orders GROUP BY 1) WHERE p > 0 AND p < 1")
+def base_margin(spark, sf_dir):
+    """The margin that each priority's mean response starts from."""
+    means = table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.avg((F.col("o_orderstatus") == "P").cast("int")).alias("p")).filter("p > 0 AND p < 1")
+    got = [(m["o_orderpriority"], L.base_score_logit(m["p"])) for m in means.collect()]  # one row a priority
+    return spark.createDataFrame(got, "o_orderpriority string, margin double").withColumn("margin", r("margin"))
+
+
+def _unlabelled_clicks(k: int) -> tuple[str, str]:
+    """SQL of field k's text, alike in both engines, and of whether it counts."""
+    if k < formats.N_INTEGERS:
+        return f"CASE WHEN (l_linenumber + {k}) % 3 = 0 THEN '' ELSE CAST((l_orderkey + {k}) % {k + 7} - 2 AS VARCHAR(20)) END", "x <> ''"
+    return f"CASE WHEN (l_suppkey + {k}) % 4 = 0 THEN '' ELSE lpad(CAST((l_partkey * {k}) % 100003 AS VARCHAR(20)), {7 + (k % 5 > 0)}, 'x') END", "length(x) = 8"
+
+
+_CLICK_TEXTS = [_unlabelled_clicks(k) for k in range(formats.N_INTEGERS + formats.N_CATEGORIES)]
+_CLICK_ENTRIES = ", ".join(f"CASE WHEN {ok.replace('x', f'f{k}', 1)} THEN struct_pack(index := {key_sql(f'f{k}', k)}, value := 1.0E0) END" for k, (_, ok) in enumerate(_CLICK_TEXTS))
+
+
+@query(f"WITH ft AS (SELECT {', '.join(f'{sql} AS f{k}' for k, (sql, _) in enumerate(_CLICK_TEXTS))} FROM lineitem), er AS (SELECT 0.0E0 AS label, list_filter([{_CLICK_ENTRIES}], lambda e: e IS NOT NULL) AS f FROM ft) {_READ_SQL}")
+def format_criteo_test(spark, sf_dir):
+    """Unlabelled clicks with all fields, some of them empty or of the wrong length."""
+    path = files.scratch(spark, "clicks")
+    texts = [F.expr(sql) for sql, _ in _CLICK_TEXTS]
+    table(spark, sf_dir, "lineitem").select(F.concat_ws("\t", *texts).alias("value")).write.text(path)
+    return _read_back(formats.parse_clicks(spark.read.text(path), labelled=False, portable=True))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hashed events, margins, and the merged metrics of minibatches."""
     return progress_merge(spark, sf_dir)
