@@ -8,7 +8,9 @@ the prefix.  A token may follow another exactly if the merges turn their joined
 back into these two tokens.
 
 Null text is empty and gives no ids; a word of any length costs time in proportion to
-it; ids outside the vocabulary decode to nothing; rows and other columns pass through.
+it; ids outside the vocabulary decode to nothing; rows, repeated ones too, and other columns
+pass through, but a column that has the output's name is replaced; an empty table gives an
+empty table.
 Words are kept in a dictionary of bounded size per Python worker, texts are taken in
 slices of bounded size, and nothing is shuffled.
 """
@@ -18,8 +20,8 @@ from __future__ import annotations
 import json
 import math
 import re
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -196,7 +198,7 @@ class TrieEncoder:
 
 
 class Encoder:
-    """Texts to ids, with a bounded dictionary of words seen before."""
+    """Texts to ids, with a bounded dictionary of words seen before; ids are kept as packed 32-bit integers."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v, self.trie, self.known = vocabulary, TrieEncoder(vocabulary), {}
@@ -213,16 +215,11 @@ class Encoder:
             self.known = {}
         new = [w for w in fresh if w not in self.known]
         by_bytes = self.trie.encode({w.encode() for w in new})
-        self.known.update((w, by_bytes[w.encode()]) for w in new)
+        self.known.update((w, array("i", by_bytes[w.encode()]).tobytes()) for w in new)
         out = []
         for doc in split:
-            ids: list[int] = []
-            for p in doc:
-                if isinstance(p, str):
-                    ids.append(v.special[p])
-                else:
-                    ids += chain.from_iterable(map(self.known.__getitem__, p))
-            out.append(np.array(ids, np.int32))
+            packed = [array("i", [v.special[p]]).tobytes() if isinstance(p, str) else b"".join(map(self.known.__getitem__, p)) for p in doc]
+            out.append(np.frombuffer(b"".join(packed), np.int32))
         return out
 
 

@@ -58,6 +58,10 @@ def test_operator_keeps_rows_and_columns(spark):
     for k, t, _ in rows:
         assert got[k]["back"] == (t or "") and got[k]["decoded"] == "x" and got[k]["text"] == t
     assert bpe_encode(df.limit(0), PATH).count() == 0
+    twice = bpe_decode(bpe_encode(df.union(df).withColumn("ids", df.doc_id), PATH), PATH)
+    assert sorted(twice.columns) == ["decoded", "doc_id", "ids", "text"]
+    assert sorted((r["doc_id"], r["decoded"]) for r in twice.collect()) == sorted(2 * [(k, t or "") for k, t, _ in rows])
+    assert bpe_decode(bpe_encode(df.limit(0), PATH), PATH).count() == 0
     bad = spark.createDataFrame([(1, [-1, 99999, 64]), (2, None)], "doc_id long, ids array<int>")
     assert [r["decoded"] for r in bpe_decode(bad, PATH).orderBy("doc_id").collect()] == ["a", ""]
 
