@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.bpe import bpe_decode, bpe_encode
-from tessella.llm.common import cut
+from tessella.llm.common import cut, drop_cut
 from tessella.llm.minhash import drop_near_duplicates
 from tessella.llm.mixing import mix_sources
 from tessella.llm.pii import sanitise
@@ -65,5 +65,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        done = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        drop_cut(docs)
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)

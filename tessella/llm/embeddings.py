@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import cut
+from tessella.llm.common import cut, drop_cut
 from tessella.llm.components import components
 
 BLOCK_ROWS = 1024
@@ -125,6 +125,8 @@ def near_embeddings(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_
     links = made.select(F.col("rep").alias("a"), F.col("parent").alias("b"))
     comp = components(links.union(same.filter("vec_id != rep").join(odd, "vec_id", "left_semi").select("vec_id", "rep")))
     counted = cut(made.groupBy("rep").agg(F.sum("links").alias("links")).join(comp.withColumnRenamed("node", "rep"), "rep", "full"), "counted")
+    for t in (reps, blocks, made, comp):
+        drop_cut(t)
     found = same.join(counted, "rep", "left").groupBy("vec_id").agg(
         F.max(F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.min(F.coalesce("component", "rep")).alias("component_id")
     )

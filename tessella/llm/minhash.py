@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import cut
+from tessella.llm.common import cut, drop_cut
 from tessella.llm.components import components
 
 BANDS, ROWS = 32, 5
@@ -287,7 +287,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     # Round 1: every member of a bucket with the bucket's least and greatest documents.
     members = reps.select(F.explode("bands").alias("band"), "doc_id")
     buckets = members.groupBy("band").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).filter("first < last")
-    inside = cut(members.join(cut(buckets, "buckets").hint("merge"), "band"), "inside")
+    buckets = cut(buckets, "buckets")
+    inside = cut(members.join(buckets.hint("merge"), "band"), "inside")
+    drop_cut(buckets)
     packed = _packed_texts(texts, inside.select("doc_id").distinct())
     # A bucket's size bounds the links that it gives its two ends; copies are powers of two, few for each end.
     copies = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.col("n") / HUB_LINKS, F.lit(1.0))))).cast("int").alias("copies")
@@ -298,26 +300,36 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     met = cut(met.select("a", "b", "m.*"), "met")
     alike = cut(_attached(met.drop("a", "b"), hubs, sketch.drop("size")).filter(_apart("x", "y") <= limit).select("end", "doc", "copies"), "candidates")
     links = _confirm(alike, hubs, packed, width, num, den)
+    drop_cut(alike)
     comp = components(links)
     # Round 2: pairs of different components that are left, singly in small buckets, by tiles in large ones.
     own = cut(inside.join(comp, F.col("doc_id") == F.col("node"), "left").select("band", "doc_id", "n", F.coalesce("component", "doc_id").alias("comp")), "members")
     apart = own.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("band")
-    full = cut(own.join(cut(apart, "parted"), "band", "left_semi").join(sketch, "doc_id"), "apart")
+    parted = cut(apart, "parted")
+    full = cut(own.join(parted, "band", "left_semi").join(sketch, "doc_id"), "apart")
+    for t in (own, parted, inside, hubs, reps):
+        drop_cut(t)
     x, y = full.filter(F.col("n") <= SMALL).alias("x"), full.filter(F.col("n") <= SMALL).alias("y")
     joined = (F.col("x.band") == F.col("y.band")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.comp") != F.col("y.comp")) & (_apart("x", "y") <= limit)
     pairs = x.join(y, joined).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
     left = cut(pairs.join(met.select("a", "b"), ["a", "b"], "left_anti").select(F.col("a").alias("end"), F.col("b").alias("doc"), F.lit(1).alias("copies")), "candidates")
     once = left.select("end", "copies").distinct()  # a document of small buckets has few links
     more = cut(_confirm(left, once, packed, width, num, den).union(_tile_links(full.filter(F.col("n") > SMALL), packed, width, num, den, limit)), "confirmed")
+    for t in (left, full, met, packed):
+        drop_cut(t)
+    every = links.union(more)
     if more.take(1):
-        links = links.union(more)
-        comp = components(links)
+        drop_cut(comp)
+        comp = components(every)
     of = nodes.select("same", F.col("doc_id")).distinct().join(firsts, "same").select("doc_id", "rep")
     # An id whose rows have different words joins their groups.
     if of.groupBy("doc_id").count().filter("count > 1").take(1):
-        comp = components(links.union(of.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
+        drop_cut(comp)
+        comp = components(every.union(of.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
         of = nodes.select("doc_id", F.col("doc_id").alias("rep")).distinct()
     found = cut(of.join(comp, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("component", "rep").alias("component_id")), "found")
+    for t in (firsts, links, more, comp):
+        drop_cut(t)
     out = signed.select("doc_id", F.col("n").alias("n_shingles")).join(found, "doc_id", "left")
     own_id = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", own_id.alias("component_id"), F.coalesce(F.col("doc_id") == own_id, F.lit(True)).alias("kept"))
