@@ -812,6 +812,45 @@ def lbfgs_first_step(spark, sf_dir):
     return model.select(F.coalesce(F.col("index").cast("string"), F.lit("bias")).alias("feature"), r("w").alias("w"), r(F.lit(solver.trace[-1]), 4).alias("objective"))
 
 
+def _pseudo_sql(w: str, g: str, l1: str = "0.5E0") -> str:
+    return f"CASE WHEN {w} > 0 THEN -{g} - {l1} WHEN {w} < 0 THEN {l1} - {g} WHEN {g} < -{l1} THEN -{g} - {l1} WHEN {g} > {l1} THEN {l1} - {g} ELSE 0.0E0 END"
+
+
+def _armijo_sql(k: int, before: str, slope: str) -> str:
+    """The first step whose objective falls enough; x<k> has the points (j, step, index, x), o<k> the chosen j, step and objective."""
+    return f"""u{k} AS (SELECT j, row_id, label, sum(value * x) AS m FROM tb JOIN x{k} USING (index) GROUP BY ALL),
+l{k} AS (SELECT j, sum(label * {_SOFTPLUS.format('-m')} + (1 - label) * {_SOFTPLUS.format('m')}) AS loss FROM u{k} GROUP BY j),
+e{k} AS (SELECT j, any_value(step) AS step, sum(0.5E0 * abs(x) + CASE WHEN index >= 0 THEN 0.5E0 * x * x ELSE 0.0E0 END) AS pen FROM x{k} GROUP BY j),
+o{k} AS (SELECT j, step, loss + pen AS objective FROM l{k} JOIN e{k} USING (j) WHERE loss + pen - {before} <= 1e-4 * step * {slope} ORDER BY j LIMIT 1)"""
+
+
+# Two iterations with l1 = 0.5 and l2 = 1: the bias is the feature -1, of value 1 in every row.
+_TWO_STEPS = f"""{EVENTS_SQL}, tb AS (SELECT row_id, label, index, value FROM tr UNION ALL SELECT row_id, label, -1, 1.0E0 FROM er),
+g0 AS (SELECT index, sum(value * (0.5E0 - label)) AS g FROM tb GROUP BY index),
+p0 AS (SELECT index, g, {_pseudo_sql('0.0E0', 'g')} AS p FROM g0),
+n0 AS (SELECT sum(p * p) AS pp FROM p0),
+x0 AS (SELECT j, pow(0.1E0, j) / sqrt(pp) AS step, index, pow(0.1E0, j) / sqrt(pp) * p AS x FROM p0, n0, range(8) AS js(j)),
+{_armijo_sql(0, '(SELECT count(*) * ln(2) FROM er)', '-(SELECT pp FROM n0)')},
+w1 AS (SELECT x0.index, x AS w, g AS g0 FROM x0 JOIN o0 USING (j) JOIN p0 ON p0.index = x0.index),
+d1 AS (SELECT row_id, 1 / (1 + exp(-sum(value * w))) - any_value(label) AS d FROM tb JOIN w1 USING (index) GROUP BY row_id),
+h1 AS (SELECT index, sum(value * d) AS h FROM tb JOIN d1 USING (row_id) GROUP BY index),
+v1 AS (SELECT index, w, g0, h + CASE WHEN index >= 0 THEN w ELSE 0.0E0 END AS g FROM w1 JOIN h1 USING (index)),
+p1 AS (SELECT index, w, w AS s, g - g0 AS y, {_pseudo_sql('w', 'g')} AS p FROM v1),
+n1 AS (SELECT sum(s * p) / sum(s * y) AS a, sum(s * y) AS sy, sum(y * y) AS yy, sum(y * p) AS yp FROM p1),
+r1 AS (SELECT index, w, p, sy / yy * (p - a * y) + s * (a - (yp - a * yy) / yy) AS d FROM p1, n1),
+q1 AS (SELECT index, w, p, CASE WHEN d * p > 0 THEN d ELSE 0.0E0 END AS d FROM r1),
+z1 AS (SELECT j, pow(0.5E0, j) AS step, index, w + pow(0.5E0, j) * d AS x, CASE WHEN w <> 0 THEN sign(w) ELSE sign(p) END AS side FROM q1, range(8) AS js(j)),
+x1 AS (SELECT j, step, index, CASE WHEN x * side < 0 THEN 0.0E0 ELSE x END AS x FROM z1),
+{_armijo_sql(1, '(SELECT objective FROM o0)', '-(SELECT sum(p * d) FROM q1)')}"""
+
+
+@query(f"{_TWO_STEPS} SELECT CASE WHEN index < 0 THEN 'bias' ELSE index::VARCHAR END AS feature, {rs('x')} AS w, {rs('objective', 4)} AS objective FROM x1 JOIN o1 USING (j)")
+def lbfgs_two_steps(spark, sf_dir):
+    """Two iterations with vectors as tables; the second uses the history of the first."""
+    model, solver, _ = trainers.train_linear_lbfgs(T.events_rows(spark, sf_dir), LBFGS(max_iter=2, l1=0.5), l2=1.0, tables=True)
+    return model.select(F.coalesce(F.col("index").cast("string"), F.lit("bias")).alias("feature"), r("w").alias("w"), r(F.lit(solver.trace[-1]), 4).alias("objective"))
+
+
 @query(f"{_LIN_GRAD}, sp AS (SELECT index, w, g, CASE WHEN w > 0 THEN -g - 0.3E0 WHEN w < 0 THEN -g + 0.3E0 WHEN g < -0.3E0 THEN -g - 0.3E0 WHEN g > 0.3E0 THEN -g + 0.3E0 ELSE 0.0E0 END AS s FROM gr), "
        f"dr AS (SELECT *, CASE WHEN -g * s > 0 THEN -g ELSE 0.0E0 END AS d FROM sp), nw AS (SELECT *, w + 0.1E0 * d AS x, CASE WHEN w <> 0 THEN sign(w) ELSE sign(s) END AS side FROM dr) "
        f"SELECT index, {rs('d', 5)} AS direction, {rs('CASE WHEN x * side < 0 THEN 0.0E0 ELSE x END', 5)} AS point FROM nw")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,3 +60,9 @@ def bernoulli(key: Column, seed: int, per_thousand: int) -> Column:
 def uniform(key: Column, seed: int) -> Column:
     """A double in [0, 1) that depends on key and seed alone."""
     return (md5_60(F.concat_ws("#", key.cast("string"), F.lit(str(seed)))) % 1000003) / F.lit(1000003.0)
+
+
+def seeded_normal(key: Column, k: int, seed: int, scale: float) -> Column:
+    """The k-th normal number of a key, with mean 0 and deviation ``scale``; it depends on key, k and seed alone."""
+    draw = lambda part: uniform(F.concat_ws(":", key.cast("string"), F.lit(f"{k}{part}")), seed)
+    return F.sqrt(-2 * F.log(1 - draw("a"))) * F.cos(2 * math.pi * draw("b")) * scale

@@ -1,7 +1,8 @@
 """L-BFGS with optional L1 (orthant-wise) for objectives whose value and gradient Spark sums up.
 
 Vectors have the model's dimension and live on the driver, up to ``MAX_DIM``; data never
-do: each evaluation is one job over the persisted examples.
+do: each evaluation is one job over the persisted examples.  Larger models take the form of
+``tessella.plans.vectorfree``, where vectors are tables.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-MAX_DIM = 20_000_000
+#: Dimension up to which weights, gradient and history stay on the driver.
+MAX_DIM = 2_000_000
 
 
 class Objective(ABC):
@@ -68,6 +70,20 @@ def two_loop(steepest: np.ndarray, history: deque) -> np.ndarray:
     return q
 
 
+@dataclass
+class SolverRun:
+    """Where a run stands: all it needs to go on.  ``history`` has the pairs (step, change of gradient), oldest first."""
+
+    iteration: int
+    weights: np.ndarray
+    history: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
+    first: float = 0.0
+    trace: list[float] = field(default_factory=list)
+    best: np.ndarray | None = None
+    best_loss: float = float("inf")
+    worse: int = 0
+
+
 @dataclass
 class LBFGS:
     """Settings and run of the solver; ``trace`` keeps the objective of each iteration."""
@@ -86,20 +102,22 @@ class LBFGS:
     def total(self, smooth: float, w: np.ndarray) -> float:
         return smooth + self.l1 * float(np.abs(w).sum())
 
-    def run(self, objective: Objective, w: np.ndarray | None = None, validate=None, each=None) -> np.ndarray:
+    def run(self, objective: Objective, w: np.ndarray | None = None, validate=None, each=None, before: SolverRun | None = None) -> np.ndarray:
         """The minimiser found; with ``validate`` (w -> loss) the best weights by it, with early stopping.
 
-        ``each(iteration, w)`` is called after every iteration.
+        ``each`` is called with a :class:`SolverRun` after every iteration; given one as
+        ``before``, the run goes on from there as if it had not stopped.
         """
         if objective.dim > MAX_DIM:
-            raise ValueError(f"dimension {objective.dim} is above {MAX_DIM}")
-        w = objective.initial() if w is None else w
+            raise ValueError(f"dimension {objective.dim} is above {MAX_DIM}: take the form whose vectors are tables")
+        w = before.weights if before else objective.initial() if w is None else w
         smooth, grad = objective.value_and_grad(w)
-        now = first = self.total(smooth, w)
-        history: deque = deque(maxlen=self.memory)
-        best, best_loss, worse = w, np.inf, 0
-        self.trace = [now]
-        for it in range(self.max_iter):
+        now = self.total(smooth, w)
+        at = before or SolverRun(-1, w, first=now, trace=[now])
+        now, self.trace = at.trace[-1], list(at.trace)
+        history = deque(at.history, maxlen=self.memory)
+        best, best_loss, worse = (w if at.best is None else at.best), at.best_loss, at.worse
+        for it in range(at.iteration + 1, self.max_iter):
             steepest = pseudo_gradient(w, grad, self.l1)
             direction = aligned(two_loop(steepest, history), steepest, self.l1)
             slope = -float(steepest @ direction)
@@ -118,15 +136,15 @@ class LBFGS:
             s, y = new - w, new_grad - grad
             if s @ y > 0:
                 history.append((s, y))
-            before, now, w, grad = now, value, new, new_grad
+            older, now, w, grad = now, value, new, new_grad
             self.trace.append(now)
-            if each is not None:
-                each(it, w)
+            stop = it >= self.min_iter and older - now < self.tol * at.first
             if validate is not None:
                 loss = validate(w)
                 best, best_loss, worse = (w, loss, 0) if loss < best_loss else (best, best_loss, worse + 1)
-                if self.early_stop and worse > self.early_stop and it >= self.min_iter:
-                    break
-            if it >= self.min_iter and before - now < self.tol * first:
+                stop = stop or bool(self.early_stop) and worse > self.early_stop and it >= self.min_iter
+            if each is not None:
+                each(SolverRun(it, w, list(history), at.first, list(self.trace), best if validate else None, best_loss, worse))
+            if stop:
                 break
         return best if validate is not None else w

@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import json
 import tempfile
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.functions.hashing import seeded_normal
 from tessella.functions.losses import Loss, base_score_logit, clip, dropout, logistic_nll, sigmoid
 from tessella.operators.factorization import gradient as fm_gradient
 from tessella.operators.factorization import normalised, score, with_margin
@@ -24,7 +25,9 @@ from tessella.operators.linalg import rows_t, spmv
 from tessella.operators.metrics import merged_progress, progress
 from tessella.operators.updaters import SGD, AdaGrad, FMLinear, FTRL, Rule, activate, embedding_step, fresh_embedding, push, visible_embedding
 from tessella.plans.config import LearnConfig
-from tessella.plans.lbfgs import LBFGS, Objective
+from tessella.plans.lbfgs import LBFGS, MAX_DIM, Objective, SolverRun
+from tessella.plans.vectorfree import FactorizationTables, LinearTables, columns, run_tables
+from tessella.sources.buckets import delete, folders
 from tessella.sources.files import written
 
 
@@ -330,15 +333,20 @@ class LinearObjective(Objective):
         return total + self._ridge(w), out
 
 
-def train_linear_lbfgs(rows: DataFrame, solver: LBFGS | None = None, l2: float = 0.0, objective: str = "logistic", base_score: float = 0.5, state_path: str | None = None) -> tuple[DataFrame, LBFGS, LinearObjective]:
+def train_linear_lbfgs(rows: DataFrame, solver: LBFGS | None = None, l2: float = 0.0, objective: str = "logistic", base_score: float = 0.5, state_path: str | None = None, tables: bool = False) -> tuple[DataFrame, LBFGS, LinearObjective | LinearTables]:
     """(index, w) with the bias in the row without an index; the solver with its trace; the objective.
 
-    With ``state_path`` the weights of each iteration are saved there, and a run that finds some goes on from them.
+    With ``state_path`` each iteration's state is saved there, and a run that finds some goes on from it.
+    Models beyond ``MAX_DIM``, or all with ``tables``, keep their vectors as tables; the result is the same.
     """
-    solver = solver or LBFGS()
-    target = LinearObjective(rows, l2, objective, base_score)
+    solver, spark = solver or LBFGS(), rows.sparkSession
+    target = None if tables else LinearObjective(rows, l2, objective, base_score)
+    if target is None or target.dim > MAX_DIM:
+        big = LinearTables(rows, l2, objective, base_score)
+        got = run_tables(solver, big, state_path)
+        model, bias = got.weights(1).select("index", F.col("w_0").alias("w")), got.bias["w"]
+        return model.union(spark.createDataFrame([(None, float(bias + big.base))], "index long, w double")), solver, big
     w = resumed(solver, target, state_path)
-    spark = rows.sparkSession
     local = spark.createDataFrame(pa.table({"local_id": np.arange(len(w) - 1), "w": w[:-1]}))
     model = target.dictionary.join(local, "local_id").select("index", "w")
     return model.union(spark.createDataFrame([(None, float(w[-1] + target.base))], "index long, w double")), solver, target
@@ -354,7 +362,11 @@ class FactorizationObjective(Objective):
         self.dim = self.n * (factors + 1) + 1
 
     def initial(self) -> np.ndarray:
-        return np.random.default_rng(self.seed).normal(0, self.scale, self.dim)
+        """Seeded numbers of each feature, the same in every form; the bias starts at 0."""
+        draws = [seeded_normal(F.col("index"), k, self.seed, self.scale).alias(f"w_{k}") for k in range(self.k + 1)]
+        t = self.dictionary.select("local_id", *draws).toArrow().sort_by("local_id")  # a row a feature, MAX_DIM numbers at most
+        w = np.stack([t[f"w_{k}"].to_numpy() for k in range(self.k + 1)], 1)
+        return np.concatenate([w[:, 0], w[:, 1:].ravel(), [0.0]])
 
     def _model(self, w: np.ndarray) -> DataFrame:
         v = w[self.n : -1].reshape(self.n, self.k)
@@ -385,47 +397,59 @@ class FactorizationObjective(Objective):
         return total + self._ridge(w), out
 
 
-def train_factorization_lbfgs(rows: DataFrame, solver: LBFGS | None = None, validation: DataFrame | None = None, **settings) -> tuple[DataFrame, float, LBFGS]:
-    """(index, w, v), the bias, and the solver; with ``validation`` the best weights by its mean loss."""
-    solver, target = solver or LBFGS(), FactorizationObjective(rows, **settings)
+def train_factorization_lbfgs(rows: DataFrame, solver: LBFGS | None = None, validation: DataFrame | None = None, state_path: str | None = None, tables: bool = False, **settings) -> tuple[DataFrame, float, LBFGS]:
+    """(index, w, v), the bias, and the solver; with ``validation`` the best weights by its mean loss.
+
+    ``state_path`` and ``tables`` are as for linear models.
+    """
+    solver, target = solver or LBFGS(), None if tables else FactorizationObjective(rows, **settings)
+    mean_loss = lambda rows, model, bias, k: rows.join(score(rows, triplets(rows), model, bias, k), "row_id").agg(F.avg(logistic_nll(F.col("label"), F.col("margin")))).first()[0]
+    if target is None or target.dim > MAX_DIM:
+        big = FactorizationTables(rows, **settings)
+        named = lambda t: t.select("index", F.col("w_0").alias("w"), F.array(*columns("w", big.width)[1:]).cast("array<double>").alias("v"))
+        check = None if validation is None else lambda t, bias: mean_loss(validation, named(t), bias, big.k)
+        got = run_tables(solver, big, state_path, check)
+        return named(got.table), got.bias["w"], solver
     validate = None
     if validation is not None:
         held = _with_local_ids(validation, target.dictionary).persist()
-        validate = lambda w: held.join(score(held, triplets(held), target._model(w), float(w[-1]), target.k), "row_id").agg(F.avg(logistic_nll(F.col("label"), F.col("margin")))).first()[0]
-    w = solver.run(target, validate=validate)
+        validate = lambda w: mean_loss(held, target._model(w), float(w[-1]), target.k)
+    w = resumed(solver, target, state_path, validate)
     local = target._model(w).withColumnRenamed("index", "local_id")
     return target.dictionary.join(local, "local_id").select("index", "w", "v"), float(w[-1]), solver
 
 
-@dataclass
-class SolverState:
-    """What a solver needs to go on: iteration, weights and trace."""
-
-    iteration: int
-    weights: np.ndarray
-    params: dict = field(default_factory=dict)
-
-    def save(self, spark: SparkSession, path: str) -> None:
-        """Weights as Parquet, the rest as JSON beside them."""
-        spark.createDataFrame(list(enumerate(self.weights.tolist())), "index long, w double").write.mode("overwrite").parquet(f"{path}/weights")
-        spark.createDataFrame([(json.dumps({"iteration": self.iteration, **self.params}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/params")
-
-    @staticmethod
-    def load(spark: SparkSession, path: str) -> SolverState:
-        params = json.loads(spark.read.text(f"{path}/params").first()[0])
-        rows = spark.read.parquet(f"{path}/weights").orderBy("index").collect()
-        return SolverState(params.pop("iteration"), np.array([r["w"] for r in rows]), params)
-
-
-def resumed(solver: LBFGS, target: Objective, path: str | None) -> np.ndarray:
-    """Runs the solver; with ``path`` from the state saved there, if any, and saving each iteration's."""
+def save_run(run: SolverRun, spark: SparkSession, path: str) -> None:
+    """Weights and history as one table, a row a coordinate; the scalars beside it, written last.  Older runs go."""
+    pairs = {f"{v}{k}": x for k, pair in enumerate(run.history) for v, x in zip("sy", pair, strict=True)}
+    vectors = {"index": np.arange(len(run.weights)), "w": run.weights, **pairs, **({} if run.best is None else {"best": run.best})}
+    spark.createDataFrame(pa.table(vectors)).write.mode("overwrite").parquet(f"{path}/vectors/{run.iteration}")
+    scalars = {"iteration": run.iteration, "first": run.first, "trace": run.trace, "pairs": len(run.history), "best_loss": run.best_loss, "worse": run.worse}
+    spark.createDataFrame([(json.dumps(scalars),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/scalars/{run.iteration}")
+    for old in folders(spark, f"{path}/scalars"):
+        if int(old) < run.iteration - 1:
+            delete(spark, f"{path}/scalars/{old}")
+            delete(spark, f"{path}/vectors/{old}")
+
+
+def load_run(spark: SparkSession, path: str) -> SolverRun | None:
+    """The last complete run saved in ``path``, or None."""
+    done = sorted(map(int, folders(spark, f"{path}/scalars")))
+    if not done:
+        return None
+    scalars = json.loads(spark.read.text(f"{path}/scalars/{done[-1]}").first()[0])
+    t = spark.read.parquet(f"{path}/vectors/{done[-1]}").toArrow().sort_by("index")  # a row a coordinate, MAX_DIM at most
+    x = {c: t[c].to_numpy() for c in t.column_names}
+    history = [(x[f"s{k}"], x[f"y{k}"]) for k in range(scalars.pop("pairs"))]
+    return SolverRun(weights=x["w"], history=history, best=x.get("best"), **scalars)
+
+
+def resumed(solver: LBFGS, target: Objective, path: str | None, validate=None) -> np.ndarray:
+    """Runs the solver; with ``path`` from the run saved there, if any, and saving each iteration's."""
     if path is None:
-        return solver.run(target)
+        return solver.run(target, validate=validate)
     spark = SparkSession.getActiveSession()
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/params/_SUCCESS")  # written last
-    before = SolverState.load(spark, path) if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where) else None
-    start = before.iteration + 1 if before else 0
-    return solver.run(target, before.weights if before else None, each=lambda k, w: SolverState(start + k, w).save(spark, path))
+    return solver.run(target, validate=validate, each=lambda run: save_run(run, spark, path), before=load_run(spark, path))
 
 
 def train_boosted_trees(df: DataFrame, features: list[str], label: str = "label", **settings):

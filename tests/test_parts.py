@@ -261,12 +261,55 @@ def test_high_ids_are_learnt_and_written(spark, tmp_path):
 
 
 def test_solver_goes_on_from_its_state(spark, tmp_path):
-    rows, path = rows_of(spark), f"{tmp_path}/s"
-    trainers.train_linear_lbfgs(rows, LBFGS(max_iter=3), l2=1.0, state_path=path)
-    assert trainers.SolverState.load(spark, path).iteration == 2
-    _, solver, _ = trainers.train_linear_lbfgs(rows, LBFGS(max_iter=2), l2=1.0, state_path=path)
-    _, whole, _ = trainers.train_linear_lbfgs(rows, LBFGS(max_iter=3), l2=1.0)
-    assert abs(solver.trace[0] - whole.trace[-1]) < 1e-9 and trainers.SolverState.load(spark, path).iteration == 4
+    """A run that was interrupted gives the trace of one that was not: both forms, both models."""
+    rows = rows_of(spark)
+    linear = lambda **a: trainers.train_linear_lbfgs(rows, l2=1.0, **a)[1]
+    machine = lambda **a: trainers.train_factorization_lbfgs(rows, factors=2, l2=1.0, l2_v=0.5, scale=0.3, **a)[2]
+    for k, (train, tables) in enumerate(((linear, False), (linear, True), (machine, False))):
+        path, make = f"{tmp_path}/{k}", lambda n: LBFGS(max_iter=n, memory=2, l1=0.1, tol=0.0)
+        train(solver=make(2), state_path=path, tables=tables)
+        went_on, whole = train(solver=make(4), state_path=path, tables=tables).trace, train(solver=make(4)).trace
+        assert len(whole) == 5 and np.allclose(went_on, whole, rtol=1e-9)
+    run = trainers.load_run(spark, f"{tmp_path}/0")
+    assert run.iteration == 3 and len(run.history) == 2 and len(run.trace) == 5
+
+
+def test_solver_forms_agree(spark, monkeypatch):
+    """Vectors on the driver, as tables with broadcast weights, and as tables that meet entries by feature."""
+    from tessella.plans import vectorfree
+
+    rows, held = rows_of(spark), rows_of(spark, 40, 9)
+    for sent, l1 in ((1 << 30, 0.0), (0, 0.7)):
+        monkeypatch.setattr(vectorfree, "BROADCAST_BYTES", sent)
+        traces, models = [], []
+        for tables in (False, True):
+            model, solver, _ = trainers.train_linear_lbfgs(rows, LBFGS(max_iter=5, memory=2, l1=l1), l2=0.3, tables=tables)
+            traces.append(solver.trace)
+            models.append({r["index"]: r["w"] for r in model.collect()})
+        assert np.allclose(*traces, rtol=1e-9) and models[0].keys() == models[1].keys()
+        assert np.allclose([models[0][k] for k in models[0]], [models[1][k] for k in models[0]], atol=1e-7)
+    fits = [trainers.train_factorization_lbfgs(rows, LBFGS(max_iter=3, memory=2), held, factors=2, l2=0.5, l2_v=0.5, scale=0.3, tables=t) for t in (False, True)]
+    assert np.allclose(fits[0][2].trace, fits[1][2].trace, rtol=1e-9) and abs(fits[0][1] - fits[1][1]) < 1e-8
+    a, b = ({r["index"]: [r["w"], *r["v"]] for r in f[0].collect()} for f in fits)
+    assert a.keys() == b.keys() and np.allclose([a[k] for k in a], [b[k] for k in a], atol=1e-7)
+
+
+def test_solver_beyond_the_driver(spark, monkeypatch):
+    """Above ``MAX_DIM`` there is no error: the tables take over, with one trace."""
+    rows = rows_of(spark)
+    want = trainers.train_linear_lbfgs(rows, LBFGS(max_iter=3), l2=1.0)[1].trace
+    monkeypatch.setattr(trainers, "MAX_DIM", 3)
+    model, solver, target = trainers.train_linear_lbfgs(rows, LBFGS(max_iter=3), l2=1.0)
+    assert np.allclose(solver.trace, want, rtol=1e-9) and target.n_features == 6 == model.count() - 1
+
+
+def test_vector_free_step_keeps_no_shuffle_of_the_history(spark):
+    from tessella.plans.vectorfree import LinearTables, run_tables
+
+    got = run_tables(LBFGS(max_iter=2), LinearTables(rows_of(spark), l2=1.0))
+    fresh = spark.range(6).select(F.col("id").alias("index"), F.rand(1).alias("h_0")).groupBy("index").agg(F.sum("h_0").alias("h_0"))
+    plan = got.table.hint("merge").join(fresh, "index", "left")._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") == 1
 
 
 def test_sparse_kmeans_against_dense(spark):
