@@ -720,6 +720,22 @@ def adagrad_fit_weights(spark, sf_dir):
     return model.state.select("index", r("w").alias("w"), r("n").alias("n"))
 
 
+def _delayed_ctes(batches: int, size: str) -> str:
+    """FTRL whose gradients lag by one push: s<k> is the state before the push of batch k, margins are taken under s<k - 1>."""
+    out = _ftrl_ctes(batches, size)
+    for k in range(1, batches):
+        out = out.replace(f"FROM t{k} LEFT JOIN s{k} USING", f"FROM t{k} LEFT JOIN s{k - 1} USING")
+    return out
+
+
+@query(f"{_delayed_ctes(4, '((SELECT count(*) FROM events) // 4 + 1)')} SELECT index, {rs('w')} AS w, {rs('z')} AS z, {rs('n')} AS n FROM s4")
+def ftrl_delayed(spark, sf_dir):
+    """Two minibatches under way at once: each gradient is taken before the push of the minibatch before."""
+    rows = T.events_rows(spark, sf_dir)
+    model, _ = trainers.train_linear(rows, LearnConfig(minibatch=rows.count() // 4 + 1, max_data_pass=1), delay=1)
+    return model.state.select("index", *[r(c).alias(c) for c in ("w", "z", "n")])
+
+
 _LOSS_OF = f"avg({_SOFTPLUS.format('-' + _Y + ' * margin')})"
 
 

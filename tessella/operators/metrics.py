@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.losses import sigmoid, sign_label, softplus
 
-#: Ranges of scores, as even as quantiles make them, that the global AUC sums up apart.
+#: Ranges of a group's scores that the AUC sums up apart.
 SCORE_RANGES = 256
 
 
@@ -38,24 +38,28 @@ def fold(a: Column) -> Column:
 def auc(df: DataFrame, score: str = "margin", label: str = "label", by: list[str] | None = None, folded: bool = False, digits: int | None = None) -> DataFrame:
     """Area under the curve per group; ties count one half; 1 where one class is missing.
 
-    Rows are summed per distinct score first.  Without groups, score ranges are summed
-    apart and joined by a table of :data:`SCORE_RANGES` rows at most, so no task needs all
-    scores.
+    Rows are summed per distinct score first.  Each group's scores fall into ranges about as
+    even as quantiles make them; ranges are summed apart and shifted by the ranges before,
+    of which a group has :data:`SCORE_RANGES` at most, so no task needs a group's scores.
     """
     by = by or []
     s = F.col(score) if digits is None else F.round(F.col(score), digits)
     per = df.groupBy(*by, s.alias("s")).agg(F.sum((F.col(label) > 0).cast("double")).alias("p"), F.sum((F.col(label) <= 0).cast("double")).alias("n"))
-    if by:
-        before = Window.partitionBy(*by).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-        summed = per.withColumn("below", F.coalesce(F.sum("n").over(before), F.lit(0.0)))
-    else:
-        edges = per.agg(F.percentile_approx("s", F.array(*[F.lit(k / SCORE_RANGES) for k in range(1, SCORE_RANGES)])).alias("edges"))
-        per = per.join(F.broadcast(edges)).withColumn("r", F.size(F.filter("edges", lambda e: e < F.col("s")))).drop("edges")  # one row of edges
-        ranges = per.groupBy("r").agg(F.sum("n").alias("rn"))
-        all_before = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
-        ranges = ranges.select("r", F.coalesce(F.sum("rn").over(all_before), F.lit(0.0)).alias("shift"))
-        before = Window.partitionBy("r").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-        summed = per.withColumn("below", F.coalesce(F.sum("n").over(before), F.lit(0.0))).join(F.broadcast(ranges), "r").withColumn("below", F.col("below") + F.col("shift"))
+    edges = per.groupBy(*[F.col(c).alias(f"__{c}") for c in by]).agg(F.percentile_approx("s", F.array(*[F.lit(k / SCORE_RANGES) for k in range(1, SCORE_RANGES)])).alias("edges"))
+    # A score's range in two steps: which run of edges, then where in it.
+    run = int(SCORE_RANGES**0.5)
+    heads = F.transform(F.sequence(F.lit(run), F.lit(SCORE_RANGES - 1), F.lit(run)), lambda k: F.get("edges", k - 1))
+    edges, below = edges.withColumn("heads", heads), lambda x: F.size(F.filter(x, lambda e: e < F.col("s")))
+    per = per.join(edges, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]).drop(*[f"__{c}" for c in by]) if by else per.join(F.broadcast(edges))  # one row
+    start = run * below("heads")
+    per = per.withColumn("r", start + below(F.slice("edges", start + 1, F.lit(run)))).drop("edges", "heads")
+    ranges = per.groupBy(*[F.col(c).alias(f"__{c}") for c in by], F.col("r").alias("__r")).agg(F.sum("n").alias("rn"))
+    all_before = Window.partitionBy(*[f"__{c}" for c in by]).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("shift", F.coalesce(F.sum("rn").over(all_before), F.lit(0.0))).drop("rn")
+    before = Window.partitionBy(*by, "r").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    summed = per.withColumn("below", F.coalesce(F.sum("n").over(before), F.lit(0.0)))
+    same = [F.col("r") == F.col("__r"), *[F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]]
+    summed = summed.join(ranges if by else F.broadcast(ranges), same).withColumn("below", F.col("below") + F.col("shift"))
     area = F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)) / (F.sum("p") * F.sum("n"))
     a = F.when((F.sum("p") == 0) | (F.sum("n") == 0), F.lit(1.0)).otherwise(area)
     return summed.groupBy(*by).agg((fold(a) if folded else a).alias("auc"))
@@ -70,3 +74,10 @@ def progress(df: DataFrame, by: str = "batch_id") -> DataFrame:
 def merged_progress(per_batch: DataFrame) -> DataFrame:
     """What a report shows: loss per example, and accuracy and AUC as means over batches."""
     return per_batch.agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_batches"), (F.sum("objv") / F.sum("n")).alias("logloss"), F.avg("acc").alias("acc"), F.avg("auc").alias("auc"))
+
+
+def whole_progress(df: DataFrame) -> DataFrame:
+    """The report of rows that are no batches, such as held-out ones: one group, whatever its size."""
+    y, m = F.col("label"), F.col("margin")
+    own = df.agg(F.count("*").alias("n_rows"), F.lit(1).cast("long").alias("n_batches"), (logit_objective(y, m) / F.count("*")).alias("logloss"), accuracy(y, m, folded=True).alias("acc"))
+    return own.crossJoin(auc(df, folded=True, digits=9))

@@ -43,7 +43,10 @@ def _passes(train, conf: LearnConfig, begin: int, saved):
 
 
 def linear(spark: SparkSession, text: str = "", **over) -> tuple[trainers.LinearModel | None, list[dict]]:
-    """Online linear model.  With ``predict_out`` it only predicts, with ``load_iter`` it resumes after that pass."""
+    """Online linear model.  With ``predict_out`` it only predicts, with ``load_iter`` it resumes after that pass.
+
+    ``max_concurrency`` minibatches are under way at once, each against the state before the others' pushes.
+    """
     conf = LearnConfig.load(text, **over)
     warm = trainers.LinearModel.load(spark, conf.model_in, conf.load_iter, trainers.Loss(conf.loss)) if conf.model_in else None
     if conf.predict_out:
@@ -58,7 +61,7 @@ def linear(spark: SparkSession, text: str = "", **over) -> tuple[trainers.Linear
     rows = examples(spark, conf.train_data, conf.data_format).persist()
     held = examples(spark, conf.val_data, conf.data_format).persist() if conf.val_data else None
     one = LearnConfig.load("", **(trainers.settings_of(conf) | {"max_data_pass": 1, "embedding": conf.embedding}))
-    return _passes(lambda m, k: trainers.train_linear(rows, one, held, m or warm, shuffle=conf.rand_shuffle > 0, first_pass=k), conf, conf.load_iter + 1 if conf.load_iter > 0 else 0, lambda m, k: m.save(conf.model_out, k))
+    return _passes(lambda m, k: trainers.train_linear(rows, one, held, m or warm, shuffle=conf.rand_shuffle > 0, first_pass=k, delay=max(1, conf.max_concurrency) - 1), conf, conf.load_iter + 1 if conf.load_iter > 0 else 0, lambda m, k: m.save(conf.model_out, k))
 
 
 def factorization_machine(spark: SparkSession, text: str = "", **over) -> tuple[trainers.FactorizationModel, list[dict]]:

@@ -1,15 +1,20 @@
 """Trainers: online minibatch models, batch models by L-BFGS, and boosted trees.
 
-Online models take minibatches in order of ``batch_id``, each against the state that the
-one before left: pull by join, margins by a grouped sum, gradients by another, push by a
-keyed upsert.  State is checkpointed every few batches, as lineage grows with each.
+Online models take minibatches in order of ``batch_id``: pull by join, margins by a grouped sum,
+gradients by another, push by a keyed upsert.  A folder of minibatches works on the state of its
+own features and leaves it as a layer of the model (``tessella.plans.state``).  A minibatch is
+two jobs: one writes the margins of its rows, from which progress is made up later, the other the
+state after it.  Gradients may be taken against a state that lags by a fixed number of pushes;
+then as many minibatches are under way at once, and pushes still come in order.
 """
 
 from __future__ import annotations
 
 import json
 import tempfile
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +27,14 @@ from tessella.operators.factorization import gradient as fm_gradient
 from tessella.operators.factorization import normalised, score, with_margin
 from tessella.operators.frame import dictionary, downsample_negatives, minibatches, triplets, unique_index
 from tessella.operators.linalg import rows_t, spmv
-from tessella.operators.metrics import merged_progress, progress
+from tessella.operators.metrics import merged_progress, progress, whole_progress
 from tessella.operators.updaters import SGD, AdaGrad, FMLinear, FTRL, Rule, activate, embedding_step, fresh_embedding, push, visible_embedding
 from tessella.plans.config import LearnConfig
 from tessella.plans.lbfgs import LBFGS, MAX_DIM, Objective, SolverRun
+from tessella.plans.state import LayeredState
 from tessella.plans.vectorfree import FactorizationTables, LinearTables, columns, run_tables
-from tessella.sources.buckets import delete, folders
-from tessella.sources.files import written
+from tessella.sources.buckets import bucketed, delete, dropped, folders
+from tessella.sources.files import scratch, written
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -96,39 +102,92 @@ def one_batch(batched: DataFrame, b: int) -> DataFrame:
     return batched.filter((F.col("batch_group") == b // BATCHES_PER_FOLDER) & (F.col("batch_id") == b)).drop("batch_group")
 
 
-def train_linear(rows: DataFrame, conf: LearnConfig, validation: DataFrame | None = None, warm: LinearModel | None = None, every: int = 4, stop=None, shuffle: bool = False, first_pass: int = 0) -> tuple[LinearModel, list[dict]]:
+class Scores:
+    """Margins of a pass, a table for each minibatch, from which its progress is made up."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path = spark, scratch(spark, "scores")
+
+    def written(self, scored: DataFrame, b: int) -> DataFrame:
+        """(row_id, label, margin) of a minibatch, written."""
+        at = f"{self.path}/batch_id={b}"
+        rows = scored.select("row_id", "label", "margin")
+        rows.write.mode("overwrite").parquet(at)
+        return self.spark.read.schema(rows.schema).parquet(at)
+
+    def progress(self) -> dict:
+        """The merged progress of all minibatches, in one job; the margins are deleted."""
+        rows = self.spark.read.option("basePath", self.path).parquet(self.path)
+        out = merged_progress(progress(rows)).first().asDict()
+        delete(self.spark, self.path)
+        return out
+
+
+def _group_of(batched: DataFrame, group: int) -> DataFrame:
+    """Distinct features of a folder of minibatches."""
+    return batched.filter(F.col("batch_group") == group).select(F.explode("features.index").alias("index")).distinct()
+
+
+def _margins(part: DataFrame, state: DataFrame) -> DataFrame:
+    """(row_id, label, margin) of rows under a state, from one join and one grouped sum."""
+    flat = part.select("row_id", "label", F.explode_outer("features").alias("f")).select("row_id", "label", F.col("f.index").alias("index"), F.col("f.value").alias("value"))
+    got = flat.join(state.select("index", "w"), "index", "left").groupBy("row_id")
+    return got.agg(F.first("label").alias("label"), F.coalesce(F.sum(F.col("value") * F.col("w")), F.lit(0.0)).alias("margin"))
+
+
+def train_linear(rows: DataFrame, conf: LearnConfig, validation: DataFrame | None = None, warm: LinearModel | None = None, stop=None, shuffle: bool = False, first_pass: int = 0, delay: int = 0) -> tuple[LinearModel, list[dict]]:
     """A linear model, and per pass the merged progress of its batches.
 
     ``stop(progress, is_training)`` may end training after a pass.  With ``shuffle``
     each pass, numbered from ``first_pass``, has its rows in another order.
+
+    With ``delay`` d a minibatch's gradient is taken against the state before the last d pushes
+    (fewer at the head of a folder of minibatches, where a barrier stands), so d + 1 minibatches
+    are under way at once.  Pushes come in order, so the result does not depend on timing.
     """
     spark, rule, loss = rows.sparkSession, rule_of(conf), Loss(conf.loss)
-    model = LinearModel(warm.state if warm else empty_state(spark, rule), loss)
+    state = LayeredState(spark, ", ".join(["index long", *[f"{c} double" for c in rule.state]]), warm.state if warm else None)
     if 0 <= conf.neg_sampling < 1:
         rows = downsample_negatives(rows, F.rand(conf.rand_shuffle) >= conf.neg_sampling)
     history, t, batched, ids = [], 0, None, []
     for epoch in range(conf.max_data_pass):
-        seen = []
+        scores = Scores(spark)
         if batched is None or shuffle:
             batched, ids = batch_table(rows, conf.minibatch, shuffle, first_pass + epoch)
-        for b in ids:
-            t += 1
-            scored = model.margins(one_batch(batched, b)).persist()
-            grad = rows_t(scored.withColumn("d", loss.dual(F.col("label"), F.col("margin"))))
-            seen.append(progress(scored))
-            model.state = push(model.state, grad, rule, t)
-            if t % every == 0 or b == ids[-1]:
-                model.state = checkpointed(model.state)
-        own = seen[0]
-        for s in seen[1:]:
-            own = own.unionByName(s)
-        history.append({"pass": epoch, "train": merged_progress(own).first().asDict()})
+
+        def gradient(b: int, at: DataFrame, scores=scores, batched=batched) -> DataFrame:
+            part = one_batch(batched, b)
+            scored = scores.written(_margins(part, at), b)
+            d = scored.select("row_id", loss.dual(F.col("label"), F.col("margin")).alias("d"))
+            g = rows_t(part.select("row_id", "features").join(d, "row_id"))
+            return bucketed(g, "index", "gradient", aligned=True) if delay else g
+
+        with ThreadPoolExecutor(delay + 1) as pool:
+            for group, own in groupby(ids, lambda b: b // BATCHES_PER_FOLDER):
+                own = list(own)
+                first, last = own[0], own[-1]
+                pulled = state.pull(_group_of(batched, group))
+                versions = {first: bucketed(pulled.select("index", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in rule.state]), "index", "working", aligned=True)}
+                dropped(pulled)
+                under_way: dict = {}
+                for b in own:
+                    t += 1
+                    for ahead in range(b, min(b + delay, last) + 1):
+                        if ahead not in under_way and max(first, ahead - delay) in versions:
+                            under_way[ahead] = pool.submit(gradient, ahead, versions[max(first, ahead - delay)])
+                    grad = under_way.pop(b).result()
+                    versions[b + 1] = bucketed(push(versions[b], grad, rule, t), "index", "working", aligned=True)
+                    dropped(grad)
+                    for old in [k for k in versions if k < b + 1 - delay or k <= b and b == last]:
+                        dropped(versions.pop(old))
+                state.put(versions[last + 1])
+        history.append({"pass": epoch, "train": scores.progress()})
+        model = LinearModel(state.fold(), loss)
         if validation is not None:
-            scored = model.margins(validation.withColumn("batch_id", F.lit(0)))
-            history[-1]["validation"] = merged_progress(progress(scored)).first().asDict()
+            history[-1]["validation"] = whole_progress(model.margins(validation)).first().asDict()
         if stop and stop(history[-1], validation is None):
             break
-    return model, history
+    return LinearModel(state.fold(), loss), history
 
 
 class PartitionFTRL:
@@ -206,8 +265,8 @@ class FactorizationModel:
 _FM_STATE = "index long, cnt long, w double, z double, n double, v array<double>, vn array<double>"
 
 
-def fm_step(state: DataFrame, part: DataFrame, conf: LearnConfig, count_features: bool, seed: int = 1) -> tuple[DataFrame, DataFrame]:
-    """One minibatch: count, activate, pull, step, activate where w left 0.  The new state and the scored rows."""
+def fm_step(state: DataFrame, part: DataFrame, conf: LearnConfig, count_features: bool, seed: int = 1) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """One minibatch: count, activate, pull, step, activate where w left 0.  The new state, the scored rows, and what to unpersist after."""
     e, tri = conf.embedding, triplets(part).persist()
     alpha, beta = conf.lr_eta or 0.01, conf.lr_beta
     counts = unique_index(tri) if count_features else unique_index(tri).withColumn("count", F.lit(0).cast("long"))
@@ -223,9 +282,11 @@ def fm_step(state: DataFrame, part: DataFrame, conf: LearnConfig, count_features
         return df.withColumn("__on", on).withColumn("vn", F.when(F.col("__on"), zeros).otherwise(F.col("vn"))).withColumn("v", F.when(F.col("__on"), fresh).otherwise(F.col("v"))).drop("__on")
 
     s = activated(s, F.col("here")).persist()
+    held = [tri, s]
     seen_v = visible_embedding(F.col("w"), F.col("v"), conf.l1_shrk)
     model = s.filter("here").select("index", "w", seen_v.alias("v"))
     scored = with_margin(part, tri, model, e.dim).persist()
+    held.append(scored)
     grad = fm_gradient(scored.withColumn("d", Loss().dual(F.col("label"), F.col("margin"))), model, e.dim)
     rule = FMLinear(alpha=alpha, beta=beta, l1=conf.lambda_l1, l2=conf.lambda_l2)
     new = rule.update(F.col("g"), 0)
@@ -241,7 +302,7 @@ def fm_step(state: DataFrame, part: DataFrame, conf: LearnConfig, count_features
     was_zero = F.col("w") == 0
     s = s.select("index", "cnt", was_zero.alias("was"), *[F.when(F.col("g").isNull(), F.col(c)).otherwise(new[c]).alias(c) for c in ("w", "z", "n")], "v", "vn")
     s = activated(s, F.col("was") & (F.col("w") != 0))
-    return s.select("index", "cnt", "w", "z", "n", "v", "vn"), scored
+    return s.select("index", "cnt", "w", "z", "n", "v", "vn"), scored, held
 
 
 def train_factorization(rows: DataFrame, conf: LearnConfig, validation: DataFrame | None = None, warm: FactorizationModel | None = None, shuffle: bool = False) -> tuple[FactorizationModel, list[dict]]:
@@ -251,28 +312,33 @@ def train_factorization(rows: DataFrame, conf: LearnConfig, validation: DataFram
     ``early_stop``, where a pass lowers the validation loss by less than ``min_objv_decr``.
     """
     spark = rows.sparkSession
-    model = warm or FactorizationModel(spark.createDataFrame([], _FM_STATE), conf)
+    state = LayeredState(spark, _FM_STATE, warm.state if warm else None)
     history, before, batched, ids = [], 100.0, None, []
     for epoch in range(conf.max_data_pass):
-        seen = None
+        scores = Scores(spark)
         if batched is None or shuffle:
             batched, ids = batch_table(rows, conf.minibatch, shuffle, epoch)
-        for b in ids:
-            part = one_batch(batched, b)
-            state, scored = fm_step(model.state, part, conf, count_features=epoch == 0 and conf.embedding.dim > 0)
-            model.state = checkpointed(state)
-            own = progress(scored)
-            seen = own if seen is None else seen.unionByName(own)
-        history.append({"pass": epoch, "train": merged_progress(seen).first().asDict()})
+        for group, own in groupby(ids, lambda b: b // BATCHES_PER_FOLDER):
+            work = state.pull(_group_of(batched, group))
+            for b in own:
+                new, scored, kept = fm_step(work.filter("cnt IS NOT NULL"), one_batch(batched, b), conf, count_features=epoch == 0 and conf.embedding.dim > 0)
+                scores.written(scored, b)
+                old, work = work, bucketed(new, "index", "working", aligned=True)
+                for x in kept:
+                    x.unpersist()
+                dropped(old)
+            state.put(work)
+        history.append({"pass": epoch, "train": scores.progress()})
+        model = FactorizationModel(state.fold(), conf)
         if conf.max_objv is not None and history[-1]["train"]["logloss"] > conf.max_objv:
             break
         if validation is not None:
-            got = merged_progress(progress(model.margins(validation.withColumn("batch_id", F.lit(0))))).first().asDict()
+            got = whole_progress(model.margins(validation)).first().asDict()
             history[-1]["validation"] = got
             if conf.early_stop and before - got["logloss"] < conf.min_objv_decr:
                 break
             before = got["logloss"]
-    return model, history
+    return FactorizationModel(state.fold(), conf), history
 
 
 def _with_local_ids(rows: DataFrame, dic: DataFrame) -> DataFrame:
