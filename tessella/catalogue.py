@@ -461,6 +461,21 @@ def kmeans_iterations(spark, sf_dir):
     return c.select("cluster", F.posexplode("centroid").alias("k", "e")).select("cluster", "k", r("e").alias("v"))
 
 
+_FAR = "CASE WHEN i % 2 = 0 THEN (i * 1099511627776)::HUGEINT ELSE i::HUGEINT + 9223372036854775808 END"
+
+
+@query(f"{_kmeans_sql(2)} SELECT cluster::INT AS cluster, ({_FAR})::VARCHAR AS feature, {rs('e')} AS w FROM (SELECT cluster, unnest(c) AS e, unnest(range(0, len(c))) AS i FROM c2)")
+def kmeans_sparse(spark, sf_dir):
+    """Two rounds on sparse rows whose ids are multiples of 2**40, or 2**63 and more."""
+    far = lambda i: F.when(i % 2 == 0, i.cast("long") * (1 << 40)).otherwise(i.cast("long").bitwiseXOR(F.lit(-(1 << 63))))
+    v = T.vectors(spark, sf_dir, scaled=True)
+    rows = v.select("row_id", F.lit(0.0).alias("label"), F.lit(1.0).alias("weight"), F.transform("x", lambda x, i: F.struct(far(i).alias("index"), x.alias("value"))).alias("features"))
+    init = _seeds(v).select("cluster", F.posexplode("centroid").alias("i", "w")).select("cluster", far(F.col("i")).alias("index"), "w")
+    k = v.agg(F.max("label")).first()[0] + 1
+    c = clustering.fit_sparse(rows, k, 2, init=init)
+    return c.select("cluster", H.unsigned_text(F.col("index")).alias("feature"), r("w").alias("w"))
+
+
 @query()
 def kmeans_fit(spark, sf_dir):
     c = clustering.fit(T.vectors(spark, sf_dir), 8, 3, seed=5, empty="keep")
@@ -662,6 +677,20 @@ def keyed_ftrl_stream(spark, sf_dir):
     return online.drained(online.keyed_ftrl(online.file_stream(spark, grads, 2, "grads").select("index", "at", "g")), "keyed")
 
 
+@query(f"{_ftrl_ctes(2, '((SELECT count(*) FROM events) // 2 + 1)').replace('sum(value * coalesce(w, 0)) AS margin', '0.0E0 * count(*) AS margin')} SELECT index, {rs('w')} AS w, {rs('z')} AS z, {rs('n')} AS n FROM s2")
+def keyed_push_stream(spark, sf_dir):
+    """Gradients at zero weights arrive in two halves; each is one push into state keyed by feature range."""
+    rows = T.events_rows(spark, sf_dir)
+    grads = rows.select("row_id", F.explode("features").alias("f"), L.Loss().dual(F.col("label"), F.lit(0.0)).alias("d")).select("row_id", F.col("f.index").alias("index"), (F.col("f.value") * F.col("d")).alias("g"))
+    halves = frame.minibatches(rows.select("row_id"), rows.count() // 2 + 1)
+    path, home = files.scratch(spark, "gradients"), files.scratch(spark, "pushes")
+    for k in range(2):
+        grads.join(halves.filter(F.col("batch_id") == k), "row_id").select("index", "g").write.mode("append").parquet(path)
+        out = online.drained(online.keyed_push(spark.readStream.schema("index long, g double").parquet(path)), "pushes", home)
+    last = out.groupBy("index").agg(F.max_by(F.struct("w", "z", "n"), "batch").alias("s"))
+    return last.select("index", *[r(f"s.{c}").alias(c) for c in ("w", "z", "n")])
+
+
 @query()
 def gbt_wrapper(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select((F.col("l_returnflag") == "R").cast("double").alias("label"), "l_quantity", "l_discount", "l_tax", "l_extendedprice")

@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions.hashing import unsigned_order
 from tessella.functions.losses import cosine_score, unit
 from tessella.sources.files import written
 
+#: Numbers that a dense centroid may have.
+DENSE_DIM = 10_000_000
+
 
 def initial_centroids(vectors: DataFrame, k: int, seed: int = 0) -> DataFrame:
     """(cluster, centroid): k rows by a seeded hash, at unit length."""
@@ -76,15 +80,20 @@ def assign_sparse(rows: DataFrame, centroids: DataFrame, k: int) -> DataFrame:
     return rows.join(found, "row_id", "left").withColumn("cluster", F.coalesce("cluster", F.lit(0)))
 
 
-def fit_sparse(rows: DataFrame, k: int, max_iter: int, seed: int = 0, empty: str = "error") -> DataFrame:
-    """(cluster, centroid) of sparse rows: work goes with stored entries; only the k centroids returned are dense."""
+def fit_sparse(rows: DataFrame, k: int, max_iter: int, seed: int = 0, empty: str = "error", init: DataFrame | None = None) -> DataFrame:
+    """(cluster, index, w) of sparse rows, at unit length: work and result go with stored entries, any 64-bit id is a feature.
+
+    ``init`` (cluster, index, w) replaces the seeded picks, of which there are ``k``.
+    """
     rows = rows.persist()
-    picks = rows.orderBy(F.xxhash64("row_id", F.lit(seed)), "row_id").limit(k).select("row_id").collect()  # k rows
-    first = rows.sparkSession.createDataFrame([(c, r["row_id"]) for c, r in enumerate(picks)], "cluster int, row_id long")
     entries = lambda df: df.select("cluster", F.explode("features").alias("f")).groupBy("cluster", F.col("f.index").alias("index"))
-    centroids = written(_at_unit_length(entries(rows.join(first, "row_id")).agg(F.sum("f.value").alias("x"))), "centroids")
+    if init is None:
+        picks = rows.orderBy(F.xxhash64("row_id", F.lit(seed)), "row_id").limit(k).select("row_id").collect()  # k rows
+        first = rows.sparkSession.createDataFrame([(c, r["row_id"]) for c, r in enumerate(picks)], "cluster int, row_id long")
+        init, k = _at_unit_length(entries(rows.join(first, "row_id")).agg(F.sum("f.value").alias("x"))), len(picks)
+    centroids = written(init, "centroids")
     for _ in range(max_iter):
-        sums = entries(assign_sparse(rows, centroids, len(picks))).agg(F.sum("f.value").alias("x"))
+        sums = entries(assign_sparse(rows, centroids, k)).agg(F.sum("f.value").alias("x"))
         new = written(_at_unit_length(sums), "centroids")
         missing = centroids.join(new.select("cluster").distinct(), "cluster", "left_anti")
         if missing.take(1):
@@ -92,7 +101,20 @@ def fit_sparse(rows: DataFrame, k: int, max_iter: int, seed: int = 0, empty: str
                 raise ValueError("a cluster is empty: use fewer clusters, or empty='keep'")
             new = written(new.unionByName(missing), "centroids")
         centroids = new
-    dim = (rows.select(F.explode("features").alias("f")).agg(F.max("f.index")).first()[0] or 0) + 1
-    by = centroids.groupBy("cluster").agg(F.map_from_entries(F.collect_list(F.struct("index", "w"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(dim - 1).cast("long")), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    return by.select("cluster", dense.alias("centroid"))
+    rows.unpersist()
+    return centroids
+
+
+def dimension(rows: DataFrame) -> int:
+    """One more than the greatest feature id, ids taken as unsigned; 0 without features."""
+    top = rows.select(F.explode("features.index").alias("index")).agg(F.max(unsigned_order(F.col("index")))).first()[0]
+    return 0 if top is None else top + (1 << 63) + 1
+
+
+def dense(centroids: DataFrame, dim: int) -> DataFrame:
+    """(cluster, centroid) with ``dim`` numbers each, for ids below ``dim``: on request, where a row of that length is wanted."""
+    if not 0 < dim <= DENSE_DIM:
+        raise ValueError(f"{dim} numbers a centroid: keep them sparse")
+    by = centroids.filter(F.col("index").between(0, dim - 1)).groupBy("cluster").agg(F.map_from_entries(F.collect_list(F.struct("index", "w"))).alias("m"))
+    whole = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(dim - 1).cast("long")), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
+    return by.select("cluster", whole.alias("centroid"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,6 +64,14 @@ class FTRL(Rule):
         return {"w": prox(-z, (self.beta + n) / self.alpha, self.l1, self.l2), "z": z, "n": n}
 
 
+    def arrays(self, w: np.ndarray, z: np.ndarray, n: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same step on arrays of features: new w, z and n."""
+        n2 = np.sqrt(n * n + g * g)
+        z2 = z + g - (n2 - n) / self.alpha * w
+        over = np.maximum(np.abs(z2) - self.l1, 0.0)
+        return -np.sign(z2) * over / ((self.beta + n2) / self.alpha + self.l2), z2, n2
+
+
 @dataclass(frozen=True)
 class FMLinear(Rule):
     """The linear part of a factorization machine: z of the other sign, and the ridge term in the gradient."""

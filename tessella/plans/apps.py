@@ -17,7 +17,7 @@ from tessella.plans import trainers
 from tessella.plans.config import LearnConfig, parse_args
 from tessella.plans.lbfgs import LBFGS
 from tessella.sources.files import match_files
-from tessella.sources.formats import read_format, write_centroids, write_predictions
+from tessella.sources.formats import read_format, read_sparse_centroids, write_centroids, write_predictions, write_sparse_centroids
 
 
 def examples(spark: SparkSession, pattern: str, name: str) -> DataFrame:
@@ -120,9 +120,23 @@ def batch_factorization_machine(spark: SparkSession, data: str, *args: str) -> t
     return model, bias
 
 
-def kmeans(spark: SparkSession, data: str, k: int, max_iter: int, out: str | None = None, empty: str = "error", seed: int = 0) -> DataFrame:
-    """Spherical k-means of sparse rows; centroids as a text matrix where ``out`` is given."""
-    centroids = clustering.fit_sparse(examples(spark, data, "libsvm"), k, max_iter, seed, empty)
-    if out:
-        write_centroids(centroids, out)
+def kmeans(spark: SparkSession, data: str, k: int, max_iter: int, out: str | None = None, empty: str = "error", seed: int = 0, dense: bool = False) -> DataFrame:
+    """Spherical k-means of sparse rows: (cluster, index, w).
+
+    Where ``out`` is given, they are written as text, one stored entry a line; with ``dense``
+    as a matrix, one centroid a line, which ids of hashed features are too large for.
+    """
+    rows = examples(spark, data, "libsvm")
+    centroids = clustering.fit_sparse(rows, k, max_iter, seed, empty)
+    if out and dense:
+        write_centroids(clustering.dense(centroids, clustering.dimension(rows)), out)
+    elif out:
+        write_sparse_centroids(centroids, out)
     return centroids
+
+
+def kmeans_predict(spark: SparkSession, data: str, model_in: str) -> DataFrame:
+    """Rows with the cluster that the centroids of a text file give them."""
+    centroids = read_sparse_centroids(spark, model_in)
+    k = centroids.agg(F.max("cluster")).first()[0] + 1
+    return clustering.assign_sparse(examples(spark, data, "libsvm"), centroids, k)

@@ -134,6 +134,18 @@ def write_centroids(centroids: DataFrame, path: str) -> None:
     centroids.orderBy("cluster").select(F.concat_ws(" ", F.col("centroid").cast("array<string>")).alias("value")).coalesce(1).write.text(path)
 
 
+def write_sparse_centroids(centroids: DataFrame, path: str) -> None:
+    """``cluster <tab> index <tab> weight``, one stored entry a line, ids unsigned."""
+    line = F.concat_ws("\t", F.col("cluster").cast("string"), unsigned_text(F.col("index")), F.col("w").cast("string"))
+    centroids.select(line.alias("value")).write.text(path)
+
+
+def read_sparse_centroids(spark: SparkSession, path: str) -> DataFrame:
+    """(cluster, index, w) as :func:`write_sparse_centroids` wrote them."""
+    t = F.split("value", "\t")
+    return spark.read.text(path).select(F.get(t, F.lit(0)).cast("int").alias("cluster"), unsigned_long(F.get(t, F.lit(1))).alias("index"), F.get(t, F.lit(2)).cast("double").alias("w"))
+
+
 def read_feature_names(spark: SparkSession, path: str) -> DataFrame:
     """(index, name, kind) from ``id <tab> name=value <tab> kind`` lines."""
     return spark.read.csv(path, sep="\t", schema="index long, name string, kind string")

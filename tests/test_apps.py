@@ -46,9 +46,13 @@ def test_batch_tools(spark, data, tmp_path):
 def test_online_factorization_and_kmeans(spark, data, tmp_path):
     model, history = apps.factorization_machine(spark, "embedding { dim = 2 threshold = 5 }", train_data=f"{data}/part.*", minibatch=60, max_data_pass=1, lambda_l1=0.01, lr_eta=0.1, model_out=f"{tmp_path}/fm")
     assert history[0]["train"]["n_rows"] == 120 and model.state.filter("v IS NOT NULL").count() > 0
-    apps.kmeans(spark, f"{data}/part.*", 3, 2, f"{tmp_path}/k", empty="keep")
+    apps.kmeans(spark, f"{data}/part.*", 3, 2, f"{tmp_path}/k", empty="keep", dense=True)
     rows = [list(map(float, r["value"].split())) for r in spark.read.text(f"{tmp_path}/k").collect()]
     assert len(rows) == 3 and np.allclose((np.array(rows) ** 2).sum(1), 1)
+    sparse = apps.kmeans(spark, f"{data}/part.*", 3, 2, f"{tmp_path}/s", empty="keep")
+    assert {(r["cluster"], r["index"]): r["w"] for r in sparse.collect()} == {(r["cluster"], r["index"]): r["w"] for r in formats.read_sparse_centroids(spark, f"{tmp_path}/s").collect()}
+    got = apps.kmeans_predict(spark, f"{data}/val", f"{tmp_path}/s").collect()
+    assert len(got) == 40 and {r["cluster"] for r in got} <= {0, 1, 2}
 
 
 def test_lines_at_hand(spark):

@@ -324,4 +324,12 @@ def test_sparse_kmeans_against_dense(spark):
             dense[k, i] = v
     vectors = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(dense)], "row_id long, x array<double>")
     of = lambda c: np.array([r["centroid"] for r in c.orderBy("cluster").collect()])
-    assert np.allclose(of(clustering.fit_sparse(rows, 3, 3, 2, "keep")), of(clustering.fit(vectors, 3, 3, 2, empty="keep")))
+    assert clustering.dimension(rows) == 9
+    assert np.allclose(of(clustering.dense(clustering.fit_sparse(rows, 3, 3, 2, "keep"), 9)), of(clustering.fit(vectors, 3, 3, 2, empty="keep")))
+    far = [(k, 0.0, 1.0, [((1 << 40) if k % 2 else -1, 2.0)]) for k in range(6)]  # -1 is 2**64 - 1
+    sparse = spark.createDataFrame(far, rows.schema)
+    got = clustering.fit_sparse(sparse, 2, 2, 1, "keep").collect()
+    assert {r["index"] for r in got} <= {1 << 40, -1} and all(abs(r["w"] - 1) < 1e-12 for r in got if len({x["index"] for x in got if x["cluster"] == r["cluster"]}) == 1)
+    assert clustering.dimension(sparse) == 1 << 64
+    with pytest.raises(ValueError):
+        clustering.dense(clustering.fit_sparse(sparse, 2, 1, 1, "keep"), clustering.dimension(sparse))

@@ -41,3 +41,20 @@ def test_goes_on_where_it_ended(spark, tmp_path):
     rows.filter("row_id >= 20").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     second = {r["index"]: r["n"] for r in online.learn_stream(source(), home=home).collect()}
     assert second.keys() == first.keys() and all(second[k] >= first[k] for k in first) and second != first
+
+
+def test_range_state_is_a_push_a_micro_batch(spark, tmp_path):
+    """Each arrival is one micro-batch; the state goes on between runs, in blocks that share features or not."""
+    rule, path = U.FTRL(l1=0.1), f"{tmp_path}/in"
+    parts = [[(7, 2.0), (7, -1.0), (8, 0.5), (-3, 4.0)], [(7, 3.0), (9, 1.0), (-3, -1.0)], [(8, 1.0)] * 50]
+    state = trainers.empty_state(spark, rule)
+    for part in parts:
+        df = spark.createDataFrame(part, "index long, g double")
+        df.repartition(3).write.mode("append").parquet(path)
+        out = online.drained(online.keyed_push(spark.readStream.schema(df.schema).parquet(path), rule), "pushes", f"{tmp_path}/home")
+        state = spark.createDataFrame(U.push(state, df.groupBy("index").agg(F.sum("g").alias("g")), rule).collect(), "index long, w double, z double, n double")
+    last = {}
+    for r in sorted(out.collect(), key=lambda r: r["batch"]):
+        last[r["index"]] = (round(r["w"], 9), round(r["z"], 9), round(r["n"], 9))
+    assert last == {r["index"]: (round(r["w"], 9), round(r["z"], 9), round(r["n"], 9)) for r in state.collect()}
+    assert out.count() == 3 + 3 + 1
