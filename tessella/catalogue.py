@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import hashing as H
 from tessella.functions import losses as L
+from tessella.functions.cityhash import city_hashes
 from tessella.operators import clustering, factorization, frame, linalg, metrics
 from tessella.operators import updaters as U
 from tessella.plans import apps
@@ -654,6 +655,35 @@ def format_criteo(spark, sf_dir):
     return _read_back(formats.parse_clicks(spark.read.text(path), portable=True))
 
 
+_WRAP = "(({0}) % 18446744073709551616::UHUGEINT)"
+
+
+def _city_sql(x: str) -> str:
+    """The hash of strings of eight bytes, from their little-endian number, in 128-bit numbers cut to 64 bits."""
+    k2, mul = "11160318154034397263::UHUGEINT", "(11160318154034397263 + 16)::UHUGEINT"
+    turned = lambda v, k: f"(({v} // {2**k}::UHUGEINT) + {_WRAP.format(f'{v} * {2 ** (64 - k)}::UHUGEINT')})"
+    xor = lambda a, b: f"xor(({a})::UBIGINT, ({b})::UBIGINT)::UHUGEINT"
+    folded = lambda v: xor(v, f"{v} // {2**47}::UHUGEINT")
+    number = "('0x' || " + " || ".join(f"substr(hx, {2 * k + 1}, 2)" for k in range(7, -1, -1)) + ")::UBIGINT::UHUGEINT"
+    return f"""c0 AS (SELECT *, hex(encode({x})) AS hx FROM src), c1 AS (SELECT *, {number} AS b FROM c0), c2 AS (SELECT *, {_WRAP.format(f'b + {k2}')} AS a FROM c1),
+c3 AS (SELECT *, {_WRAP.format(f"{_WRAP.format(turned('b', 37) + f' * {mul}')} + a")} AS u, {_WRAP.format(f"{_WRAP.format(turned('a', 25) + ' + b')} * {mul}")} AS v FROM c2),
+c4 AS (SELECT *, {_WRAP.format(f"{xor('u', 'v')} * {mul}")} AS p FROM c3), c5 AS (SELECT *, {_WRAP.format(f"{xor('v', folded('p'))} * {mul}")} AS q FROM c4),
+c6 AS (SELECT *, {_WRAP.format(f"{folded('q')} * {mul}")} AS h FROM c5)"""
+
+
+@query(f"WITH src AS (SELECT l_returnflag, lpad(l_partkey::VARCHAR, 8, 'x') AS x FROM lineitem), {_city_sql('x')} SELECT x, (l_returnflag = 'R')::INT::DOUBLE AS label, ((h // 1024) + 14 * 18014398509481984::UHUGEINT)::BIGINT AS key, count(*) AS n FROM c6 GROUP BY ALL")
+def format_criteo_city(spark, sf_dir):
+    """Clicks with one category, keyed as the original tools key them."""
+    path, part = files.scratch(spark, "clicks"), F.lpad(F.col("l_partkey").cast("string"), 8, "x")
+    line = F.concat_ws("\t", F.when(F.col("l_returnflag") == "R", "1").otherwise("0"), *[F.lit("")] * 14, part, *[F.lit("")] * 24)
+    table(spark, sf_dir, "lineitem").select(line.alias("value")).write.text(path)
+    lines = spark.read.text(path)
+    rows = formats.parse_clicks(lines, city=True)
+    x = F.get(F.split("value", "\t"), F.lit(15)).alias("x")
+    names = lines.select(x).distinct().withColumn("key", H.field_key(F.get(city_hashes(F.array("x")), F.lit(0)), 14))
+    return rows.select("label", F.explode("features.index").alias("key")).groupBy("label", "key").agg(F.count("*").alias("n")).join(names, "key")
+
+
 @query("WITH er AS (SELECT CASE WHEN o_orderstatus = 'P' THEN 1.0E0 ELSE 0.0E0 END AS label, [struct_pack(index := ((o_custkey * 1048576) >> 10) | (1::BIGINT << 54), value := 1.0E0), struct_pack(index := ((o_orderkey * 4096) >> 10) | (7::BIGINT << 54), value := 1.0E0)] AS f FROM orders) " + _READ_SQL)
 def format_adfea(spark, sf_dir):
     o, path = table(spark, sf_dir, "orders"), files.scratch(spark, "grouped")

@@ -11,8 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.functions.hashing import group_key, string_key, unsigned_text
+from tessella.functions.cityhash import city_hashes
+from tessella.functions.hashing import field_key, group_key, string_key, unsigned_text
 from tessella.operators.frame import FEATURES
+from tessella.sources.blocks import holds_blocks, read_blocks
 
 Reader = Callable[[SparkSession, "str | list[str]"], DataFrame]
 _READERS: dict[str, Reader] = {}
@@ -58,18 +60,23 @@ def parse_libsvm(lines: DataFrame) -> DataFrame:
     return _canonical(lines.filter(F.length(F.trim("value")) > 0), F.get(head, F.lit(0)), F.coalesce(F.get(head, F.lit(1)).cast("double"), F.lit(1.0)), F.transform(rest, entry))
 
 
-def parse_clicks(lines: DataFrame, labelled: bool = True, portable: bool = False) -> DataFrame:
+def parse_clicks(lines: DataFrame, labelled: bool = True, portable: bool = False, city: bool = False) -> DataFrame:
     """Tab-separated click log: each non-empty field is one hashed feature; integers are hashed as text.
 
-    A category counts where it has eight characters.
+    A category counts where it has eight characters.  ``city`` takes the hash of the original
+    tools, so that keys are those of their models; ``portable`` is for other engines.
     """
+    if city:  # all fields of a line in one call
+        fields = F.slice(F.split("value", "\t", -1), 2 if labelled else 1, N_INTEGERS + N_CATEGORIES)
+        lines = lines.filter(F.length("value") > 0).withColumn("__h", city_hashes(fields))
     t = F.split("value", "\t", -1)
     first = 1 if labelled else 0
     entries = []
     for k in range(N_INTEGERS + N_CATEGORIES):
         x = F.get(t, F.lit(first + k))
         ok = x != "" if k < N_INTEGERS else F.length(x) == 8
-        entries.append(F.when(ok, F.struct(string_key(x, k, portable).alias("index"), F.lit(1.0).alias("value"))))
+        key = field_key(F.get("__h", F.lit(k)), k) if city else string_key(x, k, portable)
+        entries.append(F.when(ok, F.struct(key.alias("index"), F.lit(1.0).alias("value"))))
     label = F.get(t, F.lit(0)) if labelled else F.lit(0.0)
     return _canonical(lines.filter(F.length("value") > 0), label, F.lit(1.0), F.filter(F.array(*entries), lambda f: f.isNotNull()))
 
@@ -90,13 +97,21 @@ def _text(parse, **settings) -> Reader:
     return lambda spark, path: parse(spark.read.text(path), **settings)
 
 
+def _packed(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Files of compressed row blocks, or the Parquet files that stand for them here."""
+    paths = [path] if isinstance(path, str) else path
+    return read_blocks(spark, paths) if holds_blocks(spark, paths[0]) else spark.read.parquet(*paths)
+
+
 for _name, _reader in {
     "libsvm": _text(parse_libsvm),
     "criteo": _text(parse_clicks),
     "criteo_test": _text(parse_clicks, labelled=False),
     "adfea": _text(parse_grouped),
-    # The compressed block format's part is taken by Parquet with the same codec.
-    "crb": lambda spark, path: spark.read.parquet(*([path] if isinstance(path, str) else path)),
+    # Written as Parquet with the same codec; binary files of the original tools are read too.
+    "crb": _packed,
+    "criteo_city": _text(parse_clicks, city=True),
+    "criteo_test_city": _text(parse_clicks, labelled=False, city=True),
 }.items():
     register_format(_name, _reader)
 
