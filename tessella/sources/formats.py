@@ -8,6 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,7 +103,7 @@ def _text(parse, **settings) -> Reader:
 def _packed(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Files of compressed row blocks, or the Parquet files that stand for them here."""
     paths = [path] if isinstance(path, str) else path
-    return read_blocks(spark, paths) if holds_blocks(spark, paths[0]) else spark.read.parquet(*paths)
+    return read_blocks(spark, paths) if holds_blocks(spark, paths[0]) else spark.read.parquet(*paths).drop("file")
 
 
 for _name, _reader in {
@@ -124,19 +127,43 @@ def libsvm_lines(rows: DataFrame) -> DataFrame:
     return rows.select(F.concat_ws(" ", head, F.transform("features", entry)).alias("value"))
 
 
-def write_format(rows: DataFrame, path: str, name: str, max_records: int = 0) -> None:
-    """Writes ``libsvm`` text or ``crb`` (Parquet, lz4); ``max_records`` rolls files over."""
+def _in_files(rows: DataFrame, size: Column, limit: int) -> DataFrame:
+    """Adds ``file``: rows of a task in order, to files of ``limit`` bytes each by the running sum of ``size``."""
+
+    def run(batches):
+        total, task = 0, TaskContext.get().partitionId()
+        for b in batches:
+            n = b.column(b.num_columns - 1).to_numpy()
+            before = total + np.cumsum(n) - n
+            total += int(n.sum())
+            names = pa.array([f"{task:05d}-{k:05d}" for k in (before // limit).tolist()])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], names, pa.array(before)], names=[*b.schema.names[:-1], "file", "__at"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    numbered = rows.withColumn("__size", size.cast("long")).mapInArrow(run, f"{kinds}, file string, __at long")
+    return numbered.sortWithinPartitions("file", "__at").drop("__at")
+
+
+def write_format(rows: DataFrame, path: str, name: str, max_records: int = 0, part_mb: float = -1) -> None:
+    """Writes ``libsvm`` text or ``crb`` (Parquet, lz4); ``max_records`` rolls files over.
+
+    With ``part_mb`` above 0 a file ends once it has that many MB (of 2**20 bytes; of text, or
+    of what a row takes in memory), so it is at most one row larger; each lies in a folder of its own.
+    """
+    if name not in ("libsvm", "crb"):
+        raise ValueError(f"no writer for {name}")
+    out = libsvm_lines(rows) if name == "libsvm" else rows
+    size = F.octet_length("value") + 1 if name == "libsvm" else 16 + 16 * F.size("features")
+    writer = (_in_files(out, size, max(1, int(part_mb * 2**20))).write.partitionBy("file") if part_mb > 0 else out.write).option("maxRecordsPerFile", max_records)
     if name == "libsvm":
-        libsvm_lines(rows).write.option("maxRecordsPerFile", max_records).text(path)
-    elif name == "crb":
-        rows.write.option("maxRecordsPerFile", max_records).option("compression", "lz4_raw").parquet(path)
+        writer.text(path)
     else:
-        raise ValueError(f"no writer for {name}")
+        writer.option("compression", "lz4_raw").parquet(path)
 
 
-def convert(spark: SparkSession, data_in: str, format_in: str, data_out: str, format_out: str, max_records: int = 0) -> None:
+def convert(spark: SparkSession, data_in: str, format_in: str, data_out: str, format_out: str, max_records: int = 0, part_mb: float = -1) -> None:
     """Reads one format and writes another."""
-    write_format(read_format(spark, data_in, format_in), data_out, format_out, max_records)
+    write_format(read_format(spark, data_in, format_in), data_out, format_out, max_records, part_mb)
 
 
 def write_predictions(df: DataFrame, path: str) -> None:

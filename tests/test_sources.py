@@ -87,3 +87,23 @@ def test_parquet_still_stands_for_blocks(spark, tmp_path):
     rows = formats.parse_libsvm(spark.createDataFrame([("1 3:2 5",), ("0 4",)], "value string"))
     formats.write_format(rows, f"{tmp_path}/p", "crb")
     assert formats.read_format(spark, f"{tmp_path}/p", "crb").count() == 2
+
+
+def test_files_of_a_stated_size(spark, tmp_path):
+    import os
+
+    lines = [f"{k % 2} {k} {k + 1}:0.{k % 97 + 1}" for k in range(4000)]
+    rows = formats.parse_libsvm(spark.createDataFrame([(x,) for x in lines], "value string").repartition(2))
+    limit = 0.01 * 2**20
+    formats.write_format(rows, f"{tmp_path}/t", "libsvm", part_mb=0.01)
+    sizes = [os.path.getsize(os.path.join(d, x)) for d, _, names in os.walk(f"{tmp_path}/t") for x in names if x.endswith(".txt")]
+    assert max(sizes) <= limit + 40 and sum(x >= limit - 40 for x in sizes) >= len(sizes) - 2 and len(sizes) > 5
+    formats.convert(spark, f"{tmp_path}/t", "libsvm", f"{tmp_path}/p", "crb", part_mb=0.05)
+    back = formats.read_format(spark, f"{tmp_path}/p", "crb")
+    assert back.columns == rows.columns
+    key = lambda r: (r["label"], [(f["index"], f["value"]) for f in r["features"]])
+    assert sorted(map(key, back.collect())) == sorted(map(key, rows.collect()))
+    one = rows.coalesce(1).orderBy("row_id").coalesce(1)
+    formats.write_format(one, f"{tmp_path}/o", "libsvm", part_mb=0.01)
+    files = sorted(os.path.join(d, x) for d, _, names in os.walk(f"{tmp_path}/o") for x in names if x.endswith(".txt"))
+    assert [x for f in files for x in open(f).read().splitlines()] == [r["value"] for r in formats.libsvm_lines(one).collect()]
