@@ -84,17 +84,18 @@ def _answers(pdf: pd.DataFrame, values: np.ndarray, ends: np.ndarray, known: int
     return out
 
 
-def ask(sent: DataFrame, total: int, solve: Solve, kind: str, level: int = 0) -> tuple[DataFrame, DataFrame]:
+def ask(sent: DataFrame, total: int, solve: Solve, kind: str, level: int = 0, finest: int = KEY_BITS) -> tuple[DataFrame, DataFrame]:
     """(owner, part, answer, hits) per packet of ``sent``, and a table whose ``known`` sums to the number of keys with a count.
 
-    ``total``: keys of all packets; ``kind``: the numpy type of values; ``hits``: how many of a packet's are not 0.
+    ``total``: keys of all packets; ``kind``: the numpy type of values; ``hits``: how many of a packet's are not 0;
+    ``finest``: leading bits of a key that ranges may differ in at most, where values depend on what shares those bits.
     """
 
     def leaf(pdf: pd.DataFrame) -> pd.DataFrame:
         words, n, inverse, ends = _together(pdf)
         return _answers(pdf, solve(words, n).astype(kind)[inverse], ends, int((n > 0).sum()))
 
-    if total <= GROUP_KEYS << FAN_BITS * (level + 1) or FAN_BITS * (level + 2) > KEY_BITS:
+    if total <= GROUP_KEYS << FAN_BITS * (level + 1) or FAN_BITS * (level + 2) > finest:
         out = cut(sent.groupBy("part").applyInPandas(leaf, _ANSWERS), "answers")
         return out, out
     sent = cut(sent, "packets")
@@ -110,7 +111,7 @@ def ask(sent: DataFrame, total: int, solve: Solve, kind: str, level: int = 0) ->
         values = np.concatenate([unpress(x, kind) for x in got.sort_values("part")["answer"]])
         return _answers(asked, values[inverse], ends, 0)
 
-    finer, leaves = ask(sent.groupBy("group").applyInPandas(merge, PACKETS), total, solve, kind, level + 1)
+    finer, leaves = ask(sent.groupBy("group").applyInPandas(merge, PACKETS), total, solve, kind, level + 1, finest)
     finer = finer.withColumnRenamed("owner", "group")
     return cut(sent.groupBy("group").cogroup(finer.groupBy("group")).applyInPandas(back, _ANSWERS), "answers"), leaves
 

@@ -5,14 +5,15 @@ token hashes for the exact training counts of their tokens (see ``exchange``).
 holds every bigram of the training part with its quantised count: level q stands for counts
 from ``LEVELS[q - 1]`` to below ``LEVELS[q]``, and the pairs (bigram, 1) to (bigram, q) are
 stored, so that membership probes with rising levels find q.  It has one segment for each
-range of bigram keys.
+value of the leading bits of a bigram's key; how many bits follows from the number of training
+tokens alone, so the filter is the same bits wherever its segments are made and probed.
 
 A filter has at most ``BITS_PER_LEVEL`` bits for each training token, as a bigram's level
 never exceeds its count.  Where that bound is within ``MAX_FILTER_BYTES``, all segments are
 broadcast to the workers, and each chunk probes them for its bigrams.  A larger filter
 is not broadcast: each segment stays in the task that built it, the chunks' bigrams come
-to it to be probed, and their levels go back.  Both ways give the same scores, and the
-corpus is read once in either.
+to it to be probed, and their levels go back.  Both ways give the same scores, however finely
+the exchange cuts its ranges, and the corpus is read once in either.
 
 The smoothed probability of w after u is
 
@@ -34,6 +35,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from functools import partial
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -43,13 +45,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import cut
-from tessella.llm.exchange import PACKETS, ask, by_owner, joined_answers, packet_batch, packets, planes, press, unplanes, unpress
+from tessella.llm.exchange import FAN_BITS, KEY_BITS, PACKETS, ask, by_owner, joined_answers, packet_batch, packets, planes, press, unplanes, unpress
 from tessella.llm.minhash import WordHashes, mixed
 
 CHUNK_BYTES = 4_000_000
 #: Exponent of the number of different words that follow a context, as a power of its count.
 HEAPS = 0.7
 PROBES, BITS_PER_LEVEL = 6, 9
+#: Training tokens that a segment of the filter may have on the average.
+SEGMENT_TOKENS = 1024
 MAX_FILTER_BYTES = 16_000_000
 _END, _START = xxhash.xxh64_intdigest(b"", seed=1), xxhash.xxh64_intdigest(b"", seed=2)
 _ODD = np.uint64(0x9E3779B97F4A7C15)  # odd multiplier: 2**64 over the golden ratio
@@ -132,40 +136,74 @@ def _places(keys: np.ndarray, level: int, probe: int, bits: np.ndarray | np.uint
     return mixed(keys * np.uint64(2 * level + 1) + np.uint64((probe + 1) * int(_ODD) % 2**64)) % bits
 
 
-def bloom(keys: np.ndarray, n: np.ndarray, bits_per_level: int = BITS_PER_LEVEL) -> np.ndarray:
-    """Bytes of the filter segment of distinct keys with these counts; keys without a count are not in it."""
+def segment_bits(n: int) -> int:
+    """Leading bits of a key that name its segment, for ``n`` training tokens."""
+    bits = FAN_BITS
+    while n >> bits > SEGMENT_TOKENS and bits + FAN_BITS <= KEY_BITS:
+        bits += FAN_BITS
+    return bits
+
+
+class BloomFilter(NamedTuple):
+    """Segments in order of key: names, sizes in bits (multiples of eight), and their bits one after another."""
+
+    names: np.ndarray
+    sizes: np.ndarray
+    field: np.ndarray
+
+    @staticmethod
+    def joined(parts: list[BloomFilter]) -> BloomFilter:
+        """One filter of parts in order of key."""
+        empty = BloomFilter(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint8))
+        return BloomFilter(*[np.concatenate(x) for x in zip(empty, *parts, strict=True)])
+
+
+def _names(keys: np.ndarray, bits: int) -> np.ndarray:
+    return keys >> np.uint64(KEY_BITS - bits)
+
+
+def bloom(keys: np.ndarray, n: np.ndarray, segment: int, bits_per_level: int = BITS_PER_LEVEL) -> BloomFilter:
+    """The segments of distinct keys with these counts; keys without a count are not in them."""
     keys, level = keys[n > 0], np.searchsorted(LEVELS, n[n > 0], side="right")
-    bits = max(64, int(level.sum()) * bits_per_level + 7 >> 3 << 3)
-    field = np.zeros(bits, bool)
+    names, at = np.unique(_names(keys, segment), return_inverse=True)
+    sizes = np.maximum(64, np.bincount(at, level, len(names)).astype(np.int64) * bits_per_level + 7 >> 3 << 3)
+    start = (np.cumsum(sizes) - sizes).astype(np.uint64)
+    field = np.zeros(int(sizes.sum()), bool)
     for q in range(1, int(level.max(initial=0)) + 1):
-        x = keys[level >= q]
+        on = level >= q
         for p in range(PROBES):
-            field[_places(x, q, p, np.uint64(bits))] = True
-    return np.packbits(field)
-
-
-def probe(keys: np.ndarray, field: np.ndarray) -> np.ndarray:
-    """Levels found by membership probes of one segment; 0 for none."""
-    level, active, q, bits = np.zeros(len(keys), np.uint8), np.arange(len(keys)), 0, np.uint64(8 * len(field))
+            field[start[at[on]] + _places(keys[on], q, p, sizes.astype(np.uint64)[at[on]])] = True
+    return BloomFilter(names, sizes, np.packbits(field))
+
+
+def probe(keys: np.ndarray, f: BloomFilter, segment: int) -> np.ndarray:
+    """Levels found by membership probes, each in the segment of its key; 0 for none."""
+    level, q = np.zeros(len(keys), np.uint8), 0
+    if not len(f.names):
+        return level
+    names, sizes, start = _names(keys, segment), f.sizes.astype(np.uint64), (np.cumsum(f.sizes) - f.sizes).astype(np.uint64)
+    at = np.minimum(np.searchsorted(f.names, names), len(f.names) - 1)
+    active = np.flatnonzero(f.names[at] == names)
     while len(active) and q < len(LEVELS) - 1:
         q += 1
         for p in range(PROBES):
-            at = _places(keys[active], q, p, bits).astype(np.int64)
-            active = active[(field[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1]
+            x = (start[at[active]] + _places(keys[active], q, p, sizes[at[active]])).astype(np.int64)
+            active = active[(f.field[x >> 3] >> (7 - (x & 7)).astype(np.uint8)) & 1 == 1]
         level[active] = q
     return level
 
 
-def _segment(pdf: pd.DataFrame, bits_per_level: int) -> pd.DataFrame:
+def _segments(pdf: pd.DataFrame, segment: int, bits_per_level: int) -> pd.DataFrame:
     keys, at = np.unique(np.concatenate([unplanes(x) for x in pdf["keys"]]), return_inverse=True)
     n = np.bincount(at, np.concatenate([unpress(x, np.int64) for x in pdf["n"]]), len(keys)).astype(np.int64)
-    return pd.DataFrame({"part": pdf["part"][:1], "bits": [bloom(keys, n, bits_per_level).tobytes()]})
+    f = bloom(keys, n, segment, bits_per_level)
+    return pd.DataFrame({"part": pdf["part"][:1], "names": [f.names.tobytes()], "sizes": [f.sizes.tobytes()], "field": [f.field.tobytes()]})
 
 
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _score(rows: DataFrame, spec, n: int, v: int, n_train_docs: int) -> DataFrame:
+def _score(rows: DataFrame, spec, segment: int, n: int, v: int, n_train_docs: int) -> DataFrame:
     """Figures per document from ``rows``: chunks with ``counts`` and, where nothing is broadcast, ``found``."""
 
     def run(batches):
@@ -178,11 +216,7 @@ def _score(rows: DataFrame, spec, n: int, v: int, n_train_docs: int) -> DataFram
                 if spec is None:
                     level = joined_answers(b["found"][k].as_py(), "uint8")
                 else:
-                    level = np.zeros(len(keys), np.uint8)
-                    part = (keys >> np.uint64(50)).astype(np.int64)
-                    for s, bits in spec.value.items():
-                        mine = slice(*np.searchsorted(part, [s, s + 1]))
-                        level[mine] = probe(keys[mine], np.frombuffer(bits, np.uint8))
+                    level = probe(keys, spec.value, segment)
                 context = np.roll(c, 1)
                 context[first] = n_train_docs
                 base = (c + 0.1) / (n + 0.1 * (v + 1))
@@ -215,13 +249,15 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     v = leaves.agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0]
     rows = tokens.drop("train").join(by_owner(counts, "counts"), F.col("chunk") == F.col("owner")).drop("owner")
     sent = tokens.select("chunk", "held", "sizes", "vocab", "seq").mapInArrow(_ask_bigrams, PACKETS)
+    segment = segment_bits(n)
     if n * bits_per_level // 8 <= max_filter_bytes:  # a bound on all segments together
-        made = cut(sent.groupBy("part").applyInPandas(lambda pdf: _segment(pdf, bits_per_level), "part long, bits binary"), "filters")
-        spec = sc.broadcast({r["part"]: bytes(r["bits"]) for r in made.collect()})
+        made = cut(sent.groupBy("part").applyInPandas(lambda pdf: _segments(pdf, segment, bits_per_level), "part long, names binary, sizes binary, field binary"), "filters")
+        parts = sorted(made.collect(), key=lambda r: r["part"])
+        spec = sc.broadcast(BloomFilter.joined([BloomFilter(np.frombuffer(r["names"], np.uint64), np.frombuffer(r["sizes"], np.int64), np.frombuffer(r["field"], np.uint8)) for r in parts]))
     else:
-        found, _ = ask(sent, n_pairs, lambda keys, c: probe(keys, bloom(keys, c, bits_per_level)), "uint8")
+        found, _ = ask(sent, n_pairs, lambda keys, c: probe(keys, bloom(keys, c, segment, bits_per_level), segment), "uint8", finest=segment)
         rows, spec = rows.join(by_owner(found, "found"), F.col("chunk") == F.col("owner")).drop("owner"), None
-    out = _score(rows, spec, n, v, n_train_docs)
+    out = _score(rows, spec, segment, n, v, n_train_docs)
     per = lambda x: x / F.col("n_tokens")
     return out.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score",

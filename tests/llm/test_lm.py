@@ -83,15 +83,32 @@ def test_scores_are_the_plain_ones_where_the_filter_errs_never(spark):
 @pytest.mark.parametrize("keys", [exchange.GROUP_KEYS, 1000])
 def test_both_ways_and_finer_ranges_agree(spark, monkeypatch, keys):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    one = {r["doc_id"]: r for r in score_texts(docs, chunk_bytes=60_000, bits_per_level=80).collect()}
+    one = {r["doc_id"]: r for r in score_texts(docs, chunk_bytes=60_000).collect()}
     monkeypatch.setattr(exchange, "GROUP_KEYS", keys)
-    many = {r["doc_id"]: r for r in score_texts(docs, max_filter_bytes=0, chunk_bytes=60_000, bits_per_level=80).collect()}
+    many = {r["doc_id"]: r for r in score_texts(docs, max_filter_bytes=0, chunk_bytes=60_000).collect()}
     assert one.keys() == many.keys()
     near = lambda c, room: all(abs(one[k][c] - many[k][c]) <= room * abs(one[k][c]) for k in one)
     assert near("base_score", 1e-9) and near("n_known", 0)
     assert near("score", 1e-9)
 
 
+def test_the_filter_is_the_same_however_it_is_cut():
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, 2**56, 20_000, dtype=np.uint64))
+    n = rng.integers(0, 9, len(keys))
+    segment = lm.segment_bits(int(n.sum()))
+    assert segment == 12 and lm.segment_bits(10**9) == 24 and lm.segment_bits(0) == 6
+    whole = lm.bloom(keys, n, segment)
+    for bits in (6, 12):
+        ends = np.searchsorted(keys >> np.uint64(56 - bits), np.arange(2**bits + 1))
+        parts = lm.BloomFilter.joined([lm.bloom(keys[a:e], n[a:e], segment) for a, e in zip(ends, ends[1:], strict=False)])
+        assert all((x == y).all() for x, y in zip(whole, parts, strict=True))
+    asked = np.concatenate([keys, rng.integers(0, 2**56, 20_000, dtype=np.uint64)])
+    level, true = lm.probe(asked, whole, segment), np.searchsorted(LEVELS, np.concatenate([n, np.zeros(20_000, int)]), side="right")
+    assert (level >= true).all() and (level > true).mean() < 0.04
+    assert not lm.probe(asked, lm.BloomFilter.joined([]), segment).any()
+
+
 def test_probabilities_of_a_context_sum_to_one(spark):
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     _, _, uni, bi, ctx, base, after = model(rows)
