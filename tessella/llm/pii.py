@@ -1,20 +1,23 @@
 """Personal data: fixed patterns, and terms that disclose them by corpus co-occurrence.
 
 Patterns find e-mail addresses, IPv4 addresses, card numbers and phone numbers.  The
-information-theoretic part looks at all terms (runs of letters) of the documents that hold
-such an entity.  Over the whole corpus it estimates the pointwise mutual information of
+information-theoretic part looks at all terms (runs of letters, single ones too, outside
+e-mail addresses and not joined to digits or signs) of the documents that hold such an entity.  Over the whole corpus it estimates the pointwise mutual information of
 entity c and term t and compares it with the entity's information content:
 
     PMI(c; t) = log2(n(c,t) N / (n(c) n(t))),  IC(c) = log2(N / n(c))
 
-All four count distinct texts, so that copies count once.  A term whose PMI reaches
+All four count distinct texts, so that copies count once, and the same terms in them.  As
+n(c,t) is at most n(c), a term with n(t) above n(c) (N / n(c)) ** (1 - ``generalise``) cannot
+reach the threshold, so only rarer ones meet an entity at all.  A term whose PMI reaches
 ``generalise`` x IC is generalised to a label that keeps its shape (name, word or acronym)
 and class of length, one that reaches ``remove`` x IC is removed,
 wherever it stands in a document with that entity; at least ``min_contexts`` distinct texts
 with both are asked for.
 
 DataFrame functions only.  Every pattern is written so that it never backtracks over long
-runs: possessive repeats, and look-behinds that start at the head of a run.
+runs: possessive repeats, and look-behinds that start at the head of a run.  Offsets are running
+sums over blocks of matches, so a text's time follows its length.
 
 Null text is empty and has no spans; texts are scanned whole; repeated rows get the same
 spans; of an entity and a term at one place the entity goes; rows and texts are told apart by
@@ -43,7 +46,9 @@ PATTERNS = {
 HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 MIN_CONTEXTS = 3
-_TERM = r"(?<![\p{L}\p{N}@._%+-])\p{L}{3,}+(?![\p{N}@_%+])"
+#: Matches whose offsets are summed up together.
+BLOCK = 64
+_TERM = r"(?<![\p{L}\p{N}@._%+-])\p{L}++(?![\p{N}@_%+])"
 _SPAN = "struct<kind:string,start:int,end:int>"
 
 
@@ -67,6 +72,28 @@ def _valid(kind: str, v: Column) -> Column:
     return (n >= 9) & (n <= 15) if kind == "phone" else F.lit(True)
 
 
+def _let(x: Column, f) -> Column:
+    """``f`` of a value that is evaluated once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def _sum(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0), lambda a, v: a + v)
+
+
+def _blocks(x: Column) -> Column:
+    """An array that is not empty, cut into arrays of :data:`BLOCK`."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / BLOCK).cast("int")), lambda k: F.slice(x, k * BLOCK + 1, F.lit(BLOCK)))
+
+
+def sums_before(values: Column) -> Column:
+    """For each number of an array the sum of those before it, by blocks of blocks: nothing grows with the array but the result."""
+    within = lambda block, base: F.transform(block, lambda _, k: base + _sum(F.slice(block, F.lit(1), k)))
+    outer = lambda sums: _let(_blocks(sums), lambda bs: _let(F.transform(bs, _sum), lambda tops: F.flatten(F.zip_with(bs, within(tops, F.lit(0)), within))))
+    whole = lambda v: _let(_blocks(v), lambda bs: F.flatten(F.zip_with(bs, _let(F.transform(bs, _sum), outer), within)))
+    return _let(values, lambda v: F.when(F.size(v) > 0, whole(v)).otherwise(F.array().cast("array<int>")))
+
+
 def matches(df: DataFrame, name: str, text: str, pattern: str, when: Column) -> DataFrame:
     """Adds column ``name``: array<struct<start, end, value>> of all matches; offsets in code points.
 
@@ -74,20 +101,23 @@ def matches(df: DataFrame, name: str, text: str, pattern: str, when: Column) ->
     text; so the running sum of their lengths gives the offsets.
     """
     t = F.col(text)
-    df = df.withColumn(f"{name}_hits", F.when(when, F.regexp_extract_all(t, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>")))
-    hits = F.col(f"{name}_hits")
-    df = df.withColumn(f"{name}_gaps", F.when(F.size(hits) > 0, F.transform(F.split(t, pattern, -1), lambda x: F.length(x))))
-    gaps = F.col(f"{name}_gaps")
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    parts = F.transform(hits, lambda h, k: F.struct(F.get(gaps, k).alias("gap"), h.alias("value")))
+    hits = F.when(when, F.regexp_extract_all(t, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    # The last piece has no match after it.
+    pieces = lambda h: F.filter(F.zip_with(F.split(t, pattern, -1), h, lambda g, v: F.struct(F.length(g).alias("gap"), v.alias("value"))), lambda x: x["value"].isNotNull())
+
+    def placed(parts: Column) -> Column:
+        before = sums_before(F.transform(parts, lambda x: x["gap"] + F.length(x["value"])))
+        return F.zip_with(parts, before, lambda x, at: F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + F.length(x["value"])).alias("end"), x["value"].alias("value")))
+
+    return df.withColumn(name, _let(hits, lambda h: F.when(F.size(h) > 0, _let(pieces(h), placed)).otherwise(none)))
 
-    def step(acc, x):
-        start = acc["pos"] + x["gap"]
-        end = start + F.length(x["value"])
-        return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("out"))
 
-    found = F.aggregate(parts, F.struct(F.lit(0).alias("pos"), none.alias("out")), step, lambda acc: acc["out"])
-    return df.withColumn(name, F.when(F.size(hits) > 0, found).otherwise(none)).drop(f"{name}_hits", f"{name}_gaps")
+def without_addresses(t: Column) -> Column:
+    """The text with every character of its e-mail addresses as ``_``, so that offsets stay."""
+    pattern = PATTERNS["email"]
+    filled = F.zip_with(F.split(t, pattern, -1), F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda g, v: F.concat(g, F.repeat(F.lit("_"), F.coalesce(F.length(v), F.lit(0)))))
+    return F.when(F.contains(t, F.lit("@")), F.array_join(filled, "")).otherwise(t)
 
 
 def with_base_spans(df: DataFrame, text_col: str) -> DataFrame:
@@ -117,21 +147,24 @@ def disclosing_terms(docs: DataFrame, table: DataFrame, id_col: str, text_col: s
     # An entity in fewer texts than asked for has no term in enough of them.
     alone = holds.select("digest", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_c")).filter(F.col("n_c") >= min_contexts)
     alone = cut(alone, "entities")
-    held = holds.join(alone, "entity").groupBy("row").agg(F.collect_set("entity").alias("entities"), F.first("digest").alias("digest"), F.first("found").alias("found"))
-    texts = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), text_or_empty(text_col).alias("text"))
+    total = float(max(1, table.select("digest").distinct().count()))
+    most = lambda n_c: n_c * F.pow(F.lit(total) / n_c, F.lit(1 - generalise)) * (1 + 1e-9)
+    held = holds.join(alone, "entity").groupBy("row").agg(F.collect_set(F.struct("entity", "n_c")).alias("entities"), F.first("digest").alias("digest"))
+    texts = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), without_addresses(text_or_empty(text_col)).alias("text"))
     near = matches(texts.join(held, "row"), "term", "text", _TERM, F.lit(True))
-    # What lies in an entity goes with it.
-    free = F.filter("term", lambda m: ~F.exists("found", lambda e: (e["start"] < m["end"]) & (m["start"] < e["end"])))
-    terms = F.transform(free, lambda m: F.struct(F.lower(m["value"]).alias("term"), m["start"].alias("start"), m["end"].alias("end")))
+    terms = F.transform("term", lambda m: F.struct(F.lower(m["value"]).alias("term"), m["start"].alias("start"), m["end"].alias("end")))
     near = cut(near.select("row", "digest", "entities", terms.alias("terms")), "contexts")
-    pairs = near.select("row", "digest", "entities", F.explode(F.array_distinct(F.transform("terms", lambda t: t["term"]))).alias("term")).select("row", "digest", "term", F.explode("entities").alias("entity"))
-    joint = pairs.select("entity", "term", "digest").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_ct")).filter(F.col("n_ct") >= min_contexts)
-    # Counts of all terms over the distinct texts of the corpus; only those of candidates meet the join below.
-    tokens = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
-    once = docs.select(text_or_empty(text_col).alias("text")).withColumn("digest", F.xxhash64("text")).dropDuplicates(["digest"])
-    documents = once.select(F.explode(tokens).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    total = F.lit(float(max(1, table.select("digest").distinct().count())))
-    risky = joint.join(alone, "entity").join(documents, "term")
+    # Counts of all terms over the distinct texts of the corpus, by the same reading; only those of candidates are kept.
+    tokens = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(_TERM), F.lit(0)), F.lower))
+    once = docs.select(text_or_empty(text_col).alias("text")).withColumn("digest", F.xxhash64("text")).dropDuplicates(["digest"]).withColumn("text", without_addresses(F.col("text")))
+    widest = alone.agg(F.max(most(F.col("n_c"))).alias("widest"))  # one row
+    documents = once.select(F.explode(tokens).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).filter(F.col("n_t") >= min_contexts)
+    documents = cut(documents.join(F.broadcast(widest), F.col("n_t") <= F.col("widest")).drop("widest"), "rare_terms")
+    own = near.select("row", "digest", "entities", F.explode(F.array_distinct(F.transform("terms", lambda t: t["term"]))).alias("term")).join(documents, "term")
+    fitting = F.filter("entities", lambda e: F.col("n_t") <= most(e["n_c"]))
+    pairs = own.select("row", "digest", "term", "n_t", F.explode(fitting).alias("e")).select("row", "digest", "term", "n_t", "e.entity", "e.n_c")
+    joint = pairs.select("entity", "n_c", "term", "n_t", "digest").distinct().groupBy("entity", "n_c", "term", "n_t").agg(F.count("*").alias("n_ct"))
+    risky, total = joint.filter(F.col("n_ct") >= min_contexts), F.lit(total)
     pmi = F.log2(F.col("n_ct") * total / (F.col("n_c") * F.col("n_t")))
     ic = F.greatest(F.log2(total / F.col("n_c")), F.lit(0.0))
     risky = risky.select("entity", "term", pmi.alias("pmi"), ic.alias("ic")).filter((F.col("ic") > 0) & (F.col("pmi") >= generalise * F.col("ic")))
