@@ -156,9 +156,9 @@ def disclosing_terms(docs: DataFrame, table: DataFrame, id_col: str, text_col: s
     near = cut(near.select("row", "digest", "entities", terms.alias("terms")), "contexts")
     # Counts of all terms over the distinct texts of the corpus, by the same reading; only those of candidates are kept.
     tokens = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(_TERM), F.lit(0)), F.lower))
-    once = docs.select(text_or_empty(text_col).alias("text")).withColumn("digest", F.xxhash64("text")).dropDuplicates(["digest"]).withColumn("text", without_addresses(F.col("text")))
+    once = docs.select(F.xxhash64(text_or_empty(text_col)).alias("digest"), without_addresses(text_or_empty(text_col)).alias("text")).select("digest", tokens.alias("tokens")).dropDuplicates(["digest"])
     widest = alone.agg(F.max(most(F.col("n_c"))).alias("widest"))  # one row
-    documents = once.select(F.explode(tokens).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).filter(F.col("n_t") >= min_contexts)
+    documents = once.select(F.explode("tokens").alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).filter(F.col("n_t") >= min_contexts)
     documents = cut(documents.join(F.broadcast(widest), F.col("n_t") <= F.col("widest")).drop("widest"), "rare_terms")
     own = near.select("row", "digest", "entities", F.explode(F.array_distinct(F.transform("terms", lambda t: t["term"]))).alias("term")).join(documents, "term")
     fitting = F.filter("entities", lambda e: F.col("n_t") <= most(e["n_c"]))
