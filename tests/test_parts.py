@@ -159,9 +159,13 @@ def test_models_are_saved_and_warm_started(spark, tmp_path):
     assert sorted(map(tuple, back.state.collect())) == sorted(map(tuple, model.state.collect()))
     model.save(f"{tmp_path}/w", weights_only=True)
     assert trainers.LinearModel.load(spark, f"{tmp_path}/w").state.columns == ["index", "w"]
-    trainers.SolverState(4, np.array([1.0, 2.0]), {"l1": 0.5}).save(spark, f"{tmp_path}/s")
-    state = trainers.SolverState.load(spark, f"{tmp_path}/s")
-    assert state.iteration == 4 and state.weights.tolist() == [1, 2] and state.params == {"l1": 0.5}
+    from tessella.plans.lbfgs import SolverRun
+
+    run = SolverRun(4, np.array([1.0, 2.0]), [(np.array([0.5, 0.0]), np.array([0.25, 1.0]))], 9.0, [9.0, 7.5])
+    trainers.save_run(run, spark, f"{tmp_path}/s")
+    back = trainers.load_run(spark, f"{tmp_path}/s")
+    assert (back.iteration, back.weights.tolist(), back.first, back.trace, back.best) == (4, [1.0, 2.0], 9.0, [9.0, 7.5], None)
+    assert [[x.tolist() for x in pair] for pair in back.history] == [[[0.5, 0.0], [0.25, 1.0]]] and trainers.load_run(spark, f"{tmp_path}/none") is None
     formats.write_predictions(model.transform(rows), f"{tmp_path}/p")
     assert spark.read.text(f"{tmp_path}/p").count() == 60
 
