@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and a battery of randomness tests on long tokens.
 
-A long run of key characters, and each of its parts between separators that is long itself,
-gets an inferred encoding (hex, base32, base64) and three tests of the hypothesis that its
+A long run of key characters, and each of its parts that is long itself (cut at all separators,
+at ``_-`` as base64 would be, at ``/+`` as base64url would be), gets an inferred encoding (hex, base32, base64) and three tests of the hypothesis that its
 characters are drawn uniformly: chi-squared of the alphabet, runs about the middle, lag-one
 serial correlation.  The least of the three p-values is compared with those of random tokens
 of the same alphabet and length, so the combined p-value is uniform for keys and near 0 for
@@ -9,9 +9,13 @@ words and identifiers.
 
 Short tokens tell less, so the accepted p-value depends on length.  Within a class of encoding
 and length, over all documents, the keys among the tokens are estimated from those above one
-half, where words do not come; a token is reported where the estimated share of non-keys among
+half and three quarters, where hardly any words come; a token is reported where the estimated share of non-keys among
 the tokens that look at least as random is at most ``fdr``.  Classes with few tokens share one
-estimate, first those of an encoding, then those of all.
+estimate, first those of an encoding, then those of all.  As few keys leave nothing above one half,
+the non-keys are also bounded from the other side: by how often the tokens of that encoding (of all,
+where these are few), no longer than the class, look as random, with a prior of language that weighs
+``PRIOR_TOKENS`` tokens.  So a lone key among few tokens is found; among many of its own class only
+where its p-value is above three quarters.
 
 Null text is empty and has no spans; texts are scanned whole; repeated rows count again; equal
 p-values share a cell and its verdict; columns other than the two named are not read, so
@@ -21,6 +25,7 @@ fixed number of cells and is all that is gathered.
 
 from __future__ import annotations
 
+import math
 import re
 from functools import lru_cache
 
@@ -53,7 +58,10 @@ _SETS = [(name, frozenset(a), {c: k for k, c in enumerate(a)}) for name, a in EN
 P_CELLS, MAX_LENGTH_CLASS = 40, 12
 #: Random tokens per alphabet and length, up to which length they are drawn, and tokens that a class needs for its own estimate.
 DRAWS, DRAWN_LENGTH, CLASS_TOKENS = 2000, 128, 200
-_PARTS = re.compile(r"[A-Za-z0-9]{20,}")
+_PARTS = tuple(re.compile(f"[{a}]{{20,}}") for a in ("A-Za-z0-9", "A-Za-z0-9+/", "A-Za-z0-9_-"))
+#: The prior of language: its weight in tokens; the share of identifiers of words with 20 to 29 characters beyond the first cell,
+#: by how much that falls with every ten characters, and over how many cells it falls by e.
+PRIOR_TOKENS, PRIOR_SHARE, PRIOR_BY_LENGTH, PRIOR_CELLS = 200, 0.2, 7, 4
 
 
 def _normal_tail(z: np.ndarray) -> np.ndarray:
@@ -116,20 +124,57 @@ def scan_text(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[int, in
     found = []
     for m in long:
         a, b = m.span()
-        parts = [(a + x.start(), a + x.end()) for x in _PARTS.finditer(m[0])]
+        parts = dict.fromkeys((a + x.start(), a + x.end()) for p in _PARTS for x in p.finditer(m[0]))
         for c, d in [(a, b), *[x for x in parts if x != (a, b)]]:
             if not any(s < d and c < e for _, s, e in spans) and (r := randomness(text[c:d])):
                 found.append((c, d, *r))
     return spans, found
 
 
+def _added(cells: list[list[int]]) -> list[int]:
+    return [sum(x) for x in zip(*cells, strict=True)]
+
+
 def pooled(counts: dict[tuple[str, int], list[int]]) -> dict[tuple[str, int], list[int]]:
     """Per class the cells that its estimate is made of: its own, or those of all small classes of its encoding, or of all small ones."""
     small = {w: c for w, c in counts.items() if sum(c) < CLASS_TOKENS}
-    add = lambda cells: [sum(x) for x in zip(*cells, strict=True)]
-    of = {e: add([c for (x, _), c in small.items() if x == e]) for e, _ in small}
+    of = {e: _added([c for (x, _), c in small.items() if x == e]) for e, _ in small}
     rest = [c for c in of.values() if sum(c) < CLASS_TOKENS]
-    return {w: c if w not in small else of[w[0]] if sum(of[w[0]]) >= CLASS_TOKENS else add(rest) for w, c in counts.items()}
+    return {w: c if w not in small else of[w[0]] if sum(of[w[0]]) >= CLASS_TOKENS else _added(rest) for w, c in counts.items()}
+
+
+def key_cell(cells: list[int]) -> float:
+    """Expected keys in a cell: these are uniform, so the lesser of what the upper half and the upper quarter tell."""
+    return min(sum(cells[P_CELLS - P_CELLS // k :]) * k / P_CELLS for k in (2, 4))
+
+
+def background(counts: dict[tuple[str, int], list[int]], which: tuple[str, int]) -> list[float]:
+    """Per cell: the share of non-keys that reach it, by the tokens no longer than the class and the prior."""
+    encoding, length = which
+    cells = _added([c for (e, n), c in counts.items() if e == encoding and n <= length])
+    if sum(cells) < CLASS_TOKENS:
+        cells = _added([c for (_, n), c in counts.items() if n <= length])
+    keys = key_cell(cells)
+    others, reach, most = max(0.0, sum(cells) - keys * P_CELLS), [0.0] * P_CELLS, 0.0
+    for k in reversed(range(P_CELLS)):
+        most = max(most, sum(cells[k:]) - keys * (P_CELLS - k))
+        prior = PRIOR_SHARE * math.exp(-k / PRIOR_CELLS) / PRIOR_BY_LENGTH ** max(0, length - 2)
+        reach[k] = min(1.0, (most + PRIOR_TOKENS * prior) / (others + PRIOR_TOKENS))
+    return reach
+
+
+def accepted(counts: dict[tuple[str, int], list[int]], fdr: float) -> dict[tuple[str, int], int]:
+    """Per class the first cell from which on its tokens are reported; classes that report nothing are left out."""
+    limits = {}
+    for which, c in pooled(counts).items():
+        keys = key_cell(c)
+        own, reach = counts[which], background(counts, which)
+        for k in range(1, P_CELLS):
+            seen, here = sum(c[k:]), sum(own[k:])
+            if (seen and 1 - min(1.0, keys * (P_CELLS - k) / seen) <= fdr) or (here and sum(own) * reach[k] / here <= fdr):
+                limits[which] = k
+                break
+    return limits
 
 
 _SCANNED = "doc_id long, spans array<struct<kind:string,start:int,end:int>>, found array<struct<start:int,end:int,encoding:string,length:int,cell:int>>"
@@ -154,14 +199,7 @@ def secret_spans(docs: DataFrame, fdr: float = 0.05, id_col: str = "doc_id", tex
     counts: dict[tuple[str, int], list[int]] = {}
     for r in cells.collect():
         counts.setdefault((r["encoding"], r["length"]), [0] * P_CELLS)[r["cell"]] = r["count"]
-    limits = {}
-    for which, c in pooled(counts).items():
-        keys = 2 * sum(c[P_CELLS // 2 :]) / P_CELLS  # expected keys in a cell, as these are uniform
-        for k in range(1, P_CELLS):
-            seen = sum(c[k:])
-            if seen and 1 - min(1.0, keys * (P_CELLS - k) / seen) <= fdr:
-                limits[which] = k
-                break
+    limits = accepted(counts, fdr)
     if not limits:
         chosen = F.filter("found", lambda f: F.lit(False))
     else:

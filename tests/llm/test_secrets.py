@@ -5,7 +5,7 @@ import random
 import re
 import string
 
-from tessella.llm.secrets import joined, op7_secrets, randomness, secret_spans
+from tessella.llm.secrets import P_CELLS, accepted, joined, op7_secrets, randomness, scan_text, secret_spans
 
 
 def base(text):
@@ -66,3 +66,38 @@ def test_false_discoveries_stay_below_the_rate(spark):
     wrong, right = sum(k < len(names) for k in got), sum(k >= len(names) for k in got)
     assert wrong <= 0.05 * (wrong + right), (wrong, right)
     assert right >= 0.8 * (len(texts) - len(names)), right
+
+
+def reported(texts, fdr=0.05):
+    """Spans of the tests of randomness, by the same steps without Spark."""
+    found = [(k, *f) for k, t in enumerate(texts) for f in scan_text(t)[1]]
+    counts = {}
+    for _, a, b, e, p in found:
+        counts.setdefault((e, min((b - a) // 10, 12)), [0] * P_CELLS)[min(int(p * P_CELLS), P_CELLS - 1)] += 1
+    limits = accepted(counts, fdr)
+    return {k for k, a, b, e, p in found if min(int(p * P_CELLS), P_CELLS - 1) >= limits.get((e, min((b - a) // 10, 12)), P_CELLS)}
+
+
+def test_lone_keys_are_found():
+    """A table with one key, of 200 keys each; and one among 600 identifiers, of which few are taken for keys."""
+    letters = string.ascii_letters + string.digits
+    words = "get set user name list view model table index parse token cache event stream build value config render update handler".split()
+    for n, least in ((40, 0.95), (20, 0.75)):
+        hits = sum(bool(reported([f"see {''.join(random.Random(seed).choices(letters, k=n))} there"])) for seed in range(200))
+        assert hits >= least * 200, (n, hits)
+    hits = wrong = 0
+    for seed in range(60):
+        rng = random.Random(1000 + seed)
+        names = ["see " + "".join(w.capitalize() for w in rng.choices(words, k=4)) for _ in range(300)] + ["see " + "_".join(rng.choices(words, k=5)) for _ in range(300)]
+        got = reported([*names, "see " + "".join(rng.choices(letters, k=40))])
+        hits += len(names) in got
+        wrong += len(got - {len(names)})
+    assert hits >= 54 and wrong <= 0.0025 * 60 * 600, (hits, wrong)
+
+
+def test_keys_behind_either_kind_of_separator():
+    rng = random.Random(4)
+    std = "".join(rng.choices(string.ascii_letters + string.digits + "+/", k=44)) + "/+"
+    url = "".join(rng.choices(string.ascii_letters + string.digits + "-_", k=44)) + "_-"
+    spans = {(a, b): e for a, b, e, _ in scan_text(f"id_{std} files/{url}")[1]}
+    assert spans[(3, 49)] == "base64" and spans[(56, 102)] == "base64url"
