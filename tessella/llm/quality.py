@@ -1,18 +1,21 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
-Each rule names the measure it needs, a cost and a test.  Cost (seconds) and
-selectivity (share rejected) are estimated on a bounded sample; rules then run in
-order of rejections per second, and a document that one rule rejects skips the
-measures of the rules after it.  The verdict is the same in any order.
+Each rule names the measure it needs and a test.  Its cost (characters and words that the
+measure goes through, each at a stated rate) and its selectivity (share rejected) are
+estimated on a bounded sample, in one job; rules then run in order of rejections per cost,
+and a document that one rule rejects skips the measures of the rules after it.  The sample
+follows from the ids alone, so the order is the same in every run.  The verdict is the same
+in any order; the rule that rejected a document, and how many rules it met, tell the order.
 
 Defined results: null or empty text has no words and is rejected as too short; texts
-of any length are measured whole; an empty table gives an empty table; other columns
+of any length are measured whole; rules with equal rejections per cost keep their given order;
+repeated rows are measured and judged each alike, and sampled together; a table without the id
+column is sampled by its texts; an empty table gives an empty table; other columns
 pass through, and working columns carry a prefix so that clashing names are safe.
 """
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -23,8 +26,11 @@ from tessella.llm.common import SPACES, text_or_empty, word_array
 
 #: Working columns start with this.
 P = "__q_"
-#: Rows of the sample that costs and selectivities come from.
-SAMPLE_ROWS = 2000
+#: Rows of the sample that costs and selectivities come from, out of so many that the sampling hash tells apart.
+SAMPLE_ROWS, SAMPLE_CELLS = 2000, 16**7
+#: What a measure costs per character and per word, in nanoseconds (timed on eight cores); each costs a little besides.
+COSTS = {"n_words": (0, 0), "word_chars": (70, 0), "n_symbols": (70, 0), "n_dup_lines": (30, 0), "n_repeat_words": (0, 1200)}
+FIXED_COST = 100
 
 
 def _layer(df: DataFrame, name: str, value: Column, active: Column) -> DataFrame:
@@ -120,42 +126,48 @@ def _tidy(df: DataFrame, keep: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in keep])
 
 
-def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", sample_rows: int = SAMPLE_ROWS, seed: int = 7) -> list[Rule]:
-    """Rules by rejections per second, both estimated on about ``sample_rows`` documents.
+def sampled(docs: DataFrame, text_col: str, rows: int, id_col: str) -> DataFrame:
+    """About ``rows`` documents (all, if fewer), by a hash of their ids: the same in every run."""
+    total = docs.count()
+    key = F.md5(F.coalesce(F.col(f"`{id_col if id_col in docs.columns else text_col}`").cast("string"), F.lit("")))
+    cell = F.conv(F.substring(key, 1, 7), 16, 10).cast("double")
+    return docs.filter(cell * F.lit(float(total)) < F.lit(float(rows * SAMPLE_CELLS))).select(text_col)
+
+
+def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id") -> list[Rule]:
+    """Rules by rejections per cost, both estimated on about ``sample_rows`` documents.
 
     Only the order of evaluation depends on the sample, never a verdict.
     """
-    total = docs.count()
-    if not total:
-        return list(rules)
-    sample = _prepared(docs.sample(False, min(1.0, sample_rows / total), seed).select(text_col), text_col).cache()
-    try:
-        sample.count()
-        cost, measured = {}, sample
-        for m in dict.fromkeys(r.measure for r in rules):
-            began = time.perf_counter()
-            MEASURES[m](sample, F.lit(True)).write.format("noop").mode("overwrite").save()
-            cost[m] = max(time.perf_counter() - began, 1e-3)
-            measured = MEASURES[m](measured, F.lit(True))
-        floor = min(cost.values())
-        rates = measured.agg(*[F.avg(F.coalesce(r.fails(), F.lit(False)).cast("int")).alias(r.name) for r in rules]).first()
-        return sorted(rules, key=lambda r: -(rates[r.name] or 0.0) / (cost[r.measure] - floor + 0.05))
-    finally:
-        sample.unpersist()
-
-
-def cascade(df: DataFrame, ordered: list[Rule], measured: bool = False) -> DataFrame:
-    """Adds ``__q_failed``: the first rule, in order, that rejects the document, or null.
-
-    With ``measured`` all measures are there already; else each is taken only of
-    documents that are still in the race.
+    df = _prepared(sampled(docs, text_col, sample_rows, id_col), text_col)
+    for m in dict.fromkeys(r.measure for r in rules):
+        df = MEASURES[m](df, F.lit(True))
+    seen = df.agg(
+        F.count("*").alias("rows"),
+        F.coalesce(F.sum(F.length(P + "text")), F.lit(0)).alias("chars"),
+        F.coalesce(F.sum(P + "n_words"), F.lit(0)).alias("words"),
+        *[F.count_if(r.fails()).alias(f"r{k}") for k, r in enumerate(rules)],
+    ).first()
+
+    def rate(k: int) -> float:
+        char, word = COSTS[rules[k].measure]
+        return seen[f"r{k}"] / max(1, FIXED_COST * seen["rows"] + char * seen["chars"] + word * seen["words"])
+
+    return [rules[k] for k in sorted(range(len(rules)), key=lambda k: (-rate(k), k))]
+
+
+def cascade(df: DataFrame, ordered: list[Rule]) -> DataFrame:
+    """Adds ``__q_failed``, the first rule, in order, that rejects the document, or null, and ``__q_run``, how many it met.
+
+    A measure is taken only of documents that are still in the race.
     """
-    df, have = df.withColumn(P + "failed", F.lit(None).cast("string")), set()
+    df, have = df.withColumn(P + "failed", F.lit(None).cast("string")).withColumn(P + "run", F.lit(0).cast("long")), set()
     for r in ordered:
         going = F.col(P + "failed").isNull()
-        if not measured and r.measure not in have:
+        if r.measure not in have:
             df = MEASURES[r.measure](df, going)
             have.add(r.measure)
+        df = df.withColumn(P + "run", F.col(P + "run") + going.cast("long"))
         df = df.withColumn(P + "failed", F.when(going, F.when(r.fails(), F.lit(r.name))).otherwise(F.col(P + "failed")))
     return df
 
@@ -171,16 +183,22 @@ def quality_filter(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: s
 def quality_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
     """Each document's measures, ``base_failed`` and ``kept``, beside its own columns.
 
-    The report has every measure of every document, so nothing is skipped here.
+    The verdict, ``failed_rule`` (null if kept) and ``rules_run`` are the cascade's.  The report
+    has every measure of every document, so what the cascade skipped is measured after it.
     """
-    df = _prepared(docs, text_col)
-    for add in MEASURES.values():
-        df = add(df, F.lit(True))
-    df = cascade(df, order_rules(docs, rules, text_col), measured=True)
+    ordered = order_rules(docs, rules, text_col)
     out = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    df = cascade(_prepared(docs, text_col), ordered)
+    judged = {r.measure for r in ordered}
+    for m in out[1:]:
+        had = F.col(P + m) if m in judged else F.lit(None).cast("long")
+        df = df.withColumn(P + "had", had)
+        df = MEASURES[m](df, F.col(P + "had").isNull()).withColumn(P + m, F.coalesce(P + "had", P + m))
     base = BASE_RULES[0].fails() | BASE_RULES[1].fails()
-    own = [F.col(f"`{c}`") for c in docs.columns if c not in {*out, "base_failed", "kept"}]
-    return df.select(*own, *[_c(c).alias(c) for c in out], base.alias("base_failed"), F.col(P + "failed").isNull().alias("kept"))
+    added = {*out, "base_failed", "kept", "failed_rule", "rules_run"}
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in added]
+    verdict = [_c("failed").isNull().alias("kept"), _c("failed").alias("failed_rule"), _c("run").alias("rules_run")]
+    return df.select(*own, *[_c(c).alias(c) for c in out], base.alias("base_failed"), *verdict)
 
 
 def op8_quality(spark, sf_dir: str) -> DataFrame:
@@ -203,10 +221,21 @@ m AS (SELECT t.doc_id, len(w)::BIGINT AS n_words,
              (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
              (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
              coalesce(r.n, 0)::BIGINT AS n_repeat_words, len(ls) AS n_lines
-      FROM t JOIN l USING (doc_id) LEFT JOIN r USING (doc_id))
+      FROM t JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)),
+f AS (SELECT m.*, length(text) AS chars, unnest([
+        {'k': 0, 'rule': 'too_few_words', 'char': 0, 'word': 0, 'fails': n_words < 50},
+        {'k': 1, 'rule': 'repeated_words', 'char': 0, 'word': 1200, 'fails': 100 * n_repeat_words > 50 * n_words},
+        {'k': 2, 'rule': 'symbols', 'char': 70, 'word': 0, 'fails': 10 * n_symbols > n_words},
+        {'k': 3, 'rule': 'echoed_lines', 'char': 30, 'word': 0, 'fails': 2 * n_dup_lines > n_lines},
+        {'k': 4, 'rule': 'word_length', 'char': 70, 'word': 0, 'fails': word_chars < 2 * n_words OR word_chars > 15 * n_words}], recursive := true)
+      FROM m JOIN t USING (doc_id)),
+s AS (SELECT k, count(*) FILTER (fails) / greatest(1, 100 * count(*) + any_value(char) * sum(chars) + any_value(word) * sum(n_words))::DOUBLE AS rate
+      FROM f WHERE ('0x' || md5(doc_id::VARCHAR)[1:7])::BIGINT * (SELECT count(*) FROM documents) < 2000::BIGINT * 268435456 GROUP BY k),
+o AS (SELECT k, row_number() OVER (ORDER BY rate DESC, k) AS pos FROM s),
+v AS (SELECT doc_id, min_by(rule, pos) FILTER (fails) AS failed_rule, coalesce(min(pos) FILTER (fails), 5)::BIGINT AS rules_run
+      FROM f JOIN o USING (k) GROUP BY doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
-       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > n_words
-            OR 2 * n_dup_lines > n_lines OR word_chars < 2 * n_words OR word_chars > 15 * n_words) AS kept
-FROM m
+       failed_rule IS NULL AS kept, failed_rule, rules_run
+FROM m JOIN v USING (doc_id)
 """
