@@ -12,6 +12,8 @@ even size.  Copies (equal components) are one vector with a multiplicity.
 
 Vectors that are null, zero, or hold null or non-finite components link with nothing, and
 so do null labels, null ids, and vectors of different length; each row gets its result.
+A cosine of exactly ``least`` in double precision links; columns other than the three named
+are not read, so clashing names are safe; an empty table gives an empty table.
 """
 
 from __future__ import annotations
