@@ -9,8 +9,9 @@ the full sets of shingles.
 No bucket is expanded into all its pairs.  Copies (equal word sequences) are one node.
 In a first round each member of a bucket meets the bucket's least and greatest documents;
 then only pairs of documents whose components differ remain: in small buckets the join
-that forms them keeps those that pass the sketch; large buckets are cut into tiles, whose
-tasks compare all their pairs and return no more links than they have members.
+that forms them keeps those that pass the sketch; large buckets are cut into tiles by
+component, whose tasks compare the sketches of all their pairs, then the sets of what is left,
+and return no more links than they have members.
 Components are as of all pairs, since a pair within one component adds nothing.
 
 Shingles are told apart by 64-bit hashes in ``n_shingles`` and in tiles; pairs met singly are
@@ -32,7 +33,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.common import cut, drop_cut
@@ -227,32 +228,63 @@ def linked_in_tile(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray,
     return (both > 0) & (den * both >= num * (size[left][:, None] + size[right] - both))
 
 
+def _dealt(full: DataFrame) -> DataFrame:
+    """Members of large buckets with their block and each block that it meets, as ``block`` and ``other``.
+
+    A component that fills a block has blocks of its own, which never meet one another; the
+    members of smaller ones share the bucket's first blocks, which meet all.  So a bucket of one
+    component and a few strangers has as many tiles as blocks.
+    """
+    need = F.greatest(F.count("*") / TILE_ROWS, F.sum("size") / TILE_SHINGLES)
+    needs = full.groupBy("band", "comp").agg(need.alias("need"))
+    large = F.col("need") >= 1
+    shared = F.ceil(F.sum(F.when(large, 0.0).otherwise(F.col("need")))).cast("int")
+    bands = cut(needs.groupBy("band").agg(shared.alias("shared"), F.sum(F.when(large, F.ceil("need")).otherwise(0)).cast("int").alias("own")), "blocks")
+    before = F.sum("k").over(Window.partitionBy("band").orderBy("comp").rowsBetween(Window.unboundedPreceding, -1))
+    filling = needs.filter(large).select("band", "comp", F.ceil("need").cast("int").alias("k"))
+    filling = cut(filling.select("band", "comp", "k", F.coalesce(before, F.lit(0)).cast("int").alias("before")), "filling")
+    dealt = full.join(bands, "band").join(filling, ["band", "comp"], "left")
+    first, k = F.when(F.col("k").isNull(), 0).otherwise(F.col("shared") + F.col("before")), F.coalesce("k", F.lit(0))
+    among = F.coalesce("k", "shared")
+    dealt = dealt.withColumn("block", (first + F.pmod(F.xxhash64("doc_id", "band"), among)).cast("int"))
+    # The blocks of a member's own large component, [first, first + k), are left out.
+    dealt = dealt.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("shared") + F.col("own") - k - 1)))
+    return dealt.withColumn("other", F.when(F.col("x") >= first, F.col("x") + k).otherwise(F.col("x")))
+
+
 def _tile_links(full: DataFrame, packed: DataFrame, width: int, num: int, den: int, limit: int) -> DataFrame:
     """(a, b): links between components within large buckets.
 
     A bucket's members are dealt to blocks of bounded rows and shingles, and a tile is a
-    pair of blocks of one bucket; it returns at most one link per member, enough to connect
-    what is linked.
+    pair of blocks of one bucket.  Tiles compare sketches first; texts are sent only for the
+    members that some pair of the tile leaves over.  A tile returns at most one link per
+    member, enough to connect what is linked.
     """
-    need = F.greatest(F.count("*") / TILE_ROWS, F.sum("size") / TILE_SHINGLES)
-    blocks = cut(full.groupBy("band").agg(F.ceil(need).cast("int").alias("blocks")), "blocks")
-    dealt = full.join(blocks, "band").withColumn("block", F.pmod(F.xxhash64("doc_id", "band"), F.col("blocks")).cast("int"))
-    dealt = dealt.join(packed.hint("merge"), "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     lanes = [f"s{k}" for k in range(LANES)]
+    columns = ["band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "comp", *lanes]
+    tiles = _dealt(full).select(*columns)
 
-    def solve(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def apart_in(key, pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Members of either side with a pair of two components that passes the sketch, and which pairs do."""
         left, right = (np.flatnonzero(pdf["block"].to_numpy() == k) for k in key[1:])
-        sketch, comp, ids = pdf[lanes].to_numpy(np.int64).view(np.uint64), pdf["comp"].to_numpy(), pdf["doc_id"].to_numpy()
+        sketch, comp = pdf[lanes].to_numpy(np.int64).view(np.uint64), pdf["comp"].to_numpy()
         apart = comp[left][:, None] != comp[right]
         if apart.any():
             apart &= sum(np.bitwise_count(sketch[left][:, k, None] ^ sketch[right][:, k]).astype(np.int64) for k in range(LANES)) <= limit
-        left, right, apart = left[apart.any(1)], right[apart.any(0)], apart[np.ix_(apart.any(1), apart.any(0))]
+        return left[apart.any(1)], right[apart.any(0)], apart[np.ix_(apart.any(1), apart.any(0))]
+
+    def sift(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right, _ = apart_in(key, pdf)
+        return pdf.iloc[np.union1d(left, right)]
+
+    def solve(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right, apart = apart_in(key, pdf)
         if not len(left):
             return pd.DataFrame({"a": [], "b": []})
-        used, press, hashes = np.union1d(left, right), zstandard.ZstdDecompressor(), WordHashes()
-        sets = [shingle_hashes(press.decompress(t).lower().split(), hashes, width) for t in pdf["packed"].to_numpy()[used]]
-        i, j = np.nonzero(apart & linked_in_tile(sets, np.searchsorted(used, left), np.searchsorted(used, right), num, den))
+        comp, ids = pdf["comp"].to_numpy(), pdf["doc_id"].to_numpy()
+        press, hashes = zstandard.ZstdDecompressor(), WordHashes()
+        sets = [shingle_hashes(press.decompress(t).lower().split(), hashes, width) for t in pdf["packed"].to_numpy()]
+        i, j = np.nonzero(apart & linked_in_tile(sets, left, right, num, den))
         top: dict[int, int] = {}
 
         def root(d):
@@ -270,7 +302,9 @@ def _tile_links(full: DataFrame, packed: DataFrame, width: int, num: int, den: i
                 forest.append((ids[c], ids[d]))
         return pd.DataFrame(forest, columns=["a", "b"])
 
-    return tiles.groupBy("band", "i", "j").applyInPandas(solve, "a long, b long").distinct()
+    sifted = tiles.groupBy("band", "i", "j").applyInPandas(sift, tiles.schema)
+    texts = sifted.join(packed.hint("merge"), "doc_id")
+    return texts.groupBy("band", "i", "j").applyInPandas(solve, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
