@@ -3,9 +3,10 @@
 Vectors of one label are dealt to blocks of bounded size; a tile is a pair of blocks and
 one task's work.  A unit vector v is s q + e with an int8 code q, so two vectors' cosine
 lies within |e_u| + |e_v| + |e_u||e_v| of s_u s_v (q_u . q_v).  The integer products of a
-tile are one exact matrix product; only pairs whose upper bound reaches the threshold are
-computed again in double precision.  A tile returns a number of links and a parent per
-vector, never its pairs, so dense groups stay linear.
+tile are one exact matrix product over the codes alone, which is all that is sent to it;
+doubles are sent only for the vectors of pairs whose upper bound reaches the threshold, and
+those pairs are computed again in double precision.  A tile returns a number of links and a
+parent per vector, never its pairs, so dense groups stay linear.
 
 All pairs of a label are compared, so work grows with the square of a label, in tiles of
 even size.  Copies (equal components) are one vector with a multiplicity.
@@ -47,24 +48,29 @@ def _packed(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], names=["vec_id", "label", "vec"])
 
 
-def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Unit vectors, int8 codes, scales and the norms of what the codes leave out."""
+def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the unit vectors: int8 codes, scales, and the norms of what the codes leave out."""
     x = x / np.abs(x).max(1, keepdims=True)
     unit = x / np.sqrt((x * x).sum(1, keepdims=True))
     scale = np.abs(unit).max(1) / 127
     codes = np.rint(unit / scale[:, None]).astype(np.int8)
     rest = unit - scale[:, None] * codes
-    return unit, codes, scale, np.sqrt((rest * rest).sum(1))
+    return codes, scale, np.sqrt((rest * rest).sum(1))
 
 
-def linked_pairs(x: np.ndarray, y: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of rows of x and of y whose cosine is at least ``least``."""
-    (ux, qx, sx, ex), (uy, qy, sy, ey) = quantised(x), quantised(y)
+def possible_pairs(x: tuple[np.ndarray, np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray, np.ndarray], least: float) -> np.ndarray:
+    """Which pairs of two sides' codes have an upper bound of at least ``least``."""
+    (qx, sx, ex), (qy, sy, ey) = x, y
     # Products of codes are integers below 2**24 for up to 1,040 components: exact in single precision.
-    kind = np.float32 if x.shape[1] <= 1040 else np.float64
+    kind = np.float32 if qx.shape[1] <= 1040 else np.float64
     near = (qx.astype(kind) @ qy.astype(kind).T).astype(np.float64) * sx[:, None] * sy
     near += ex[:, None] + ey + ex[:, None] * ey + ROUNDING
-    i, j = np.nonzero(near >= least)
+    return near >= least
+
+
+def linked_pairs(x: np.ndarray, y: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of rows of x and of y whose cosine is at least ``least``."""
+    i, j = np.nonzero(possible_pairs(quantised(x), quantised(y), least))
     sure = np.zeros(len(i), bool)
     for k in range(0, len(i), 65536):
         s = slice(k, k + 65536)
@@ -74,6 +80,21 @@ def linked_pairs(x: np.ndarray, y: np.ndarray, least: float) -> tuple[np.ndarray
     return i[sure], j[sure]
 
 
+def _coded(batches):
+    """(class, rep, hash, codes, scale, err) of (class, rep, vec, hash), with vectors as bytes of doubles."""
+    for b in batches:
+        vecs = b.column(2).to_pylist()
+        codes, scale, err = [b""] * len(vecs), np.zeros(len(vecs)), np.zeros(len(vecs))
+        by_length: dict[int, list[int]] = {}
+        for k, v in enumerate(vecs):
+            by_length.setdefault(len(v), []).append(k)
+        for at in by_length.values():
+            q, scale[at], err[at] = quantised(np.frombuffer(b"".join(vecs[k] for k in at), np.float64).reshape(len(at), -1))
+            for k, row in zip(at, q, strict=True):
+                codes[k] = row.tobytes()
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(codes, pa.binary()), pa.array(scale), pa.array(err)], names=["class", "rep", "hash", "codes", "scale", "err"])
+
+
 def _parents(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """The least node that links lead to."""
     p = np.arange(n)
@@ -95,9 +116,20 @@ def near_embeddings(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_
     # Vectors of another length are another class; so are equal vectors one node.
     reps = cut(good.groupBy(F.concat_ws(":", F.length("vec").cast("string"), "label").alias("class"), "vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vector_reps")
     blocks = cut(reps.groupBy("class").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")), "blocks")
-    dealt = reps.join(blocks, "class").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    # Rows of one id may hold different vectors, which a 64-bit hash tells apart.
+    coded = reps.select("class", "rep", "vec", F.xxhash64("vec").alias("hash")).mapInArrow(_coded, "class string, rep long, hash long, codes binary, scale double, err double")
+    dealt = coded.join(blocks, "class").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = dealt.select("class", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "copies", "vec")
+    tiles = dealt.select("class", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "hash", "codes", "scale", "err")
+
+    def sift(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = (np.flatnonzero(pdf["block"].to_numpy() == k) for k in key[1:])
+        q = np.frombuffer(b"".join(pdf["codes"]), np.int8).reshape(len(pdf), -1)
+        scale, err = pdf["scale"].to_numpy(), pdf["err"].to_numpy()
+        near = possible_pairs((q[a], scale[a], err[a]), (q[b], scale[b], err[b]), least)
+        if key[1] == key[2]:
+            np.fill_diagonal(near, False)
+        return pdf.iloc[np.union1d(a[near.any(1)], b[near.any(0)])][["class", "i", "j", "block", "rep", "hash"]]
 
     def tile(key, pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.frombuffer(b"".join(pdf["vec"]), np.float64).reshape(len(pdf), -1)
@@ -109,8 +141,6 @@ def near_embeddings(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_
             np.add.at(links, i, copies[j])
         else:
             a, b = np.flatnonzero(side == key[1]), np.flatnonzero(side == key[2])
-            if not len(a) or not len(b):
-                return pd.DataFrame({"rep": [], "links": [], "parent": []})
             i, j = linked_pairs(x[a], x[b], least)
             i, j = a[i], b[j]
             links = np.zeros(len(pdf), np.int64)
@@ -120,6 +150,8 @@ def near_embeddings(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_
         some = links > 0
         return pd.DataFrame({"rep": ids[some], "links": links[some], "parent": parent[some]})
 
+    sifted = tiles.groupBy("class", "i", "j").applyInPandas(sift, "class string, i int, j int, block int, rep long, hash long")
+    tiles = sifted.join(reps.select("class", "rep", F.xxhash64("vec").alias("hash"), "copies", "vec"), ["class", "rep", "hash"])
     made = cut(tiles.groupBy("class", "i", "j").applyInPandas(tile, "rep long, links long, parent long"), "tiles")
     same = good.select("vec_id", F.concat_ws(":", F.length("vec").cast("string"), "label").alias("class"), "vec").join(reps, ["class", "vec"]).select("vec_id", "rep", "copies")
     same = cut(same, "copies")
