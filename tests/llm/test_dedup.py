@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 import pytest
-from tessella.llm import minhash
+from tessella.llm import embeddings, minhash
 from tessella.llm.bwt import remove_repeats as remove_bytes
 from tessella.llm.components import components
 from tessella.llm.embeddings import linked_pairs, near_embeddings
@@ -72,6 +72,22 @@ def test_minhash_against_all_pairs(spark, monkeypatch, small):
     assert near_duplicates(df.limit(0)).count() == 0
 
 
+def test_a_stranger_in_a_large_bucket_adds_tiles_in_proportion(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "TILE_ROWS", 16)
+    dealt = {}
+    for n in (400, 800):
+        rows = [(5, d, 0, 10) for d in range(n)] + [(5, n + 1, 1, 10), (5, n + 2, 2, 10)] + [(6, d, d % 2 * 7, 10) for d in range(64)]
+        got = minhash._dealt(spark.createDataFrame(rows, "band long, doc_id long, comp long, size long")).select("band", "doc_id", "comp", "block", "other").collect()
+        for band in (5, 6):
+            comp = {r["block"]: {q["comp"] for q in got if (q["band"], q["block"]) == (band, r["block"])} for r in got if r["band"] == band}
+            met = {(r["block"], r["other"]) for r in got if r["band"] == band}
+            # Every two members of different components lie in blocks that meet.
+            assert {(a, b) for a in comp for b in comp if len(comp[a] | comp[b]) > 1} <= met
+            assert all(len(comp[a] | comp[b]) > 1 for a, b in met if a in comp and b in comp)
+        dealt[n] = sum(r["band"] == 5 for r in got)
+    assert dealt[400] == 400 + 2 * 26 and dealt[800] == 800 + 2 * 51
+
+
 def test_drop_keeps_one_row_of_repeated_rows(spark):
     df = spark.createDataFrame([(1, "a b c d e f", "x"), (1, "a b c d e f", "x"), (2, "a b c d e f", "y"), (3, None, "z")], "doc_id long, text string, n string")
     out = drop_near_duplicates(df)
@@ -112,6 +128,25 @@ def test_embeddings_against_all_pairs(spark):
     assert near_embeddings(df.limit(0)).count() == 0
 
 
+def test_embeddings_in_tiles_with_clashing_columns(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(20, 24))
+    vecs = [(b + rng.normal(size=24) * s).tolist() for b in base for s in (0.0, 0.05, 0.1, 0.3)]
+    vecs[5] = vecs[4]
+    # Of two axes' sum and one axis, scaled so that the cosine is 0.8 exactly.
+    rows = [(k, v, "a", k, k, "x") for k, v in enumerate(vecs)] + [(3, vecs[20], "a", 0, 0, "x"), (900, [3.0, 4.0], "b", 0, 0, "x"), (901, [0.0, 1.0], "b", 0, 0, "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string, rep long, copies long, class string")
+    whole = sorted(map(tuple, near_embeddings(df).collect()))
+    monkeypatch.setattr(embeddings, "BLOCK_ROWS", 7)
+    assert sorted(map(tuple, near_embeddings(df).collect())) == whole
+    unit = {k: np.array(v) / np.linalg.norm(v) for k, v in enumerate(vecs)}
+    for vec_id, n_links, *_ in whole:
+        if vec_id < 900 and vec_id not in (3, 20):
+            others = [(k, u) for k, u in unit.items() if k != vec_id] + ([(-1, unit[20])] if vec_id != 20 else [])
+            assert n_links == sum(float(unit[vec_id] @ u) >= 0.98 for _, u in others)
+    assert [r[1:3] for r in near_embeddings(df, 0.8).filter("vec_id >= 900").orderBy("vec_id").collect()] == [(1, 900), (1, 900)]
+
+
 def test_bound_loses_no_pair():
     rng = np.random.default_rng(9)
     x = rng.normal(size=(300, 64))
