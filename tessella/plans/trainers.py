@@ -361,42 +361,60 @@ def _local(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
 class LinearObjective(Objective):
     """Logistic or squared loss of a linear model with a bias, the last coordinate.
 
-    Sums over examples, plus l2/2 |w|^2 without the bias.
+    Sums over examples, plus l2/2 |w|^2 without the bias.  The weights, MAX_DIM numbers at most,
+    are broadcast; a partition sums within its rows and returns one row a feature that it has,
+    so no example is shuffled.  Examples without a label add nothing.
     """
 
     def __init__(self, rows: DataFrame, l2: float = 0.0, objective: str = "logistic", base_score: float = 0.5):
         self.rows, self.dictionary, n = _local(rows)
-        self.tri = triplets(self.rows)
         self.dim, self.l2, self.logistic = n + 1, l2, objective == "logistic"
         self.base = base_score_logit(base_score)
 
-    def _scored(self, w: np.ndarray) -> DataFrame:
-        spark = self.rows.sparkSession
-        at = np.flatnonzero(w[:-1])
-        weights = spark.createDataFrame(pa.table({"index": at, "w": w[at]}))
-        m = F.col("y") + float(w[-1]) + self.base
-        return self.rows.join(spmv(self.tri, weights), "row_id", "left").withColumn("y", F.coalesce("y", F.lit(0.0))).withColumn("margin", m)
-
-    def _loss(self):
-        return logistic_nll(F.col("label"), F.col("margin")) if self.logistic else 0.5 * (F.col("margin") - F.col("label")) ** 2
+    def _sums(self, w: np.ndarray, gradient: bool) -> np.ndarray:
+        """The gradient of the sum over examples, if asked for, and behind it the sum itself."""
+        logistic, base, dim = self.logistic, float(w[-1]) + self.base, self.dim
+        shared = self.rows.sparkSession.sparkContext.broadcast(w)
+
+        def run(batches):
+            w, out = shared.value, np.zeros(dim + 1)
+            for b in batches:
+                b = b.filter(b.column(0).is_valid())
+                label, entries = b.column(0).to_numpy(), b.column(1)
+                at, value = (x.to_numpy(zero_copy_only=False) for x in entries.flatten().flatten())
+                row, value = np.repeat(np.arange(len(label)), entries.value_lengths().to_numpy()), np.nan_to_num(value)
+                m = np.bincount(row, w[at] * value, len(label)) + base
+                if logistic:
+                    e = np.exp(-np.abs(m))
+                    out[dim] += (label * np.logaddexp(0, -m) + (1 - label) * np.logaddexp(0, m)).sum()
+                    d = np.where(m >= 0, 1 / (1 + e), e / (1 + e)) - label
+                else:
+                    d = m - label
+                    out[dim] += 0.5 * (d * d).sum()
+                if gradient:
+                    np.add.at(out, at, d[row] * value)
+                    out[dim - 1] += d.sum()
+            some = np.flatnonzero(out)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(out[some])], names=["index", "g"])
+
+        given = self.rows.select(F.col("label").cast("double").alias("label"), F.col("features").cast("array<struct<index:long,value:double>>").alias("features"))
+        sums = given.mapInArrow(run, "index long, g double").groupBy("index").agg(F.sum("g").alias("g")).toArrow()
+        shared.destroy()
+        out = np.zeros(dim + 1)
+        out[sums["index"].to_numpy()] = sums["g"].to_numpy()
+        return out
 
     def _ridge(self, w: np.ndarray) -> float:
         return 0.5 * self.l2 * float(w[:-1] @ w[:-1])
 
     def value(self, w: np.ndarray) -> float:
-        return self._scored(w).agg(F.sum(self._loss())).first()[0] + self._ridge(w)
+        return float(self._sums(w, False)[-1]) + self._ridge(w)
 
     def value_and_grad(self, w: np.ndarray) -> tuple[float, np.ndarray]:
-        d = (sigmoid(F.col("margin")) if self.logistic else F.col("margin")) - F.col("label")
-        scored = self._scored(w).withColumn("d", d).withColumn("loss", self._loss()).persist()
-        total, bias = scored.agg(F.sum("loss"), F.sum("d")).first()
-        out = np.zeros(self.dim)
-        g = rows_t(scored).toArrow()  # one number a dimension, MAX_DIM at most
-        out[g["index"].to_numpy()] = g["g"].to_numpy()
+        sums = self._sums(w, True)
+        out = sums[:-1]
         out[:-1] += self.l2 * w[:-1]
-        out[-1] = bias
-        scored.unpersist()
-        return total + self._ridge(w), out
+        return float(sums[-1]) + self._ridge(w), out
 
 
 def train_linear_lbfgs(rows: DataFrame, solver: LBFGS | None = None, l2: float = 0.0, objective: str = "logistic", base_score: float = 0.5, state_path: str | None = None, tables: bool = False) -> tuple[DataFrame, LBFGS, LinearObjective | LinearTables]:
