@@ -136,9 +136,13 @@ def with_base_spans(df: DataFrame, text_col: str) -> DataFrame:
 
 
 def found_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, row, digest, found), written once: every row's pattern matches; equal texts share a digest."""
+    """(doc_id, row, digest, found, text), written once: every row's pattern matches; equal texts share a digest.
+
+    ``text``, without addresses, is there for rows with a match only, so that no other text is shuffled to meet entities.
+    """
     df = with_base_spans(docs.select(id_col, text_col), text_col)
-    return cut(df.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.xxhash64(P + "text").alias("digest"), F.col(P + "found").alias("found")), "personal")
+    held = F.when(F.size(P + "found") > 0, without_addresses(F.col(P + "text"))).alias("text")
+    return cut(df.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.xxhash64(P + "text").alias("digest"), F.col(P + "found").alias("found"), held), "personal")
 
 
 def disclosing_terms(docs: DataFrame, table: DataFrame, id_col: str, text_col: str, generalise: float, remove: float, min_contexts: int) -> DataFrame:
@@ -150,15 +154,16 @@ def disclosing_terms(docs: DataFrame, table: DataFrame, id_col: str, text_col: s
     total = float(max(1, table.select("digest").distinct().count()))
     most = lambda n_c: n_c * F.pow(F.lit(total) / n_c, F.lit(1 - generalise)) * (1 + 1e-9)
     held = holds.join(alone, "entity").groupBy("row").agg(F.collect_set(F.struct("entity", "n_c")).alias("entities"), F.first("digest").alias("digest"))
-    texts = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), without_addresses(text_or_empty(text_col)).alias("text"))
+    texts = table.filter(F.col("text").isNotNull()).select("row", "text")
     near = matches(texts.join(held, "row"), "term", "text", _TERM, F.lit(True))
     terms = F.transform("term", lambda m: F.struct(F.lower(m["value"]).alias("term"), m["start"].alias("start"), m["end"].alias("end")))
     near = cut(near.select("row", "digest", "entities", terms.alias("terms")), "contexts")
     # Counts of all terms over the distinct texts of the corpus, by the same reading; only those of candidates are kept.
-    tokens = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(_TERM), F.lit(0)), F.lower))
+    # A text's terms are shuffled as one string, which takes less than half the room of an array of strings; no term holds a space.
+    tokens = F.array_join(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(_TERM), F.lit(0)), F.lower)), " ")
     once = docs.select(F.xxhash64(text_or_empty(text_col)).alias("digest"), without_addresses(text_or_empty(text_col)).alias("text")).select("digest", tokens.alias("tokens")).dropDuplicates(["digest"])
     widest = alone.agg(F.max(most(F.col("n_c"))).alias("widest"))  # one row
-    documents = once.select(F.explode("tokens").alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).filter(F.col("n_t") >= min_contexts)
+    documents = once.filter(F.col("tokens") != "").select(F.explode(F.split("tokens", " ")).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).filter(F.col("n_t") >= min_contexts)
     documents = cut(documents.join(F.broadcast(widest), F.col("n_t") <= F.col("widest")).drop("widest"), "rare_terms")
     own = near.select("row", "digest", "entities", F.explode(F.array_distinct(F.transform("terms", lambda t: t["term"]))).alias("term")).join(documents, "term")
     fitting = F.filter("entities", lambda e: F.col("n_t") <= most(e["n_c"]))

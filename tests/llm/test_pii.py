@@ -163,3 +163,37 @@ def test_generalised_terms_keep_their_shape(spark):
 
     df = spark.createDataFrame([("Zorblatt", "[NAME-M]"), ("QUIX", "[ACRONYM-S]"), ("plainlyspoken", "[WORD-L]")], "t string, w string")
     assert all(r["w"] == r["s"] for r in df.select("w", shape(df["t"]).alias("s")).collect())
+
+
+def shuffled(spark):
+    """Bytes written to shuffles so far."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return {stages.apply(k).stageId(): stages.apply(k).shuffleWriteBytes() for k in range(stages.size())}
+
+
+def test_shuffles_stay_well_below_the_texts(spark):
+    """Texts without an entity are not shuffled, and the terms of all texts are shuffled as strings, not as arrays of them."""
+    docs = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    letters = [(10**6 + k, f"Dear Zorblatt, matter {k} {w} z.b@mail.example.com") for k, w in enumerate(["sun", "moon", "rain", "wind"])]
+    df = spark.createDataFrame(docs + letters, "doc_id long, text string")
+    before = set(shuffled(spark))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # joins as those of large tables
+    try:
+        got = {r["doc_id"]: r["s"] for r in personal_data(df).select("doc_id", joined("spans").alias("s")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(got) == len(docs) + 4 and all("removed:5:13" in got[d] for d, _ in letters)
+    written = sum(v for k, v in shuffled(spark).items() if k not in before)
+    size = sum(len(t.encode()) for _, t in docs)
+    assert 0.2 * size < written < 1.6 * size, written / size
+
+
+def test_terms_of_any_script_are_counted(spark):
+    """Terms that are shuffled as one string: none at all, one letter, and such whose lower case holds a mark."""
+    other = [f"plain words about matter {k} and more of the same" for k in range(60)] + ["", "12 34", "x", None]
+    known = [f"İzmirli 王 {w} +1 (988) 555-2485" for w in ("sun", "moon", "rain", "wind")]
+    df = spark.createDataFrame(list(enumerate(other + known)), "doc_id long, text string")
+    got = {r["doc_id"]: r["s"] for r in personal_data(df).select("doc_id", joined("spans").alias("s")).collect()}
+    assert all(got[k] == "" for k in range(64))
+    assert all(got[64 + k].startswith("removed:0:7,removed:8:9,") for k in range(4)), got[64]
