@@ -675,11 +675,11 @@ c6 AS (SELECT *, {_WRAP.format(f"{folded('q')} * {mul}")} AS h FROM c5)"""
 def format_criteo_city(spark, sf_dir):
     """Clicks with one category, keyed as the original tools key them."""
     path, part = files.scratch(spark, "clicks"), F.lpad(F.col("l_partkey").cast("string"), 8, "x")
-    line = F.concat_ws("\t", F.when(F.col("l_returnflag") == "R", "1").otherwise("0"), *[F.lit("")] * 14, part, *[F.lit("")] * 24)
+    line = F.concat(F.when(F.col("l_returnflag") == "R", "1").otherwise("0"), F.lit("\t" * 15), part, F.lit("\t" * 24))
     table(spark, sf_dir, "lineitem").select(line.alias("value")).write.text(path)
     lines = spark.read.text(path)
     rows = formats.parse_clicks(lines, city=True)
-    x = F.get(F.split("value", "\t"), F.lit(15)).alias("x")
+    x = F.substring_index(F.substring_index("value", "\t", 16), "\t", -1).alias("x")
     names = lines.select(x).distinct().withColumn("key", H.field_key(F.get(city_hashes(F.array("x")), F.lit(0)), 14))
     return rows.select("label", F.explode("features.index").alias("key")).groupBy("label", "key").agg(F.count("*").alias("n")).join(names, "key")
 

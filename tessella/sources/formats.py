@@ -14,8 +14,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.functions.cityhash import city_hashes
-from tessella.functions.hashing import field_key, group_key, string_key, unsigned_text
+from tessella.functions.cityhash import buffers, city64
+from tessella.functions.hashing import FIELD_SHIFT, HASH_DROP, group_key, string_key, unsigned_text
 from tessella.operators.frame import FEATURES
 from tessella.sources.blocks import holds_blocks, read_blocks
 
@@ -63,25 +63,52 @@ def parse_libsvm(lines: DataFrame) -> DataFrame:
     return _canonical(lines.filter(F.length(F.trim("value")) > 0), F.get(head, F.lit(0)), F.coalesce(F.get(head, F.lit(1)).cast("double"), F.lit(1.0)), F.transform(rest, entry))
 
 
+def _click_features(line: Column, first: int, hashed: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> Column:
+    """Features of lines whose field 0 comes after ``first`` others; ``hashed`` takes bytes, begins and sizes of the fields that count.
+
+    A line is cut once, and only keys come back.  It is declared not deterministic for the reason of :func:`city_hashes`.
+    """
+
+    @F.arrow_udf(FEATURES)
+    def run(lines: pa.Array) -> pa.Array:
+        data, bounds = buffers(lines)
+        ends = np.flatnonzero(data == ord("\t"))
+        start = np.concatenate([[0], ends + 1])[:-1]
+        before = np.searchsorted(ends, bounds)  # fields before each line
+        some = np.flatnonzero(ends > start)
+        row = np.repeat(np.arange(len(lines)), np.diff(before))[some]
+        field, start, size = some - before[row] - first, start[some], (ends - start)[some]
+        length = size
+        if (data > 127).any():  # bytes within a character do not count as one
+            inner = np.concatenate([[0], np.cumsum((data & 0xC0) == 0x80)])
+            length = size - inner[start + size] + inner[start]
+        which = (field >= 0) & (field < N_INTEGERS + N_CATEGORIES) & ((field < N_INTEGERS) | (length == 8))
+        key = hashed(data, start[which], size[which]) >> np.uint64(HASH_DROP) | field[which].astype(np.uint64) << np.uint64(FIELD_SHIFT)
+        entries = pa.StructArray.from_arrays([pa.array(key.view(np.int64)), pa.array(np.ones(len(key)))], ["index", "value"])
+        sizes = np.bincount(row[which], minlength=len(lines))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), entries)
+
+    return run.asNondeterministic()(F.concat(line, F.lit("\t")))  # so that each field ends with a tab
+
+
 def parse_clicks(lines: DataFrame, labelled: bool = True, portable: bool = False, city: bool = False) -> DataFrame:
     """Tab-separated click log: each non-empty field is one hashed feature; integers are hashed as text.
 
     A category counts where it has eight characters.  ``city`` takes the hash of the original
     tools, so that keys are those of their models; ``portable`` is for other engines.
     """
-    if city:  # all fields of a line in one call
-        fields = F.slice(F.split("value", "\t", -1), 2 if labelled else 1, N_INTEGERS + N_CATEGORIES)
-        lines = lines.filter(F.length("value") > 0).withColumn("__h", city_hashes(fields))
-    t = F.split("value", "\t", -1)
+    lines = lines.filter(F.length("value") > 0)
+    label = F.substring_index("value", "\t", 1) if labelled else F.lit(0.0)
     first = 1 if labelled else 0
+    if city:
+        return _canonical(lines, label, F.lit(1.0), _click_features(F.col("value"), first, city64))
+    t = F.split("value", "\t", -1)
     entries = []
     for k in range(N_INTEGERS + N_CATEGORIES):
         x = F.get(t, F.lit(first + k))
         ok = x != "" if k < N_INTEGERS else F.length(x) == 8
-        key = field_key(F.get("__h", F.lit(k)), k) if city else string_key(x, k, portable)
-        entries.append(F.when(ok, F.struct(key.alias("index"), F.lit(1.0).alias("value"))))
-    label = F.get(t, F.lit(0)) if labelled else F.lit(0.0)
-    return _canonical(lines.filter(F.length("value") > 0), label, F.lit(1.0), F.filter(F.array(*entries), lambda f: f.isNotNull()))
+        entries.append(F.when(ok, F.struct(string_key(x, k, portable).alias("index"), F.lit(1.0).alias("value"))))
+    return _canonical(lines, label, F.lit(1.0), F.filter(F.array(*entries), lambda f: f.isNotNull()))
 
 
 def parse_grouped(lines: DataFrame) -> DataFrame:

@@ -36,6 +36,40 @@ def test_click_keys_of_the_original_hash(spark):
     assert h.first()["h"][1] == 0 and h.first()["h"][0] == city("5")[0] - (1 << 64) * (city("5")[0] >> 63)
 
 
+ODD_LINES = [
+    "1\t5\t\t-3" + "\t" * 11 + "abcdefgh\t\tshort" + "\t" * 23 + "zzzzzzzz",
+    "0",  # nothing but a first field
+    "1\t\t\t7",  # fields are missing at the end
+    "0" + "\t" * 14 + "äöüßéèêñ\täöüß\t" + "x" * 40 + "\t汉字汉字汉字汉字",  # characters are counted, not bytes; what does not count may be long
+    "1" + "\t9" * 13 + "\tabcdefgh" * 28,  # more fields than the log has
+    "\t" * 40,
+    "0" + "\t" * 13 + "12345678901234567890\t        ",
+]
+
+
+def plain_features(line, labelled):
+    """(field, text) of the fields that count."""
+    fields = line.split("\t")[labelled:][:39]
+    return [(k, x) for k, x in enumerate(fields) if (x if k < 13 else len(x) == 8)]
+
+
+@pytest.mark.parametrize("labelled", [True, False])
+def test_odd_click_lines_by_the_original_hash(spark, labelled):
+    lines = spark.createDataFrame([(x,) for x in [*ODD_LINES, "", None]], "value string").coalesce(1)
+    got = [[(f["index"], f["value"]) for f in r["features"]] for r in formats.parse_clicks(lines, labelled, city=True).drop("label").orderBy("row_id").collect()]
+    key = lambda k, x: city(x)[0] >> 10 | k << 54
+    assert got == [[(key(k, x), 1.0) for k, x in plain_features(line, labelled)] for line in ODD_LINES]
+
+
+def test_click_fields_are_hashed_once(spark):
+    """Filters that Spark infers from an explode or a join must not evaluate the hashes again."""
+    lines = spark.createDataFrame([(x,) for x in ODD_LINES], "value string")
+    keys = formats.parse_clicks(lines.filter("value LIKE '1%'"), city=True).select(F.explode("features.index").alias("key"))
+    names = lines.select(F.substring("value", 1, 1).alias("x")).distinct().withColumn("key", F.get(city_hashes(F.array("x")), F.lit(0)))
+    for df, times in ((keys, 1), (keys.join(names, "key"), 2)):
+        assert df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == times
+
+
 def packed(rows, width=8, values=True, weights=True, first=0):
     lz4 = pa.Codec("lz4_raw")
     kind = "<u8" if width == 8 else "<u4"
