@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.cityhash import buffers, city64
 from tessella.functions.hashing import FIELD_SHIFT, HASH_DROP, group_key, string_key, unsigned_text
+from tessella.functions.md5 import md5_60s
 from tessella.operators.frame import FEATURES
 from tessella.sources.blocks import holds_blocks, read_blocks
 
@@ -100,15 +101,15 @@ def parse_clicks(lines: DataFrame, labelled: bool = True, portable: bool = False
     lines = lines.filter(F.length("value") > 0)
     label = F.substring_index("value", "\t", 1) if labelled else F.lit(0.0)
     first = 1 if labelled else 0
-    if city:
-        return _canonical(lines, label, F.lit(1.0), _click_features(F.col("value"), first, city64))
-    t = F.split("value", "\t", -1)
-    entries = []
-    for k in range(N_INTEGERS + N_CATEGORIES):
-        x = F.get(t, F.lit(first + k))
-        ok = x != "" if k < N_INTEGERS else F.length(x) == 8
-        entries.append(F.when(ok, F.struct(string_key(x, k, portable).alias("index"), F.lit(1.0).alias("value"))))
-    return _canonical(lines, label, F.lit(1.0), F.filter(F.array(*entries), lambda f: f.isNotNull()))
+    if city or portable:
+        return _canonical(lines, label, F.lit(1.0), _click_features(F.col("value"), first, city64 if city else md5_60s))
+
+    def entry(x, k):
+        ok = F.when(k < N_INTEGERS, x != "").otherwise(F.length(x) == 8)
+        return F.when(ok, F.struct(string_key(x, k).alias("index"), F.lit(1.0).alias("value")))
+
+    fields = F.slice(F.split("value", "\t", -1), first + 1, N_INTEGERS + N_CATEGORIES)
+    return _canonical(lines, label, F.lit(1.0), F.filter(F.transform(fields, entry), lambda f: f.isNotNull()))
 
 
 def parse_grouped(lines: DataFrame) -> DataFrame:

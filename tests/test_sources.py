@@ -1,5 +1,6 @@
 """Readers of the original tools' keys and files."""
 
+import hashlib
 import struct
 
 import numpy as np
@@ -8,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions.cityhash import city64, city_hashes
-from tessella.functions.hashing import field_key
+from tessella.functions.hashing import field_key, md5_60
+from tessella.functions.md5 import md5_60s
 from tessella.sources import blocks, formats
 
 
@@ -61,6 +63,32 @@ def test_odd_click_lines_by_the_original_hash(spark, labelled):
     assert got == [[(key(k, x), 1.0) for k, x in plain_features(line, labelled)] for line in ODD_LINES]
 
 
+@pytest.mark.parametrize("labelled", [True, False])
+def test_odd_click_lines_by_other_hashes(spark, labelled):
+    lines = spark.createDataFrame([(x,) for x in [*ODD_LINES, "", None]], "value string").coalesce(1)
+    fields = [[*plain_features(x, labelled)] for x in ODD_LINES]
+    texts = spark.createDataFrame([(k, x) for line in fields for k, x in line], "k long, x string")
+    for portable, h in ((True, md5_60(F.col("x"))), (False, F.xxhash64("x"))):
+        keys = {(r["k"], r["x"]): r["key"] for r in texts.select("k", "x", field_key(h, F.col("k")).alias("key")).collect()}
+        rows = formats.parse_clicks(lines, labelled, portable).drop("label").orderBy("row_id").collect()
+        assert [[(f["index"], f["value"]) for f in r["features"]] for r in rows] == [[(keys[x], 1.0) for x in line] for line in fields]
+
+
+def test_portable_hashes_of_many_strings():
+    raw = [bytes((7 * k + j) % 256 for j in range(k)) for k in range(140)] + [b"%d" % k for k in range(70_000)]
+    size = np.array([len(x) for x in raw])
+    got = md5_60s(np.frombuffer(b"".join(raw), np.uint8), np.cumsum(size) - size, size)
+    assert got.tolist() == [int(hashlib.md5(x).hexdigest()[:15], 16) for x in raw]
+
+
+def test_a_line_is_cut_once(spark):
+    """Also where all rows' features are only summed, the cut stands once in the plan, or in the Arrow function."""
+    lines = spark.createDataFrame([(x,) for x in ODD_LINES], "value string")
+    for portable in (True, False):
+        plan = formats.parse_clicks(lines, labelled=False, portable=portable).select(F.size("features"))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("split(") + plan.count("ArrowEvalPython") == 1
+
+
 def test_click_fields_are_hashed_once(spark):
     """Filters that Spark infers from an explode or a join must not evaluate the hashes again."""
     lines = spark.createDataFrame([(x,) for x in ODD_LINES], "value string")
